@@ -1 +1,13 @@
+"""The catalogue of queries."""
 
+from __future__ import annotations
+
+from tidemark.plans.registry import ORACLES, QUERIES, Query
+
+
+def all_queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def all_oracles() -> dict[str, str]:
+    return dict(ORACLES)
