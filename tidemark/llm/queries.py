@@ -4,17 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, near_dedup, quality, suffixes
+from tidemark.llm import decontaminate, near_dedup, pieces, quality, suffixes, token_counts
 from tidemark.sources.tables import read_table
 
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.digests(pieces.encoded(docs, PIECE_MODEL)).select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.grouped(read_table(spark, sf_dir, "documents"), shingle=3, percent=85)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.token_counts(read_table(spark, sf_dir, "documents"), PIECE_MODEL)
+    return counted.withColumn("over_limit", F.col("n_tokens") > token_counts.LIMIT)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(read_table(spark, sf_dir, "documents"))
 
@@ -30,7 +44,9 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op5_token_counts": op5_token_counts,
     "op6_quality_rules": op6_quality_rules,
     "op7_decontaminate": op7_decontaminate,
     "op10_suffix_dedup": op10_suffix_dedup,
