@@ -8,11 +8,30 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, near_dedup, pieces, quality, suffixes, token_counts
+from tidemark.llm import decontaminate, near_dedup, pieces, quality, sharding, suffixes, token_counts, url_filter
 from tidemark.sources.tables import read_table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
+URL_RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    put = sharding.placed(read_table(spark, sf_dir, "documents"))
+    law, grown = F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return put.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown)
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judged(pages, URL_RULES).select("row.page_id", "host", "path", "rule", "verdict")
+
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -44,6 +63,8 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
+    "op2_url_filter": op2_url_filter,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_token_counts": op5_token_counts,
@@ -52,4 +73,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+def _rule_case(then: str) -> str:
+    """The longest rule that fits, as a CASE over the rules from the longest down."""
+    out = []
+    for action, host, path in sorted(URL_RULES, key=lambda r: -len(r[1] + r[2])):
+        fits = f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}')"
+        out.append(f"WHEN {fits} THEN " + (f"'{host}{path}'" if then == "rule" else f"'{action}'"))
+    return "CASE " + " ".join(out) + (" ELSE NULL END" if then == "rule" else " ELSE 'allow' END")
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_url_filter": rf"""
+        WITH rests AS (
+            SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+        ), parts AS (
+            SELECT page_id, regexp_extract(rest, '^([^/?#]*)', 1) AS raw, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rests
+        ), hosts AS (
+            SELECT page_id, path, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host FROM parts
+        )
+        SELECT page_id, host, path, {_rule_case("rule")} AS rule, {_rule_case("verdict")} AS verdict FROM hosts""",
+}
