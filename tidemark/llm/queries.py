@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, near_dedup, pieces, quality, sharding, suffixes, token_counts, url_filter
+from tidemark.llm import decontaminate, html_text, language_id, near_dedup, pieces, quality, sharding, suffixes, token_counts, url_filter
 from tidemark.sources.tables import read_table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -58,6 +58,19 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = lambda id_: F.crc32(id_.cast("string").cast("binary")) % 4 == 2
+    model = language_id.fitted(docs, ~held_out(F.col("doc_id")))
+    said = language_id.predicted(docs.select("doc_id", "text"), model)
+    return said.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extracted(read_table(spark, sf_dir, "pages"))
+    return found.select("row.page_id", "row.url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeat_report(read_table(spark, sf_dir, "documents"))
 
@@ -70,6 +83,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op6_quality_rules": op6_quality_rules,
     "op7_decontaminate": op7_decontaminate,
+    "op8_language_id": op8_language_id,
+    "op9_html_text": op9_html_text,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
