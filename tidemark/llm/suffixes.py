@@ -35,7 +35,7 @@ from tidemark.llm import common as C
 LENGTH = 100
 KEY = 32
 #: Windows that a run sorts at once, and places that a task compares at once.
-RUN_WINDOWS = 1_500_000
+RUN_WINDOWS = 500_000
 TASK_PLACES = 1_000_000
 #: Candidate places to a merging partition, about.
 PLACES_PER_MERGE = 60_000
@@ -175,8 +175,10 @@ class Run:
         last = np.append(new[1:], len(w["owner"])) - 1
         owner, lo, hi = w["owner"][new], w["start"][new], w["start"][last] + self.length
         span = hi - owner
-        wide = np.arange(self.length)
-        suffix = np.where(wide < span[:, None], data[np.minimum(owner[:, None] + wide, len(data) - 1)], 0).astype(np.uint8)
+        suffix, wide = np.empty((len(owner), self.length), np.uint8), np.arange(self.length)
+        for a in range(0, len(owner), 10_000):
+            cells = data[np.minimum(owner[a : a + 10_000, None] + wide, len(data) - 1)]
+            suffix[a : a + 10_000] = np.where(wide < span[a : a + 10_000, None], cells, 0)
         order = np.argsort(np.ascontiguousarray(suffix).view(f"S{self.length}").ravel(), kind="stable")
         part = C.mixed(w["keyed"][new]) % np.uint64(self.parts)
         order = order[np.argsort(part[order], kind="stable")]
@@ -186,8 +188,10 @@ class Run:
             own = order[a:b]
             shared = np.zeros(len(own), np.int64)
             if len(own) > 1:
-                same = suffix[own[1:]] == suffix[own[:-1]]
-                shared[1:] = np.minimum(np.where(same.all(1), self.length, same.argmin(1)), np.minimum(span[own[1:]], span[own[:-1]]))
+                for x in range(1, len(own), 10_000):
+                    this, last = own[x : x + 10_000], own[x - 1 : x + 9_999][: len(own) - x]
+                    same = suffix[this] == suffix[last]
+                    shared[x : x + 10_000] = np.minimum(np.where(same.all(1), self.length, same.argmin(1)), np.minimum(span[this], span[last]))
             tail = [data[o + s : h].tobytes() for o, s, h in zip(owner[own].tolist(), shared.tolist(), hi[own].tolist(), strict=True)]
             left = [data[s:o].tobytes() for s, o in zip(lo[own].tolist(), owner[own].tolist(), strict=True)]
             yield int(part[a]), b"B" + packed(
@@ -324,7 +328,7 @@ def merged(blocks: list[bytes], length: int, key: int) -> Iterator[bytes]:
                 held.append(group)
                 size += len(group)
             group = []
-            if size >= 20_000:
+            if size >= 5_000:
                 yield from _removed(held, runs, columns, length)
                 held, size = [], 0
         group.append((run, i))
@@ -387,7 +391,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, key: int = KEY) -> Data
             rk = batch.column("rk").to_numpy(zero_copy_only=False).view(np.uint64)
             s, r, o = start[chosen], row[chosen], owner[chosen]
             run.add(data, start=s, owner=o, place=s - at[r], id=ids[r], rk=rk[r], hash=rolling(data, length)[s], keyed=hashes[o])
-            if run.windows >= RUN_WINDOWS or run.bytes >= 32 * C.STEP_BYTES:
+            if run.windows >= RUN_WINDOWS or run.bytes >= 16 * C.STEP_BYTES:
                 yield from flushed()
                 run = Run(length, key, parts)
         if run.windows:
