@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.sources.tables import TABLES, register_views
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -24,3 +27,15 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return register
+
+
+def sql(name: str, text: str, oracle: str | None = None) -> None:
+    """Register a query written in Spark SQL over the base tables; the oracle's text is the same unless given."""
+    tables = [t for t in TABLES if re.search(rf"\b{t}\b", text)]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        register_views(spark, sf_dir, *tables)
+        return spark.sql(text)
+
+    run.__name__ = name
+    query(name, oracle or text)(run)
