@@ -160,8 +160,8 @@ sql(
 )
 sql(
     "agg_percentile_cont",
-    "SELECT event_type, percentile(value, 0.5) AS p50, percentile(value, 0.95) AS p95 FROM events GROUP BY event_type",
-    "SELECT event_type, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95 FROM events GROUP BY event_type",
+    "SELECT event_type, round(percentile(value, 0.5), 6) AS p50, round(percentile(value, 0.95), 6) AS p95 FROM events GROUP BY event_type",
+    "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type",
 )
 sql("agg_count_distinct", "SELECT event_type, count(DISTINCT user_id) AS users, count(DISTINCT CAST(ts AS DATE)) AS days FROM events GROUP BY event_type")
 sql(
@@ -304,8 +304,8 @@ sql(
 )
 sql(
     "agg_summary_stats",
-    "SELECT o_orderpriority, count(*) AS n, percentile(o_totalprice, 0.5) AS median, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS mean, max(o_totalprice) AS largest FROM orders GROUP BY o_orderpriority",
-    "SELECT o_orderpriority, count(*) AS n, quantile_cont(o_totalprice, 0.5) AS median, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS mean, max(o_totalprice) AS largest FROM orders GROUP BY o_orderpriority",
+    "SELECT o_orderpriority, count(*) AS n, round(percentile(o_totalprice, 0.5), 6) AS median, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS mean, max(o_totalprice) AS largest FROM orders GROUP BY o_orderpriority",
+    "SELECT o_orderpriority, count(*) AS n, round(quantile_cont(o_totalprice, 0.5), 6) AS median, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS mean, max(o_totalprice) AS largest FROM orders GROUP BY o_orderpriority",
 )
 sql(
     "agg_incident_summary",
@@ -317,11 +317,11 @@ sql(
     "agg_agency_reduce",
     """
     SELECT user_id, CAST(grouping(user_id) AS INT) AS total, count(*) AS calls, count(*) FILTER (WHERE event_type = 'error') AS errors,
-           CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS cost, percentile(value, 0.95) AS p95
+           CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS cost, round(percentile(value, 0.95), 6) AS p95
     FROM events WHERE event_type <> 'signup' GROUP BY GROUPING SETS ((), (user_id))""",
     """
     SELECT user_id, CAST(grouping(user_id) AS INT) AS total, count(*) AS calls, count(*) FILTER (WHERE event_type = 'error') AS errors,
-           CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS cost, quantile_cont(value, 0.95) AS p95
+           CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS cost, round(quantile_cont(value, 0.95), 6) AS p95
     FROM events WHERE event_type <> 'signup' GROUP BY GROUPING SETS ((), (user_id))""",
 )
 sql(
