@@ -4,11 +4,13 @@ A document's set holds the distinct word shingles of its whole lower-cased text.
 the largest value are kept, so PERMUTATIONS hash evaluations give twice as many signature values. Documents that agree on
 a band of BAND_ROWS values are candidates; a pair that is linked by the threshold escapes all bands about once in 10^8.
 
-Texts with the same words are one node from the start. Within a bucket every node is first compared with the bucket's
-smallest node; links are confirmed on full sets and joined into components. What is left are pairs of one bucket in
-different components: those are compared too (each node outside the bucket's largest component with all nodes of other
-components), so no candidate pair is skipped, and a group of copies costs as many comparisons as it has members.
-A pair whose 60 signature values agree less than six standard deviations below the threshold is not fetched.
+Texts with the same words are one node from the start. Every bucket has a hub, its member that meets the most nodes over
+all bands (of a group of edited copies, that is the text they were edited from). Members are compared with their hub
+only; links are confirmed on full sets and joined into components. That leaves pairs under one hub in different
+components. Each set is written as its difference from the hub: of two such sets, linked ones must share more than about
+half of the smaller difference. So a prefix-filtered join of the differences (what was added first, as that is rare; then
+what is missing) finds the remaining links exactly, while copies that were edited in unrelated places never meet.
+A pair whose 60 signature values agree less than six standard deviations below the threshold is not linked to its hub.
 
 Defined cases: a null text, or one without words, has an empty set and is linked with nothing; a null id is never the
 smallest id of a component unless there is no other; identical rows are linked and all flagged kept when they carry the
@@ -109,28 +111,83 @@ def _agreement(a: str, b: str) -> Column:
     return sum((F.substring(a, 4 * i + 1, 4) == F.substring(b, 4 * i + 1, 4)).cast("int") for i in range(_VALUES))
 
 
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b, text_a, text_b; texts: node, text."""
+    text = lambda of: texts.select(F.col("node").alias(of), F.col("text").alias(f"text_{of}"))
+    return pairs.join(text("b"), "b").join(text("a"), "a").select("a", "b", "text_a", "text_b")
+
+
+def _sets(batch: pa.RecordBatch, column: str, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, hash, and hash salted by the row, of each distinct shingle."""
+    row, hashes, _, _ = shingle_sets(*C.bytes_of(batch.column(column)), shingle)
+    return row, hashes, C.mixed(hashes ^ C.mixed(row.astype(np.uint64) + np.uint64(1)))
+
+
 def confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have percent of their union in common; nodes: node, sig; texts: node, text."""
     j = percent / 100
     least = int(max(1, np.floor(_VALUES * j - 6 * np.sqrt(_VALUES * j * (1 - j)))))
     side = lambda of: nodes.select(F.col("node").alias(of), F.col("sig").alias(f"sig_{of}"))
-    likely = pairs.join(side("a"), "a").join(side("b"), "b").filter(_agreement("sig_a", "sig_b") >= least).select("a", "b")
-    text = lambda of: texts.select(F.col("node").alias(of), F.col("text").alias(f"text_{of}"))
-    both = likely.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b")
+    likely = pairs.join(side("b"), "b").join(side("a"), "a").filter(_agreement("sig_a", "sig_b") >= least).select("a", "b")
 
     def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in C.steps(batches, "text_a"):
-            with np.errstate(over="ignore"):
-                one, other = (
-                    C.mixed(hashes ^ C.mixed(row.astype(np.uint64) + np.uint64(1)))
-                    for row, hashes, _, _ in (shingle_sets(*C.bytes_of(batch.column(c)), shingle) for c in ("text_a", "text_b"))
-                )
-            rows = [shingle_sets(*C.bytes_of(batch.column(c)), shingle)[0] for c in ("text_a", "text_b")]
-            common = np.bincount(rows[0][np.isin(one, other)], minlength=batch.num_rows)
-            union = sum(np.bincount(r, minlength=batch.num_rows) for r in rows) - common
+        for batch in C.steps(batches, "text_b"):
+            (row_a, _, of_a), (row_b, _, of_b) = (_sets(batch, c, shingle) for c in ("text_a", "text_b"))
+            common = np.bincount(row_b[np.isin(of_b, of_a)], minlength=batch.num_rows)
+            union = np.bincount(row_a, minlength=batch.num_rows) + np.bincount(row_b, minlength=batch.num_rows) - common
             yield batch.select(["a", "b"]).filter(pa.array(100 * common >= percent * union))
 
-    return both.mapInArrow(mapper, "a binary, b binary")
+    return _with_texts(likely, texts).mapInArrow(mapper, "a binary, b binary")
+
+
+def differences(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """a, b, n (size of b's set), diff: hashes that b adds to a's set, then those that it lacks, each part ascending."""
+
+    def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in C.steps(batches, "text_b"):
+            (row_a, hash_a, of_a), (row_b, hash_b, of_b) = (_sets(batch, c, shingle) for c in ("text_a", "text_b"))
+            added, lacking = ~np.isin(of_b, of_a), ~np.isin(of_a, of_b)
+            row = np.concatenate([row_b[added], row_a[lacking]])
+            order = np.argsort(row, kind="stable")
+            hashes = np.concatenate([hash_b[added], hash_a[lacking]])[order].view(np.int64)
+            at = np.append(0, np.cumsum(np.bincount(row, minlength=batch.num_rows))).astype(np.int32)
+            diff = pa.ListArray.from_arrays(pa.array(at), pa.array(hashes))
+            n = pa.array(np.bincount(row_b, minlength=batch.num_rows).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), n, diff], names=["a", "b", "n", "diff"])
+
+    return _with_texts(pairs, texts).mapInArrow(mapper, "a binary, b binary, n bigint, diff array<bigint>")
+
+
+def links_beside_hubs(spokes: DataFrame, labels: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links (a, b) between nodes under one hub that are in different components; spokes: hub, node; labels: node, label."""
+    label_of = lambda name, to: labels.select(F.col("node").alias(name), F.col("label").alias(to))
+    named = spokes.join(label_of("node", "label"), "node", "left").join(label_of("hub", "of_hub"), "hub", "left")
+    named = named.withColumns({"label": F.coalesce("label", "node"), "of_hub": F.coalesce("of_hub", "hub")})
+    named = C.written(named.select("hub", "node", "label", (F.col("label") != F.col("of_hub")).alias("outside")), "spokes")
+    groups = named.groupBy("hub").agg(F.count("*").alias("n"), F.count_if("outside").alias("n_outside")).filter("n > 1 AND n_outside > 0")
+    opened = C.written(named.join(groups.select("hub"), "hub"), "open")
+    diffs = differences(opened.select(F.col("hub").alias("a"), F.col("node").alias("b")), texts, shingle)
+    sets = opened.join(diffs.select(F.col("a").alias("hub"), F.col("b").alias("node"), "n", "diff"), ["hub", "node"])
+    # two sets are linked if they share at least half the sum of their excesses
+    excess = F.size("diff") - F.col("n") * (100 - percent) / (100 + percent)
+    sets = C.written(sets.withColumn("excess", excess), "differences")
+    least = sets.filter("outside").groupBy("hub").agg(F.min("excess").alias("least"))
+    part = lambda df: df.select("hub", "node", "label", "outside", "excess", F.size("diff").alias("size"), F.posexplode("diff").alias("place", "shingle"))
+    rest = "CAST(size - place AS DOUBLE) + 1e-6"
+    x = part(sets.filter("outside")).select("hub", "shingle", *[F.col(c).alias(f"x_{c}") for c in ("node", "label", "excess")], F.expr(rest).alias("x_rest"))
+    y = part(sets).withColumn("rest", F.expr(rest)).join(least, "hub").filter("rest >= (excess + least) / 2")
+    y = y.select("hub", "shingle", *[F.col(c).alias(f"y_{c}") for c in ("node", "label", "excess", "outside", "rest")])
+    need = (F.col("x_excess") + F.col("y_excess")) / 2
+    met = x.join(y, ["hub", "shingle"]).filter(
+        (F.col("x_label") != F.col("y_label")) & (~F.col("y_outside") | (F.col("x_node") < F.col("y_node"))) & (F.col("x_rest") >= need) & (F.col("y_rest") >= need)
+    )
+    pairs = met.select("hub", "x_node", "y_node").distinct()
+    full = lambda to: sets.select("hub", F.col("node").alias(f"{to}_node"), F.col("n").alias(f"{to}_n"), F.col("diff").alias(f"{to}_diff"))
+    both = pairs.join(full("x"), ["hub", "x_node"]).join(full("y"), ["hub", "y_node"])
+    apart = F.size("x_diff") + F.size("y_diff") - 2 * F.size(F.array_intersect("x_diff", "y_diff"))
+    total = F.col("x_n") + F.col("y_n")
+    linked = both.filter(100 * (total - apart) >= percent * (total + apart))
+    return linked.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -155,25 +212,20 @@ def grouped(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shin
     )
     keys = [F.xxhash64(F.substring("sig", 4 * i + 1, 4 * BAND_ROWS), F.lit(i)) for i in range(0, _VALUES, BAND_ROWS)]
     banded = nodes.select("node", F.explode(F.array(*keys)).alias("key"))
-    buckets = C.written(banded.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n"), "buckets")
+    buckets = C.written(banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
     members = C.written(banded.join(buckets, "key"), "members")
+    met = members.groupBy("node").agg(F.sum("n").alias("met"))
+    hubs = members.join(met, "node").groupBy("key").agg(F.max(F.struct("met", "node"))["node"].alias("hub"))
+    spokes = C.written(members.join(C.written(hubs, "hubs"), "key").filter("node != hub").select("hub", "node").distinct(), "spokes")
     likely = members.select("node").distinct()
     shared = C.written(nodes.select("node", "rk", "sig").join(likely, "node"), "nodes")
     ids, texts = F.col(f"`{id_column}`").cast("bigint"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    fetched = C.written(docs.select(F.xxhash64(ids, texts).alias("rk"), texts.alias("text")).join(shared.select("rk", "node"), "rk").select("node", "text"), "texts")
+    fetched = docs.select(F.xxhash64(ids, texts).alias("rk"), texts.alias("text")).join(shared.select("rk", "node"), "rk")
+    fetched = C.written(fetched.select("node", "text"), "texts")
 
-    star = members.filter("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    links = C.written(confirmed(star, shared, fetched, shingle, percent), "links")
+    links = C.written(confirmed(spokes.select(F.col("hub").alias("a"), F.col("node").alias("b")), shared, fetched, shingle, percent), "links")
     labels = components(links)
-    labelled = C.written(members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "labelled")
-    mixed = labelled.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.count("*").alias("n"))
-    open_buckets = labelled.join(C.written(mixed.filter("n > 1").drop("n"), "open"), "key")
-    outside = open_buckets.filter("label != top").select("key", F.col("node").alias("x"), F.col("label").alias("of_x"))
-    inside = open_buckets.select("key", "node", "label", "top")
-    rest = outside.join(inside, "key").filter("of_x != label AND (label = top OR x < node)")
-    rest = rest.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-    rest = rest.join(star, ["a", "b"], "left_anti")
-    more = C.written(confirmed(rest, shared, fetched, shingle, percent), "links")
+    more = C.written(links_beside_hubs(spokes, labels, fetched, shingle, percent), "links")
     if not more.isEmpty():
         labels = components(links.union(more))
 
