@@ -27,7 +27,7 @@ SPACE = "▁"
 HOT = 1 << 18
 LIMIT = 4096
 #: Distinct pre-tokens that a task holds before it passes them on.
-TASK_WORDS = 200_000
+TASK_WORDS = 100_000
 
 
 @lru_cache(maxsize=2)
@@ -50,7 +50,7 @@ def piece_counts(words: list[str], path: str) -> list[int]:
     """Pieces of each pre-token. A line feed is put in front, as the library adds a space before a text only."""
     made, _ = library(path)
     alone = len(made.encode("\n"))
-    return [len(x) - alone for x in made.encode(["\n" + w for w in words])]
+    return [len(x) - alone for x in made.encode(["\n" + w for w in words], num_threads=1)]
 
 
 def pre_tokens(texts: DataFrame, path: str) -> DataFrame:
