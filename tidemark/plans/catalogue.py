@@ -1,3 +1,3 @@
 """Import every module that registers queries."""
 
-from tidemark.operators import aggregates, evaluation, joins, predicates, retention, windows  # noqa: F401
+from tidemark.operators import aggregates, evaluation, joins, predicates, retention, text, windows  # noqa: F401
