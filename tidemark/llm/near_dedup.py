@@ -158,6 +158,25 @@ def differences(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     return _with_texts(pairs, texts).mapInArrow(mapper, "a binary, b binary, n bigint, diff array<bigint>")
 
 
+def under_roots(spokes: DataFrame, met: DataFrame) -> DataFrame:
+    """spokes (hub, node) with every hub replaced by the best hub that it is itself a spoke of, and so on upwards.
+
+    A group of copies has buckets that its best hub is not in; their own hubs hang under it.
+    """
+    hubs = spokes.select("hub").distinct()
+    of = lambda name: met.select(F.col("node").alias(name), F.col("met").alias(f"met_{name}"))
+    up = spokes.join(hubs.select(F.col("hub").alias("node")), "node").join(of("hub"), "hub").join(of("node"), "node")
+    up = up.filter(F.struct("met_hub", "hub") > F.struct(F.col("met_node"), F.col("node")))
+    parents = C.written(up.groupBy("node").agg(F.max(F.struct("met_hub", "hub"))["hub"].alias("parent")), "parents")
+    roots = hubs.join(parents.withColumnRenamed("node", "hub"), "hub", "left").select("hub", F.coalesce("parent", "hub").alias("root"))
+    for _ in range(3):
+        above = parents.select(F.col("node").alias("root"), "parent")
+        roots = roots.join(above, "root", "left").select("hub", F.coalesce("parent", "root").alias("root"))
+    roots = C.written(roots, "roots")
+    moved = spokes.join(roots, "hub").select(F.col("root").alias("hub"), "node")
+    return moved.union(roots.select(F.col("root").alias("hub"), F.col("hub").alias("node"))).filter("hub != node").distinct()
+
+
 def links_beside_hubs(spokes: DataFrame, labels: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Links (a, b) between nodes under one hub that are in different components; spokes: hub, node; labels: node, label."""
     label_of = lambda name, to: labels.select(F.col("node").alias(name), F.col("label").alias(to))
@@ -214,7 +233,7 @@ def grouped(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shin
     banded = nodes.select("node", F.explode(F.array(*keys)).alias("key"))
     buckets = C.written(banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
     members = C.written(banded.join(buckets, "key"), "members")
-    met = members.groupBy("node").agg(F.sum("n").alias("met"))
+    met = C.written(members.groupBy("node").agg(F.sum("n").alias("met")), "met")
     hubs = members.join(met, "node").groupBy("key").agg(F.max(F.struct("met", "node"))["node"].alias("hub"))
     spokes = C.written(members.join(C.written(hubs, "hubs"), "key").filter("node != hub").select("hub", "node").distinct(), "spokes")
     likely = members.select("node").distinct()
@@ -225,7 +244,7 @@ def grouped(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shin
 
     links = C.written(confirmed(spokes.select(F.col("hub").alias("a"), F.col("node").alias("b")), shared, fetched, shingle, percent), "links")
     labels = components(links)
-    more = C.written(links_beside_hubs(spokes, labels, fetched, shingle, percent), "links")
+    more = C.written(links_beside_hubs(under_roots(spokes, met), labels, fetched, shingle, percent), "links")
     if not more.isEmpty():
         labels = components(links.union(more))
 
