@@ -8,8 +8,7 @@ Texts with the same words are one node from the start. Every bucket has a hub, i
 all bands (of a group of edited copies, that is the text they were edited from). Members are compared with their hub
 only; links are confirmed on full sets and joined into components. That leaves pairs under one hub in different
 components. Each set is written as its difference from the hub: of two such sets, linked ones must share more than about
-half of the smaller difference. So a prefix-filtered join of the differences (what was added first, as that is rare; then
-what is missing) finds the remaining links exactly, while copies that were edited in unrelated places never meet.
+half of the smaller difference. So a prefix-filtered join of the differences (rarest shingles of the group first) finds the remaining links exactly, while copies that were edited in unrelated places never meet.
 A pair whose 60 signature values agree less than six standard deviations below the threshold is not linked to its hub.
 
 Defined cases: a null text, or one without words, has an empty set and is linked with nothing; a null id is never the
@@ -23,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import common as C
@@ -141,7 +140,7 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int
 
 
 def differences(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """a, b, n (size of b's set), diff: hashes that b adds to a's set, then those that it lacks, each part ascending."""
+    """a, b, n (size of b's set), diff: hashes that b adds to a's set, and those that it lacks."""
 
     def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.steps(batches, "text_b"):
@@ -191,10 +190,14 @@ def links_beside_hubs(spokes: DataFrame, labels: DataFrame, texts: DataFrame, sh
     excess = F.size("diff") - F.col("n") * (100 - percent) / (100 + percent)
     sets = C.written(sets.withColumn("excess", excess), "differences")
     least = sets.filter("outside").groupBy("hub").agg(F.min("excess").alias("least"))
-    part = lambda df: df.select("hub", "node", "label", "outside", "excess", F.size("diff").alias("size"), F.posexplode("diff").alias("place", "shingle"))
+    each = sets.select("hub", "node", "label", "outside", "excess", F.size("diff").alias("size"), F.explode("diff").alias("shingle"))
+    # rarest first: what sets a hub itself apart from its group is in every difference, and comes last
+    counts = each.groupBy("hub", "shingle").agg(F.count("*").alias("n"))
+    rarity = Window.partitionBy("hub", "node").orderBy("n", "shingle")
+    each = C.written(each.join(counts, ["hub", "shingle"]).withColumn("place", F.row_number().over(rarity) - 1).drop("n"), "ordered")
     rest = "CAST(size - place AS DOUBLE) + 1e-6"
-    x = part(sets.filter("outside")).select("hub", "shingle", *[F.col(c).alias(f"x_{c}") for c in ("node", "label", "excess")], F.expr(rest).alias("x_rest"))
-    y = part(sets).withColumn("rest", F.expr(rest)).join(least, "hub").filter("rest >= (excess + least) / 2")
+    x = each.filter("outside").select("hub", "shingle", *[F.col(c).alias(f"x_{c}") for c in ("node", "label", "excess")], F.expr(rest).alias("x_rest"))
+    y = each.withColumn("rest", F.expr(rest)).join(least, "hub").filter("rest >= (excess + least) / 2")
     y = y.select("hub", "shingle", *[F.col(c).alias(f"y_{c}") for c in ("node", "label", "excess", "outside", "rest")])
     need = (F.col("x_excess") + F.col("y_excess")) / 2
     met = x.join(y, ["hub", "shingle"]).filter(
@@ -260,8 +263,6 @@ def grouped(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shin
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of docs without near-duplicates: of each component the row of smallest id (one, if rows repeat)."""
-    from pyspark.sql import Window
-
     found = grouped(docs, id_column, text, shingle, percent).filter("kept")
     first = found.select("rk", "label", F.col(id_column).alias("id")).distinct()
     first = first.withColumn("n", F.row_number().over(Window.partitionBy(F.coalesce("label", F.col("rk").cast("string").cast("binary"))).orderBy("rk")))
