@@ -222,6 +222,8 @@ def encoded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
             at = np.append(0, np.cumsum([len(m) // 4 for m in made])).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(made), np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("row"), ids, pa.array(back, pa.string())], names=["row", "ids", "decoded"])
+        pieces.words.clear()  # an idle worker keeps no words of a task that is over
+        pieces.pairs.clear()
 
     schema = T.StructType([source.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
     return source.mapInArrow(mapper, schema)
