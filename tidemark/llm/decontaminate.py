@@ -167,8 +167,23 @@ class _Index:
 _STATE = "n_words bigint, hits binary, found array<string>"
 
 
-def _probed(state: DataFrame, rows: list[tuple]) -> DataFrame:
-    """Add one slice's hits to row, text, n_words, hits, found."""
+_RESULT = "n_words bigint, n_hit bigint, item_ids array<string>, items_sha256 string"
+
+
+def _summed(n: np.ndarray, packed: list[bytes], found: list[list[str]]) -> list[pa.Array]:
+    """The columns of _RESULT."""
+    counts = []
+    for hits in packed:
+        hit: set[int] = set()
+        for a, b in np.frombuffer(hits, np.int32).reshape(-1, 2).tolist():
+            hit.update(range(a, b))
+        counts.append(len(hit))
+    digests = [hashlib.sha256(",".join(ids).encode()).hexdigest() for ids in found]
+    return [pa.array(n.astype(np.int64)), pa.array(counts, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(digests, pa.string())]
+
+
+def _probed(state: DataFrame, rows: list[tuple], last: bool) -> DataFrame:
+    """Add one slice's hits to row, text, n_words, hits, found; the last slice gives row and _RESULT."""
     shared = state.sparkSession.sparkContext.broadcast(rows)
 
     def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,12 +193,16 @@ def _probed(state: DataFrame, rows: list[tuple]) -> DataFrame:
             before, found = batch.column("hits").to_pylist(), batch.column("found").to_pylist()
             packed = [(b or b"") + np.array(x, np.int32).tobytes() for b, x in zip(before, ranges, strict=True)]
             union = [sorted(set(f or ()) | x) for f, x in zip(found, items, strict=True)]
+            if last:
+                yield pa.RecordBatch.from_arrays([batch.column("row"), *_summed(n, packed, union)], names=["row", "n_words", "n_hit", "item_ids", "items_sha256"])
+                continue
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), batch.column("text"), pa.array(n.astype(np.int64)), pa.array(packed, pa.binary()), pa.array(union, pa.list_(pa.string()))],
                 names=["row", "text", "n_words", "hits", "found"],
             )
 
-    return state.mapInArrow(mapper, T.StructType([state.schema["row"], state.schema["text"], *T._parse_datatype_string(_STATE).fields]))
+    made = [state.schema["row"], *T._parse_datatype_string(_RESULT).fields] if last else [state.schema["row"], state.schema["text"], *T._parse_datatype_string(_STATE).fields]
+    return state.mapInArrow(mapper, T.StructType(made))
 
 
 def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -202,26 +221,12 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id
         known = [(r[0], r[1]) for r in part.select("step", F.explode("shingles")).distinct().collect()]  # of one slice
         counts = shingle_counts(docs, known, text)
         rows = [tuple(r) for r in prefixes(part, counts).collect()]  # of one slice
-        state = _probed(state, rows)
-        if k < n_slices - 1:
+        last = k == n_slices - 1
+        state = _probed(state, rows, last)
+        if not last:
             state = C.written(state, "probed")
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts, digests = [], []
-            for packed, ids in zip(batch.column("hits").to_pylist(), batch.column("found").to_pylist(), strict=True):
-                hit: set[int] = set()
-                for a, b in np.frombuffer(packed, np.int32).reshape(-1, 2).tolist():
-                    hit.update(range(a, b))
-                counts.append(len(hit))
-                digests.append(hashlib.sha256(",".join(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("n_words"), pa.array(counts, pa.int64()), batch.column("found"), pa.array(digests, pa.string())],
-                names=["row", "n_words", "n_hit", "item_ids", "items_sha256"],
-            )
-
-    schema = T.StructType([state.schema["row"], *T._parse_datatype_string("n_words bigint, n_hit bigint, item_ids array<string>, items_sha256 string").fields])
-    return state.drop("text").mapInArrow(finish, schema).withColumns(
+    return state.withColumns(
         {
             "n_items": F.size("item_ids").cast("bigint"),
             "contaminated": (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= MIN_PERCENT * F.col("n_words")),
