@@ -288,3 +288,11 @@ def test_html_text(spark):
     got = {r["page_id"]: r["text"] for r in html_text.extracted(df).select("row.page_id", "text").collect()}
     assert got == {1: "A & B\nx y\nz w", 2: "own two", 3: "own three\none\ntwo", 4: "", 5: ""}
     assert html_text.extracted(df.limit(0)).count() == 0
+
+
+def test_html_text_drops_what_recurs_beside_and_inside_main_containers(spark):
+    cards = "<div class=cards><article>A <b>teaser</b></article></div>"
+    body = lambda i: f"<body>{cards}<article><p>own {i} <b>word</b> here<br>next</p><div>Read our letter</div></article></body>"
+    df = spark.createDataFrame([(i, f"http://h.com/{i}", body(i)) for i in range(4)], "page_id int, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extracted(df).select("row.page_id", "text").collect()}
+    assert got == {i: f"own {i} word here next" for i in range(4)}

@@ -1,9 +1,10 @@
 """Main text of web pages, without what the pages of a site share.
 
 Every element's subtree (tag, text, children) is hashed, and the pages on which each hash occurs are counted per host in
-Spark. Subtrees that recur on many pages of their host are deleted, except inside a page's own main container (article
-or main), where a passage may rightly return. What is left is read as blocks: from the main container if the page has
-one, else from the body, without elements whose tag, role or class names them as site furniture.
+Spark. Subtrees that recur on many pages of their host are deleted from every page, inside main containers (article or
+main) too. What is left is read as blocks: from the main containers that still hold text, else from the body, without
+elements whose tag, role or class names them as site furniture. An inline element in a run of text is judged with that
+run, so that sentences stay whole.
 
 Defined cases: a null or empty page has an empty text; unclosed and misnested tags are closed where a browser would;
 repeated rows each get their text, and count once for their site; a null url is a host of its own; an empty table gives
@@ -52,10 +53,10 @@ _WALLS = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr":
 
 
 class Node:
-    __slots__ = ("attrs", "children", "hash", "tag")
+    __slots__ = ("attrs", "children", "hash", "said", "tag")
 
     def __init__(self, tag: str, attrs: dict[str, str]) -> None:
-        self.tag, self.attrs, self.children, self.hash = tag, attrs, [], 0
+        self.tag, self.attrs, self.children, self.hash, self.said = tag, attrs, [], 0, False
 
     def names_furniture(self) -> bool:
         if self.tag in FURNITURE or self.attrs.get("role", "").lower() in ROLES or "hidden" in self.attrs or self.attrs.get("aria-hidden") == "true":
@@ -121,37 +122,73 @@ def _walk(root: Node) -> list[Node]:
     return out
 
 
-def hashed(root: Node) -> None:
-    """Set every element's hash from its tag, text and children, without an argument per level of depth."""
+def hashed(root: Node, host: str = "") -> None:
+    """Set every element's hash from its host, tag, text and children, and whether it has text, without an argument per
+    level of depth."""
+    seed = xxhash.xxh64_intdigest(host.encode("utf-8", "surrogatepass"))
     for node in reversed(_walk(root)):
-        made = xxhash.xxh64(node.tag.encode())
+        made = xxhash.xxh64(node.tag.encode("utf-8", "surrogatepass"), seed=seed)
         for c in node.children:
             if isinstance(c, Node):
+                node.said |= c.said
                 made.update(c.hash.to_bytes(8, "little", signed=True))
             elif said := " ".join(c.split()):
+                node.said = True
                 made.update(b"\x00" + said.encode("utf-8", "surrogatepass"))
         node.hash = int(np.uint64(made.intdigest()).astype(np.int64))
 
 
-def _outside_main(root: Node) -> Iterator[Node]:
-    waiting = [root]
+def _judged(root: Node) -> Iterator[Node]:
+    """The elements that may be the site's, parents first: all with text but head and those within a run of text. What
+    is taken out of an element while it is at hand is not visited."""
+    waiting = [(root, False)]
     while waiting:
-        node = waiting.pop()
-        if node.tag in MAIN or node.tag == "head":
+        node, in_run = waiting.pop()
+        if node.tag == "head" or not node.said:
             continue
-        if node.tag not in ("#root", "html", "body"):
+        whole = node.tag in ("#root", "html", "body")
+        in_run = in_run and node.tag not in BLOCKS and node.tag not in ("td", "th")
+        if not (whole or in_run):
             yield node
-        waiting += [c for c in node.children if isinstance(c, Node)]
+        in_run = in_run or (not whole and any(isinstance(c, str) and any(map(str.isalnum, c)) for c in node.children))
+        waiting += [(c, in_run) for c in node.children if isinstance(c, Node)]
+
+
+def subtrees(html: str, host: str = "") -> list[int]:
+    """The hashes of all subtrees of a page that may be the site's."""
+    root = parsed(html)
+    hashed(root, host)
+    return sorted({n.hash for n in _judged(root)})
 
 
-Piece = tuple[int, str, list[int]]
+def _blocks(top: Node) -> str:
+    """The blocks of text within top, without hidden elements and those that their names show to be furniture."""
+    blocks: dict[int, list[str]] = {}
+    block, stack = 0, [top]
+    while stack:
+        item = stack.pop()
+        if item is None:
+            block += 1
+        elif isinstance(item, str):
+            blocks.setdefault(block, []).append(item)
+        elif item is top or not (item.tag in HIDDEN or item.names_furniture()):
+            if item.tag == "br" or item.tag in ("td", "th"):
+                blocks.setdefault(block, []).append(" ")
+            if item.tag in BLOCKS or item is top:
+                block += 1
+                stack.append(None)
+            stack += reversed(item.children)
+    return "\n".join(said for parts in blocks.values() if (said := " ".join("".join(parts).split())))
 
 
-def read_page(html: str) -> tuple[bool, list[Piece], list[int]]:
-    """Whether the page has a main container; pieces of text (block, text, hashes of the elements around it that may be
-    the site's); the hashes of all subtrees outside the main container."""
+def main_text(html: str, site: set[int], host: str = "") -> str:
+    """The text of a page without the subtrees whose hashes are in `site`."""
     root = parsed(html)
-    hashed(root)
+    if site:
+        hashed(root, host)
+        for node in _judged(root):
+            if node.hash in site:
+                node.children = [" "]
     mains, waiting = [], [root]
     while waiting:
         node = waiting.pop()
@@ -159,45 +196,14 @@ def read_page(html: str) -> tuple[bool, list[Piece], list[int]]:
             mains.append(node)
         elif not (node.tag in HIDDEN or node.names_furniture()):
             waiting += [c for c in reversed(node.children) if isinstance(c, Node)]
-    pieces: list[Piece] = []
-    block = 0
-    for top in mains or [root]:
-        stack: list = [(top, [])]
-        while stack:
-            item, over = stack.pop()
-            if item is None:
-                block += 1
-            elif isinstance(item, str):
-                pieces.append((block, item, over))
-            elif item is top or not (item.tag in HIDDEN or item.names_furniture()):
-                own = over if mains or item.tag in ("#root", "html", "body") else [*over, item.hash]
-                if item.tag == "br" or item.tag in ("td", "th"):
-                    pieces.append((block, " ", own))
-                if item.tag in BLOCKS or item is top:
-                    block += 1
-                    stack.append((None, own))
-                stack += [(c, own) for c in reversed(item.children)]
-    return bool(mains), pieces, sorted({n.hash for n in _outside_main(root)})
-
-
-def joined_blocks(pieces: list[Piece], site: set[int]) -> str:
-    """The blocks of the pieces that no subtree in `site` holds."""
-    blocks: dict[int, list[str]] = {}
-    for block, text, over in pieces:
-        if site.isdisjoint(over):
-            blocks.setdefault(block, []).append(text)
-    return "\n".join(said for parts in blocks.values() if (said := " ".join("".join(parts).split())))
-
-
-def main_text(html: str, site: set[int]) -> str:
-    return joined_blocks(read_page(html)[1], site)
+    return "\n".join(said for top in mains if (said := _blocks(top))) or _blocks(root)
 
 
 def extracted(pages: DataFrame, url: str = "url", html: str = "html", share: float = SHARE, least: int = LEAST_PAGES) -> DataFrame:
     """Per row of pages: row (its columns but html), text.
 
-    Pages are parsed once. Those with a main container have their text at once; of the others, pieces are kept until the
-    site's subtrees are known.
+    Pages are parsed twice: for the hashes of their subtrees, and for their text once the site's subtrees are known. So
+    the pages go through one shuffle and are never stored.
     """
     host, _ = host_and_path(F.col(f"`{url}`").cast("string"))
     source = pages.select(
@@ -206,37 +212,25 @@ def extracted(pages: DataFrame, url: str = "url", html: str = "html", share: flo
         F.xxhash64(F.col(f"`{url}`").cast("string"), F.col(f"`{html}`").cast("string")).alias("page"),
         F.coalesce(F.col(f"`{html}`").cast("string"), F.lit("")).alias("html"),
     )
-    added = "text string, pieces array<struct<block:int,text:string,over:array<bigint>>>, subtrees array<bigint>"
-    schema = T.StructType([source.schema["row"], source.schema["host"], source.schema["page"], *T._parse_datatype_string(added).fields])
-    kinds = pa.list_(pa.struct([("block", pa.int32()), ("text", pa.string()), ("over", pa.list_(pa.int64()))]))
-    valid = lambda t: t.encode("utf-8", "replace").decode()
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.steps(batches, "html"):
-            found = [read_page(h) for h in batch.column("html").to_pylist()]
-            texts = [valid(joined_blocks(pieces, set())) if main else None for main, pieces, _ in found]
-            kept = [None if main else [{"block": b, "text": valid(t), "over": o} for b, t, o in pieces] for main, pieces, _ in found]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("host"), batch.column("page"), pa.array(texts, pa.string()), pa.array(kept, kinds), pa.array([h for _, _, h in found], pa.list_(pa.int64()))],
-                names=["row", "host", "page", "text", "pieces", "subtrees"],
-            )
-
-    seen = C.written(source.mapInArrow(parse, schema), "pages")
+            found = [subtrees(h, o) for h, o in zip(batch.column("html").to_pylist(), batch.column("host").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("page"), pa.array(found, pa.list_(pa.int64()))], names=["host", "page", "subtrees"])
+
+    seen = C.written(source.select("host", "page", "html").mapInArrow(parse, "host string, page bigint, subtrees array<bigint>"), "pages")
     sizes = seen.groupBy("host").agg(F.count("*").alias("pages"))
-    each = seen.select("host", "page", F.explode("subtrees").alias("subtree"))
+    each = seen.select("host", F.explode("subtrees").alias("subtree"))
     often = each.groupBy("host", "subtree").agg(F.count("*").alias("n")).join(sizes, "host").filter((F.col("n") >= least) & (F.col("n") >= share * F.col("pages")))
-    site = C.written(often.select("host", "subtree"), "site")
-    waiting = seen.filter("text IS NULL")
-    open_subtrees = waiting.select("host", "page", F.explode("subtrees").alias("subtree"))
-    marked = open_subtrees.join(site, ["host", "subtree"]).groupBy(F.col("page").alias("of")).agg(F.collect_set("subtree").alias("site"))
+    site = C.written(often.select("subtree"), "site")
+    own = seen.select("page", F.explode("subtrees").alias("subtree"))
+    marked = own.join(site, "subtree").groupBy(F.col("page").alias("of")).agg(F.collect_set("subtree").alias("site"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = []
-            for pieces, gone in zip(batch.column("pieces").to_pylist(), batch.column("site").to_pylist(), strict=True):
-                made.append(joined_blocks([(p["block"], p["text"], p["over"]) for p in pieces], set(gone or ())))
+        for batch in C.steps(batches, "html"):
+            taken = zip(*(batch.column(c).to_pylist() for c in ("html", "site", "host")), strict=True)
+            made = [main_text(h, set(gone or ()), o).encode("utf-8", "replace").decode() for h, gone, o in taken]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(made, pa.string())], names=["row", "text"])
 
-    joined = waiting.join(marked, F.col("page") == F.col("of"), "left").select("row", "pieces", "site")
-    late = joined.mapInArrow(finish, T.StructType([source.schema["row"], T.StructField("text", T.StringType())]))
-    return seen.filter("text IS NOT NULL").select("row", "text").unionByName(late)
+    joined = source.join(marked, F.col("page") == F.col("of"), "left").select("row", "host", "html", "site")
+    return joined.mapInArrow(finish, T.StructType([source.schema["row"], T.StructField("text", T.StringType())]))
