@@ -296,3 +296,15 @@ def test_html_text_drops_what_recurs_beside_and_inside_main_containers(spark):
     df = spark.createDataFrame([(i, f"http://h.com/{i}", body(i)) for i in range(4)], "page_id int, url string, html string")
     got = {r["page_id"]: r["text"] for r in html_text.extracted(df).select("row.page_id", "text").collect()}
     assert got == {i: f"own {i} word here next" for i in range(4)}
+
+
+def test_html_text_counts_versions_and_copies_of_a_page_once(spark):
+    shared = "<div>Shared box</div>"
+    rows = [(i, "http://h.com/again", f"<body>{shared}<p>crawled again</p></body>") for i in range(3)]
+    rows += [(3 + i, f"http://h.com/copy{i}", f"<html><head><title>{i}</title></head><body>{shared}<div><p>one body</p></div></body></html>") for i in range(4)]
+    rows += [(7 + i, "http://h.com/changed", f"<body>{shared}<p>stays the same</p><p>version {i}</p></body>") for i in range(4)]
+    rows += [(11 + i, None, f"<body><p>no url</p><p>body {i}</p></body>") for i in range(3)]
+    df = spark.createDataFrame(rows, "page_id int, url string, html string").repartition(4)
+    got = {r["page_id"]: r["text"] for r in html_text.extracted(df).select("row.page_id", "text").collect()}
+    expected = dict.fromkeys(range(3), "crawled again") | dict.fromkeys(range(3, 7), "one body")
+    assert got == expected | {7 + i: f"stays the same\nversion {i}" for i in range(4)} | {11 + i: f"body {i}" for i in range(3)}

@@ -7,8 +7,8 @@ elements whose tag, role or class names them as site furniture. An inline elemen
 run, so that sentences stay whole.
 
 Defined cases: a null or empty page has an empty text; unclosed and misnested tags are closed where a browser would;
-repeated rows each get their text, and count once for their site; a null url is a host of its own; an empty table gives
-an empty result.
+repeated rows each get their text; the versions of one url count once for their site, and so do the urls of one body; a
+null url is a host of its own, whose pages count by their bodies; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -154,11 +154,15 @@ def _judged(root: Node) -> Iterator[Node]:
         waiting += [(c, in_run) for c in node.children if isinstance(c, Node)]
 
 
-def subtrees(html: str, host: str = "") -> list[int]:
-    """The hashes of all subtrees of a page that may be the site's."""
+def subtrees(html: str, host: str = "") -> tuple[int, list[int]]:
+    """The hash of a page's body, and those of all its subtrees that may be the site's."""
     root = parsed(html)
+    root.children = [c for c in root.children if not (isinstance(c, Node) and c.tag in HIDDEN)]
+    for node in root.children:
+        if isinstance(node, Node) and node.tag == "html":
+            node.children = [c for c in node.children if not (isinstance(c, Node) and c.tag in HIDDEN)]
     hashed(root, host)
-    return sorted({n.hash for n in _judged(root)})
+    return root.hash, sorted({n.hash for n in _judged(root)})
 
 
 def _blocks(top: Node) -> str:
@@ -210,17 +214,22 @@ def extracted(pages: DataFrame, url: str = "url", html: str = "html", share: flo
         F.struct(*[F.col(f"`{c}`") for c in pages.columns if c != html]).alias("row"),
         host.alias("host"),
         F.xxhash64(F.col(f"`{url}`").cast("string"), F.col(f"`{html}`").cast("string")).alias("page"),
+        F.when(F.col(f"`{url}`").isNotNull(), F.xxhash64(F.col(f"`{url}`").cast("string"))).alias("url"),
         F.coalesce(F.col(f"`{html}`").cast("string"), F.lit("")).alias("html"),
     )
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.steps(batches, "html"):
             found = [subtrees(h, o) for h, o in zip(batch.column("html").to_pylist(), batch.column("host").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("page"), pa.array(found, pa.list_(pa.int64()))], names=["host", "page", "subtrees"])
-
-    seen = C.written(source.select("host", "page", "html").mapInArrow(parse, "host string, page bigint, subtrees array<bigint>"), "pages")
-    sizes = seen.groupBy("host").agg(F.count("*").alias("pages"))
-    each = seen.select("host", F.explode("subtrees").alias("subtree"))
+            bodies, held = pa.array([b for b, _ in found], pa.int64()), pa.array([x for _, x in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("host", "page", "url")), bodies, held], names=["host", "page", "url", "body", "subtrees"])
+
+    schema = "host string, page bigint, url bigint, body bigint, subtrees array<bigint>"
+    seen = C.written(source.select("host", "page", "url", "html").mapInArrow(parse, schema), "pages")
+    # One url for each body, then each url once for each subtree: n pages with different urls and bodies.
+    once = seen.groupBy("host", "body").agg(F.coalesce(F.min("url"), F.col("body")).alias("url"), F.first("subtrees").alias("subtrees"))
+    sizes = once.select("host", "url").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    each = once.select("host", "url", F.explode("subtrees").alias("subtree")).distinct()
     often = each.groupBy("host", "subtree").agg(F.count("*").alias("n")).join(sizes, "host").filter((F.col("n") >= least) & (F.col("n") >= share * F.col("pages")))
     site = C.written(often.select("subtree"), "site")
     own = seen.select("page", F.explode("subtrees").alias("subtree"))
