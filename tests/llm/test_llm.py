@@ -308,3 +308,10 @@ def test_html_text_counts_versions_and_copies_of_a_page_once(spark):
     got = {r["page_id"]: r["text"] for r in html_text.extracted(df).select("row.page_id", "text").collect()}
     expected = dict.fromkeys(range(3), "crawled again") | dict.fromkeys(range(3, 7), "one body")
     assert got == expected | {7 + i: f"stays the same\nversion {i}" for i in range(4)} | {11 + i: f"body {i}" for i in range(3)}
+
+
+def test_html_text_judges_a_template_alike_on_small_and_large_hosts(spark):
+    menu = "<div>Section menu</div>"
+    rows = [(f"http://{host}/{i}", f"<body>{menu if i < 4 else ''}<p>own {i}</p></body>") for host, n in (("small.com", 6), ("large.com", 400)) for i in range(n)]
+    got = html_text.extracted(spark.createDataFrame(rows, "url string, html string")).select("row.url", "text").collect()
+    assert {r["url"]: r["text"] for r in got} == {u: "own " + u.rsplit("/", 1)[1] for u, _ in rows}

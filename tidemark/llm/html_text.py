@@ -14,6 +14,7 @@ null url is a host of its own, whose pages count by their bodies; an empty table
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -27,8 +28,7 @@ from pyspark.sql import types as T
 from tidemark.llm import common as C
 from tidemark.llm.url_filter import host_and_path
 
-#: A subtree is the site's when it is on this share of the host's pages, and on so many at least.
-SHARE = 0.05
+#: A subtree is the site's when it is on so many of the host's pages, whatever the host's size.
 LEAST_PAGES = 3
 
 #: Elements of the HTML standard by what they mean here.
@@ -203,11 +203,11 @@ def main_text(html: str, site: set[int], host: str = "") -> str:
     return "\n".join(said for top in mains if (said := _blocks(top))) or _blocks(root)
 
 
-def extracted(pages: DataFrame, url: str = "url", html: str = "html", share: float = SHARE, least: int = LEAST_PAGES) -> DataFrame:
+def extracted(pages: DataFrame, url: str = "url", html: str = "html", least: int = LEAST_PAGES) -> DataFrame:
     """Per row of pages: row (its columns but html), text.
 
     Pages are parsed twice: for the hashes of their subtrees, and for their text once the site's subtrees are known. So
-    the pages go through one shuffle and are never stored.
+    the pages go through one shuffle, packed, and are never stored.
     """
     host, _ = host_and_path(F.col(f"`{url}`").cast("string"))
     source = pages.select(
@@ -222,24 +222,30 @@ def extracted(pages: DataFrame, url: str = "url", html: str = "html", share: flo
         for batch in C.steps(batches, "html"):
             found = [subtrees(h, o) for h, o in zip(batch.column("html").to_pylist(), batch.column("host").to_pylist(), strict=True)]
             bodies, held = pa.array([b for b, _ in found], pa.int64()), pa.array([x for _, x in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("host", "page", "url")), bodies, held], names=["host", "page", "url", "body", "subtrees"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page", "url")), bodies, held], names=["page", "url", "body", "subtrees"])
 
-    schema = "host string, page bigint, url bigint, body bigint, subtrees array<bigint>"
+    # All hashes are made with the host's name, so equal ones are of one host.
+    schema = "page bigint, url bigint, body bigint, subtrees array<bigint>"
     seen = C.written(source.select("host", "page", "url", "html").mapInArrow(parse, schema), "pages")
     # One url for each body, then each url once for each subtree: n pages with different urls and bodies.
-    once = seen.groupBy("host", "body").agg(F.coalesce(F.min("url"), F.col("body")).alias("url"), F.first("subtrees").alias("subtrees"))
-    sizes = once.select("host", "url").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    each = once.select("host", "url", F.explode("subtrees").alias("subtree")).distinct()
-    often = each.groupBy("host", "subtree").agg(F.count("*").alias("n")).join(sizes, "host").filter((F.col("n") >= least) & (F.col("n") >= share * F.col("pages")))
+    once = seen.groupBy("body").agg(F.coalesce(F.min("url"), F.col("body")).alias("url"), F.first("subtrees").alias("subtrees"))
+    each = once.select("url", F.explode("subtrees").alias("subtree")).distinct()
+    often = each.groupBy("subtree").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
     site = C.written(often.select("subtree"), "site")
     own = seen.select("page", F.explode("subtrees").alias("subtree"))
     marked = own.join(site, "subtree").groupBy(F.col("page").alias("of")).agg(F.collect_set("subtree").alias("site"))
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.steps(batches, "html"):
-            taken = zip(*(batch.column(c).to_pylist() for c in ("html", "site", "host")), strict=True)
-            made = [main_text(h, set(gone or ()), o).encode("utf-8", "replace").decode() for h, gone, o in taken]
+            made = [zlib.compress(h.encode(), 1) for h in batch.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "host", "page")), pa.array(made, pa.binary())], names=["row", "host", "page", "packed"])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in C.steps(batches, "packed"):
+            taken = zip(*(batch.column(c).to_pylist() for c in ("packed", "site", "host")), strict=True)
+            made = [main_text(zlib.decompress(z).decode(), set(gone or ()), o).encode("utf-8", "replace").decode() for z, gone, o in taken]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(made, pa.string())], names=["row", "text"])
 
-    joined = source.join(marked, F.col("page") == F.col("of"), "left").select("row", "host", "html", "site")
+    packed = source.select("row", "host", "page", "html").mapInArrow(pack, T.StructType([*(source.schema[c] for c in ("row", "host", "page")), T.StructField("packed", T.BinaryType())]))
+    joined = packed.join(marked, F.col("page") == F.col("of"), "left").select("row", "host", "packed", "site")
     return joined.mapInArrow(finish, T.StructType([source.schema["row"], T.StructField("text", T.StringType())]))
