@@ -1,10 +1,14 @@
 """General operators on small frames, and the catalogue as a whole."""
 
+import math
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
 from tidemark.operators.aggregates import BOUNDS, bin_of, histogram, histogram_percentile
+from tidemark.operators.evaluation import sign_p
 from tidemark.operators.joins import asof_join, latest_per_key, reconcile
 from tidemark.operators.predicates import all_of, keyset_page
 from tidemark.operators.text import dice_of, near_duplicate_pairs, sanitised
@@ -79,3 +83,18 @@ def test_sanitiser_and_dice():
     assert sanitised('<p onclick="x">a<script>b</script><a href="javascript:x">c') == "<p>a<a>c</a></p>"
     assert sanitised(None) is None
     assert dice_of("a b c d", "a b c d") == 1.0 and dice_of("a b", "a b") is None
+
+
+def test_sign_test_keeps_every_source(spark):
+    assert sign_p(0, 0) is None
+    for a, b in [(0, 1), (7, 1), (20, 40), (990, 1100), (2000, 1), (3000, 3000), (5200, 5000)]:
+        exact = min(1.0, 2 * sum(math.comb(a + b, i) for i in range(min(a, b) + 1)) / 2 ** (a + b))
+        assert math.isclose(sign_p(a, b), exact, rel_tol=1e-8)
+    for sf in ("sf0.001", "sf0.1"):
+        base = f"/root/testdata/{sf}"
+        rows = spark.read.parquet(f"{base}/documents.parquet").join(spark.read.parquet(f"{base}/labels.parquet"), "doc_id").collect()
+        more, less = (Counter(r["source"] for r in rows if (r["n_chars"] > 600, r["quality"] == 1) == way) for way in ((True, False), (False, True)))
+        expected = {s: (more[s], less[s]) for s in {r["source"] for r in rows}}
+        got = all_queries()["ev_sign_test"](spark, base).collect()
+        assert {r["source"]: (r["a"], r["b"]) for r in got} == expected
+        assert all(r["p"] is None if not r["a"] + r["b"] else math.isclose(r["p"], sign_p(r["a"], r["b"]), abs_tol=1e-6) for r in got)

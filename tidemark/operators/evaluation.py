@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.plans.registry import query, sql
-from tidemark.sources.tables import read_table
+from tidemark.sources.tables import read_table, register_views
 
 _SHARE = {"spark": "conv(substr(sha2({key}, 256), 1, 8), 16, 10)", "duck": "CAST('0x' || substr(sha256({key}), 1, 8) AS BIGINT)"}
 
@@ -98,23 +99,36 @@ sql(
                       rank() OVER (PARTITION BY c_nationkey ORDER BY y) + (count(*) OVER (PARTITION BY c_nationkey, y) - 1) / CAST(2 AS DOUBLE) AS ry FROM v)
     SELECT c_nationkey, round(corr(rx, ry), 6) AS rho FROM r GROUP BY c_nationkey""",
 )
-_SIGN = """
-    WITH t AS (SELECT source, count(CASE WHEN judge AND NOT label THEN 1 END) AS a, count(CASE WHEN label AND NOT judge THEN 1 END) AS b FROM ({judged}) GROUP BY source),
-         k AS (SELECT source, a, b, {series} AS i FROM t WHERE a + b BETWEEN 1 AND 20)
-    SELECT source, a, b, round(least(CAST(1 AS DOUBLE), 2 * sum(exp({lg}(a + b + 1) - {lg}(i + 1) - {lg}(a + b - i + 1)) / pow(2, a + b))), 6) AS p FROM k WHERE i <= least(a, b) GROUP BY source, a, b"""
-sql(
+def sign_p(a: int, b: int) -> float | None:
+    """The exact two-sided p of a sign test with a and b differences each way; none without differences."""
+    n, k = a + b, min(a, b)
+    if not n:
+        return None
+    if n <= 1000:
+        return min(1.0, 2 * sum(math.comb(n, i) for i in range(k + 1)) / 2**n)
+    # The tail from its largest term down, as multiples of it: they fall off within some sqrt(n) terms.
+    top = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2)
+    tail, term, i = 1.0, 1.0, k
+    while i and term > 1e-17 * tail:
+        term *= i / (n - i + 1)
+        tail, i = tail + term, i - 1
+    return min(1.0, 2 * tail * math.exp(top))
+
+
+@query(
     "ev_sign_test",
     f"""
-    WITH t AS (SELECT source, count(CASE WHEN judge AND NOT label THEN 1 END) AS a, count(CASE WHEN label AND NOT judge THEN 1 END) AS b FROM ({_JUDGED}) GROUP BY source),
-         k AS (SELECT source, a, b, explode(sequence(0, 20)) AS i FROM t WHERE a + b BETWEEN 1 AND 20)
-    SELECT source, a, b, round(least(CAST(1 AS DOUBLE), 2 * sum(CAST(factorial(CAST(a + b AS INT)) AS DOUBLE) / (factorial(i) * factorial(CAST(a + b - i AS INT))) / pow(2, a + b))), 6) AS p
-    FROM k WHERE i <= least(a, b) GROUP BY source, a, b""",
-    f"""
     WITH t AS (SELECT source, count(CASE WHEN judge AND NOT label THEN 1 END) AS a, count(CASE WHEN label AND NOT judge THEN 1 END) AS b FROM ({_JUDGED}) GROUP BY source),
          k AS (SELECT source, a, b, unnest(generate_series(0, 20)) AS i FROM t WHERE a + b BETWEEN 1 AND 20)
     SELECT source, a, b, round(least(CAST(1 AS DOUBLE), 2 * sum(CAST(factorial(CAST(a + b AS INT)) AS DOUBLE) / CAST(factorial(CAST(i AS INT)) * factorial(CAST(a + b - i AS INT)) AS DOUBLE) / pow(2, a + b))), 6) AS p
     FROM k WHERE i <= least(a, b) GROUP BY source, a, b""",
 )
+def ev_sign_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register_views(spark, sf_dir, "documents", "labels")
+    counts = spark.sql(f"SELECT source, count(CASE WHEN judge AND NOT label THEN 1 END) AS a, count(CASE WHEN label AND NOT judge THEN 1 END) AS b FROM ({_JUDGED}) GROUP BY source")
+    return counts.withColumn("p", F.round(F.udf(sign_p, "double")("a", "b"), 6))
+
+
 sql(
     "ev_paired_decision",
     """
