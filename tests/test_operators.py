@@ -1,7 +1,9 @@
 """General operators on small frames, and the catalogue as a whole."""
 
+import datetime
 import math
-from collections import Counter
+from collections import Counter, defaultdict
+from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -98,3 +100,21 @@ def test_sign_test_keeps_every_source(spark):
         got = all_queries()["ev_sign_test"](spark, base).collect()
         assert {r["source"]: (r["a"], r["b"]) for r in got} == expected
         assert all(r["p"] is None if not r["a"] + r["b"] else math.isclose(r["p"], sign_p(r["a"], r["b"]), abs_tol=1e-6) for r in got)
+
+
+def test_seed_takes_all_users_and_the_last_30_days(spark, tmp_path):
+    rows = [(datetime.datetime(2025, 3, 1 + i % 31, i % 24), i % 13, "ab"[i % 2], float(i % 97) + 0.25) for i in range(700)]
+    path = str(tmp_path / "events.parquet")
+    spark.createDataFrame(rows, "ts timestamp_ntz, user_id bigint, event_type string, value double").write.parquet(path)
+    spent = defaultdict(Decimal)
+    for ts, _, kind, value in rows:
+        spent[kind, ts.date()] += Decimal(str(value)).quantize(Decimal("0.01"), ROUND_HALF_UP)
+    end = max(r[0] for r in rows).date()
+    expected = {}
+    for kind in "ab":
+        daily = sorted(float(spent[kind, end - datetime.timedelta(i)]) for i in range(1, 31))
+        at = 0.95 * 29
+        low = int(at)
+        expected[kind] = (daily[low] + (at - low) * (daily[low + 1] - daily[low])) * 1.5
+    got = {r["event_type"]: r["seed"] for r in all_queries()["agg_seed_p95x1_5"](spark, str(tmp_path)).collect()}
+    assert got.keys() == expected.keys() and all(abs(got[k] - expected[k]) < 0.006 for k in got)

@@ -222,8 +222,9 @@ sql(
 sql(
     "agg_seed_p95x1_5",
     """
-    WITH days AS (SELECT explode(sequence(DATE '2024-01-01', DATE '2024-01-30')) AS day), types AS (SELECT DISTINCT event_type FROM events),
-         spent AS (SELECT event_type AS t, CAST(ts AS DATE) AS d, sum(CAST(value AS DECIMAL(18,2))) AS s FROM events WHERE user_id % 10 = 0 GROUP BY event_type, CAST(ts AS DATE))
+    WITH last AS (SELECT CAST(max(ts) AS DATE) AS day FROM events), days AS (SELECT explode(sequence(day - 30, day - 1)) AS day FROM last),
+         types AS (SELECT DISTINCT event_type FROM events),
+         spent AS (SELECT event_type AS t, CAST(ts AS DATE) AS d, sum(CAST(value AS DECIMAL(18,2))) AS s FROM events GROUP BY event_type, CAST(ts AS DATE))
     SELECT event_type, round(percentile(CAST(coalesce(s, 0) AS DOUBLE), 0.95) * 1.5, 2) AS seed
     FROM days CROSS JOIN types LEFT JOIN spent ON t = event_type AND d = day GROUP BY event_type""",
     """
