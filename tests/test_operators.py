@@ -14,7 +14,7 @@ from tidemark.operators.evaluation import sign_p
 from tidemark.operators.joins import asof_join, latest_per_key, reconcile
 from tidemark.operators.predicates import all_of, keyset_page
 from tidemark.operators.text import dice_of, near_duplicate_pairs, sanitised
-from tidemark.operators.windows import nearest
+from tidemark.operators.windows import nearest, running
 from tidemark.plans import all_oracles, all_queries
 
 
@@ -118,3 +118,15 @@ def test_seed_takes_all_users_and_the_last_30_days(spark, tmp_path):
         expected[kind] = (daily[low] + (at - low) * (daily[low + 1] - daily[low])) * 1.5
     got = {r["event_type"]: r["seed"] for r in all_queries()["agg_seed_p95x1_5"](spark, str(tmp_path)).collect()}
     assert got.keys() == expected.keys() and all(abs(got[k] - expected[k]) < 0.006 for k in got)
+
+
+def test_running_sums_go_over_partitions(spark):
+    rows = [(i * 37 % 101, i) for i in range(101)]
+    got = running(spark.createDataFrame(rows, "k bigint, v bigint"), ["k"], F.col("v"), "before").collect()
+    assert {r["k"]: r["before"] for r in got} == {k: sum(v for x, v in rows if x < k) for k, _ in rows}
+
+
+@pytest.mark.parametrize("name", ["win_round_robin", "top_priority_buckets", "ev_quota_picks"])
+def test_no_task_numbers_all_rows(spark, name):
+    plan = all_queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "hashpartitioning(bucket" not in plan

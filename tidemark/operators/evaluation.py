@@ -9,9 +9,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.windows import running
 from tidemark.plans.registry import query, sql
 from tidemark.sources.tables import read_table, register_views
 
@@ -137,13 +138,19 @@ sql(
          s AS (SELECT count(*) AS n, avg(diff) AS mean, stddev_samp(diff) AS sd FROM d)
     SELECT n, round(mean, 2) AS mean, round(mean - 1.645 * sd / sqrt(n), 2) AS low, CASE WHEN mean - 1.645 * sd / sqrt(n) > 0 THEN 'improves' WHEN mean - 1.645 * sd / sqrt(n) > -20000 THEN 'not worse' ELSE 'undecided' END AS verdict FROM s""",
 )
-sql(
+@query(
     "ev_quota_picks",
     """
     WITH claims AS (SELECT source, doc_id, CAST(ceil(n_chars / 500.0) AS BIGINT) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS turn FROM documents),
          run AS (SELECT source, doc_id, n, coalesce(sum(n) OVER (ORDER BY turn, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM claims WHERE turn <= 10)
     SELECT source, doc_id, n, CAST(before AS BIGINT) AS before FROM run WHERE before < 300""",
 )
+def ev_quota_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turn = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    claims = read_table(spark, sf_dir, "documents").select("source", "doc_id", F.expr("CAST(ceil(n_chars / 500.0) AS BIGINT)").alias("n"), turn.alias("turn")).filter("turn <= 10")
+    return running(claims, ["turn", "source"], F.col("n"), "before").filter("before < 300").select("source", "doc_id", "n", "before")
+
+
 sql("ev_disagreement_queue", f"SELECT doc_id, judge, label FROM ({_JUDGED}) WHERE judge <> label ORDER BY doc_id DESC LIMIT 100")
 
 def threshold_counts(queries: DataFrame, rows: DataFrame, bars: list[float]) -> DataFrame:

@@ -2,12 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import itertools
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.joins import latest_per_key
 from tidemark.plans.registry import query, sql
-from tidemark.sources.tables import read_table
+from tidemark.session import shared_folder
+from tidemark.sources.tables import read_table, register_views
+
+
+def running(df: DataFrame, order: list[str], value: Column, name: str) -> DataFrame:
+    """df with `name`: the sum of value (bigint) over all rows before, by `order`, which tells all rows apart.
+
+    Rows are summed within range partitions, which start at the totals of those before; no task has all rows.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spread = df.withColumn("_value", value.cast("bigint")).repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
+    path = f"{shared_folder(spark)}/running-{uuid.uuid4().hex}"
+    spread.write.parquet(path)
+    spread = spark.read.schema(spread.schema).parquet(path)
+    totals = sorted(tuple(r) for r in spread.groupBy("_part").agg(F.sum("_value")).collect())  # one row per partition
+    starts = itertools.accumulate((n or 0 for _, n in totals), initial=0)
+    begun = spark.createDataFrame([(p, n) for (p, _), n in zip(totals, starts, strict=False)], "_part int, _start bigint")
+    before = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = spread.withColumn(name, F.coalesce(F.sum("_value").over(before), F.lit(0)))
+    return inside.join(F.broadcast(begun), "_part").select(*df.columns, (F.col("_start") + F.col(name)).alias(name))
+
 
 sql("win_row_number_position", "SELECT s_nationkey, s_suppkey, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY (s_acctbal > 5000) DESC, s_name) AS BIGINT) AS position FROM supplier")
 
@@ -91,12 +115,18 @@ sql(
                   sum(n) OVER (PARTITION BY c_mktsegment ORDER BY m RANGE BETWEEN 23 PRECEDING AND 12 PRECEDING) AS previous12 FROM months)
     SELECT c_mktsegment, CAST(m AS BIGINT) AS m, n, CAST(last12 AS BIGINT) AS last12, CAST(previous12 AS BIGINT) AS previous12 FROM sums""",
 )
-sql(
+@query(
     "win_round_robin",
     """
     SELECT user_id, event_id, CAST(row_number() OVER (ORDER BY turn, user_id) AS BIGINT) AS place FROM (
         SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn FROM events WHERE event_type = 'purchase') t WHERE turn <= 5""",
 )
+def win_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turn = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    bought = read_table(spark, sf_dir, "events").filter("event_type = 'purchase'").withColumn("turn", turn).filter("turn <= 5").select("user_id", "event_id", "turn")
+    return running(bought, ["turn", "user_id"], F.lit(1), "place").select("user_id", "event_id", (F.col("place") + 1).alias("place"))
+
+
 sql(
     "win_source_days_gap",
     """
@@ -191,12 +221,23 @@ sql(
     WITH sets AS (SELECT l_orderkey, array_to_string(list_sort(list(DISTINCT l_returnflag)), ',') AS signature, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS v FROM lineitem GROUP BY l_orderkey)
     SELECT signature, count(*) AS n, arg_max(l_orderkey, (v, -l_orderkey)) AS best FROM sets GROUP BY signature""",
 )
-sql(
+@query(
     "top_priority_buckets",
     """
     WITH b AS (SELECT o_orderkey, o_orderdate, o_totalprice, CASE WHEN o_orderstatus = 'O' THEN 1 WHEN o_orderdate < TIMESTAMP '1998-01-01 00:00:00' THEN 2 ELSE 3 END AS bucket FROM orders)
     SELECT o_orderkey, bucket, CAST(row_number() OVER (PARTITION BY bucket ORDER BY CASE WHEN bucket = 1 THEN -o_totalprice END, o_orderdate, o_orderkey) AS BIGINT) AS place FROM b""",
 )
+def top_priority_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register_views(spark, sf_dir, "orders")
+    rows = spark.sql("""
+        SELECT o_orderkey, o_orderdate, bucket, CASE WHEN bucket = 1 THEN -o_totalprice END AS price FROM (
+            SELECT *, CASE WHEN o_orderstatus = 'O' THEN 1 WHEN o_orderdate < TIMESTAMP '1998-01-01 00:00:00' THEN 2 ELSE 3 END AS bucket FROM orders)""")
+    sizes = dict(rows.groupBy("bucket").count().collect())  # three rows
+    begun = F.when(F.col("bucket") == 1, 0).when(F.col("bucket") == 2, sizes.get(1, 0)).otherwise(sizes.get(1, 0) + sizes.get(2, 0))
+    placed = running(rows, ["bucket", "price", "o_orderdate", "o_orderkey"], F.lit(1), "place")
+    return placed.select("o_orderkey", "bucket", (F.col("place") - begun + 1).cast("bigint").alias("place"))
+
+
 sql(
     "top_hash_shuffle_pick",
     "SELECT p_brand, min_by(p_partkey, md5(concat(p_brand, '/', CAST(p_partkey AS STRING)))) AS pick FROM part GROUP BY p_brand",
