@@ -315,3 +315,10 @@ def test_html_text_judges_a_template_alike_on_small_and_large_hosts(spark):
     rows = [(f"http://{host}/{i}", f"<body>{menu if i < 4 else ''}<p>own {i}</p></body>") for host, n in (("small.com", 6), ("large.com", 400)) for i in range(n)]
     got = html_text.extracted(spark.createDataFrame(rows, "url string, html string")).select("row.url", "text").collect()
     assert {r["url"]: r["text"] for r in got} == {u: "own " + u.rsplit("/", 1)[1] for u, _ in rows}
+
+
+def test_language_id_trains_on_every_label(spark):
+    rows = [(i, f"text {i}", f"l{i % 1200:04d}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    picked = language_id.training_rows(docs, F.lit(True), "doc_id", "text", "lang", 300)
+    assert picked.select("label").distinct().count() == 1200 and picked.count() == 3000

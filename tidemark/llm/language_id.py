@@ -117,11 +117,8 @@ def training_rows(docs: DataFrame, allowed: Column, id_column: str, text: str, l
     rows = docs.select(
         F.col(f"`{label}`").cast("string").alias("label"), F.col(f"`{text}`").cast("string").alias("text"), F.xxhash64(F.col(f"`{id_column}`"), F.col(f"`{text}`")).alias("h"), allowed.alias("allowed")
     ).filter("allowed AND label IS NOT NULL AND text IS NOT NULL")
-    counts = rows.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(1000).collect()  # languages
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["label"]), F.lit(min(1.0, per_language / r["n"])))]) if counts else F.lit(None)
-    if not counts:
-        return rows.select("label", F.lit(None).cast("array<int>").alias("grams")).limit(0)
-    picked = rows.filter(F.pmod(F.col("h"), F.lit(1 << 30)) < share[F.col("label")] * (1 << 30)).select("label", "text", "h")
+    shares = rows.groupBy("label").agg(F.least(F.lit(1.0), F.lit(float(per_language)) / F.count("*")).alias("share"))  # one row per language
+    picked = rows.join(F.broadcast(shares), "label").filter(F.pmod(F.col("h"), F.lit(1 << 30)) < F.col("share") * (1 << 30)).select("label", "text", "h")
 
     def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.steps(batches, "text"):
