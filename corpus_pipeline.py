@@ -54,7 +54,7 @@ STAGES = [
     ("SentencePiece encoding", sentencepiece_ids),
 ]
 
-#: Expectation-maximisation and BPE merging are beyond SQL; tests/llm/test_pipeline.py holds the stages against brute force.
+#: Expectation-maximisation and BPE merging are beyond SQL; tests/llm/test_llm.py holds the operators against brute force, no test yet the pipeline.
 ORACLE_SQL = None
 
 
