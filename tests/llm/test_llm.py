@@ -7,9 +7,11 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+import zstandard
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, html_text, language_id, near_dedup, pieces, quality, sharding, suffixes, token_counts, url_filter
@@ -106,8 +108,9 @@ def test_decontamination(spark, docs, none):
         decontaminate.SLICE_WINDOWS = before
 
 
-def test_suffix_dedup(docs, none):
-    rows = [(i, (t or "").encode()) for i, t, *_ in fixture_rows()]
+def suffix_brute(rows):
+    """Rows of repeat_report by plain sets, for (doc_id, text)."""
+    rows = [(i, (t or "").encode()) for i, t in rows]
     order = lambda i: float("inf") if i is None else i
     least = {}
     for i, b in rows:
@@ -125,12 +128,82 @@ def test_suffix_dedup(docs, none):
         spans = sum(1 for j in range(len(b)) if gone[j] and (j == 0 or not gone[j - 1]))
         return i, len(b), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(b, gone, strict=True) if not g)).hexdigest()
 
-    assert _sorted(tuple(r) for r in suffixes.repeat_report(docs).collect()) == _sorted(brute(i, b) for i, b in rows)
+    return _sorted(brute(i, b) for i, b in rows)
+
+
+def test_suffix_dedup(docs, none):
+    expected = suffix_brute([(i, t) for i, t, *_ in fixture_rows()])
+    assert _sorted(tuple(r) for r in suffixes.repeat_report(docs).collect()) == expected
     assert suffixes.repeat_report(none).count() == 0
     short = suffixes.without_repeats(docs)
     assert short.columns == docs.columns and short.count() == docs.count()
 
 
+def test_suffix_dedup_deals_heavy_partitions_anew(docs, monkeypatch):
+    monkeypatch.setattr(suffixes, "PLACES_PER_MERGE", 4)
+    monkeypatch.setattr(suffixes, "SPLIT", 1)
+    monkeypatch.setattr(suffixes, "RUN_WINDOWS", 300)
+    monkeypatch.setattr(suffixes, "TASK_PLACES", 20)
+    expected = suffix_brute([(i, t) for i, t, *_ in fixture_rows()])
+    assert _sorted(tuple(r) for r in suffixes.repeat_report(docs).collect()) == expected
+
+
+def test_suffix_dedup_of_a_common_line_with_other_text_around(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9)))
+    line = "this line of fifty to ninety bytes is in each document of the corpus"
+    rows = [(i, " ".join([*(word() for _ in range(20)), line, *(word() for _ in range(20))])) for i in range(60)]
+    rows += [(100 + i, rows[i][1][: 150 + 3 * i]) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)
+    assert _sorted(tuple(r) for r in suffixes.repeat_report(docs).collect()) == suffix_brute(rows)
+
+
+@pytest.mark.parametrize("anew", [False, True])
+def test_suffix_windows_are_compared_by_bytes(monkeypatch, anew):
+    """Runs, blocks and merge in this process, with hashes so weak that most unequal windows share one."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ab") for _ in range(300)) for _ in range(6)]
+    texts += [texts[0][:200] + texts[1][50:250], texts[2][100:] + texts[2][100:], texts[0], "".join(rng.choice("ab") for _ in range(40)) + texts[3][:140]]
+    right = suffixes.rolling_at
+    monkeypatch.setattr(suffixes, "rolling_at", lambda *a: right(*a) & np.uint64(7))
+    monkeypatch.setattr(suffixes, "MERGE_ENTRIES", 10)
+    monkeypatch.setattr(suffixes, "MERGE_WINDOWS", 150)
+    blocks = []
+    for first in range(0, len(texts), 3):
+        run = suffixes.Run(100, 32)
+        data = [t.encode() for t in texts[first : first + 3]]
+        at = np.append(0, np.cumsum([len(d) for d in data]))
+        flat = np.frombuffer(b"".join(data), np.uint8)
+        start, row, owner, hashes = suffixes.minimisers(flat, at)
+        ids = np.arange(first, first + len(data))
+        run.add(flat, ids, ids + 50, row, start, owner, start - at[row], suffixes.rolling_at(flat, 100, start), hashes[owner] % np.uint64(3))
+        blocks += run.blocks()
+    if anew:
+        blocks = [y for part, _, block in blocks for y in suffixes.dealt_anew(block, part, 5, 100)]
+    gone = set()
+    for part in {p for p, _, _ in blocks}:
+        for z in suffixes.merged([b for p, _, b in blocks if p == part], 100, 32):
+            for rk, a, b in np.frombuffer(zstandard.ZstdDecompressor().decompress(z), np.int64).reshape(-1, 3).tolist():
+                gone |= {(rk - 50, x) for x in range(a, b)}
+    first_of = {}
+    expected = set()
+    for i, t in enumerate(texts):
+        for s in range(len(t) - 99):
+            if first_of.setdefault(t[s : s + 100], (i, s)) != (i, s):
+                expected.add((i, s))
+    assert gone == expected
+
+
+def test_suffix_dedup_of_a_text_longer_than_a_step(spark):
+    rng = random.Random(9)
+    long = " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(450_000))
+    assert len(long) > 2 << 20
+    rows = [(1, long), (2, long[1_048_500:1_048_900] + " end"), (3, "start " + long[-300:] + long[:200]), (0, long[5000:5200])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffixes.repeat_report(docs).collect()}
+    assert found == {0: (0, 0), 1: (200, 1), 2: (400, 1), 3: (500, 1)}
+
+
 def test_loser_tree_merges_in_order():
     rng = random.Random(2)
     runs = []

@@ -15,6 +15,17 @@ from tidemark.session import shared_folder
 STEP_BYTES = 1 << 20
 
 
+#: Rows of an Arrow batch: batches are counted in rows, and rows hold whole texts.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have Arrow batches of BATCH_ROWS rows at most, so that tasks hold little text at once; results do not change."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting)) <= BATCH_ROWS:
+        spark.conf.set(setting, str(BATCH_ROWS))
+
+
 def table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 

@@ -11,10 +11,15 @@ document at an earlier place) is removed. Suffixes are kept only where they can
    answer is known), sorts the remaining suffixes, front-codes them (length of the prefix shared with the suffix before,
    then the rest) and sends them as blocks to the partition of their KEY bytes.
 3. A partition merges its runs with a loser tree that compares by known common prefixes and reads bytes only beyond
-   them. Neighbours that share KEY bytes form groups, in which equal windows are found and all but the earliest removed.
+   them. Two windows with the same distance to their owners are equal when the lengths shared between all neighbours from
+   one to the other reach to their ends, and the bytes left of the owners are the same.
+
+Hashes only find candidates; bytes and shared lengths decide. A partition with far more suffixes than meant (one KEY that
+many documents hold with different text around) is dealt out anew by whole windows, so that only equal ones meet.
 
 Defined cases: a null text is empty; a null id comes after all others; rows of one id do not remove each other's bytes
-and identical rows get the same result; texts shorter than `length` keep every byte; empty tables give empty results.
+and identical rows get the same result; texts shorter than `length` keep every byte; a text of any size is read in pieces
+of STEP_BYTES that overlap by length - 1; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -22,23 +27,28 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import common as C
 
 LENGTH = 100
 KEY = 32
-#: Windows that a run sorts at once, and places that a task compares at once.
-RUN_WINDOWS = 500_000
-TASK_PLACES = 1_000_000
-#: Candidate places to a merging partition, about.
+#: Windows and bytes that a run sorts at once, and places that a task compares at once.
+RUN_WINDOWS = 400_000
+RUN_BYTES = 8 * C.STEP_BYTES
+TASK_PLACES = 600_000
+#: Candidate places to a merging partition, about; with SPLIT times as many it is dealt out anew.
 PLACES_PER_MERGE = 60_000
+SPLIT = 4
+#: Entries that a merging partition judges at once (a group that shares KEY bytes stays whole), and windows.
+MERGE_ENTRIES = 5_000
+MERGE_WINDOWS = 400_000
 
 _NO_ID = (1 << 63) - 1
 
@@ -49,7 +59,7 @@ def minimisers(data: np.ndarray, at: np.ndarray, length: int = LENGTH, key: int
     if n < length:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     hashes = rolling(data, key)
-    packed = (hashes & ~np.uint64((1 << 26) - 1)) | np.arange(len(hashes), dtype=np.uint64)  # steps are far below 2**26 bytes
+    packed = (hashes & ~np.uint64((1 << 26) - 1)) | np.arange(len(hashes), dtype=np.uint64)  # pieces are far below 2**26 bytes
     width, least, done = length - key + 1, packed, 1
     while done < width:
         step = min(done, width - done)
@@ -62,6 +72,22 @@ def minimisers(data: np.ndarray, at: np.ndarray, length: int = LENGTH, key: int
     return start, row, (least[start] & np.uint64((1 << 26) - 1)).astype(np.int64), hashes
 
 
+def rolling_at(data: np.ndarray, width: int, start: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the `width` bytes from each of the ascending starts."""
+    values, out, i = C.byte_values(), np.empty(len(start), np.uint64), 0
+    while i < len(start):
+        lo = int(start[i])
+        j = int(np.searchsorted(start, lo + C.STEP_BYTES, side="left"))
+        at = start[i:j] - lo
+        part = data[lo : int(start[j - 1]) + width]
+        with np.errstate(over="ignore"):
+            summed = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(values[part] * C._power("up", len(part))[: len(part)], out=summed[1:])
+            out[i:j] = C.mixed((summed[at + width] - summed[at]) * C._power("down", len(part))[at])
+        i = j
+    return out
+
+
 def rolling(data: np.ndarray, width: int) -> np.ndarray:
     """A 64-bit hash of every run of `width` bytes."""
     n = len(data) - width + 1
@@ -78,57 +104,65 @@ def rolling(data: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def _pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, int]]:
+    """Rows, their bytes, where each begins, and the offset of the bytes in their document: 0, but for a document longer
+    than a step, which comes in pieces. Each window is in one piece."""
     for batch in C.steps(batches, "text"):
-        yield batch, *C.bytes_of(batch.column("text"))
+        data, at = C.bytes_of(batch.column("text"))
+        if len(data) <= C.STEP_BYTES:
+            yield batch, data, at, 0
+            continue
+        for lo in range(0, len(data) - length + 1, C.STEP_BYTES):
+            part = data[lo : lo + C.STEP_BYTES + length - 1]
+            yield batch, part, np.array([0, len(part)]), lo
 
 
 def places(docs: DataFrame, length: int, key: int) -> DataFrame:
-    """id, places: where the KEY bytes of a minimiser occur elsewhere in the corpus too (docs: id, text)."""
+    """rk, single, known: where the KEY bytes of a minimiser occur elsewhere in the corpus too (docs: rk, text)."""
 
     def report(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        hashes, ids, place = (np.concatenate(x) for x in zip(*held, strict=True))
+        hashes, own, place = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.argsort(hashes, kind="stable")
-        hashes, ids, place = hashes[order], ids[order], place[order]
+        hashes = hashes[order]
         first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
         count = np.diff(np.append(first, len(hashes)))
         alone = first[count == 1]
-        yield _rows(hashes[alone].view(np.int64), ids[alone], place[alone])
+        yield _rows(hashes[alone].view(np.int64), own[order[alone]], place[order[alone]])
         shared = first[count > 1]
         if len(shared):
             yield _rows(hashes[shared].view(np.int64), None, None)  # other tasks learn that it occurs here
-            again = np.repeat(count > 1, count)
-            own, where = ids[again], place[again]
+            again = order[np.repeat(count > 1, count)]
+            own, where = own[again], place[again]
             order = np.lexsort((where, own))
             own, where = own[order], where[order]
             begin = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-            known = [where[a:b].astype(np.int32).tobytes() for a, b in zip(begin, np.append(begin[1:], len(own)), strict=True)]
+            known = [where[a:b].tobytes() for a, b in zip(begin, np.append(begin[1:], len(own)), strict=True)]
             spread = C.mixed(own[begin].view(np.uint64)).view(np.int64)
             for i in range(0, len(begin), 5000):
                 yield _rows(spread[i : i + 5000], own[begin[i : i + 5000]], None, known[i : i + 5000])
 
-    def _rows(hashes: np.ndarray, ids: np.ndarray | None, place: np.ndarray | None, known: list[bytes] | None = None) -> pa.RecordBatch:
+    def _rows(hashes: np.ndarray, rk: np.ndarray | None, place: np.ndarray | None, known: list[bytes] | None = None) -> pa.RecordBatch:
         n = len(hashes)
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(hashes),
-                pa.nulls(n, pa.int64()) if ids is None else pa.array(ids),
-                pa.nulls(n, pa.int32()) if place is None else pa.array(place.astype(np.int32)),
+                pa.nulls(n, pa.int64()) if rk is None else pa.array(rk),
+                pa.nulls(n, pa.int32()) if place is None else pa.array(place),
                 pa.nulls(n, pa.binary()) if known is None else pa.array(known, pa.binary()),
             ],
-            names=["hash", "id", "place", "known"],
+            names=["hash", "rk", "place", "known"],
         )
 
     def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
-        for batch, data, at in _steps(batches):
+        for batch, data, at, offset in _pieces(batches, length):
             _, row, owner, hashes = minimisers(data, at, length, key)
             if not len(owner):
                 continue
             new = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
             owner, row = owner[new], row[new]
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
-            held.append((hashes[owner], ids[row], owner - at[row]))
+            rk = batch.column("rk").to_numpy(zero_copy_only=False)
+            held.append((hashes[owner], rk[row], (owner - at[row] + offset).astype(np.int32)))
             n += len(owner)
             if n >= TASK_PLACES:
                 yield from report(held)
@@ -136,72 +170,119 @@ def places(docs: DataFrame, length: int, key: int) -> DataFrame:
         if held:
             yield from report(held)
 
-    from pyspark.sql import Window
-
-    found = docs.mapInArrow(mapper, "hash bigint, id bigint, place int, known binary")
+    found = docs.mapInArrow(mapper, "hash bigint, rk bigint, place int, known binary")
     counted = found.withColumn("n", F.count("*").over(Window.partitionBy("hash")))
-    repeated = counted.filter("id IS NOT NULL AND (n > 1 OR known IS NOT NULL)")
-    return repeated.groupBy("id").agg(F.collect_list("place").alias("single"), F.collect_list("known").alias("known"))
+    repeated_places = counted.filter("rk IS NOT NULL AND (n > 1 OR known IS NOT NULL)")
+    return repeated_places.groupBy("rk").agg(F.collect_list("place").alias("single"), F.collect_list("known").alias("known"))
+
+
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """Whether the width[i] bytes from a[i] and from b[i] are the same."""
+    out = np.empty(len(a), bool)
+    for lo in range(0, len(a), 20_000):
+        x, y, n = a[lo : lo + 20_000], b[lo : lo + 20_000], width[lo : lo + 20_000]
+        wide = np.arange(n.max(initial=0))
+        cells = [data[np.minimum(z[:, None] + wide, len(data) - 1)] for z in (x, y)]
+        out[lo : lo + 20_000] = ((cells[0] == cells[1]) | (wide >= n[:, None])).all(1)
+    return out
+
+
+def repeated(value: np.ndarray, ids: np.ndarray, rank: np.ndarray, place: np.ndarray, same: Callable) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows have an equal one in a document of smaller id or earlier in their own, and the indices of those in
+    doubt, whose hash `value` an unequal window shares. `same` tells it for two arrays of indices; rank: of (id, rk)."""
+    order = np.lexsort((place, rank, value))
+    v, r, i, p = value[order], rank[order], ids[order], place[order]
+    new = np.append(True, v[1:] != v[:-1])
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    new |= np.append(True, r[1:] != r[:-1])
+    head = np.flatnonzero(new)[np.cumsum(new) - 1]
+    of_smaller = i > i[first]
+    at = np.flatnonzero(of_smaller | (p > p[head]))
+    ok = same(order[at], order[np.where(of_smaller, first, head)[at]])
+    gone = np.zeros(len(value), bool)
+    gone[order[at[ok]]] = True
+    return gone, order[at[~ok]]
+
+
+def ranks(ids: np.ndarray, rk: np.ndarray) -> np.ndarray:
+    """The rank of each (id, rk); equal ones share one."""
+    order = np.lexsort((rk, ids))
+    i, r = ids[order], rk[order]
+    out = np.empty(len(ids), np.int32)
+    out[order] = np.cumsum(np.append(False, (i[1:] != i[:-1]) | (r[1:] != r[:-1])))[: len(ids)]
+    return out
 
 
 class Run:
-    """Windows of several steps of text, to be sorted, thinned and front-coded."""
+    """Windows of several steps of text, to be thinned, sorted and front-coded; columns as narrow as a run allows."""
 
-    def __init__(self, length: int, key: int, parts: int) -> None:
-        self.length, self.key, self.parts = length, key, parts
+    def __init__(self, length: int, key: int) -> None:
+        self.length, self.key = length, key
         self.text: list[np.ndarray] = []
         self.columns: dict[str, list[np.ndarray]] = defaultdict(list)
-        self.bytes = self.windows = 0
-
-    def add(self, data: np.ndarray, **columns: np.ndarray) -> None:
-        """start, owner (both in data), place (of the start in its document), id, rk, hash: of each window."""
-        for name, x in columns.items():
-            self.columns[name].append(x + self.bytes if name in ("start", "owner") else x)
+        self.bytes = self.windows = self.rows = 0
+
+    def add(self, data: np.ndarray, ids: np.ndarray, rk: np.ndarray, row: np.ndarray, start: np.ndarray, owner: np.ndarray, place: np.ndarray, value: np.ndarray, part: np.ndarray) -> None:
+        """ids, rk: of each row; row, start and owner (both in data), place (of the start in its document), hash and
+        partition: of each window."""
+        narrow = {"row": row + self.rows, "start": start + self.bytes, "owner": owner + self.bytes, "place": place, "part": part}
+        for name, x in narrow.items():
+            self.columns[name].append(x.astype(np.int32))
+        for name, x in {"value": value, "ids": ids, "rk": rk}.items():
+            self.columns[name].append(x)
         self.text.append(data)
         self.bytes += len(data)
-        self.windows += len(columns["start"])
-
-    def blocks(self) -> Iterator[tuple[int, bytes]]:
-        data = np.concatenate(self.text)
-        w = {k: np.concatenate(v) for k, v in self.columns.items()}
-        gone = later(w["hash"], w["id"], w["rk"], w["place"])
+        self.rows += len(ids)
+        self.windows += len(start)
+
+    def blocks(self) -> Iterator[tuple[int, int, bytes]]:
+        """partition, number of entries, block; empties the run."""
+        data, self.text = np.concatenate(self.text), []
+        w = {k: np.concatenate(self.columns.pop(k)) for k in list(self.columns)}
+        ids, rk, value, row = w.pop("ids"), w.pop("rk"), w.pop("value"), w["row"]
+        start, width = w["start"], np.full(1, self.length)
+        gone, _ = repeated(value, ids[row], ranks(ids, rk)[row], w["place"], lambda a, b: same_bytes(data, start[a], start[b], np.broadcast_to(width, len(a))))
+        del value
         if gone.any():
-            yield int(w["rk"][0] % np.uint64(self.parts)), b"A" + ranges(w["rk"][gone], w["place"][gone])
+            yield int(w["part"][0]), 0, b"A" + ranges(rk[row[gone]], w["place"][gone])
         w = {k: v[~gone] for k, v in w.items()}
         if not len(w["start"]):
             return
         # an entry: the windows of one owner, from the first to the last that is left
-        new = np.flatnonzero(np.append(True, w["owner"][1:] != w["owner"][:-1]))
-        last = np.append(new[1:], len(w["owner"])) - 1
-        owner, lo, hi = w["owner"][new], w["start"][new], w["start"][last] + self.length
-        span = hi - owner
-        suffix, wide = np.empty((len(owner), self.length), np.uint8), np.arange(self.length)
-        for a in range(0, len(owner), 10_000):
-            cells = data[np.minimum(owner[a : a + 10_000, None] + wide, len(data) - 1)]
-            suffix[a : a + 10_000] = np.where(wide < span[a : a + 10_000, None], cells, 0)
-        order = np.argsort(np.ascontiguousarray(suffix).view(f"S{self.length}").ravel(), kind="stable")
-        part = C.mixed(w["keyed"][new]) % np.uint64(self.parts)
-        order = order[np.argsort(part[order], kind="stable")]
-        part = part[order]
-        cut = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-        for a, b in zip(cut, np.append(cut[1:], len(part)), strict=True):
-            own = order[a:b]
-            shared = np.zeros(len(own), np.int64)
-            if len(own) > 1:
-                for x in range(1, len(own), 10_000):
-                    this, last = own[x : x + 10_000], own[x - 1 : x + 9_999][: len(own) - x]
-                    same = suffix[this] == suffix[last]
-                    shared[x : x + 10_000] = np.minimum(np.where(same.all(1), self.length, same.argmin(1)), np.minimum(span[this], span[last]))
-            tail = [data[o + s : h].tobytes() for o, s, h in zip(owner[own].tolist(), shared.tolist(), hi[own].tolist(), strict=True)]
-            left = [data[s:o].tobytes() for s, o in zip(lo[own].tolist(), owner[own].tolist(), strict=True)]
-            yield int(part[a]), b"B" + packed(
-                shared.astype(np.uint8), span[own].astype(np.uint8), (owner - lo)[own].astype(np.uint8),
-                w["place"][new][own].astype(np.int32), w["id"][new][own], w["rk"][new][own],
-                np.frombuffer(b"".join(tail), np.uint8), np.frombuffer(b"".join(left), np.uint8),
-            )
-
-
-_TYPES = "u1 u1 u1 i4 i8 u8 u1 u1".split()
+        new = np.flatnonzero(np.append(True, (w["owner"][1:] != w["owner"][:-1]) | (w["start"][1:] != w["start"][:-1] + 1)))
+        hi = w["start"][np.append(new[1:], len(w["owner"])) - 1] + self.length
+        w = {k: v[new] for k, v in w.items()}
+        yield from front_coded(data, w["owner"], w["start"], hi, w["place"], ids[w["row"]], rk[w["row"]], w["part"], self.length)
+
+
+def front_coded(data: np.ndarray, owner: np.ndarray, lo: np.ndarray, hi: np.ndarray, place: np.ndarray, ids: np.ndarray, rk: np.ndarray, part: np.ndarray, length: int) -> Iterator[tuple[int, int, bytes]]:
+    """partition, number of entries, block, of entries with bytes lo to owner before their suffix, owner to hi; place: of lo."""
+    span, wide = hi - owner, np.arange(length)
+    suffix = np.empty((len(owner), length), np.uint8)
+    for a in range(0, len(owner), 10_000):
+        cells = data[np.minimum(owner[a : a + 10_000, None] + wide, len(data) - 1)]
+        suffix[a : a + 10_000] = np.where(wide < span[a : a + 10_000, None], cells, 0)
+    order = np.argsort(suffix.view(f"S{length}").ravel(), kind="stable")
+    order = order[np.argsort(part[order], kind="stable")]
+    part = part[order]
+    cut = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+    for a, b in zip(cut, np.append(cut[1:], len(part)), strict=True):
+        own = order[a:b]
+        shared = np.zeros(len(own), np.int64)
+        for x in range(1, len(own), 10_000):
+            this, last = own[x : x + 10_000], own[x - 1 : x + 9_999][: len(own) - x]
+            same = suffix[this] == suffix[last]
+            shared[x : x + 10_000] = np.minimum(np.where(same.all(1), length, same.argmin(1)), np.minimum(span[this], span[last]))
+        tail = [data[o + s : h].tobytes() for o, s, h in zip(owner[own].tolist(), shared.tolist(), hi[own].tolist(), strict=True)]
+        left = [data[s:o].tobytes() for s, o in zip(lo[own].tolist(), owner[own].tolist(), strict=True)]
+        yield int(part[a]), len(own), b"B" + packed(
+            shared.astype(np.uint8), span[own].astype(np.uint8), (owner - lo)[own].astype(np.uint8),
+            place[own].astype(np.int32), ids[own], rk[own],
+            np.frombuffer(b"".join(tail), np.uint8), np.frombuffer(b"".join(left), np.uint8),
+        )
+
+
+_TYPES = "u1 u1 u1 i4 i8 i8 u1 u1".split()
 
 
 def packed(*arrays: np.ndarray) -> bytes:
@@ -217,19 +298,38 @@ def unpacked(block: bytes) -> list[np.ndarray]:
     return out
 
 
-def later(value: np.ndarray, ids: np.ndarray, rk: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Which of the windows have an equal one in a document of smaller id, or earlier in the same row."""
-    order = np.lexsort((place, rk, ids, value))
-    v, i, r, p = value[order], ids[order], rk[order], place[order]
-    new = np.append(True, v[1:] != v[:-1])
-    least = i[np.flatnonzero(new)][np.cumsum(new) - 1]
-    again = np.append(False, (v[1:] == v[:-1]) & (i[1:] == i[:-1]) & (r[1:] == r[:-1]) & (p[1:] != p[:-1]))
-    # of identical rows the first place is listed once per row: it is no repeat of itself
-    run = np.flatnonzero(np.append(True, ~((v[1:] == v[:-1]) & (i[1:] == i[:-1]) & (r[1:] == r[:-1]))))
-    head = p[run][np.searchsorted(run, np.arange(len(p)), side="right") - 1]
-    out = np.zeros(len(v), bool)
-    out[order] = (i > least) | (p > head) | again
-    return out
+class Entries:
+    """The entries of one block: shared (length of the prefix shared with the suffix before), suffixes, bytes before them,
+    and place (of the first of these), ids, rk."""
+
+    def __init__(self, block: bytes) -> None:
+        shared, span, left_span, self.place, self.ids, self.rk, tail, left = unpacked(block[1:])
+        tails, at, before, self.suffixes = tail.tobytes(), 0, b"", []
+        for s, n in zip(shared.tolist(), span.tolist(), strict=True):
+            before = before[:s] + tails[at : at + n - s]
+            at += n - s
+            self.suffixes.append(before)
+        cut, lefts = np.append(0, np.cumsum(left_span, dtype=np.int64)).tolist(), left.tobytes()
+        self.left = [lefts[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+        self.shared = shared.tolist()
+
+
+def dealt_anew(block: bytes, part: int, parts: int, length: int) -> Iterator[tuple[int, int, bytes]]:
+    """A block's windows, each an entry of its own, in the partition of all its bytes: one of `parts` below `part`."""
+    if block[:1] == b"A":
+        yield part << 24, 0, block
+        return
+    held = Entries(block)
+    left = np.array([len(x) for x in held.left])
+    text = [a + b for a, b in zip(held.left, held.suffixes, strict=True)]
+    data, size = np.frombuffer(b"".join(text), np.uint8), np.array([len(t) for t in text])
+    windows = size - length + 1
+    entry = np.repeat(np.arange(len(text)), windows)
+    step = np.arange(len(entry)) - (np.cumsum(windows) - windows)[entry]
+    start = (np.cumsum(size) - size)[entry] + step
+    to = C.mixed(rolling_at(data, length, start)) % np.uint64(parts)
+    of = (part << 24) + to.astype(np.int64)
+    yield from front_coded(data, start, start, start + length, held.place[entry] + step, held.ids[entry], held.rk[entry], of, length)
 
 
 def ranges(rk: np.ndarray, place: np.ndarray) -> bytes:
@@ -238,7 +338,7 @@ def ranges(rk: np.ndarray, place: np.ndarray) -> bytes:
     rk, place = rk[order], place[order].astype(np.int64)
     new = np.flatnonzero(np.append(True, (rk[1:] != rk[:-1]) | (place[1:] > place[:-1] + 1)))
     end = place[np.append(new[1:], len(rk)) - 1] + 1
-    return zstandard.ZstdCompressor(level=3).compress(np.stack([rk[new].view(np.int64), place[new], end], 1).tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(np.stack([rk[new], place[new], end], 1).tobytes())
 
 
 class Merge:
@@ -305,97 +405,123 @@ class Merge:
 
 def merged(blocks: list[bytes], length: int, key: int) -> Iterator[bytes]:
     """The removed windows, as packed ranges, of one partition's blocks."""
-    runs, columns = [], []
+    runs = []
     for block in blocks:
         if block[:1] == b"A":
             yield block[1:]
-            continue
-        shared, span, left_span, place, ids, rk, tail, left = unpacked(block[1:])
-        tails, at, before, suffixes = tail.tobytes(), 0, b"", []
-        for s, n in zip(shared.tolist(), span.tolist(), strict=True):
-            before = before[:s] + tails[at : at + n - s]
-            at += n - s
-            suffixes.append(before)
-        cut = np.append(0, np.cumsum(left_span, dtype=np.int64)).tolist()
-        lefts = left.tobytes()
-        runs.append((suffixes, shared.tolist()))
-        columns.append(([lefts[a:b] for a, b in zip(cut, cut[1:], strict=False)], place, ids, rk))
-    group, held = [], []  # of neighbours that share KEY bytes; held: groups of two and more
-    size = 0
-    for run, i, shared in Merge(runs):
-        if shared < key and group:
-            if len(group) > 1:
-                held.append(group)
-                size += len(group)
-            group = []
-            if size >= 5_000:
-                yield from _removed(held, runs, columns, length)
-                held, size = [], 0
-        group.append((run, i))
-    if len(group) > 1:
-        held.append(group)
-    yield from _removed(held, runs, columns, length)
-
-
-def _removed(groups: list[list[tuple[int, int]]], runs: list, columns: list, length: int) -> Iterator[bytes]:
-    flat = [x for g in groups for x in g]
-    if not flat:
+        else:
+            runs.append(Entries(block))
+    held: list[tuple[int, int, int]] = []  # run, index, shared
+    for run, i, shared in Merge([(r.suffixes, r.shared) for r in runs]):
+        if shared < key and len(held) >= MERGE_ENTRIES:
+            yield from _removed(held, runs, length, key)
+            held = []
+        held.append((run, i, shared))
+    yield from _removed(held, runs, length, key)
+
+
+def _removed(held: list[tuple[int, int, int]], runs: list[Entries], length: int, key: int) -> Iterator[bytes]:
+    """Of neighbours in sorted order, the windows that repeat an earlier one."""
+    if len(held) < 2:
         return
-    text = [columns[r][0][i] + runs[r][0][i] for r, i in flat]
-    data = np.frombuffer(b"".join(text), np.uint8)
+    shared = np.array([x for _, _, x in held])
+    shared[0] = 0
+    near = shared >= key
+    some = np.flatnonzero(near | np.append(near[1:], False))  # those that share KEY bytes with a neighbour
+    if not len(some):
+        return
+    shared, held = shared[some], [held[i] for i in some.tolist()]
+    left = np.array([len(runs[r].left[i]) for r, i, _ in held])
+    text = [runs[r].left[i] + runs[r].suffixes[i] for r, i, _ in held]
     size = np.array([len(t) for t in text])
-    at = np.append(0, np.cumsum(size))
-    entry = np.repeat(np.arange(len(flat)), size - length + 1)
-    step = np.arange(len(entry)) - (np.cumsum(size - length + 1) - (size - length + 1))[entry]
-    of_group = np.repeat(np.arange(len(groups)), [len(g) for g in groups])
-    distance = np.array([len(columns[r][0][i]) for r, i in flat])[entry] - step  # from the window's start to its owner
-    salt = C.mixed((of_group[entry].astype(np.uint64) << np.uint64(8)) + distance.astype(np.uint64))
-    value = rolling(data, length)[at[entry] + step] ^ salt
-    ids = np.array([columns[r][2][i] for r, i in flat])[entry]
-    rk = np.array([columns[r][3][i] for r, i in flat], np.uint64)[entry]
-    place = np.array([columns[r][1][i] for r, i in flat], np.int64)[entry] + step
-    gone = later(value, ids, rk, place)
-    if gone.any():
-        yield ranges(rk[gone], place[gone])
-
-
-def removed_spans(docs: DataFrame, length: int = LENGTH, key: int = KEY) -> DataFrame:
-    """rk, text, spans (packed pairs of int64 start and end, apart and ascending) of rows that lose bytes.
+    data = np.frombuffer(b"".join(text), np.uint8)
+    owner = np.cumsum(size) - size + left
+    ids, rk = (np.array([getattr(runs[r], name)[i] for r, i, _ in held], np.int64) for name in ("ids", "rk"))
+    place = np.array([runs[r].place[i] for r, i, _ in held], np.int64)
+    rank = ranks(ids, rk)
+
+    # a window's distance is that from its start to its owner; windows of one distance are judged together
+    least, most = length - (size - left), left
+    at_distance = np.cumsum(np.bincount(least, minlength=length + 1) - np.bincount(most + 1, minlength=length + 1)[: length + 1])
+    batch = np.cumsum(at_distance) // MERGE_WINDOWS
+    cut = np.flatnonzero(np.append(True, batch[1:] != batch[:-1])).tolist()
+    for d0, d1 in zip(cut, [*cut[1:], length + 1], strict=True):
+        lo, hi = np.maximum(least, d0), np.minimum(most, d1 - 1)
+        n = np.maximum(hi - lo + 1, 0)
+        if not n.sum():
+            continue
+        entry = np.repeat(np.arange(len(n)), n)
+        distance = hi[entry] - (np.arange(len(entry)) - (np.cumsum(n) - n)[entry])
+        start = owner[entry] - distance
+        # right of the owners: alike as long as no neighbour on the way shares less
+        border = np.stack([np.cumsum(shared < length - d) for d in range(d0, d1)]).astype(np.int32)
+        right = border[distance - d0, entry]
+        value = C.mixed(rolling_at(data, length, start) ^ C.mixed((right.astype(np.uint64) << np.uint64(8)) + distance.astype(np.uint64)))
+        where = place[entry] + left[entry] - distance
+
+        def same(a: np.ndarray, b: np.ndarray, right=right, distance=distance, start=start) -> np.ndarray:
+            return (right[a] == right[b]) & (distance[a] == distance[b]) & same_bytes(data, start[a], start[b], distance[a])
+
+        gone, doubtful = repeated(value, ids[entry], rank[entry], where, same)
+        if len(doubtful):  # unequal windows of one hash: told apart by their bytes
+            _settle(gone, np.flatnonzero(np.isin(value, value[doubtful])), data, start, length, ids[entry], rank[entry], where)
+        if gone.any():
+            yield ranges(rk[entry[gone]], where[gone])
+
+
+def _settle(gone: np.ndarray, among: np.ndarray, data: np.ndarray, start: np.ndarray, length: int, ids: np.ndarray, rank: np.ndarray, place: np.ndarray) -> None:
+    groups = defaultdict(list)
+    for i in among.tolist():
+        groups[data[start[i] : start[i] + length].tobytes()].append(i)
+    for group in groups.values():
+        least = min(ids[i] for i in group)
+        for i in group:
+            gone[i] = ids[i] > least or any(rank[j] == rank[i] and place[j] < place[i] for j in group)
+
+
+def removed_windows(docs: DataFrame, length: int = LENGTH, key: int = KEY) -> DataFrame:
+    """rk, text, windows (packed pairs of int32: first and end of runs of removed windows) of rows that lose bytes.
 
     docs: id, rk, text, where rk is a hash of id and text.
     """
     spark = docs.sparkSession
-    found = places(docs.select("id", "text"), length, key)
-    held = C.written(docs.join(found, "id"), "suffixes")
+    C.small_batches(spark)
+    found = places(docs.select("rk", "text"), length, key)
+    held = C.written(docs.join(found, "rk").dropDuplicates(["rk"]), "suffixes")
     n = held.select(F.sum(F.size("single") + F.coalesce(F.aggregate("known", F.lit(0.0), lambda s, x: s + F.octet_length(x) / 4), F.lit(0.0)))).first()[0]
     parts = max(1, round((n or 0) / PLACES_PER_MERGE), int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run = Run(length, key, parts)
-
-        def flushed() -> Iterator[pa.RecordBatch]:
-            rows = list(run.blocks())
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "block"])
+    def of_blocks(blocks: Iterator[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+        for part, n, block in blocks:
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([n], pa.int32()), pa.array([block], pa.binary())], names=["part", "n", "block"])
 
-        for batch, data, at in _steps(batches):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run = Run(length, key)
+        for batch, data, at, offset in _pieces(batches, length):
             start, row, owner, hashes = minimisers(data, at, length, key)
+            if not len(owner):
+                continue
             wanted = np.zeros(len(data), bool)
             for r, (single, known) in enumerate(zip(batch.column("single").to_pylist(), batch.column("known").to_pylist(), strict=True)):
-                where = np.concatenate([np.array(single or [], np.int64), *(np.frombuffer(k, np.int32) for k in known or [])]).astype(np.int64)
-                wanted[at[r] + where[where < at[r + 1] - at[r]]] = True
-            chosen = np.flatnonzero(wanted[owner]) if len(owner) else np.zeros(0, np.int64)
+                where = np.concatenate([np.array(single or [], np.int64), *(np.frombuffer(k, np.int32) for k in known or [])]).astype(np.int64) - offset
+                wanted[at[r] + where[(where >= 0) & (where < at[r + 1] - at[r])]] = True
+            chosen = np.flatnonzero(wanted[owner])
             if not len(chosen):
                 continue
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
-            rk = batch.column("rk").to_numpy(zero_copy_only=False).view(np.uint64)
+            ids, rk = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "rk"))
             s, r, o = start[chosen], row[chosen], owner[chosen]
-            run.add(data, start=s, owner=o, place=s - at[r], id=ids[r], rk=rk[r], hash=rolling(data, length)[s], keyed=hashes[o])
-            if run.windows >= RUN_WINDOWS or run.bytes >= 16 * C.STEP_BYTES:
-                yield from flushed()
-                run = Run(length, key, parts)
+            part = C.mixed(hashes[o]) % np.uint64(parts)
+            run.add(data, ids, rk, r, s, o, s - at[r] + offset, rolling_at(data, length, s), part)
+            if run.windows >= RUN_WINDOWS or run.bytes >= RUN_BYTES:
+                yield from of_blocks(run.blocks())
+                run = Run(length, key)
         if run.windows:
-            yield from flushed()
+            yield from of_blocks(run.blocks())
+
+    def anew(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, load, block in zip(*(batch.column(c).to_pylist() for c in ("part", "load", "block")), strict=True):
+                yield from of_blocks(dealt_anew(block, part, min(1 << 24, max(2, load // PLACES_PER_MERGE * 40)), length))
 
     def merge(blocks: pa.Table) -> pa.Table:
         out = list(merged(blocks.column("block").to_pylist(), length, key))
@@ -405,36 +531,38 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, key: int = KEY) -> Data
         packs = [flat[a:b, 1:].astype(np.int32).tobytes() for a, b in zip(new, np.append(new[1:], len(flat)), strict=True)] if len(flat) else []
         return pa.table({"rk": pa.array(flat[new, 0] if len(flat) else [], pa.int64()), "windows": pa.array(packs, pa.binary())})
 
-    blocks = held.mapInArrow(cut, "part int, block binary")
-    windows = blocks.groupBy("part").applyInArrow(merge, "rk bigint, windows binary")
+    blocks = C.written(held.select("id", "rk", "text", "single", "known").mapInArrow(cut, "part bigint, n int, block binary"), "blocks")
+    loads = blocks.groupBy("part").agg(F.sum("n").alias("load"))
+    heavy = C.written(loads.filter(F.col("load") > SPLIT * PLACES_PER_MERGE), "heavy")
+    if not heavy.isEmpty():
+        split = blocks.join(heavy, "part").select("part", "load", "block").mapInArrow(anew, "part bigint, n int, block binary")
+        even = blocks.join(heavy, "part", "left_anti").withColumn("part", F.shiftleft("part", 24))
+        blocks = split.unionByName(even)
+    windows = blocks.select("part", "block").groupBy("part").applyInArrow(merge, "rk bigint, windows binary")
     per_row = windows.groupBy("rk").agg(F.collect_list("windows").alias("windows"))
-    joined = held.select("rk", "text").dropDuplicates(["rk"]).join(per_row, "rk")
+    return held.select("rk", "text").join(per_row, "rk")
 
-    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for packs in batch.column("windows").to_pylist():
-                pairs = np.frombuffer(b"".join(packs), np.int32).reshape(-1, 2).astype(np.int64)
-                pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
-                end = np.maximum.accumulate(pairs[:, 1] - 1 + length)
-                new = np.flatnonzero(np.append(True, pairs[1:, 0] > end[:-1]))
-                out.append(np.stack([pairs[new, 0], end[np.append(new[1:], len(end)) - 1]], 1).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("rk"), batch.column("text"), pa.array(out, pa.binary())], names=["rk", "text", "spans"])
 
-    return joined.mapInArrow(spans, "rk bigint, text string, spans binary")
+def spans_of(windows: list[bytes], length: int) -> np.ndarray:
+    """Start and end of the spans that runs of windows cover, apart and ascending."""
+    pairs = np.frombuffer(b"".join(windows), np.int32).reshape(-1, 2).astype(np.int64)
+    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+    end = np.maximum.accumulate(pairs[:, 1] - 1 + length)
+    new = np.flatnonzero(np.append(True, pairs[1:, 0] > end[:-1]))
+    return np.stack([pairs[new, 0], end[np.append(new[1:], len(end)) - 1]], 1)
 
 
-def kept_bytes(text: bytes, spans: bytes) -> bytes:
-    pairs, at, out = np.frombuffer(spans, np.int64).reshape(-1, 2).tolist(), 0, []
+def kept_bytes(text: bytes, spans: np.ndarray) -> bytes:
+    pairs, at, out = spans.tolist(), 0, []
     for a, b in pairs:
         out.append(text[at:a])
         at = b
     return b"".join([*out, text[at:]])
 
 
-def whole_characters(text: bytes, spans: bytes) -> str:
+def whole_characters(text: bytes, spans: np.ndarray) -> str:
     """The text without the spans, which shrink to whole characters."""
-    pairs, at, out = np.frombuffer(spans, np.int64).reshape(-1, 2).tolist(), 0, []
+    pairs, at, out = spans.tolist(), 0, []
     for a, b in pairs:
         while a < b and text[a] & 0xC0 == 0x80:
             a += 1
@@ -452,18 +580,17 @@ def _keyed(docs: DataFrame, id_column: str, text: str) -> DataFrame:
 
 def repeat_report(docs: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = LENGTH, key: int = KEY) -> DataFrame:
     """Per row of docs: id, n_bytes, n_removed, n_spans, kept_sha256."""
-    lost = removed_spans(_keyed(docs, id_column, text), length, key)
+    lost = removed_windows(_keyed(docs, id_column, text), length, key)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, spans = batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist()
-            pairs = [np.frombuffer(s, np.int64).reshape(-1, 2) for s in spans]
+            texts, pairs = batch.column("text").cast(pa.binary()).to_pylist(), [spans_of(w, length) for w in batch.column("windows").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("rk"),
                     pa.array([int((p[:, 1] - p[:, 0]).sum()) for p in pairs], pa.int64()),
                     pa.array([len(p) for p in pairs], pa.int64()),
-                    pa.array([hashlib.sha256(kept_bytes(t, s)).hexdigest() for t, s in zip(texts, spans, strict=True)], pa.string()),
+                    pa.array([hashlib.sha256(kept_bytes(t, s)).hexdigest() for t, s in zip(texts, pairs, strict=True)], pa.string()),
                 ],
                 names=["rk", "n_removed", "n_spans", "kept_sha256"],
             )
@@ -482,11 +609,11 @@ def repeat_report(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
 
 def without_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = LENGTH, key: int = KEY) -> DataFrame:
     """All rows and columns of docs; texts lose their repeated bytes, but for parts of characters."""
-    lost = removed_spans(_keyed(docs, id_column, text), length, key)
+    lost = removed_windows(_keyed(docs, id_column, text), length, key)
 
     def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, spans = batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist()
+            texts, spans = batch.column("text").cast(pa.binary()).to_pylist(), [spans_of(w, length) for w in batch.column("windows").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("rk"), pa.array([whole_characters(t, s) for t, s in zip(texts, spans, strict=True)], pa.string())], names=["rk", "left"])
 
     short = lost.mapInArrow(shorten, "rk bigint, left string").select(F.struct("rk", "left").alias("new"))
