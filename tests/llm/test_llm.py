@@ -67,6 +67,66 @@ def test_quality_counts(docs, none):
     assert quality.quality_filter(docs).columns == docs.columns
 
 
+def test_quality_kept_by_a_plain_expectation_maximisation(docs):
+    """Votes read from the statistics in Python, the model fitted document by document."""
+    import math
+
+    names = ["doc_id", *quality.STATS]
+    rows = [tuple(r) for r in quality.with_statistics(docs.select("doc_id", "text")).select("row.doc_id", *quality.STATS).collect()]
+
+    def votes(x):
+        w, lines, letters = max(1, x["n_words"]), max(1, x["n_lines"]), max(1, x["n_letters"])
+        length, variety = x["word_chars"] / w, math.log(max(1, x["n_distinct"])) / math.log(max(2, w))
+        upper, dup = x["n_upper"] / letters, x["n_dup_lines"] / lines
+        pairs = [
+            (x["n_words"] >= 50, x["n_words"] < 20), (3.5 <= length <= 6.5, not 2 <= length <= 9), (x["n_symbols"] / w < 0.01, x["n_symbols"] / w >= 0.1),
+            (x["n_bare"] / w < 0.02, x["n_bare"] / w >= 0.15), (x["n_repeat_words"] / w < 0.05, x["n_repeat_words"] / w >= 0.25), (variety >= 0.8, variety < 0.7),
+            (dup < 0.05, dup >= 0.5), (upper < 0.2, upper >= 0.6), (x["n_shouts"] / w < 0.05, x["n_shouts"] / w >= 0.3),
+            (x["n_stop"] / w >= 0.05, x["n_stop"] / w < 0.01 and 2 * x["n_letters"] >= x["word_chars"]),
+        ]
+        return [0 if bad else 2 if good else 1 for good, bad in pairs]
+
+    found = [(x, votes(x), x["n_words"] < 20 or 100 * x["n_repeat_words"] > 30 * x["n_words"]) for x in (dict(zip(names, r, strict=True)) for r in rows)]
+    counted = [v for _, v, failed in found if not failed]
+    start = [[0.30, 0.30, 0.40], [0.01, 0.29, 0.70]]
+    rates, prior, total = [[list(start[c]) for _ in range(10)] for c in (0, 1)], 0.8, len(counted)
+    for _ in range(50):
+        weight = []
+        for v in counted:
+            odds = [p * math.prod(rates[c][j][v[j]] for j in range(10)) for c, p in ((0, 1 - prior), (1, prior))]
+            weight.append(odds[1] / (odds[0] + odds[1]))
+        for c in (0, 1):
+            own = [w if c else 1 - w for w in weight]
+            for j in range(10):
+                seen = [sum(o for o, v in zip(own, counted, strict=True) if v[j] == k) for k in range(3)]
+                rates[c][j] = [(seen[k] + 0.02 * total * start[c][k]) / (sum(own) + 0.02 * total) for k in range(3)]
+        prior = (sum(weight) + 1) / (total + 2)
+    likely = {tuple(v): w for v, w in zip(counted, weight, strict=True)}
+    expected = [(x["doc_id"], x["n_words"], failed, not failed and likely[tuple(v)] >= 0.5) for x, v, failed in found]
+    assert any(e[3] for e in expected) and not all(e[3] for e in expected)
+    assert _sorted(tuple(r) for r in quality.quality_scores(docs).select("doc_id", "n_words", "base_failed", "kept").collect()) == _sorted(expected)
+    kept = Counter(e[0] for e in expected if e[3])
+    assert Counter(r["doc_id"] for r in quality.quality_filter(docs).collect()) == kept
+
+
+def test_quality_rules_judge_long_texts_alike():
+    for times in (1, 100):
+        text = " ".join(["one two three four five six seven eight nine ten eleven"] * 20 * times)
+        x = quality.statistics(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+        assert np.log(x["n_distinct"][0]) / np.log(x["n_words"][0]) < 0.7
+
+
+def test_hot_words_are_the_most_frequent_that_fit(spark):
+    table = spark.createDataFrame([(f"w{i}", max(1, 5000 // (i + 1)), 1) for i in range(400)], "word string, n bigint, pieces bigint")
+    count = {f"w{i}": max(1, 5000 // (i + 1)) for i in range(400)}
+    for hot in (0, 1, 7, 100, 399, 400, 1000):
+        got = {r["word"] for r in token_counts.hot_words(table, hot).collect()}
+        assert len(got) <= hot
+        rest = [n for w, n in count.items() if w not in got]
+        assert not got or not rest or min(count[w] for w in got) > max(rest)
+        assert len(got) >= min(hot, 400) - max(Counter(count.values()).values())
+
+
 def test_quality_model_rejects_what_rules_reject():
     n = len(quality.rules())
     good, bad = sum(2 * 3**i for i in range(n)), sum(1 * 3**i for i in range(n) if i not in (2, 3, 8))

@@ -207,6 +207,7 @@ def _probed(state: DataFrame, rows: list[tuple], last: bool) -> DataFrame:
 
 def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Per document: row (its columns), n_words, n_hit, item_ids (sorted), n_items, items_sha256, contaminated."""
+    C.small_batches(docs.sparkSession)
     windows = C.written(item_windows(items, item_id, item_text), "windows")
     n_slices = max(1, -(-windows.count() // SLICE_WINDOWS))
     state = docs.select(

@@ -218,6 +218,8 @@ def extracted(pages: DataFrame, url: str = "url", html: str = "html", least: int
         F.coalesce(F.col(f"`{html}`").cast("string"), F.lit("")).alias("html"),
     )
 
+    C.small_batches(pages.sparkSession)
+
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.steps(batches, "html"):
             found = [subtrees(h, o) for h, o in zip(batch.column("html").to_pylist(), batch.column("host").to_pylist(), strict=True)]

@@ -140,6 +140,8 @@ def predicted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     texts = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     source = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), texts.alias("text"), texts.rlike(r"\p{L}").alias("letters"))
 
+    C.small_batches(docs.sparkSession)
+
     def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, lookup = shared.value, None
         for batch in C.steps(batches, "text"):

@@ -30,8 +30,9 @@ from pyspark.sql import types as T
 from tidemark.llm import common as C
 
 SPACE = "▁"
-#: Words, and pairs of tokens, that a task remembers.
+#: Words, their characters, and pairs of tokens, that a task remembers.
 WORDS_KEPT = 400_000
+CHARACTERS_KEPT = 1 << 23
 PAIRS_KEPT = 500_000
 
 
@@ -66,6 +67,7 @@ class PieceModel:
         #: A word: spaces and what follows up to the next space. A line feed without a piece ends one too.
         self.pattern = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if "\n" in self.id else f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
         self.words: dict[str, bytes] = {}
+        self.kept = 0
         self.pairs: dict[tuple[int, int], bool] = {}
 
     def merged(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
@@ -192,8 +194,10 @@ class PieceModel:
             for w in found:
                 ids = words.get(w)
                 if ids is None:
-                    if len(words) >= WORDS_KEPT:
+                    if len(words) >= WORDS_KEPT or self.kept >= CHARACTERS_KEPT:
                         words.clear()
+                        self.kept = 0
+                    self.kept += len(w)
                     ids = np.array(self.word_ids(w), np.int32).tobytes()
                     words[w] = ids
                 out.append(ids)
@@ -214,6 +218,8 @@ def encoded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """Per row of docs: row (its columns), ids array<int>, decoded string."""
     source = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
 
+    C.small_batches(docs.sparkSession)
+
     def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = model(path)
         for batch in C.steps(batches, "text"):
@@ -222,6 +228,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
             at = np.append(0, np.cumsum([len(m) // 4 for m in made])).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(made), np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("row"), ids, pa.array(back, pa.string())], names=["row", "ids", "decoded"])
+        pieces.kept = 0
         pieces.words.clear()  # an idle worker keeps no words of a task that is over
         pieces.pairs.clear()
 

@@ -5,8 +5,12 @@ patterns (at most 3 ** number of rules) feed an expectation-maximisation that es
 trusted in good and in bad documents; a document is kept when its posterior probability of being good reaches a
 threshold. Hard limits (too few words, too many repeated words) reject on their own.
 
+Rules judge shares and rates, so none behaves otherwise for long texts. The rule of function words knows the languages
+of STOP_WORDS and abstains on texts in other scripts.
+
 Defined cases: a null text has no words, as an empty one; both fail the base limits. Null ids stay null, repeated
-rows each get their own result, an empty table gives an empty result, other columns pass through untouched.
+rows each get their own result, an empty table gives an empty result, other columns pass through untouched. A text is
+counted whole, in the memory of one task.
 """
 
 from __future__ import annotations
@@ -26,12 +30,15 @@ MAX_REPEAT_PERCENT = 30
 REPEAT_WIDTH = 8
 THRESHOLD = 0.5
 
-#: Frequent function words of English, German, French and Spanish.
+#: Frequent function words of English, German, French, Spanish, Italian, Portuguese and Dutch.
 STOP_WORDS = (
     "the and of to in is that for it was on are as with "
     "der die das und in zu den von mit ist auf ein eine "
     "le la les de des et un une est que qui dans pour "
-    "el los las del y en por con para se su"
+    "el los las del y en por con para se su "
+    "il di che non per sono una della "
+    "o os as do da em um uma no na "
+    "het een van op te dat niet zijn"
 ).split()
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -45,6 +52,8 @@ Rule = tuple[str, Column, Column]
 def rules() -> list[Rule]:
     words, lines = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("n_lines"), F.lit(1))
     share = lambda name: F.col(name) / words
+    variety = F.log(F.greatest(F.col("n_distinct"), F.lit(1))) / F.log(F.greatest(words, F.lit(2)))  # hardly falls with the length
+    latin = 2 * F.col("n_letters") >= F.col("word_chars")
     mean_length = share("word_chars")
     upper = F.col("n_upper") / F.greatest(F.col("n_letters"), F.lit(1))
     return [
@@ -53,11 +62,11 @@ def rules() -> list[Rule]:
         ("symbols", share("n_symbols") < 0.01, share("n_symbols") >= 0.1),
         ("bare_words", share("n_bare") < 0.02, share("n_bare") >= 0.15),
         ("repeats", share("n_repeat_words") < 0.05, share("n_repeat_words") >= 0.25),
-        ("variety", share("n_distinct") >= 0.3, (share("n_distinct") < 0.1) & (F.col("n_words") < 5000)),
+        ("variety", variety >= 0.8, variety < 0.7),
         ("dup_lines", F.col("n_dup_lines") / lines < 0.05, F.col("n_dup_lines") / lines >= 0.5),
         ("capitals", upper < 0.2, upper >= 0.6),
         ("shouting", share("n_shouts") < 0.05, share("n_shouts") >= 0.3),
-        ("stop_words", share("n_stop") >= 0.05, (F.col("n_stop") == 0) & (F.col("n_words") >= 100)),
+        ("stop_words", share("n_stop") >= 0.05, (share("n_stop") < 0.01) & latin),
     ]
 
 
@@ -129,6 +138,7 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """One struct column `row` with the columns of docs, and the STATS."""
     source = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").cast("string").alias("text"))
     schema = T.StructType([source.schema["row"], *[T.StructField(n, T.LongType()) for n in STATS]])
+    C.small_batches(docs.sparkSession)
 
     def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.steps(batches, "text"):
@@ -171,10 +181,10 @@ def fitted(patterns: list[tuple[int, int]], n_rules: int, rounds: int = 50) -> d
     return {"prior": float(prior), "rates": rates, "posterior": {int(c): float(p) for c, p in zip(codes, good, strict=True)}}
 
 
-def judged(voted: DataFrame, counted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Add posterior and kept. The model is fitted to all rows of `counted` that pass the base limits, as the others are
-    decided already and would teach it one kind of failure only."""
-    counts = [(r[0], r[1]) for r in counted.filter("NOT base_failed").groupBy("pattern").count().collect()]  # at most 3 ** rules rows
+def judged(voted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Add posterior and kept. The model is fitted to all rows that pass the base limits, as the others are decided
+    already and would teach it one kind of failure only. `voted` is read twice, so it should be a written table."""
+    counts = [(r[0], r[1]) for r in voted.filter("NOT base_failed").groupBy("pattern").count().collect()]  # at most 3 ** rules rows
     model = fitted(counts, len(rules()))
     spark = voted.sparkSession
     table = spark.createDataFrame([(k, v) for k, v in model["posterior"].items()], "pattern int, posterior double")
@@ -188,11 +198,10 @@ def quality_scores(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     narrow = docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text}`").alias("text"))
     stats = with_statistics(narrow).select(F.col("row.id").alias(id_column), *STATS)
     voted = C.written(with_votes(stats), "quality")
-    return judged(voted, voted, threshold).select(id_column, *COUNTS, "base_failed", "kept", "posterior", "pattern")
+    return judged(voted, threshold).select(id_column, *COUNTS, "base_failed", "kept", "posterior", "pattern")
 
 
 def quality_filter(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that are kept, columns unchanged."""
-    voted = with_votes(with_statistics(docs, text))
-    counted = with_votes(with_statistics(docs.select(F.col(f"`{text}`").alias("text"))))
-    return judged(voted, counted, threshold).filter("kept").select("row.*")
+    """The rows of docs that are kept, columns unchanged; texts are read once, rows that may be kept are written once."""
+    voted = with_votes(with_statistics(docs, text)).filter("NOT base_failed").select("row", "base_failed", "pattern")
+    return judged(C.written(voted, "quality"), threshold).filter("kept").select("row.*")

@@ -1,12 +1,12 @@
 """Token counts without token ids.
 
 Documents are cut into pre-tokens (words with the spaces before them), which no token of the model crosses. The pieces of
-each distinct pre-token are counted once. The counts of the HOT most frequent pre-tokens (a fixed number, so the
-broadcast has a bound) are added up where the document is read; frequencies of all others go to a join with the table
+each distinct pre-token are counted once. The counts of the most frequent pre-tokens (HOT at most, so the broadcast has
+a bound) are added up where the document is read; frequencies of all others go to a join with the table
 of distinct pre-tokens and are summed by document.
 
 Defined cases: a null or empty text has no tokens; rows with the same id and text get the same count each; a null id is
-kept as null; an empty table gives an empty result.
+kept as null; an empty table gives an empty result; a text is cut whole, in the memory of one task, however long.
 """
 
 from __future__ import annotations
@@ -26,8 +26,9 @@ from tidemark.llm import common as C
 SPACE = "▁"
 HOT = 1 << 18
 LIMIT = 4096
-#: Distinct pre-tokens that a task holds before it passes them on.
+#: Distinct pre-tokens, and characters of text, that a task counts before it passes them on.
 TASK_WORDS = 100_000
+TASK_CHARACTERS = 1 << 25
 
 
 @lru_cache(maxsize=2)
@@ -59,12 +60,14 @@ def pre_tokens(texts: DataFrame, path: str) -> DataFrame:
     def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, pattern = library(path)
         seen: Counter = Counter()
+        read = 0
         for batch in C.steps(batches, "text"):
             for text in batch.column("text").to_pylist():
                 seen.update(_words(text, pattern))
-            if len(seen) >= TASK_WORDS:
+                read += len(text)
+            if len(seen) >= TASK_WORDS or read >= TASK_CHARACTERS:
                 yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-                seen = Counter()
+                seen, read = Counter(), 0
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
@@ -76,13 +79,35 @@ def pre_tokens(texts: DataFrame, path: str) -> DataFrame:
     return distinct.mapInArrow(count, "word string, n bigint, pieces bigint")
 
 
+def hot_words(table: DataFrame, hot: int) -> DataFrame:
+    """word, pieces of at most `hot` words: all that occur at least as often as the least number of times that fits.
+
+    The numbers of words by the power of two that holds their frequency, and then by the frequency within one power, find
+    that number; no task gets more than a row for each."""
+    power = F.floor(F.log2(F.col("n").cast("double")))
+    sizes = dict(table.groupBy(power.alias("power")).count().collect())  # 64 rows at most
+    least, room = 1, hot
+    for p in sorted(sizes, reverse=True):
+        if sizes[p] > room:
+            step = max(1, (1 << p) >> 10)
+            inner = dict(table.filter(power == p).groupBy(F.expr(f"n div {step}").alias("part")).count().collect())  # 1024 rows at most
+            part = (2 << p) // step
+            while (taken := inner.get(part - 1, 0)) <= room and part * step > 1 << p:
+                part, room = part - 1, room - taken
+            least = part * step
+            break
+        room -= sizes[p]
+    return table.filter(F.col("n") >= least).select("word", "pieces")
+
+
 def token_counts(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """Per row of docs: id, n_bytes, n_tokens."""
     spark = docs.sparkSession
     texts = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     source = docs.select(F.col(f"`{id_column}`").alias("id"), F.xxhash64(texts).alias("rk"), F.octet_length(texts).cast("bigint").alias("n_bytes"), texts.alias("text"))
+    C.small_batches(spark)
     table = C.written(pre_tokens(source.select("text"), path), "pretokens")
-    top = table.orderBy(F.desc("n"), "word").limit(hot).select("word", "pieces").toArrow()  # `hot` rows at most
+    top = hot_words(table, hot).toArrow()  # `hot` rows at most
     known = spark.sparkContext.broadcast(dict(zip(top.column("word").to_pylist(), top.column("pieces").to_pylist(), strict=True)))
     kind = source.schema["id"].dataType.simpleString()
 
