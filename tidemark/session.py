@@ -30,12 +30,17 @@ def get_session(master: str = "local[8]", app: str = "tidemark", **extra: str) -
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in local runs one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local runs one of our own.
+
+    On a cluster without the setting this raises, as executors would not see a folder of the driver's machine.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
