@@ -40,15 +40,15 @@ from tidemark.llm import common as C
 LENGTH = 100
 KEY = 32
 #: Windows and bytes that a run sorts at once, and places that a task compares at once.
-RUN_WINDOWS = 400_000
-RUN_BYTES = 8 * C.STEP_BYTES
-TASK_PLACES = 600_000
+RUN_WINDOWS = 300_000
+RUN_BYTES = 6 * C.STEP_BYTES
+TASK_PLACES = 500_000
 #: Candidate places to a merging partition, about; with SPLIT times as many it is dealt out anew.
 PLACES_PER_MERGE = 60_000
 SPLIT = 4
 #: Entries that a merging partition judges at once (a group that shares KEY bytes stays whole), and windows.
 MERGE_ENTRIES = 5_000
-MERGE_WINDOWS = 400_000
+MERGE_WINDOWS = 300_000
 
 _NO_ID = (1 << 63) - 1
 
@@ -169,6 +169,8 @@ def places(docs: DataFrame, length: int, key: int) -> DataFrame:
                 held, n = [], 0
         if held:
             yield from report(held)
+        held = []
+        C.released()
 
     found = docs.mapInArrow(mapper, "hash bigint, rk bigint, place int, known binary")
     counted = found.withColumn("n", F.count("*").over(Window.partitionBy("hash")))
@@ -517,6 +519,8 @@ def removed_windows(docs: DataFrame, length: int = LENGTH, key: int = KEY) -> Da
                 run = Run(length, key)
         if run.windows:
             yield from of_blocks(run.blocks())
+        del run
+        C.released()
 
     def anew(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -529,6 +533,7 @@ def removed_windows(docs: DataFrame, length: int = LENGTH, key: int = KEY) -> Da
         flat = flat[np.argsort(flat[:, 0], kind="stable")]
         new = np.flatnonzero(np.append(True, flat[1:, 0] != flat[:-1, 0])) if len(flat) else np.zeros(0, np.int64)
         packs = [flat[a:b, 1:].astype(np.int32).tobytes() for a, b in zip(new, np.append(new[1:], len(flat)), strict=True)] if len(flat) else []
+        C.released()
         return pa.table({"rk": pa.array(flat[new, 0] if len(flat) else [], pa.int64()), "windows": pa.array(packs, pa.binary())})
 
     blocks = C.written(held.select("id", "rk", "text", "single", "known").mapInArrow(cut, "part bigint, n int, block binary"), "blocks")
