@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -31,20 +32,40 @@ def table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_left = threading.local()
+
+
+def _paths() -> list[str]:
+    """Folders that this thread has written and not deleted, in order."""
+    if not hasattr(_left, "paths"):
+        _left.paths = []
+    return _left.paths
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it back, so that a lost executor costs no recomputation."""
     path = table_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths().append(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made.stored_at = path
+    return made
+
+
+def mark() -> int:
+    """A point in this thread's work, for dropped()."""
+    return len(_paths())
 
 
-def dropped(df: DataFrame) -> None:
-    """Delete the files of a table made by written() once nothing needs them."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if path.split("://")[-1].lstrip("/").startswith(shared_folder(spark).split("://")[-1].split(":")[-1].lstrip("/")):
+def dropped(spark: SparkSession, since: int = 0, keep: tuple[DataFrame, ...] = ()) -> None:
+    """Delete the tables that this thread has written since a mark, once their readers have stored what they made of them;
+    tables in `keep` stay."""
+    paths, held = _paths(), {df.stored_at for df in keep}
+    for path in paths[since:]:
+        if path not in held:
             target = spark._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    paths[since:] = [p for p in paths[since:] if p in held]
 
 
 def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -230,6 +230,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def grouped(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per row of docs: id, rk (hash of id and text), node, n_shingles, component_id, kept."""
+    begun = C.mark()
     rows = C.written(sketched(docs, id_column, text, shingle), "sketches")
     nodes = rows.filter("node IS NOT NULL").groupBy("node").agg(
         F.min("id").alias("least_id"), F.min(F.struct("id", "rk"))["rk"].alias("rk"), F.first("sig").alias("sig")
@@ -257,6 +258,7 @@ def grouped(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shin
     named = C.written(named, "named")
     least = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
     of_node = C.written(named.join(least, "label").select("node", "label", "component_id"), "components")
+    C.dropped(docs.sparkSession, begun, keep=(rows, of_node))
     # rows without words have no node: joined, they would all meet in one task
     alone = rows.filter("node IS NULL").select("*", F.lit(None).cast("binary").alias("label"), F.col("id").alias("component_id"))
     joined = rows.filter("node IS NOT NULL").join(of_node, "node").unionByName(alone)
