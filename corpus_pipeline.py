@@ -1,7 +1,8 @@
 """The corpus pipeline: documents in, encoded training documents out.
 
 Each stage takes (spark, docs, sf_dir) and works on every document its predecessor kept. All but the last return the
-columns of documents; n_chars follows the text where a stage shortens it.
+columns of documents; n_chars follows the text where a stage shortens it. A stage's rows are stored before the next one
+begins, so the next one deletes the tables that it left in the shared folder.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, near_dedup, pieces, quality, suffixes
-from tidemark.llm.common import table_path
+from tidemark.llm.common import dropped, table_path
+from tidemark.operators.sinks import removed
 from tidemark.sources.tables import read_table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -24,11 +26,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: sets of five words, similarity 0.8 or more."""
+    dropped(spark)
     return near_dedup.one_of_each(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose every 100-byte string that also starts earlier; documents with nothing left go."""
+    dropped(spark)
     short = suffixes.without_repeats(docs)
     if "n_chars" in docs.columns:
         short = short.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -37,11 +41,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the benchmark contaminates go."""
+    dropped(spark)
     return decontaminate.decontaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def sentencepiece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids, decoded (the text as the ids give it back)."""
+    dropped(spark)
     made = pieces.encoded(docs.select("doc_id", "lang", "source", "text"), PIECE_MODEL)
     return made.select("row.doc_id", "row.lang", "row.source", F.size("ids").cast("bigint").alias("n_tokens"), "ids", "decoded")
 
@@ -60,12 +66,14 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each stage's rows are written to the shared folder and read again."""
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for number, (_, stage) in enumerate(STAGES):
         made = stage(spark, docs, sf_dir)
         if number == len(STAGES) - 1:
             return made
         path = table_path(spark, f"stage{number}")
         made.write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            removed(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs

@@ -228,8 +228,8 @@ sql(
     SELECT event_type, round(percentile(CAST(coalesce(s, 0) AS DOUBLE), 0.95) * 1.5, 2) AS seed
     FROM days CROSS JOIN types LEFT JOIN spent ON t = event_type AND d = day GROUP BY event_type""",
     """
-    WITH days AS (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY)) AS DATE) AS day), types AS (SELECT DISTINCT event_type FROM events),
-         spent AS (SELECT event_type AS t, CAST(ts AS DATE) AS d, sum(CAST(value AS DECIMAL(18,2))) AS s FROM events WHERE user_id % 10 = 0 GROUP BY event_type, CAST(ts AS DATE))
+    WITH days AS (SELECT CAST(unnest(generate_series(CAST(max(ts) AS DATE) - 30, CAST(max(ts) AS DATE) - 1, INTERVAL 1 DAY)) AS DATE) AS day FROM events), types AS (SELECT DISTINCT event_type FROM events),
+         spent AS (SELECT event_type AS t, CAST(ts AS DATE) AS d, sum(CAST(value AS DECIMAL(18,2))) AS s FROM events GROUP BY event_type, CAST(ts AS DATE))
     SELECT event_type, round(quantile_cont(CAST(coalesce(s, 0) AS DOUBLE), 0.95) * 1.5, 2) AS seed
     FROM days CROSS JOIN types LEFT JOIN spent ON t = event_type AND d = day GROUP BY event_type""",
 )
@@ -382,9 +382,9 @@ sql(
 sql(
     "agg_month_endpoint_stats",
     """
-    SELECT o_custkey, count(*) AS calls, count(*) FILTER (WHERE o_orderstatus = 'F') AS ok, count(*) FILTER (WHERE o_orderstatus = 'P') AS limited,
+    SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, o_custkey, count(*) AS calls, count(*) FILTER (WHERE o_orderstatus = 'F') AS ok, count(*) FILTER (WHERE o_orderstatus = 'P') AS limited,
            CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS mean, count(DISTINCT o_orderpriority) AS endpoints
-    FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-01 00:00:00' AND o_orderdate < TIMESTAMP '2000-02-01 00:00:00' GROUP BY o_custkey""",
+    FROM orders GROUP BY CAST(date_trunc('month', o_orderdate) AS DATE), o_custkey""",
 )
 sql(
     "agg_reserved_and_split",

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.windows import running
-from tidemark.plans.registry import query, sql
-from tidemark.sources.tables import read_table, register_views
+from tidemark.plans.registry import frame, query, sql
+from tidemark.sources.tables import read_table
 
 _SHARE = {"spark": "conv(substr(sha2({key}, 256), 1, 8), 16, 10)", "duck": "CAST('0x' || substr(sha256({key}), 1, 8) AS BIGINT)"}
 
@@ -120,13 +120,12 @@ def sign_p(a: int, b: int) -> float | None:
     "ev_sign_test",
     f"""
     WITH t AS (SELECT source, count(CASE WHEN judge AND NOT label THEN 1 END) AS a, count(CASE WHEN label AND NOT judge THEN 1 END) AS b FROM ({_JUDGED}) GROUP BY source),
-         k AS (SELECT source, a, b, unnest(generate_series(0, 20)) AS i FROM t WHERE a + b BETWEEN 1 AND 20)
-    SELECT source, a, b, round(least(CAST(1 AS DOUBLE), 2 * sum(CAST(factorial(CAST(a + b AS INT)) AS DOUBLE) / CAST(factorial(CAST(i AS INT)) * factorial(CAST(a + b - i AS INT)) AS DOUBLE) / pow(2, a + b))), 6) AS p
-    FROM k WHERE i <= least(a, b) GROUP BY source, a, b""",
+         k AS (SELECT source, a, b, unnest(generate_series(0, least(a, b))) AS i FROM t)
+    SELECT source, a, b, CASE WHEN a + b > 0 THEN round(least(CAST(1 AS DOUBLE), 2 * sum(exp(lgamma(a + b + 1) - lgamma(i + 1) - lgamma(a + b - i + 1) - (a + b) * ln(2)))), 6) END AS p
+    FROM k GROUP BY source, a, b""",
 )
 def ev_sign_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    register_views(spark, sf_dir, "documents", "labels")
-    counts = spark.sql(f"SELECT source, count(CASE WHEN judge AND NOT label THEN 1 END) AS a, count(CASE WHEN label AND NOT judge THEN 1 END) AS b FROM ({_JUDGED}) GROUP BY source")
+    counts = frame(spark, sf_dir, f"SELECT source, count(CASE WHEN judge AND NOT label THEN 1 END) AS a, count(CASE WHEN label AND NOT judge THEN 1 END) AS b FROM ({_JUDGED}) GROUP BY source")
     return counts.withColumn("p", F.round(F.udf(sign_p, "double")("a", "b"), 6))
 
 

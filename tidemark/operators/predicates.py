@@ -65,8 +65,8 @@ sql(
 )
 sql(
     "prj_coalesce_chain",
-    "SELECT event_id, coalesce(CASE WHEN event_type = 'purchase' THEN CAST(value AS BIGINT) END, try_cast(get_json_object(props, '$.k') AS BIGINT), 0) AS amount FROM events WHERE value = floor(value) OR event_type <> 'purchase'",
-    "SELECT event_id, coalesce(CASE WHEN event_type = 'purchase' THEN CAST(value AS BIGINT) END, try_cast(json_extract_string(props, '$.k') AS BIGINT), 0) AS amount FROM events WHERE value = floor(value) OR event_type <> 'purchase'",
+    "SELECT event_id, coalesce(CASE WHEN event_type = 'purchase' THEN CAST(floor(value) AS BIGINT) END, try_cast(get_json_object(props, '$.k') AS BIGINT), 0) AS amount FROM events",
+    "SELECT event_id, coalesce(CASE WHEN event_type = 'purchase' THEN CAST(floor(value) AS BIGINT) END, try_cast(json_extract_string(props, '$.k') AS BIGINT), 0) AS amount FROM events",
 )
 sql(
     "prj_dimension_case",

@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.joins import latest_per_key
-from tidemark.plans.registry import query, sql
+from tidemark.plans.registry import frame, query, sql
 from tidemark.session import shared_folder
-from tidemark.sources.tables import read_table, register_views
+from tidemark.sources.tables import read_table
 
 
 def running(df: DataFrame, order: list[str], value: Column, name: str) -> DataFrame:
@@ -228,8 +228,7 @@ sql(
     SELECT o_orderkey, bucket, CAST(row_number() OVER (PARTITION BY bucket ORDER BY CASE WHEN bucket = 1 THEN -o_totalprice END, o_orderdate, o_orderkey) AS BIGINT) AS place FROM b""",
 )
 def top_priority_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    register_views(spark, sf_dir, "orders")
-    rows = spark.sql("""
+    rows = frame(spark, sf_dir, """
         SELECT o_orderkey, o_orderdate, bucket, CASE WHEN bucket = 1 THEN -o_totalprice END AS price FROM (
             SELECT *, CASE WHEN o_orderstatus = 'O' THEN 1 WHEN o_orderdate < TIMESTAMP '1998-01-01 00:00:00' THEN 2 ELSE 3 END AS bucket FROM orders)""")
     sizes = dict(rows.groupBy("bucket").count().collect())  # three rows

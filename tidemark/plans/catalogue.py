@@ -1,4 +1,4 @@
 """Import every module that registers queries."""
 
-from tidemark.operators import aggregates, evaluation, graph, joins, parsers, predicates, retention, text, windows  # noqa: F401
+from tidemark.operators import aggregates, evaluation, graph, joins, parsers, predicates, retention, sinks, text, windows  # noqa: F401
 from tidemark.streaming import rollups  # noqa: F401

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.sources.tables import TABLES, register_views
+from tidemark.sources.tables import TABLES, views
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,13 +29,17 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def frame(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """Spark SQL over the base tables of a folder."""
+    with views(spark, sf_dir, [t for t in TABLES if re.search(rf"\b{t}\b", text)]):
+        return spark.sql(text)
+
+
 def sql(name: str, text: str, oracle: str | None = None) -> None:
     """Register a query written in Spark SQL over the base tables; the oracle's text is the same unless given."""
-    tables = [t for t in TABLES if re.search(rf"\b{t}\b", text)]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        register_views(spark, sf_dir, *tables)
-        return spark.sql(text)
+        return frame(spark, sf_dir, text)
 
     run.__name__ = name
     query(name, oracle or text)(run)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -14,7 +17,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def register_views(spark: SparkSession, sf_dir: str, *names: str) -> None:
-    """Temp views for spark.sql; a later call with another folder replaces them."""
-    for name in names or TABLES:
-        read_table(spark, sf_dir, name).createOrReplaceTempView(name)
+@contextmanager
+def views(spark: SparkSession, sf_dir: str, names: Iterable[str]) -> Iterator[None]:
+    """The tables as temp views for spark.sql; the session's own views of these names come back afterwards."""
+    own = {n: spark.table(n) for n in names if spark.catalog.tableExists(n) and spark.catalog.getTable(n).isTemporary}
+    try:
+        for n in names:
+            read_table(spark, sf_dir, n).createOrReplaceTempView(n)
+        yield
+    finally:
+        for n in names:
+            spark.catalog.dropTempView(n)
+        for n, rows in own.items():
+            rows.createOrReplaceTempView(n)

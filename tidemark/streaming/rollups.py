@@ -1,33 +1,48 @@
-"""Structured Streaming forms of the roll-ups: tumbling windows, per-minute limits and idempotent keys."""
+"""Structured Streaming forms of the roll-ups, limits, debounced queues and idempotent keys.
+
+The events table comes as several files in order of arrival, one a batch, so batches, late rows and state are real: every
+fiftieth event arrives with the next file (about six days late).
+"""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidemark.plans.registry import query
+from tidemark.operators.sinks import VersionedTable
+from tidemark.plans.registry import frame, query
 from tidemark.session import shared_folder
 
+FILES = 6
+#: The file in which an event comes, in SQL.
+ARRIVAL = "CAST(least(4, floor((day(ts) - 1) / 6)) + CASE WHEN event_id % 50 = 0 THEN 1 ELSE 0 END AS INT)"
+
 
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream of files."""
-    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+def event_stream(spark: SparkSession, sf_dir: str, late: bool = True) -> DataFrame:
+    """The events as a stream of FILES files; without `late` each comes with its own days."""
+    path = f"{shared_folder(spark)}/arrivals-{uuid.uuid4().hex}"
+    rows = frame(spark, sf_dir, f"SELECT *, {ARRIVAL if late else ARRIVAL.replace('% 50 = 0', '< 0')} AS arrival FROM events")
+    for number in range(FILES):  # one after another: a file source reads files in the order of their times
+        rows.filter(F.col("arrival") == number).drop("arrival").coalesce(1).write.parquet(f"{path}/{number}")
+    stream = spark.readStream.schema(rows.drop("arrival").schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(path)
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def run_available(frame: DataFrame) -> DataFrame:
-    """Run the stream over what is there, each batch's changed rows replacing the earlier ones, and return the result."""
-    spark = frame.sparkSession
+def run_available(stream: DataFrame, mode: str = "update") -> DataFrame:
+    """Run the stream over what is there, one file a batch, and return every row that it let out with its `_batch`."""
+    spark = stream.sparkSession
     path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_batch", F.lit(number)).write.mode("append").parquet(path + "/out")
+        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/out/{number}")  # a batch run again replaces itself
 
-    frame.writeStream.outputMode("update").option("checkpointLocation", path + "/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
-    return spark.read.parquet(path + "/out")
+    stream.writeStream.outputMode(mode).option("checkpointLocation", path + "/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    return spark.read.option("recursiveFileLookup", "true").parquet(path + "/out")
 
 
 def newest(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -35,29 +50,114 @@ def newest(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), "_batch").alias("v")).select(*keys, *[F.col(f"v.{c}").alias(c) for c in columns])
 
 
-@query("st_tumbling_hour", "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS cost FROM events GROUP BY 1, 2")
-def st_tumbling_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = event_stream(spark, sf_dir).withWatermark("ts", "6 hours")
-    rolled = stream.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("cost"))
+def hourly(stream: DataFrame, late: str) -> DataFrame:
+    """hour, event_type, n, cost: rows up to `late` behind the newest are rolled into their hour again, others are dropped."""
+    rolled = stream.withWatermark("ts", late).groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("cost"))
     out = run_available(rolled.select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", "cost"))
     return newest(out, ["hour", "event_type"], ["n", "cost"])
 
 
-@query("st_tumbling_minute_limit", "SELECT date_trunc('minute', ts) AS minute, count(*) AS n, count(*) > 1 AS limited FROM events GROUP BY 1")
+_ROLL = "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS cost FROM {} GROUP BY 1, 2"
+#: What a batch may still take: its rows' hours end after the bound that held in the batch before, the newest time of the
+#: batches before that one less six hours.
+_TAKEN = f"""(WITH a AS (SELECT *, {ARRIVAL} AS arrival FROM events), m AS (SELECT arrival, max(ts) AS newest FROM a GROUP BY arrival),
+    seen AS (SELECT a.*, (SELECT max(newest) FROM m WHERE m.arrival < a.arrival - 1) AS before FROM a)
+    SELECT * FROM seen WHERE before IS NULL OR date_trunc('hour', ts) + INTERVAL 1 HOUR > before - INTERVAL 6 HOUR)"""
+
+
+@query("st_tumbling_hour", _ROLL.format("events"))
+def st_tumbling_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Late rows within the bound (here two weeks) change their hours after these were rolled first."""
+    return hourly(event_stream(spark, sf_dir), "14 days")
+
+
+@query("st_late_bound", _ROLL.format(_TAKEN))
+def st_late_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a bound of six hours, hours behind it are never rolled again."""
+    return hourly(event_stream(spark, sf_dir), "6 hours")
+
+
+@query("st_tumbling_minute_limit", "SELECT user_id % 5 AS tenant, date_trunc('minute', ts) AS minute, count(*) AS n, count(*) > 1 AS limited FROM events GROUP BY 1, 2")
 def st_tumbling_minute_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = event_stream(spark, sf_dir).withWatermark("ts", "10 minutes")
-    counted = stream.groupBy(F.window("ts", "1 minute").alias("w")).agg(F.count("*").alias("n"))
-    out = run_available(counted.select(F.col("w.start").cast("timestamp_ntz").alias("minute"), "n", (F.col("n") > 1).alias("limited")))
-    return newest(out, ["minute"], ["n", "limited"])
+    stream = event_stream(spark, sf_dir, late=False).withWatermark("ts", "10 minutes").withColumn("tenant", F.col("user_id") % 5)
+    counted = stream.groupBy("tenant", F.window("ts", "1 minute").alias("w")).agg(F.count("*").alias("n"))
+    out = run_available(counted.select("tenant", F.col("w.start").cast("timestamp_ntz").alias("minute"), "n", (F.col("n") > 1).alias("limited")))
+    return newest(out, ["tenant", "minute"], ["n", "limited"])
+
+
+#: Attempts in a window, failures before the first wait, the first and the longest wait (seconds).
+ATTEMPTS, FAILURES, FIRST_WAIT, LONGEST_WAIT = 6, 2, 30, 900
+
+
+@query(
+    "st_login_window",
+    f"""SELECT user_id % 20 AS ip, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01 00:00:00') AS since, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS failures, count(*) > {ATTEMPTS} AS limited,
+    CAST(CASE WHEN count(*) FILTER (WHERE event_type = 'error') < {FAILURES} THEN 0 ELSE least({LONGEST_WAIT}, {FIRST_WAIT} * pow(2, count(*) FILTER (WHERE event_type = 'error') - {FAILURES})) END AS INT) AS wait FROM events GROUP BY 1, 2""",
+)
+def st_login_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts and failures of an address in fixed windows; the wait doubles with each failure from the threshold on."""
+    stream = event_stream(spark, sf_dir, late=False).withWatermark("ts", "6 hours").withColumn("ip", F.col("user_id") % 20)
+    failures = F.count_if(F.col("event_type") == "error")
+    counted = stream.groupBy("ip", F.window("ts", "6 hours").alias("w")).agg(F.count("*").alias("n"), failures.alias("failures"))
+    wait = F.when(F.col("failures") < FAILURES, 0).otherwise(F.least(F.lit(LONGEST_WAIT), FIRST_WAIT * F.pow(F.lit(2.0), F.col("failures") - FAILURES))).cast("int")
+    out = run_available(counted.select("ip", F.col("w.start").cast("timestamp_ntz").alias("since"), "n", "failures", (F.col("n") > ATTEMPTS).alias("limited"), wait.alias("wait")))
+    return newest(out, ["ip", "since"], ["n", "failures", "limited", "wait"])
+
+
+#: Seconds that a queued job waits for more, and that it waits at most.
+DEBOUNCE, LONGEST = 1800, 7200
+
+
+def debounced(stream: DataFrame, key: str) -> DataFrame:
+    """Jobs (key, created, run_after, n) of a stream in time order: an enqueue joins the key's queued job and puts it off,
+    until the job runs; then the next one opens a new job. A job is put out again whenever it changes."""
+
+    def absorb(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        job, changed = (list(state.get) if state.exists else None), {}
+        times = pd.concat([b["ts"] for b in batches]).sort_values()
+        for t in (x.timestamp() for x in times):
+            if job is None or t >= job[1]:
+                job = [t, t + DEBOUNCE, 1]
+            else:
+                job = [job[0], max(job[1], min(job[0] + LONGEST, t + DEBOUNCE)), job[2] + 1]
+            changed[job[0]] = list(job)
+        state.update(tuple(job))
+        yield pd.DataFrame([(keys[0], *j) for j in changed.values()], columns=[key, "created", "run_after", "n"])
+
+    kind = stream.schema[key].dataType.simpleString()
+    out = f"{key} {kind}, created double, run_after double, n bigint"
+    return stream.select(key, "ts").groupBy(key).applyInPandasWithState(absorb, out, "created double, run_after double, n bigint", "update", GroupStateTimeout.NoTimeout)
+
+
+@query(
+    "st_debounce",
+    f"""WITH RECURSIVE e AS (SELECT user_id % 50 AS kind, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id % 50 ORDER BY ts, event_id) AS i FROM events),
+    j AS (SELECT kind, i, t AS created, t + {DEBOUNCE} AS run_after, 1 AS n FROM e WHERE i = 1
+        UNION ALL SELECT e.kind, e.i, CASE WHEN t >= run_after THEN t ELSE created END, CASE WHEN t >= run_after THEN t + {DEBOUNCE} ELSE greatest(run_after, least(created + {LONGEST}, t + {DEBOUNCE})) END, CASE WHEN t >= run_after THEN 1 ELSE n + 1 END FROM j JOIN e ON e.kind = j.kind AND e.i = j.i + 1)
+    SELECT kind, CAST(round(created) AS BIGINT) AS created, CAST(round(max(run_after)) AS BIGINT) AS run_after, CAST(max(n) AS BIGINT) AS n FROM j GROUP BY kind, created""",
+)
+def st_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stream = event_stream(spark, sf_dir, late=False).withColumn("kind", F.col("user_id") % 50)
+    jobs = newest(run_available(debounced(stream, "kind")), ["kind", "created"], ["run_after", "n"])
+    return jobs.select("kind", *[F.round(c).cast("bigint").alias(c) for c in ("created", "run_after")], "n")
 
 
 @query("st_idempotency_key", "SELECT DISTINCT user_id, event_type FROM events")
 def st_idempotency_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = event_stream(spark, sf_dir).select("ts", "user_id", "event_type").withWatermark("ts", "60 days")
-    return run_available(stream.dropDuplicatesWithinWatermark(["user_id", "event_type"]).select("user_id", "event_type")).select("user_id", "event_type").distinct()
+    """One row a key, ever: the keys stay in the state store, however late one comes again."""
+    stream = event_stream(spark, sf_dir).select("user_id", "event_type").dropDuplicates(["user_id", "event_type"])
+    return run_available(stream, "append").select("user_id", "event_type")
 
 
-@query("st_lease_reaper", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' AND o_orderdate < TIMESTAMP '1997-01-01 00:00:00'")
+@query(
+    "st_lease_reaper",
+    "SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'P' AND o_orderdate < TIMESTAMP '1997-01-01 00:00:00' THEN 'queued' WHEN o_orderstatus = 'P' THEN 'running' ELSE 'done' END AS status, CASE WHEN o_orderstatus = 'P' AND o_orderdate < TIMESTAMP '1997-01-01 00:00:00' THEN 2 ELSE 1 END AS attempt FROM orders",
+)
 def st_lease_reaper(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir.rstrip('/')}/orders.parquet")
-    return orders.filter((F.col("o_orderstatus") == "P") & (F.col("o_orderdate") < F.lit("1997-01-01").cast("timestamp_ntz"))).select("o_orderkey")
+    """Jobs that run past their lease go back to the queue with one more attempt; reaping again changes nothing."""
+    jobs = VersionedTable(spark, f"{shared_folder(spark)}/jobs-{uuid.uuid4().hex}")
+    jobs.replace(frame(spark, sf_dir, "SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'P' THEN 'running' ELSE 'done' END AS status, 1 AS attempt, o_orderdate AS locked_until FROM orders"))
+    expired = (F.col("status") == "running") & (F.col("locked_until") < F.lit("1997-01-01 00:00:00").cast("timestamp_ntz"))
+    for _ in range(2):
+        jobs.replace(jobs.read().select("id", F.when(expired, "queued").otherwise(F.col("status")).alias("status"), (F.col("attempt") + expired.cast("int")).alias("attempt"), "locked_until"))
+    return jobs.read().select("id", "status", "attempt")
