@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
-import random
+import unicodedata
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def words(text: Column, pattern: str = "[a-z0-9']+") -> Column:
@@ -20,12 +21,18 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def shingles(tokens: Column, n: int) -> Column:
-    """The distinct runs of n tokens, joined by spaces."""
+def hashed(tokens: Column) -> Column:
+    """64-bit hashes in place of the tokens: smaller to sort, shuffle and compare."""
+    return F.transform(tokens, lambda t: F.xxhash64(t))
+
+
+def shingles(tokens: Column, n: int, joined: Callable[..., Column] | None = None) -> Column:
+    """The distinct runs of n tokens, joined by spaces or by `joined` (of n columns)."""
+    made = joined or (lambda *parts: F.concat_ws(" ", *parts))
 
     def runs(t: Column) -> Column:
         starts = F.when(F.size(t) >= n, F.sequence(F.lit(0), F.size(t) - n)).otherwise(F.array().cast("array<int>"))
-        return F.array_distinct(F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(t, i + k) for k in range(n)])))
+        return F.array_distinct(F.transform(starts, lambda i: made(*[F.get(t, i + k) for k in range(n)])))
 
     return let(tokens, runs)
 
@@ -36,20 +43,37 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), common / total)
 
 
-def containment(a: Column, b: Column) -> Column:
-    return F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(a))
+def _bare(letter: str) -> str:
+    """A letter without its marks, and without a stroke where Unicode names one."""
+    plain = "".join(c for c in unicodedata.normalize("NFKD", letter) if not unicodedata.combining(c))
+    if plain == letter and " WITH " in (name := unicodedata.name(letter, "")):
+        try:
+            plain = unicodedata.lookup(name.split(" WITH ")[0])
+        except KeyError:
+            return letter
+    return plain
 
 
-#: What accented letters fold to, letter by letter.
-ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+#: Lower-case Latin letters with marks, and what they fold to; letters that fold to two are replaced apart.
+_FOLDED = {c: _bare(c) for c in map(chr, [*range(0xDF, 0x250), *range(0x1E00, 0x1F00)]) if c.islower()}
+ACCENTED = "".join(c for c, to in _FOLDED.items() if len(to) == 1 and to.isascii())
+PLAIN = "".join(to for to in _FOLDED.values() if len(to) == 1 and to.isascii())
+LIGATURES = {"ß": "ss", "æ": "ae", "œ": "oe", "ij": "ij", "þ": "th", "đ": "d", "ð": "d", "ı": "i"}
 
 
 def folded(text: Column) -> Column:
-    """Lower case without accents, all but letters and digits a single space."""
+    """Lower case without accents, all but letters and digits a single space, without an article in front."""
     plain = F.translate(F.lower(text), ACCENTED, PLAIN)
-    plain = F.replace(F.replace(F.replace(plain, F.lit("ß"), F.lit("ss")), F.lit("æ"), F.lit("ae")), F.lit("œ"), F.lit("oe"))
-    return F.trim(F.regexp_replace(plain, "[^a-z0-9]+", " "))
+    for letter, to in LIGATURES.items():
+        plain = F.replace(plain, F.lit(letter), F.lit(to))
+    return F.regexp_replace(F.trim(F.regexp_replace(plain, "[^a-z0-9]+", " ")), "^(?:the|a|an) (?=.)", "")
+
+
+def nfkc(text: Column) -> Column:
+    """Unicode's compatibility form; plain ASCII stays in the JVM."""
+    return F.when(text.rlike(r"^\p{ASCII}*$"), text).otherwise(_nfkc(text))
 
 
-def stable_choice(seed: str, n: int) -> int:
-    return random.Random(hashlib.sha256(seed.encode()).digest()).randrange(n)
+@F.pandas_udf(T.StringType())
+def _nfkc(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: t if t is None else unicodedata.normalize("NFKC", t))

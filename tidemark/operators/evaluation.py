@@ -52,11 +52,12 @@ _JUDGED = "SELECT documents.doc_id, documents.source, n_chars / 400.0 AS raw, n_
 _WILSON = "(p + 1.9207 / n - 1.96 * sqrt((p * (1 - p) + 0.9604 / n) / n)) / (1 + 3.8416 / n)"
 
 sql("ev_wilson_lower", f"SELECT source, n, CASE WHEN n > 0 THEN round({_WILSON}, 6) END AS low FROM (SELECT source, count(*) AS n, count(CASE WHEN label THEN 1 END) / CAST(count(*) AS DOUBLE) AS p FROM ({_JUDGED}) GROUP BY source)".replace("1.9207", "CAST(1.9207 AS DOUBLE)").replace("1.96 ", "CAST(1.96 AS DOUBLE) ").replace("0.9604", "CAST(0.9604 AS DOUBLE)").replace("3.8416", "CAST(3.8416 AS DOUBLE)"))
+#: Precision, its lower bound, the number of labelled violations and the agreement; without a judged row nothing passes.
 sql(
     "ev_bar_passes",
     f"""
-    SELECT source, n_pos, prec >= 0.8 AND n_pos >= 5 AND agree >= 0.6 AS passes FROM (
-        SELECT source, count(CASE WHEN judge THEN 1 END) AS n_pos, count(CASE WHEN judge AND label THEN 1 END) / CAST(nullif(count(CASE WHEN judge THEN 1 END), 0) AS DOUBLE) AS prec,
+    SELECT source, n_pos, CASE WHEN n = 0 THEN false ELSE p >= 0.8 AND n_pos >= 5 AND agree >= 0.6 AND {_WILSON} >= 0.5 END AS passes FROM (
+        SELECT source, CAST(count(CASE WHEN judge THEN 1 END) AS DOUBLE) AS n, count(CASE WHEN label THEN 1 END) AS n_pos, count(CASE WHEN judge AND label THEN 1 END) / CAST(nullif(count(CASE WHEN judge THEN 1 END), 0) AS DOUBLE) AS p,
                count(CASE WHEN judge = label THEN 1 END) / CAST(count(*) AS DOUBLE) AS agree FROM ({_JUDGED}) GROUP BY source)""",
 )
 _MIN_FLAGGED = """
@@ -64,12 +65,44 @@ _MIN_FLAGGED = """
     SELECT p, CAST(min(n) AS BIGINT) AS least FROM grid
     WHERE (p + CAST(1.9207 AS DOUBLE) / n - CAST(1.96 AS DOUBLE) * sqrt((p * (1 - p) + CAST(0.9604 AS DOUBLE) / n) / n)) / (1 + CAST(3.8416 AS DOUBLE) / n) >= 0.85 GROUP BY p"""
 sql("ev_min_flagged", _MIN_FLAGGED.format(series="explode(sequence(1, 5000))"), _MIN_FLAGGED.format(series="unnest(generate_series(1, 5000))"))
-sql(
+_RATES = f"SELECT source, count(*) AS n, count(CASE WHEN judge THEN 1 END) AS flagged, count(CASE WHEN label THEN 1 END) AS violations, count(CASE WHEN judge AND label THEN 1 END) AS tp FROM ({_JUDGED}) GROUP BY source"
+BAR_PRECISION, BAR_BOUND, BAR_POSITIVES, HELD_OUT = 0.8, 0.6, 15, 0.2
+
+
+def wilson_lower(successes: int, n: int, z: float = 1.96) -> float:
+    p, z2 = successes / n, z * z
+    return max(0.0, (p + z2 / (2 * n) - z * math.sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n))
+
+
+def least_flagged(precision: float | None) -> int | None:
+    """The fewest flagged claims that clear the bar at an observed precision, whole true positives rounded down."""
+    if precision is None or precision < BAR_PRECISION:
+        return None
+    for n in range(1, 5001):
+        tp = math.floor(precision * n + 1e-9)
+        if tp / n >= BAR_PRECISION and wilson_lower(tp, n) >= BAR_BOUND:
+            return n
+    return None
+
+
+_NEED = f"SELECT min(k) FROM (SELECT unnest(generate_series(1, 5000)) AS k) g WHERE floor(p * k + 1e-9) / k >= {BAR_PRECISION} AND p >= {BAR_PRECISION} AND ((floor(p * k + 1e-9) / k) + 1.9208 / k - 1.96 * sqrt(((floor(p * k + 1e-9) / k) * (1 - floor(p * k + 1e-9) / k) + 0.9604 / k) / k)) / (1 + 3.8416 / k) >= {BAR_BOUND}"
+
+
+@query(
     "ev_label_budget",
-    f"""
-    SELECT source, n, flagged, CAST(ceil(100 / CAST(nullif(flagged, 0) AS DOUBLE) * n) AS BIGINT) AS to_label
-    FROM (SELECT source, count(*) AS n, count(CASE WHEN judge THEN 1 END) AS flagged FROM ({_JUDGED}) GROUP BY source)""",
+    f"""WITH r AS (SELECT *, CASE WHEN flagged > 0 THEN tp / CAST(flagged AS DOUBLE) END AS p FROM ({_RATES}) t), k AS (SELECT *, ({_NEED}) AS need FROM r)
+    SELECT source, n, flagged, need, CASE WHEN need IS NOT NULL AND violations > 0 THEN CAST(ceil(greatest(ceil(need * n / CAST(flagged AS DOUBLE) - 1e-9), ceil({BAR_POSITIVES} * n / CAST(violations AS DOUBLE) - 1e-9)) / {HELD_OUT} - 1e-9) AS BIGINT) END AS to_label FROM k""",
 )
+def ev_label_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims to label so that the held-out fifth alone clears the bar; null where it is out of reach."""
+    rates = frame(spark, sf_dir, _RATES)
+    need = F.udf(least_flagged, "int")(F.try_divide("tp", "flagged"))
+    held = lambda wanted, of: F.ceil(wanted * F.col("n") / F.col(of) - 1e-9)
+    known = rates.withColumn("need", need.cast("bigint"))
+    total = F.ceil(F.greatest(held(F.col("need"), "flagged"), held(F.lit(BAR_POSITIVES), "violations")) / HELD_OUT - 1e-9).cast("bigint")
+    return known.select("source", "n", "flagged", "need", F.when(F.col("need").isNotNull() & (F.col("violations") > 0), total).alias("to_label"))
+
+
 _KAPPA = "CASE WHEN pe < 1 THEN round((po - pe) / (1 - pe), 6) END"
 _PE = "(tp + tn) / n AS po, ((tp + fp) * (tp + fn) + (fn + tn) * (fp + tn)) / (n * n) AS pe"
 _COUNTS = "CAST(count(CASE WHEN judge AND label THEN 1 END) AS DOUBLE) AS tp, CAST(count(CASE WHEN judge AND NOT label THEN 1 END) AS DOUBLE) AS fp, CAST(count(CASE WHEN NOT judge AND label THEN 1 END) AS DOUBLE) AS fn, CAST(count(CASE WHEN NOT judge AND NOT label THEN 1 END) AS DOUBLE) AS tn, CAST(count(*) AS DOUBLE) AS n"
@@ -77,7 +110,8 @@ sql("ev_cohen_kappa", f"SELECT source, {_KAPPA} AS kappa FROM (SELECT source, {_
 _SWEEP = """
     WITH bars AS (SELECT b / CAST(2 AS DOUBLE) AS bar FROM (SELECT {series} AS b)),
          j AS (SELECT bar, raw >= bar AS judge, label FROM ({judged}) CROSS JOIN bars)
-    SELECT bar, {kappa} AS kappa FROM (SELECT bar, {pe} FROM (SELECT bar, {counts} FROM j GROUP BY bar))"""
+    SELECT bar, kappa, coalesce(kappa = max(kappa) OVER () AND row_number() OVER (ORDER BY kappa DESC NULLS LAST, bar) = 1, false) AS best
+    FROM (SELECT bar, {kappa} AS kappa FROM (SELECT bar, {pe} FROM (SELECT bar, {counts} FROM j GROUP BY bar)))"""  # twelve bars
 _sweep = {"judged": _JUDGED, "kappa": _KAPPA, "pe": _PE, "counts": _COUNTS}
 sql("ev_threshold_sweep", _SWEEP.format(series="explode(sequence(8, 19))", **_sweep), _SWEEP.format(series="unnest(generate_series(8, 19))", **_sweep))
 sql(
@@ -129,14 +163,15 @@ def ev_sign_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("p", F.round(F.udf(sign_p, "double")("a", "b"), 6))
 
 
-sql(
-    "ev_paired_decision",
-    """
-    WITH arms AS (SELECT o_custkey, max(CASE WHEN o_orderpriority = '1-URGENT' THEN o_totalprice END) AS a, max(CASE WHEN o_orderpriority = '5-LOW' THEN o_totalprice END) AS b FROM orders GROUP BY o_custkey),
-         d AS (SELECT a - b AS diff FROM arms WHERE a IS NOT NULL AND b IS NOT NULL),
-         s AS (SELECT count(*) AS n, avg(diff) AS mean, stddev_samp(diff) AS sd FROM d)
-    SELECT n, round(mean, 2) AS mean, round(mean - 1.645 * sd / sqrt(n), 2) AS low, CASE WHEN mean - 1.645 * sd / sqrt(n) > 0 THEN 'improves' WHEN mean - 1.645 * sd / sqrt(n) > -20000 THEN 'not worse' ELSE 'undecided' END AS verdict FROM s""",
-)
+#: Candidate (b) against control (a), lower is better; the noise arm is a second run of the candidate on every fifth pair.
+_PAIRED = """
+    WITH arms AS (SELECT o_custkey, max(CASE WHEN o_orderpriority = '1-URGENT' THEN o_totalprice END) AS a, max(CASE WHEN o_orderpriority = '5-LOW' THEN o_totalprice END) AS b, max(CASE WHEN o_orderpriority = '3-MEDIUM' THEN o_totalprice END) AS again FROM orders GROUP BY o_custkey),
+         d AS (SELECT b - a AS diff, CASE WHEN o_custkey % 5 = 0 THEN again - b END AS noise FROM arms WHERE a IS NOT NULL AND b IS NOT NULL),
+         s AS (SELECT count(*) AS n, avg(diff) AS mean, {sd_diff} / sqrt(count(*)) AS se, count(noise) AS n_noise, {sd_noise} / sqrt(nullif(count(noise), 0)) AS se_noise FROM d),
+         v AS (SELECT n, mean, mean + 1.645 * se AS bound, greatest(20000, 2 * coalesce(se_noise, 0)) AS allowance, n_noise FROM s)
+    SELECT n, n_noise, round(mean, 2) AS mean, round(bound, 2) AS bound, round(allowance, 2) AS allowance, CASE WHEN n = 0 OR n_noise = 0 THEN 'invalid' WHEN bound < 0 AND -mean >= allowance THEN 'improve' WHEN bound <= allowance THEN 'non_inferior' ELSE 'inferior' END AS verdict FROM v"""
+_SD = "coalesce(sqrt((sum({0} * {0}) - sum({0}) * sum({0}) / count({0})) / nullif(count({0}) - 1, 0)), 0)"
+sql("ev_paired_decision", _PAIRED.format(sd_diff="coalesce(stddev_samp(diff), 0)", sd_noise="coalesce(stddev_samp(noise), 0)"), _PAIRED.format(sd_diff=_SD.format("diff"), sd_noise=_SD.format("noise")))
 @query(
     "ev_quota_picks",
     """

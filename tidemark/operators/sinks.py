@@ -126,6 +126,13 @@ def backup(tables: dict[str, DataFrame], path: str, most_bytes: int) -> DataFram
     return spark.read.schema("table string, n bigint, bytes bigint").json(f"{path}/manifest")
 
 
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """rows, written to the shared folder once and read from there."""
+    path = _new_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def _new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 

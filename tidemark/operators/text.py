@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import html
+import math
 import re
 from html.parser import HTMLParser
 
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
+from tidemark.operators.sinks import stored
 from tidemark.plans.registry import query, sql
 from tidemark.sources.tables import read_table
 
@@ -42,7 +44,8 @@ def near_duplicate_pairs(rows: DataFrame, name_least: float = 0.8, body_least: f
 
     Candidates share a block and a token of the part of the name that any match must touch: with names ordered by how
     rare their tokens are, a Jaccard of name_variant or more needs one among the first size - ceil(least * size) + 1; a
-    matching body needs one the same way, by body_least. So pairs of a large block are not all formed.
+    matching body needs one the same way, by body_least. So pairs of a large block are not all formed. The sizes of two
+    sets bound their Jaccard, which drops most candidates before whole sets are fetched.
     """
 
     def prefix(tokens: str, least: float) -> DataFrame:
@@ -50,12 +53,14 @@ def near_duplicate_pairs(rows: DataFrame, name_least: float = 0.8, body_least: f
         count = each.groupBy("block", "token").agg(F.count("*").alias("n"))
         place = Window.partitionBy("id", "block").orderBy("n", "token")
         ranked = each.join(count, ["block", "token"]).withColumn("place", F.row_number().over(place))
-        return ranked.filter(F.col("place") <= F.col("size") - F.ceil(F.col("size") * least) + 1).select("id", "block", "token")
+        return ranked.filter(F.col("place") <= F.col("size") - F.ceil(F.col("size") * least) + 1).select("id", "block", "token", "size")
 
     pairs = None
     for tokens, least in (("name", name_variant), ("body", body_least)):
         p = prefix(tokens, least)
-        met = p.select(F.col("id").alias("a"), "block", "token").join(p.select(F.col("id").alias("b"), "block", "token"), ["block", "token"]).filter("b < a").select("a", "b")
+        side = lambda of: p.select(F.col("id").alias(of), "block", "token", F.col("size").alias(f"n_{of}"))  # noqa: E731, B023
+        bounds = (F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b")) & (F.col("b") < F.col("a"))
+        met = side("a").join(side("b"), ["block", "token"]).filter(bounds).select("a", "b")
         pairs = met if pairs is None else pairs.union(met)
     side = lambda of: rows.select(F.col("id").alias(of), F.col("name").alias(f"name_{of}"), F.col("body").alias(f"body_{of}"))
     full = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
@@ -78,11 +83,11 @@ def near_duplicate_pairs(rows: DataFrame, name_least: float = 0.8, body_least: f
         SELECT *, row_number() OVER (PARTITION BY a ORDER BY kind, name_sim DESC, body_sim DESC, b) AS n FROM k WHERE kind IS NOT NULL) t WHERE n = 1""",
 )
 def txt_near_dup_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = X.words(F.col("text"))
+    tokens = X.hashed(X.words(F.col("text")))
     docs = read_table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"), F.concat_ws("/", "source", "lang").alias("block"), F.array_distinct(F.slice(tokens, 1, 8)).alias("name"), F.array_distinct(tokens).alias("body")
     )
-    found = near_duplicate_pairs(docs)
+    found = near_duplicate_pairs(stored(docs, "tokens"))
     best = Window.partitionBy("a").orderBy("kind", F.desc("name_sim"), F.desc("body_sim"), "b")
     return found.withColumn("n", F.row_number().over(best)).filter("n = 1").select(F.col("a").alias("doc_id"), "kind", F.col("b").alias("match"))
 
@@ -97,8 +102,8 @@ sql(
 
 def _gram_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, item_id, common, n_doc, n_item: documents and benchmark items that share a word 5-gram, by an inverted join."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", X.shingles(X.words(F.col("text")), 5).alias("s"))
-    items = read_table(spark, sf_dir, "benchmark").select("item_id", X.shingles(X.words(F.col("text")), 5).alias("s"))
+    grams = lambda table, key: read_table(spark, sf_dir, table).select(key, X.shingles(X.words(F.col("text")), 5, F.xxhash64).alias("s"))
+    docs, items = grams("documents", "doc_id"), grams("benchmark", "item_id")
     sized_items = items.select("item_id", F.size("s").alias("n_item"), F.explode("s").alias("gram"))
     grams = docs.select("doc_id", F.size("s").alias("n_doc"), F.explode("s").alias("gram")).join(sized_items, "gram")
     return grams.groupBy("doc_id", "item_id").agg(F.count("*").alias("common"), F.first("n_doc").alias("n_doc"), F.first("n_item").alias("n_item"))
@@ -185,55 +190,6 @@ def dice_of(a: str | None, b: str | None) -> float | None:
     return 2 * matched / (len(x) + len(y))
 
 
-_SENTENCES = r"split(text, '(?<=[.!?])[ ]+|\n+')"
-
-
-@query(
-    "txt_repeat_drop",
-    r"""
-    WITH s AS (SELECT doc_id, generate_subscripts(l, 1) AS pos, unnest(l) AS sentence FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
-         k AS (SELECT doc_id, pos, trim(sentence) AS sentence, row_number() OVER (PARTITION BY doc_id, trim(sentence) ORDER BY pos) AS n FROM s WHERE length(trim(sentence)) > 0)
-    SELECT doc_id, count(*) AS lines, count(CASE WHEN n > 1 THEN 1 END) AS dropped FROM k GROUP BY doc_id""",
-)
-def txt_repeat_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
-    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
-    return docs.select("doc_id", lines.alias("l")).filter(F.size("l") > 0).select(
-        "doc_id", F.size("l").cast("bigint").alias("lines"), (F.size("l") - F.size(F.array_distinct("l"))).cast("bigint").alias("dropped")
-    )
-
-
-@query("txt_sentence_spans")
-def txt_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, pos, start, sentence: sentences of three words or more, at their offsets."""
-    split = F.split("text", r"(?<=[.!?])[ ]+|\n+")
-    each = read_table(spark, sf_dir, "documents").select("doc_id", "text", F.posexplode(split).alias("pos", "sentence"))
-    return each.filter(F.size(F.split(F.trim("sentence"), r"\s+")) >= 3).select("doc_id", "pos", (F.expr("locate(sentence, text)") - 1).alias("start"), "sentence")
-
-
-@query("txt_claims")
-def txt_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """claim_hash, doc_id, pos: every distinct sentence at its first place in its document, content-addressed."""
-    split = F.split("text", r"(?<=[.!?])[ ]+|\n+")
-    each = read_table(spark, sf_dir, "documents").select("doc_id", F.posexplode(split).alias("pos", "sentence"))
-    norm = F.lower(F.trim(F.regexp_replace("sentence", r"\s+", " ")))
-    claims = each.withColumn("claim_hash", F.sha2(F.concat_ws(":", F.lit("content"), F.lit("text"), norm), 256)).filter(F.length(norm) > 0)
-    return claims.groupBy("claim_hash", "doc_id").agg(F.min("pos").alias("pos"))
-
-
-_QUOTES = "translate(translate(lower({c}), '’‘“”', '''''\"\"'), chr(160), ' ')"
-sql(
-    "txt_normalise",
-    r"SELECT doc_id, md5(trim(regexp_replace(translate(lower(text), '“” ', '\"\" '), '[ \\t\\n\\r]+', ' '))) AS norm FROM documents",
-    r"""SELECT doc_id, md5(trim(regexp_replace(translate(lower(text), '“”' || chr(160), '"" '), '[ \t\n\r]+', ' ', 'g'))) AS norm FROM documents""",
-)
-sql(
-    "txt_claim_hash",
-    r"SELECT doc_id, sha2(concat('content:', source, ':', trim(regexp_replace(lower(text), '[ \\t\\n\\r]+', ' '))), 256) AS h FROM documents",
-    r"SELECT doc_id, sha256(concat('content:', source, ':', trim(regexp_replace(lower(text), '[ \t\n\r]+', ' ', 'g')))) AS h FROM documents",
-)
-
-
 @query(
     "txt_align_evidence",
     r"""
@@ -280,48 +236,11 @@ def _replace(steps: list[tuple[str, str]], duck: bool) -> str:
 
 _MASK = [(_EMAIL, "[EMAIL]"), (_URL, "[URL]"), ("[0-9]{1,2}:[0-9]{2}", "[TIME]"), ("[$€£][ ]?[0-9]+([.,][0-9]+)*", "[PRICE]"), (_NUM, "[N]")]
 sql("txt_mask_entities", f"SELECT doc_id, md5({_replace(_MASK, False)}) AS masked FROM documents", f"SELECT doc_id, md5({_replace(_MASK, True)}) AS masked FROM documents")
-_SCRUB = [("eyJ[A-Za-z0-9_-]+[.][A-Za-z0-9_-]+[.][A-Za-z0-9_-]+", "[jwt]"), ("[Bb]earer [A-Za-z0-9._-]+", "[bearer]"), ("(api_key|token|secret)=[^ &\\n]+", "[secret]"), (_EMAIL, "[email]"), (_PHONE, "[phone]")]
-sql("txt_pii_scrub", f"SELECT doc_id, md5({_replace(_SCRUB, False)}) AS scrubbed FROM documents", f"SELECT doc_id, md5({_replace(_SCRUB, True)}) AS scrubbed FROM documents")
-sql(
-    "txt_pii_receipt",
-    f"SELECT doc_id, CAST(regexp_count(text, '{_EMAIL}') AS BIGINT) AS emails, CAST(regexp_count(text, '{_PHONE}') AS BIGINT) AS phones, sha2({_replace(_SCRUB, False)}, 256) AS receipt FROM documents",
-    f"SELECT doc_id, len(regexp_extract_all(text, '{_EMAIL}')) AS emails, len(regexp_extract_all(text, '{_PHONE}')) AS phones, sha256({_replace(_SCRUB, True)}) AS receipt FROM documents",
-)
-sql("txt_log_scrub", f"SELECT conv_id, turn, md5({_replace([(_EMAIL, '[email]'), ('(password|key)=[^ ]+', '[redacted]')], False)}) AS line FROM conversations", f"SELECT conv_id, turn, md5({_replace([(_EMAIL, '[email]'), ('(password|key)=[^ ]+', '[redacted]')], True)}) AS line FROM conversations")
-_IDS = [("arn:[a-z-]+:[^ ]+", "[arn]"), ("[0-9]{12}", "[account]")]
-sql("txt_id_redact", f"SELECT doc_id, md5({_replace(_IDS, False)}) AS redacted FROM documents", f"SELECT doc_id, md5({_replace(_IDS, True)}) AS redacted FROM documents")
-_INJECT = "ignore (all|previous)|disregard|system prompt|you are now"
-sql(
-    "txt_injection_redact",
-    f"SELECT conv_id, turn, regexp_like(lower(text), '{_INJECT}') AS flagged, md5(regexp_replace(lower(text), '{_INJECT}', '[redacted]')) AS safe FROM conversations",
-    f"SELECT conv_id, turn, regexp_matches(lower(text), '{_INJECT}') AS flagged, md5(regexp_replace(lower(text), '{_INJECT}', '[redacted]', 'g')) AS safe FROM conversations",
-)
 sql(
     "txt_error_classify",
     "SELECT conv_id, turn, CASE WHEN contains(lower(text), 'timeout') THEN 'timeout' WHEN regexp_like(lower(text), 'rate|limit|429') THEN 'limit' WHEN contains(lower(text), 'the ') THEN 'english' WHEN length(text) = 0 THEN 'unknown' ELSE 'other' END AS class FROM conversations",
     "SELECT conv_id, turn, CASE WHEN contains(lower(text), 'timeout') THEN 'timeout' WHEN regexp_matches(lower(text), 'rate|limit|429') THEN 'limit' WHEN contains(lower(text), 'the ') THEN 'english' WHEN length(text) = 0 THEN 'unknown' ELSE 'other' END AS class FROM conversations",
 )
-sql("txt_fence_neutralise", "SELECT doc_id, md5(replace(replace(replace(text, '***', ''), '***', ''), '***', '')) AS clean FROM documents")
-sql(
-    "txt_section_without_link",
-    r"SELECT doc_id, CAST(pos AS BIGINT) AS pos FROM (SELECT doc_id, posexplode(split(text, '\n')) AS (pos, block) FROM documents) WHERE contains(lower(block), 'licen') AND NOT regexp_like(block, 'https?://')",
-    "SELECT doc_id, pos - 1 AS pos FROM (SELECT doc_id, generate_subscripts(l, 1) AS pos, unnest(l) AS block FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE contains(lower(block), 'licen') AND NOT regexp_matches(block, 'https?://')",
-)
-
-
-@query(
-    "txt_phrase_delta",
-    r"""
-    WITH t AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM conversations),
-         p AS (SELECT conv_id, turn, w, lag(w) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM t)
-    SELECT conv_id, turn, CAST(len(list_filter(b, lambda x: NOT list_contains(w, x))) AS BIGINT) AS removed FROM p WHERE b IS NOT NULL""",
-)
-def txt_phrase_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = read_table(spark, sf_dir, "conversations").withColumn("w", F.array_distinct(X.words(F.col("text"), "[a-z]+")))
-    before = turns.withColumn("b", F.lag("w").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("b IS NOT NULL")
-    return before.select("conv_id", "turn", F.size(F.array_except("b", "w")).cast("bigint").alias("removed"))
-
-
 @query(
     "txt_predict_explains",
     r"""
@@ -341,7 +260,8 @@ class _Plain(HTMLParser):
     """Allow-list rebuild: tags in ALLOWED stay (without attributes but a safe href), dangerous ones go with their text."""
 
     ALLOWED = frozenset("p br b i em strong ul ol li h1 h2 h3 h4 a blockquote".split())
-    DROPPED = frozenset("script style iframe object embed form template noscript svg".split())
+    DROPPED = frozenset("script style iframe object form template noscript svg".split())
+    VOID_DROPPED = frozenset(("embed",))
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -350,6 +270,8 @@ class _Plain(HTMLParser):
         self.skip = 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in self.VOID_DROPPED:
+            return  # it has no end tag, so nothing goes with it
         if tag in self.DROPPED:
             self.skip += 1
         elif not self.skip and tag in self.ALLOWED:
@@ -393,14 +315,6 @@ sql(
 )
 
 
-@query(
-    "txt_fold_accents",
-    f"SELECT doc_id, md5(trim(regexp_replace(replace(replace(replace(translate(lower(text), '{X.ACCENTED}', '{X.PLAIN}'), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe'), '[^a-z0-9]+', ' ', 'g'))) AS folded FROM documents",
-)
-def txt_fold_accents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents").select("doc_id", F.md5(X.folded(F.col("text"))).alias("folded"))
-
-
 sql(
     "txt_tag_extract",
     "SELECT page_id, array_join(array_distinct(regexp_extract_all(html, 'href=\"(/[^\"]*)\"', 1)), ' ') AS links FROM pages",
@@ -426,8 +340,8 @@ sql(
 )
 sql(
     "txt_dictionary_entities",
-    r"SELECT doc_id, array_join(array_sort(array_distinct(regexp_extract_all(lower(text), '(?<![a-z])(thinger|tion|ing|that|with)(?![a-z])', 1))), ' ') AS found FROM documents WHERE lang = 'en'",
-    r"SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: x IN ('thinger', 'tion', 'ing', 'that', 'with')))), ' ') AS found FROM documents WHERE lang = 'en'",
+    r"SELECT doc_id, array_join(array_sort(array_distinct(regexp_extract_all(lower(text), '(?<![a-z])(thinger|tion|ing|that|with)(?![a-z])', 1))), ' ') AS found FROM documents",
+    r"SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: x IN ('thinger', 'tion', 'ing', 'that', 'with')))), ' ') AS found FROM documents",
 )
 _STEMS = "with|from|that"
 sql(
@@ -440,16 +354,6 @@ sql(
     r"SELECT doc_id, CAST(size(filter(split(text, '[.;!?\n]'), x -> regexp_like(lower(x), '(^|[ ])(to|for|with)[ ]') AND NOT regexp_like(lower(x), '(^|[ ])(not|no|never)[ ]'))) AS BIGINT) AS clauses FROM documents",
     r"SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '[.;!?\n]'), lambda x: regexp_matches(lower(x), '(^|[ ])(to|for|with)[ ]') AND NOT regexp_matches(lower(x), '(^|[ ])(not|no|never)[ ]'))) AS BIGINT) AS clauses FROM documents",
 )
-_RULES = [
-    ("v01_has_text", "length(text) > 0"), ("v02_long_enough", "n_chars >= 200"), ("v03_not_huge", "n_chars <= 50000"), ("v04_few_shouts", "length(text) - length(replace(text, '!', '')) <= 10"),
-    ("v05_not_caps", "text <> upper(text)"), ("v06_ends_well", "substr(trim(text), -1) IN ('.', '!', '?')"), ("v07_no_symbols", "NOT contains(text, '$$$') AND NOT contains(text, '%%%')"),
-    ("v08_no_bars", "NOT contains(text, ' | ')"), ("v09_no_email", "NOT contains(text, '@')"), ("v10_no_link", "NOT contains(text, 'http')"), ("v11_capital", "substr(text, 1, 1) = upper(substr(text, 1, 1))"),
-    ("v12_has_stop", "contains(text, '.')"),
-]
-_FAILED = " || ".join(f"CASE WHEN {e} THEN '' ELSE '{n[:3]},' END" for n, e in _RULES)
-_PASSED = " + ".join(f"CASE WHEN {e} THEN 1 ELSE 0 END" for _, e in _RULES)
-sql("txt_rule_validators", f"SELECT doc_id, {_PASSED} AS passed, {_FAILED} AS failed, round(10.0D * ({_PASSED}) / {len(_RULES)}, 4) AS score FROM documents", f"SELECT doc_id, {_PASSED} AS passed, {_FAILED} AS failed, round(CAST(10 AS DOUBLE) * ({_PASSED}) / {len(_RULES)}, 4) AS score FROM documents")
-sql("txt_route_by_score", f"SELECT doc_id, CASE WHEN ({_PASSED}) >= 10 THEN 'approved' WHEN ({_PASSED}) >= 7 AND doc_id % 3 < 2 THEN 'regenerate' ELSE 'hitl' END AS route FROM documents")
 sql("txt_days_hash", "SELECT source, count(DISTINCT md5(text)) AS versions, min(md5(text)) AS first_hash FROM documents GROUP BY source")
 sql("txt_embed_text", "SELECT source, count(CASE WHEN length(trim(text)) = 0 THEN 1 END) AS blank, CAST(sum(least(length(text), 25000)) AS BIGINT) AS chars FROM documents GROUP BY source")
 sql("txt_embed_batching", "SELECT batch, count(*) AS n, min(doc_id) AS first_id FROM (SELECT doc_id, source, CAST(floor((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) / 96) AS BIGINT) AS batch FROM documents WHERE length(trim(text)) > 0) GROUP BY batch, source".replace("SELECT batch,", "SELECT source, batch,", 1))
@@ -472,16 +376,19 @@ def term_table(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -
 )
 def txt_fts_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 50 best documents that hold every query term."""
-    tf = term_table(read_table(spark, sf_dir, "documents"))
-    length = tf.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
-    size = length.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    wanted = tf.filter(F.col("term").isin("that", "with", "from"))
-    df = wanted.groupBy("term").agg(F.count("*").alias("df"))
-    both = wanted.join(F.broadcast(df), "term").join(length, "doc_id").crossJoin(F.broadcast(size))  # three terms, one row
-    idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("dl") / F.col("avgdl")))
-    scored = both.groupBy("doc_id").agg(F.count("*").alias("terms"), F.round(F.sum(part), 6).alias("score")).filter("terms = 3")
-    return scored.orderBy(F.desc("score"), "doc_id").limit(50).select("doc_id", "score")
+    terms = ("that", "with", "from")
+    count = lambda w, term: F.size(F.filter(w, lambda x: x == term))
+    counts = lambda w: F.array(*[count(w, t) for t in terms])
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", X.let(X.words(F.col("text")), lambda w: F.struct(F.size(w).alias("dl"), counts(w).alias("tf"))).alias("s")).filter("s.dl > 0")
+    held = docs.select("doc_id", "s.dl", "s.tf")
+    total = held.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(len(terms))]).first()  # one row
+    score = F.lit(0.0)
+    for i in range(len(terms)):
+        idf = math.log(1 + (total["n"] - total[f"df{i}"] + 0.5) / (total[f"df{i}"] + 0.5))
+        tf = F.col("tf")[i]
+        score = score + idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * F.col("dl") / total["avgdl"]))
+    scored = held.filter(F.forall("tf", lambda n: n > 0)).select("doc_id", F.round(score, 6).alias("score"))
+    return scored.orderBy(F.desc("score"), "doc_id").limit(50)
 
 
 @query(

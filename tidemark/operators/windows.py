@@ -107,13 +107,21 @@ def _chain(hash_name: str, bits: str) -> str:
 sql("win_chain_verify", _chain("sha2", ", 256"), _chain("sha256", ""))
 sql("op_chain_verify", f"SELECT count(*) AS chains, count(first_bad) AS broken, max(first_bad) AS worst FROM ({_chain('sha2', ', 256')})", f"SELECT count(*) AS chains, count(first_bad) AS broken, max(first_bad) AS worst FROM ({_chain('sha256', '')})")
 
+#: Trailing sums with the year-over-year change, and the month of the most orders in the last twelve (of equal ones the first).
 sql(
     "win_trailing_12m",
     """
-    WITH months AS (SELECT c_mktsegment, year(o_orderdate) * 12 + month(o_orderdate) AS m, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment, year(o_orderdate) * 12 + month(o_orderdate)),
+    WITH months AS (SELECT c_mktsegment, CAST(year(o_orderdate) * 12 + month(o_orderdate) AS BIGINT) AS m, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
          sums AS (SELECT c_mktsegment, m, n, sum(n) OVER (PARTITION BY c_mktsegment ORDER BY m RANGE BETWEEN 11 PRECEDING AND CURRENT ROW) AS last12,
-                  sum(n) OVER (PARTITION BY c_mktsegment ORDER BY m RANGE BETWEEN 23 PRECEDING AND 12 PRECEDING) AS previous12 FROM months)
-    SELECT c_mktsegment, CAST(m AS BIGINT) AS m, n, CAST(last12 AS BIGINT) AS last12, CAST(previous12 AS BIGINT) AS previous12 FROM sums""",
+                  sum(n) OVER (PARTITION BY c_mktsegment ORDER BY m RANGE BETWEEN 23 PRECEDING AND 12 PRECEDING) AS previous12,
+                  max(n * 100000 + 99999 - m) OVER (PARTITION BY c_mktsegment ORDER BY m RANGE BETWEEN 11 PRECEDING AND CURRENT ROW) AS best FROM months)
+    SELECT c_mktsegment, m, n, CAST(last12 AS BIGINT) AS last12, CAST(previous12 AS BIGINT) AS previous12, CAST(99999 - best % 100000 AS BIGINT) AS peak, round(last12 / CAST(previous12 AS DOUBLE) - 1, 6) AS change FROM sums""",
+    """
+    WITH months AS (SELECT c_mktsegment, CAST(year(o_orderdate) * 12 + month(o_orderdate) AS BIGINT) AS m, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
+         t AS (SELECT a.c_mktsegment, a.m, a.n, sum(b.n) FILTER (WHERE b.m > a.m - 12) AS last12, sum(b.n) FILTER (WHERE b.m <= a.m - 12) AS previous12,
+                  arg_min(b.m, (-b.n, b.m)) FILTER (WHERE b.m > a.m - 12) AS peak
+               FROM months a JOIN months b ON a.c_mktsegment = b.c_mktsegment AND b.m BETWEEN a.m - 23 AND a.m GROUP BY 1, 2, 3)
+    SELECT c_mktsegment, m, n, CAST(last12 AS BIGINT) AS last12, CAST(previous12 AS BIGINT) AS previous12, peak, round(last12 / CAST(previous12 AS DOUBLE) - 1, 6) AS change FROM t""",
 )
 @query(
     "win_round_robin",
@@ -127,16 +135,18 @@ def win_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return running(bought, ["turn", "user_id"], F.lit(1), "place").select("user_id", "event_id", (F.col("place") + 1).alias("place"))
 
 
+#: The days of a user's events in the order of their values: missing between first and last, said again, and out of order.
+_SAID = "SELECT user_id, CAST(ts AS DATE) AS day, value, event_id FROM events"
 sql(
     "win_source_days_gap",
-    """
-    WITH days AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events),
-         steps AS (SELECT user_id, day, lag(day) OVER (PARTITION BY user_id ORDER BY day) AS before FROM days)
-    SELECT user_id, CAST(sum(CASE WHEN datediff(day, before) > 1 THEN datediff(day, before) - 1 ELSE 0 END) AS BIGINT) AS missing, count(*) AS present FROM steps GROUP BY user_id""",
-    """
-    WITH days AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events),
-         steps AS (SELECT user_id, day, lag(day) OVER (PARTITION BY user_id ORDER BY day) AS before FROM days)
-    SELECT user_id, CAST(sum(CASE WHEN day - before > 1 THEN day - before - 1 ELSE 0 END) AS BIGINT) AS missing, count(*) AS present FROM steps GROUP BY user_id""",
+    f"""
+    WITH steps AS (SELECT user_id, day, lag(day) OVER (PARTITION BY user_id ORDER BY value, event_id) AS before FROM ({_SAID}))
+    SELECT user_id, CAST(datediff(max(day), min(day)) + 1 - count(DISTINCT day) AS BIGINT) AS missing, count(DISTINCT day) AS present, count(*) - count(DISTINCT day) AS again, count_if(day < before) AS backwards FROM steps GROUP BY user_id""",
+    f"""
+    WITH said AS ({_SAID}), numbered AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS i, row_number() OVER (PARTITION BY user_id, day ORDER BY value, event_id) AS nth FROM said),
+         pairs AS (SELECT a.user_id, count(*) AS backwards FROM numbered a JOIN numbered b ON a.user_id = b.user_id AND b.i = a.i - 1 AND a.day < b.day GROUP BY 1),
+         spans AS (SELECT user_id, count(*) FILTER (WHERE nth = 1) AS present, count(*) FILTER (WHERE nth > 1) AS again, max(day) - min(day) + 1 AS days FROM numbered GROUP BY 1)
+    SELECT user_id, CAST(days - present AS BIGINT) AS missing, present, again, coalesce(backwards, 0) AS backwards FROM spans LEFT JOIN pairs USING (user_id)""",
 )
 
 # top-k
