@@ -1,14 +1,15 @@
 """Main text of web pages, without what the pages of a site share.
 
 Every element's subtree (tag, text, children) is hashed, and the pages on which each hash occurs are counted per host in
-Spark. Subtrees that recur on many pages of their host are deleted from every page, inside main containers (article or
-main) too. What is left is read as blocks: from the main containers that still hold text, else from the body, without
+Spark. Subtrees that recur on many pages of their host are deleted from every page; inside main containers (article or
+main) these are whole boxes, while a paragraph that several articles share is text of each. What is left is read as blocks: from the main containers that still hold text, else from the body, without
 elements whose tag, role or class names them as site furniture. An inline element in a run of text is judged with that
 run, so that sentences stay whole.
 
 Defined cases: a null or empty page has an empty text; unclosed and misnested tags are closed where a browser would;
-repeated rows each get their text; the versions of one url count once for their site, and so do the urls of one body; a
-null url is a host of its own, whose pages count by their bodies; an empty table gives an empty result.
+repeated rows each get their text; the versions of one url count once for their site, and so do the urls of one article
+(its longest main container, else its body); a null url is a host of its own, whose pages count by their articles; an
+empty table gives an empty result; a page of any length and depth is parsed whole, without recursion.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split()
 )
 MAIN = frozenset(("article", "main"))
+#: Elements that hold blocks: what a site puts into main containers of its pages comes in these.
+BOXES = frozenset("article aside details dialog div dl fieldset figure footer form header main menu nav ol section table ul".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 FURNITURE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs "
@@ -56,7 +59,7 @@ class Node:
     __slots__ = ("attrs", "children", "hash", "said", "tag")
 
     def __init__(self, tag: str, attrs: dict[str, str]) -> None:
-        self.tag, self.attrs, self.children, self.hash, self.said = tag, attrs, [], 0, False
+        self.tag, self.attrs, self.children, self.hash, self.said = tag, attrs, [], 0, 0
 
     def names_furniture(self) -> bool:
         if self.tag in FURNITURE or self.attrs.get("role", "").lower() in ROLES or "hidden" in self.attrs or self.attrs.get("aria-hidden") == "true":
@@ -123,46 +126,50 @@ def _walk(root: Node) -> list[Node]:
 
 
 def hashed(root: Node, host: str = "") -> None:
-    """Set every element's hash from its host, tag, text and children, and whether it has text, without an argument per
-    level of depth."""
+    """Set every element's hash from its host, tag, text and children, and how many characters of text it has, without an
+    argument per level of depth."""
     seed = xxhash.xxh64_intdigest(host.encode("utf-8", "surrogatepass"))
     for node in reversed(_walk(root)):
         made = xxhash.xxh64(node.tag.encode("utf-8", "surrogatepass"), seed=seed)
         for c in node.children:
             if isinstance(c, Node):
-                node.said |= c.said
+                node.said += c.said
                 made.update(c.hash.to_bytes(8, "little", signed=True))
             elif said := " ".join(c.split()):
-                node.said = True
+                node.said += len(said)
                 made.update(b"\x00" + said.encode("utf-8", "surrogatepass"))
         node.hash = int(np.uint64(made.intdigest()).astype(np.int64))
 
 
 def _judged(root: Node) -> Iterator[Node]:
-    """The elements that may be the site's, parents first: all with text but head and those within a run of text. What
-    is taken out of an element while it is at hand is not visited."""
-    waiting = [(root, False)]
+    """The elements that may be the site's, parents first: all with text but head and those within a run of text, and of a
+    main container's only boxes, as a paragraph, heading or item in it that other articles have too is text. What is taken
+    out of an element while it is at hand is not visited."""
+    waiting = [(root, False, False)]
     while waiting:
-        node, in_run = waiting.pop()
+        node, in_run, in_main = waiting.pop()
         if node.tag == "head" or not node.said:
             continue
         whole = node.tag in ("#root", "html", "body")
         in_run = in_run and node.tag not in BLOCKS and node.tag not in ("td", "th")
-        if not (whole or in_run):
+        if not (whole or in_run) and (node.tag in BOXES or not in_main):
             yield node
         in_run = in_run or (not whole and any(isinstance(c, str) and any(map(str.isalnum, c)) for c in node.children))
-        waiting += [(c, in_run) for c in node.children if isinstance(c, Node)]
+        in_main = in_main or node.tag in MAIN
+        waiting += [(c, in_run, in_main) for c in node.children if isinstance(c, Node)]
 
 
 def subtrees(html: str, host: str = "") -> tuple[int, list[int]]:
-    """The hash of a page's body, and those of all its subtrees that may be the site's."""
+    """The hash of a page's longest main container (or of its body, without one), and those of all its subtrees that may be
+    the site's."""
     root = parsed(html)
     root.children = [c for c in root.children if not (isinstance(c, Node) and c.tag in HIDDEN)]
     for node in root.children:
         if isinstance(node, Node) and node.tag == "html":
             node.children = [c for c in node.children if not (isinstance(c, Node) and c.tag in HIDDEN)]
     hashed(root, host)
-    return root.hash, sorted({n.hash for n in _judged(root)})
+    longest = max((n for n in _walk(root) if n.tag in MAIN and n.said), key=lambda n: n.said, default=root)
+    return longest.hash, sorted({n.hash for n in _judged(root)})
 
 
 def _blocks(top: Node) -> str:
