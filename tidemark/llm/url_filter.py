@@ -5,7 +5,11 @@ starts of its path by the rules' path lengths) form the corpus's complete key un
 the rules' keys: the first level encodes them, the second the keys of the universe that pass the first by mistake, the
 third those listed keys that pass the second, and so on until no mistakes are left. Every key of the universe is then
 judged exactly, by looking into a few small arrays. The first level's false positive rate is set against the universe's
-size, so the arrays grow with the rules and only with the logarithm of the corpus.
+size, so the arrays grow with the rules and only with the logarithm of the corpus. Up to LITERAL_WORDS words an array is
+a literal of the plan, beyond that a column from a broadcast table of one row; more than FILTER_KEYS rules, whose arrays
+would be too large to send to every task, are met by a join of keys instead.
+
+Rules are a list or a table (action, host, path).
 
 Defined cases: a null url, or one without "://", has empty host and path and matches no rule; rules whose key no url
 could have cost nothing; repeated rows each get their verdict; an empty table gives an empty result.
@@ -24,6 +28,9 @@ from tidemark.llm import common as C
 
 #: (action, host, path).
 Rule = tuple[str, str, str]
+#: Words (64 bits) of a filter in the plan itself, and rules that filters are built for.
+LITERAL_WORDS = 4096
+FILTER_KEYS = 5_000_000
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -34,9 +41,9 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return host, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
-def candidate_keys(rules: list[Rule], host: Column, path: Column) -> list[Column]:
-    """One column per shape of rule: (length, host length, key), null where the url has no such key."""
-    shapes = sorted({(h.count(".") + 1, len(p)) for _, h, p in rules})
+def candidate_keys(shapes: list[tuple[int, int]], host: Column, path: Column) -> list[Column]:
+    """One column per shape of rule (labels of the host, length of the path): (length, host length, key), null where the
+    url has no such key."""
     labels = F.split(host, r"\.")
     out = []
     for n, size in shapes:
@@ -71,8 +78,20 @@ class Level:
             words[r["word"]] = r["set"]
         return cls(number, bits, k, words)
 
-    def passes(self, key: Column) -> Column:
-        words = F.from_json(F.lit(json.dumps(self.words)), "array<bigint>")  # folded to one literal array
+    def words_column(self, name: str) -> Column:
+        """The words: a literal array, or the column `name` that attached() adds."""
+        if len(self.words) > LITERAL_WORDS:
+            return F.col(name)
+        return F.from_json(F.lit(json.dumps(self.words)), "array<bigint>")  # folded to one literal array
+
+    def attached(self, rows: DataFrame, name: str) -> DataFrame:
+        if len(self.words) <= LITERAL_WORDS:
+            return rows
+        table = rows.sparkSession.createDataFrame([(self.words, 1)], f"{name} array<bigint>, _one int")
+        return rows.withColumn("_one", F.lit(1)).join(F.broadcast(table), "_one").drop("_one")  # one row, FILTER_KEYS bounds it
+
+    def passes(self, key: Column, name: str = "_words") -> Column:
+        words = self.words_column(name)
         bit = lambda at: F.call_function("getbit", F.element_at(words, F.floor(at / 64).cast("int") + 1), (at % 64).cast("int"))
         return F.forall(self.positions(key, self.number, self.bits, self.k), lambda at: bit(at) == 1)
 
@@ -92,7 +111,7 @@ class Cascade:
         while n:
             level = Level.build(inside, len(levels) + 1, n, rate)
             levels.append(level)
-            wrong = outside.filter(level.passes(F.col("key")))
+            wrong = level.attached(outside, "_words").filter(level.passes(F.col("key"))).select("key")
             if len(levels) == 1:  # the universe also has the listed keys, which pass rightly
                 flagged = wrong.withColumn("listed", F.lit(0)).unionByName(listed.withColumn("listed", F.lit(1)))
                 wrong = flagged.groupBy("key").agg(F.max("listed").alias("listed")).filter("listed = 0").drop("listed")
@@ -100,34 +119,59 @@ class Cascade:
             inside, outside, n, rate = wrong, inside, wrong.count(), 0.5
         return cls(levels)
 
-    def holds(self, key: Column) -> Column:
+    def attached(self, rows: DataFrame, name: str) -> DataFrame:
+        for level in self.levels:
+            rows = level.attached(rows, f"{name}{level.number}")
+        return rows
+
+    def holds(self, key: Column, name: str = "_words") -> Column:
         out = F.lit(len(self.levels) % 2 == 1)  # passed all levels
         for level in reversed(self.levels):
-            out = F.when(~level.passes(key), F.lit(level.number % 2 == 0)).otherwise(out)
+            out = F.when(~level.passes(key, f"{name}{level.number}"), F.lit(level.number % 2 == 0)).otherwise(out)
         return out
 
 
-def judged(pages: DataFrame, rules: list[Rule], url: str = "url", default: str = "allow") -> DataFrame:
+def judged(pages: DataFrame, rules: list[Rule] | DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
     """All columns of pages in `row`, with host, path, rule and verdict."""
     spark = pages.sparkSession
+    table = rules if isinstance(rules, DataFrame) else spark.createDataFrame(rules, "action string, host string, path string")
+    table = table.select("action", F.concat("host", "path").alias("key"), F.size(F.split("host", r"\.")).alias("labels"), F.length("path").alias("size")).distinct()
+    shapes = [(r["labels"], r["size"]) for r in table.select("labels", "size").distinct().orderBy("labels", "size").collect()]  # lengths only
     host, path = host_and_path(F.col(f"`{url}`").cast("string"))
     parsed = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row"), host.alias("host"), path.alias("path"))
-    keys = F.array_compact(F.array(*candidate_keys(rules, F.col("host"), F.col("path"))))
+    keys = F.array_compact(F.array(*candidate_keys(shapes, F.col("host"), F.col("path"))))
+    sizes = {r["action"]: r["count"] for r in table.groupBy("action").count().collect()}
+    if not sizes:
+        return parsed.select("row", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    if sum(sizes.values()) > FILTER_KEYS:
+        return _joined(parsed, keys, table, default)
     universe = C.written(parsed.select(F.explode(keys).alias("k")).select("k.key").distinct(), "universe")
     size = universe.count()
     cascades = {}
-    for action in sorted({a for a, _, _ in rules}):
-        own = sorted({h + p for a, h, p in rules if a == action})
-        cascades[action] = Cascade.build(spark.createDataFrame([(k,) for k in own], "key string"), universe, len(own), size)
+    for action in sorted(sizes):
+        cascades[action] = Cascade.build(table.filter(F.col("action") == action).select("key").distinct(), universe, sizes[action], size)
 
     def verdict(k: Column) -> Column:
         out = F.lit(None).cast("string")
-        for action, cascade in cascades.items():
-            out = F.when(cascade.holds(k), action).otherwise(out)
+        for number, (action, cascade) in enumerate(cascades.items()):
+            out = F.when(cascade.holds(k, f"_words{number}_"), action).otherwise(out)
         return out
 
+    for number, cascade in enumerate(cascades.values()):
+        parsed = cascade.attached(parsed, f"_words{number}_")
     judged_keys = F.transform(keys, lambda k: F.struct(k["size"].alias("size"), k["host_size"].alias("host_size"), k["key"].alias("key"), verdict(k["key"]).alias("verdict")))
     best = F.array_max(F.filter(judged_keys, lambda k: k["verdict"].isNotNull()))
     return parsed.withColumn("best", best).select(
         "row", "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")
     )
+
+
+def _joined(parsed: DataFrame, keys: Column, table: DataFrame, default: str) -> DataFrame:
+    """judged() for any number of rules: each host and path once, its keys joined with the rules, the longest kept."""
+    urls = parsed.select("host", "path").distinct()
+    each = urls.select("host", "path", F.explode(keys).alias("k")).select("host", "path", "k.size", "k.host_size", "k.key")
+    met = each.join(table.groupBy("key").agg(F.max("action").alias("verdict")), "key")
+    best = met.groupBy("host", "path").agg(F.max(F.struct("size", "host_size", "key", "verdict")).alias("best"))
+    best = best.select(F.struct("host", "path").alias("of"), "best")
+    joined = parsed.join(best, (F.col("host") == F.col("of.host")) & (F.col("path") == F.col("of.path")), "left")
+    return joined.select("row", "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
