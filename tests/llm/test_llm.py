@@ -1,6 +1,7 @@
 """The corpus operators against brute force, on fixtures with nulls, empty texts, repeated rows and clashing columns."""
 
 import hashlib
+import math
 import os
 import random
 import re
@@ -69,8 +70,6 @@ def test_quality_counts(docs, none):
 
 def test_quality_kept_by_a_plain_expectation_maximisation(docs):
     """Votes read from the statistics in Python, the model fitted document by document."""
-    import math
-
     names = ["doc_id", *quality.STATS]
     rows = [tuple(r) for r in quality.with_statistics(docs.select("doc_id", "text")).select("row.doc_id", *quality.STATS).collect()]
 
@@ -160,12 +159,14 @@ def test_decontamination(spark, docs, none):
     assert _sorted(tuple(r) for r in made.collect()) == expected
     assert decontaminate.contamination(none, items).count() == 0
     assert decontaminate.contamination(docs, items.limit(0)).filter("n_hit > 0").count() == 0
-    before, decontaminate.SLICE_WINDOWS = decontaminate.SLICE_WINDOWS, 10  # the benchmark in several passes
+    before, decontaminate.KNOWN_SHINGLES = decontaminate.KNOWN_SHINGLES, 3  # all shingles go to the join
     try:
         again = decontaminate.contamination(docs, items).select("row.doc_id", "n_words", "n_hit", "items_sha256", "contaminated")
         assert _sorted(tuple(r) for r in again.collect()) == expected
+        left = decontaminate.decontaminated(docs, items)
+        assert left.columns == docs.columns and Counter(r["doc_id"] for r in left.collect()) == Counter(r[0] for r in fixture_rows() if not brute(r[1])[3])
     finally:
-        decontaminate.SLICE_WINDOWS = before
+        decontaminate.KNOWN_SHINGLES = before
 
 
 def suffix_brute(rows):
@@ -370,7 +371,7 @@ def test_best_fit_decreasing_takes_the_tightest_shard():
     assert [100 - left[b] for b in range(len(bins))] == bins
 
 
-def test_url_rules(spark):
+def test_url_rules(spark, monkeypatch):
     urls = [None, "", "no scheme", "http://a.org/x", "https://ORG", "http://example.org/es/1", "http://x.EXAMPLE.org/en/123?q", "http://notexample.org/es/", "http://b.com/fr/", "http://com/de/x#y", "http://c.com/en/", "a://b://c.org/x", "http://org./", "http://.org/"]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate([*urls, urls[3]])], "page_id int, url string, host string")
 
@@ -385,6 +386,11 @@ def test_url_rules(spark):
     made = url_filter.judged(pages, URL_RULES).select("row.page_id", "host", "path", "rule", "verdict")
     assert _sorted(tuple(r) for r in made.collect()) == _sorted((i, *brute(u)) for i, u in enumerate([*urls, urls[3]]))
     assert url_filter.judged(pages.limit(0), URL_RULES).count() == 0
+    expected = _sorted(tuple(r) for r in made.collect())
+    table = spark.createDataFrame(URL_RULES, "action string, host string, path string")
+    for limit, value in (("LITERAL_WORDS", 0), ("FILTER_KEYS", 1)):  # filters as columns, then a join
+        monkeypatch.setattr(url_filter, limit, value)
+        assert _sorted(tuple(r) for r in url_filter.judged(pages, table).select("row.page_id", "host", "path", "rule", "verdict").collect()) == expected
 
 
 def test_cascade_is_exact_on_its_universe(spark):
@@ -408,6 +414,35 @@ def test_language_id(spark):
     assert {r[0] for r in language_id.predicted(docs, empty).select("lang_pred").collect()} == {"und"}
 
 
+def test_language_id_against_plain_kernels(spark):
+    """Kernels by sets, Nyström features and ridge regression by dense algebra, over all labelled rows as landmarks."""
+    rng = random.Random(6)
+    words = {"aa": ["la", "lala", "talo", "kala"], "bb": ["der", "hund", "katz", "und"], "cc": ["xo", "xylo", "ox", "yxo"]}
+    rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(rng.randint(1, 30))), lang) for i, lang in enumerate(rng.choice(sorted(words)) for _ in range(40))]
+    rows += [rows[0], (50, "lala hund", None), (51, "x" * 3000, "cc")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language_id.fitted(docs, F.lit(True))
+    got = {(r["text"], r["lang_pred"], r["score"]) for r in language_id.predicted(docs, model).select("row.text", "lang_pred", "score").collect()}
+
+    grams = lambda t: {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+    labelled = [(grams(t), lang) for _, t, lang in rows if lang]
+    kernel = lambda a, b: len(a & b) / math.sqrt(len(a) * len(b))
+    k = np.array([[kernel(a, b) for b, _ in labelled] for a, _ in labelled])
+    value, vector = np.linalg.eigh(k)
+    good = value > 1e-8 * value.max()
+    root = vector[:, good] / np.sqrt(value[good])
+    names = sorted(words)
+    target = np.array([[1.0 if lang == n else -1.0 for n in names] for _, lang in labelled])
+    feature = k @ root
+    weight = root @ np.linalg.solve(feature.T @ feature + language_id.RIDGE * len(labelled) * np.eye(root.shape[1]) / 100, feature.T @ target)
+    vocabulary = set().union(*(g for g, _ in labelled))
+    for text, name, score in got:
+        g = grams(text)
+        margin = np.array([len(g & b) / math.sqrt(len(b)) for b, _ in labelled]) @ weight / math.sqrt(max(1, len(g & vocabulary)))
+        likely = np.exp(4 * (margin - margin.max()))
+        assert name == names[int(margin.argmax())] and abs(score - likely.max() / likely.sum()) < 1e-3
+
+
 def test_html_text(spark):
     nav = "<nav><a href=/>Home</a></nav><div>Shared box</div>"
     pages = [
@@ -431,6 +466,32 @@ def test_html_text_drops_what_recurs_beside_and_inside_main_containers(spark):
     assert got == {i: f"own {i} word here next" for i in range(4)}
 
 
+def test_html_text_keeps_paragraphs_and_copies_of_articles(spark):
+    """A paragraph that many articles of a host share is text, and so is an article under several urls with other adverts."""
+    page = lambda i, own: f"<body><p>advert {i}</p><article><h1>t{i if own else 0}</h1>{'<p>own ' + str(i) + '</p>' if own else ''}<p>Released to all</p><ul><li>yes</ul></article></body>"
+    df = spark.createDataFrame([(i, f"http://h.com/{i}", page(i, i < 6)) for i in range(10)], "page_id int, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extracted(df).select("row.page_id", "text").collect()}
+    assert got == {i: f"t{i}\nown {i}\nReleased to all" if i < 6 else "t0\nReleased to all" for i in range(10)}
+
+
+def test_html_text_against_a_plain_counter_of_boxes(spark):
+    """Deep nesting, repeated rows, extra columns of clashing names; boxes counted by their source text."""
+    rng = random.Random(3)
+    boxes = [f"<div><p>box {i}</p><p>more {i}</p></div>" for i in range(6)]
+    rows = []
+    for i in range(30):
+        used = [b for b in boxes if rng.random() < 0.3]
+        rows.append((i, f"http://{'ab'[i % 2]}.com/{i}", f"<body><main><p>own {i}</p>{''.join(used)}<p>end</p></main></body>", used, "host", 5))
+    rows += [rows[0], rows[1], (99, "http://a.com/deep", "<body><main>" + "<div>" * 3000 + "deep" + "</div>" * 3000 + "</main></body>", [], "x", 1)]
+    seen = Counter((u.split("/")[2], b) for _, u, _, used, *_ in {r[0]: r for r in rows}.values() for b in used)
+    expected = []
+    for i, u, _, used, *_ in rows:
+        kept = "".join(f"\nbox {boxes.index(b)}\nmore {boxes.index(b)}" for b in used if seen[u.split("/")[2], b] < 3)
+        expected.append((i, "deep" if i == 99 else f"own {i}{kept}\nend"))
+    df = spark.createDataFrame([(i, u, h, t, n) for i, u, h, _, t, n in rows], "page_id int, url string, html string, text string, page int").repartition(5)
+    assert _sorted(tuple(r) for r in html_text.extracted(df).select("row.page_id", F.col("text")).collect()) == _sorted(expected)
+
+
 def test_html_text_counts_versions_and_copies_of_a_page_once(spark):
     shared = "<div>Shared box</div>"
     rows = [(i, "http://h.com/again", f"<body>{shared}<p>crawled again</p></body>") for i in range(3)]

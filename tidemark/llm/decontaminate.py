@@ -2,26 +2,26 @@
 
 Every item is cut into windows of WINDOW consecutive words (an item of fewer words is one window). A window is the set
 of its word shingles; as it must be contained whole, one necessary shingle is enough to find it: the rarest in the
-corpus, by counts over all documents. Documents are probed for those prefix shingles only; the length and positional
-bounds place the window, and the words themselves confirm it.
+corpus, by counts over all documents. Shingles of documents are joined with these prefix shingles; the length and the
+position bound place the window in the document, and its words are compared one by one.
 
-The item side goes to the tasks in slices of at most SLICE_WINDOWS distinct windows; a larger benchmark takes one pass
-over the documents per slice, so no broadcast grows with it.
+Up to KNOWN_SHINGLES of the items are sent to the tasks, so that documents' other shingles are not shuffled; a larger
+benchmark joins them all. Counts and hits are summed in each task before they are shuffled, so a passage that a third of
+all documents share is no hot key, and copies of one text meet as one.
 
 Defined cases: a null or word-less text has no words and no hits; a null item id counts as the empty id; repeated
 documents each get their own row, repeated items count once per id; an empty benchmark hits nothing; an empty documents
-table gives an empty result; other columns of documents pass through untouched inside `row`.
+table gives an empty result; other columns of documents pass through untouched; a text of any length is read whole.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,11 +29,10 @@ from tidemark.llm import common as C
 
 WINDOW = 13
 SHINGLE = 5
-SLICE_WINDOWS = 200_000
+#: Shingles that a task holds to pass others over at once; with more, every shingle goes to the join.
+KNOWN_SHINGLES = 2_000_000
 MIN_PERCENT = 5
 
-_FILTER = 1 << 20
-
 
 def _words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     start, end, first = C.word_spans(data, at, C.ALNUM_WORD)
@@ -81,46 +80,68 @@ def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text",
     )
 
 
-def shingle_counts(docs: DataFrame, known: list[tuple[int, int]], text: str = "text") -> DataFrame:
-    """shingle, n: how often each of the (step, shingle hash) occurs over all documents; `known` is one slice's."""
-    by_step = {s: np.unique(np.array([h for t, h in known if t == s], np.int64).view(np.uint64)) for s in {t for t, _ in known}}
-    shared = docs.sparkSession.sparkContext.broadcast(by_step)
+_FILTER = 1 << 20
 
-    def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = {s: (h, _filter_of(h)) for s, h in shared.value.items()}
-        total = {s: np.zeros(len(h), np.int64) for s, (h, _) in sets.items()}
-        for batch in C.steps(batches, "text"):
-            _, _, first, words = _words(*C.bytes_of(batch.column("text")))
-            for step, (hashes, bits) in sets.items():
-                seen, _, _ = C.window_hashes(words, first, step)
-                index, _ = _among(seen, hashes, bits)
-                total[step] += np.bincount(index, minlength=len(hashes))
-        for step, n in total.items():
-            if some := np.flatnonzero(n).tolist():
-                yield pa.RecordBatch.from_arrays([pa.array(sets[step][0][some].view(np.int64)), pa.array(n[some])], names=["shingle", "n"])
 
-    counted = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(mapper, "shingle bigint, n bigint")
-    return counted.groupBy("shingle").agg(F.sum("n").alias("n"))
+class Known:
+    """Some shingles by step, with a small filter in front of the exact look-up. None stands for all shingles."""
+
+    def __init__(self, rows: dict[int, np.ndarray]) -> None:
+        self.sets = {step: np.sort(hashes.view(np.uint64)) for step, hashes in rows.items()}
+        self.bits = {}
+        for step, hashes in self.sets.items():
+            self.bits[step] = np.zeros(_FILTER, bool)
+            self.bits[step][(hashes & np.uint64(_FILTER - 1)).astype(np.int64)] = True
 
+    def places(self, step: int, seen: np.ndarray) -> np.ndarray:
+        hashes = self.sets[step]
+        place = np.flatnonzero(self.bits[step][(seen & np.uint64(_FILTER - 1)).astype(np.int64)])
+        return place[hashes[np.minimum(np.searchsorted(hashes, seen[place]), len(hashes) - 1)] == seen[place]]
 
-def _filter_of(hashes: np.ndarray) -> np.ndarray:
-    bits = np.zeros(_FILTER, bool)
-    bits[(hashes & np.uint64(_FILTER - 1)).astype(np.int64)] = True
-    return bits
 
+def _known(tokens: DataFrame) -> tuple[dict[int, int], object]:
+    """Steps of tokens (step, shingle; distinct), and a broadcast Known of them, or None where they are too many."""
+    sizes = dict(tokens.groupBy("step").count().collect())  # a row per number of words, `shingle` at most
+    if sum(sizes.values()) > KNOWN_SHINGLES:
+        return sizes, None
+    table = tokens.select("step", "shingle").toArrow()  # KNOWN_SHINGLES rows at most
+    steps, hashes = table.column("step").to_numpy(), table.column("shingle").to_numpy()
+    return sizes, tokens.sparkSession.sparkContext.broadcast(Known({s: hashes[steps == s] for s in sizes}))
 
-def _among(seen: np.ndarray, hashes: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which of the sorted `hashes` occur in `seen`: index into hashes, place in seen."""
-    place = np.flatnonzero(bits[(seen & np.uint64(_FILTER - 1)).astype(np.int64)])
-    index = np.minimum(np.searchsorted(hashes, seen[place]), max(0, len(hashes) - 1))
-    right = hashes[index] == seen[place] if len(hashes) else np.zeros(0, bool)
-    return index[right], place[right]
+
+def shingle_counts(docs: DataFrame, tokens: DataFrame, text: str = "text") -> DataFrame:
+    """step, shingle, n: how often each of the tokens (step, shingle; distinct) occurs over all documents."""
+    steps, known = _known(tokens)
+
+    def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, Counter] = {s: Counter() for s in steps}
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            for step, counts in total.items():
+                if counts:
+                    keys, n = np.array(list(counts), np.int64), np.array(list(counts.values()), np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), step, np.int32)), pa.array(keys), pa.array(n)], names=["step", "shingle", "n"])
+                    counts.clear()
+
+        for batch in C.steps(batches, "text"):
+            _, _, first, words = _words(*C.bytes_of(batch.column("text")))
+            for step in steps:
+                seen, _, _ = C.window_hashes(words, first, step)
+                met = seen if known is None else seen[known.value.places(step, seen)]
+                total[step].update(dict(zip(*(x.tolist() for x in np.unique(met.view(np.int64), return_counts=True)), strict=True)))
+            if sum(map(len, total.values())) > 200_000:
+                yield from flushed()
+        yield from flushed()
+
+    made = docs.select(F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(mapper, "step int, shingle bigint, n bigint")
+    counted = made.groupBy("step", "shingle").agg(F.sum("n").alias("n"))
+    return counted.join(tokens, ["step", "shingle"]) if known is None else counted
 
 
 def prefixes(windows: DataFrame, counts: DataFrame) -> DataFrame:
     """Each window that can occur, with its rarest shingle: window, width, step, items, shingle, place (of it)."""
     tokens = windows.select("window", "width", "step", "items", F.posexplode("shingles").alias("place", "shingle"))
-    ranked = tokens.join(counts, "shingle", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    ranked = tokens.join(counts, ["step", "shingle"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     rarest = ranked.groupBy("window").agg(
         F.first("width").alias("width"),
         F.first("step").alias("step"),
@@ -130,111 +151,100 @@ def prefixes(windows: DataFrame, counts: DataFrame) -> DataFrame:
     return rarest.filter("rarest.n > 0").select("window", "width", "step", "items", "rarest.shingle", "rarest.place")
 
 
-class _Index:
-    """The prefix shingles of one slice, by step."""
-
-    def __init__(self, rows: list[tuple]) -> None:
-        self.rows: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
-        for window, width, step, items, shingle, place in rows:
-            self.rows[step][shingle].append((place, width, bytes(window), items))
-        self.sets = {}
-        for step, own in self.rows.items():
-            hashes = np.sort(np.array(list(own), np.int64).view(np.uint64))
-            self.sets[step] = (hashes, _filter_of(hashes))
-
-    def hits(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[set]]:
-        """Words per row, hit word ranges per row, items per row."""
-        start, end, first, words = _words(data, at)
-        flat = _lower(data)
-        ranges: list[list] = [[] for _ in range(len(at) - 1)]
-        items: list[set] = [set() for _ in range(len(at) - 1)]
-        for step, (hashes, bits) in self.sets.items():
-            seen, pos, row = C.window_hashes(words, first, step)
-            index, place = _among(seen, hashes, bits)
-            for i, w, r in zip(index.tolist(), pos[place].tolist(), row[place].tolist(), strict=True):
-                lo, hi = int(first[r]), int(first[r + 1])
-                for offset, width, window, of in self.rows[step][int(hashes[i : i + 1].view(np.int64)[0])]:
-                    a = w - offset
-                    if a < lo or a + width > hi:
-                        continue
-                    s, e = start[a : a + width].tolist(), end[a : a + width].tolist()
-                    if b" ".join([flat[x:y] for x, y in zip(s, e, strict=True)]) == window:
-                        ranges[r].append((a - lo, a - lo + width))
-                        items[r].update(of)
-        return np.diff(first), ranges, items
-
-
-_STATE = "n_words bigint, hits binary, found array<string>"
-
-
-_RESULT = "n_words bigint, n_hit bigint, item_ids array<string>, items_sha256 string"
-
-
-def _summed(n: np.ndarray, packed: list[bytes], found: list[list[str]]) -> list[pa.Array]:
-    """The columns of _RESULT."""
-    counts = []
-    for hits in packed:
-        hit: set[int] = set()
-        for a, b in np.frombuffer(hits, np.int32).reshape(-1, 2).tolist():
-            hit.update(range(a, b))
-        counts.append(len(hit))
-    digests = [hashlib.sha256(",".join(ids).encode()).hexdigest() for ids in found]
-    return [pa.array(n.astype(np.int64)), pa.array(counts, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(digests, pa.string())]
-
-
-def _probed(state: DataFrame, rows: list[tuple], last: bool) -> DataFrame:
-    """Add one slice's hits to row, text, n_words, hits, found; the last slice gives row and _RESULT."""
-    shared = state.sparkSession.sparkContext.broadcast(rows)
+_MET = T.StructType(
+    [
+        T.StructField("step", T.IntegerType()),
+        T.StructField("shingle", T.LongType()),
+        T.StructField("at", T.IntegerType()),
+        T.StructField("before", T.IntegerType()),
+        T.StructField("words", T.StringType()),
+    ]
+)
+
+
+def met_shingles(docs: DataFrame, tokens: DataFrame) -> DataFrame:
+    """rk, n_words, met: for each row of docs (rk, text) its occurrences of the tokens (step, shingle; distinct): `at` is
+    the word at which one begins, `words` the words from `before` words ahead of it that any window around it may hold."""
+    steps, known = _known(tokens)
 
     def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _Index(shared.value)
         for batch in C.steps(batches, "text"):
-            n, ranges, items = index.hits(*C.bytes_of(batch.column("text")))
-            before, found = batch.column("hits").to_pylist(), batch.column("found").to_pylist()
-            packed = [(b or b"") + np.array(x, np.int32).tobytes() for b, x in zip(before, ranges, strict=True)]
-            union = [sorted(set(f or ()) | x) for f, x in zip(found, items, strict=True)]
-            if last:
-                yield pa.RecordBatch.from_arrays([batch.column("row"), *_summed(n, packed, union)], names=["row", "n_words", "n_hit", "item_ids", "items_sha256"])
-                continue
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("text"), pa.array(n.astype(np.int64)), pa.array(packed, pa.binary()), pa.array(union, pa.list_(pa.string()))],
-                names=["row", "text", "n_words", "hits", "found"],
-            )
-
-    made = [state.schema["row"], *T._parse_datatype_string(_RESULT).fields] if last else [state.schema["row"], state.schema["text"], *T._parse_datatype_string(_STATE).fields]
-    return state.mapInArrow(mapper, T.StructType(made))
+            data, at = C.bytes_of(batch.column("text"))
+            start, end, first, words = _words(data, at)
+            flat = _lower(data)
+            met: list[list[dict]] = [[] for _ in range(batch.num_rows)]
+            for step in steps:
+                seen, pos, row = C.window_hashes(words, first, step)
+                place = np.arange(len(seen)) if known is None else known.value.places(step, seen)
+                more = WINDOW - step if step == SHINGLE else 0  # windows of fewer words are one shingle
+                r, w = row[place], pos[place]
+                lo, hi = np.maximum(first[r], w - more), np.minimum(first[r + 1], w + step + more)
+                for h, i, p, a, b in zip(seen[place].view(np.int64).tolist(), r.tolist(), w.tolist(), lo.tolist(), hi.tolist(), strict=True):
+                    said = b" ".join([flat[x:y] for x, y in zip(start[a:b].tolist(), end[a:b].tolist(), strict=True)])
+                    met[i].append({"step": step, "shingle": h, "at": p - int(first[i]), "before": p - a, "words": said.decode()})
+            yield pa.RecordBatch.from_arrays([batch.column("rk"), pa.array(np.diff(first).astype(np.int64)), pa.array(met, arrow)], names=["rk", "n_words", "met"])
+
+    arrow = pa.list_(pa.struct([("step", pa.int32()), ("shingle", pa.int64()), ("at", pa.int32()), ("before", pa.int32()), ("words", pa.string())]))
+    return docs.mapInArrow(mapper, T.StructType([docs.schema["rk"], T.StructField("n_words", T.LongType()), T.StructField("met", T.ArrayType(_MET))]))
+
+
+def hits(met: DataFrame, prefix: DataFrame) -> DataFrame:
+    """rk, n_hit, item_ids (sorted): what occurs in each text that has a hit; met: rk, met; prefix: see prefixes()."""
+    each = met.select("rk", F.inline("met"))
+    joined = each.join(prefix, ["step", "shingle"])
+    # where the window begins in `words`; it lies there whole if it is contained
+    begin = F.col("before") - F.col("place")
+    same = (begin >= 0) & (F.array_join(F.slice(F.split("words", " "), F.greatest(begin, F.lit(0)) + 1, F.col("width")), " ") == F.col("window").cast("string"))
+    found = joined.filter(same).select("rk", (F.col("at") - F.col("place")).alias("begin"), "width", "items")
+    spans = found.groupBy("rk", "begin", "width").agg(F.first("items").alias("items"))  # once for all copies of a text
+    before = F.max(F.col("begin") + F.col("width")).over(Window.partitionBy("rk").orderBy("begin", "width").rowsBetween(Window.unboundedPreceding, -1))
+    new = spans.withColumn("new", F.greatest(F.lit(0), F.col("begin") + F.col("width") - F.greatest("begin", F.coalesce(before, F.lit(0)))))
+    return new.groupBy("rk").agg(F.sum("new").cast("bigint").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_ids"))
+
+
+def _found(docs: DataFrame, items: DataFrame, text: str, item_id: str, item_text: str) -> tuple[DataFrame, DataFrame]:
+    """rk, n_words of every row of docs, stored; hits()."""
+    C.small_batches(docs.sparkSession)
+    windows = C.written(item_windows(items, item_id, item_text), "windows")
+    tokens = windows.select("step", F.explode("shingles").alias("shingle")).distinct()
+    counts = shingle_counts(docs, tokens, text)
+    prefix = C.written(prefixes(windows, counts), "prefixes")
+    keyed = docs.select(_key(F.col(f"`{text}`")).alias("rk"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    met = C.written(met_shingles(keyed, prefix.select("step", "shingle").distinct()), "met")
+    return met, hits(met.filter(F.size("met") > 0), prefix)
+
+
+def _key(text: Column) -> Column:
+    """Two hashes and the length of a text."""
+    whole = F.coalesce(text.cast("string"), F.lit(""))
+    return F.struct(F.xxhash64(whole).alias("h"), F.crc32(whole.cast("binary")).alias("c"), F.octet_length(whole).alias("n"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Per document: row (its columns), n_words, n_hit, item_ids (sorted), n_items, items_sha256, contaminated."""
-    C.small_batches(docs.sparkSession)
-    windows = C.written(item_windows(items, item_id, item_text), "windows")
-    n_slices = max(1, -(-windows.count() // SLICE_WINDOWS))
-    state = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-        F.col(f"`{text}`").cast("string").alias("text"),
-        F.lit(None).cast("bigint").alias("n_words"),
-        F.lit(None).cast("binary").alias("hits"),
-        F.lit(None).cast("array<string>").alias("found"),
-    )
-    for k in range(n_slices):
-        part = windows.filter(F.pmod(F.xxhash64("window"), F.lit(n_slices)) == k)
-        known = [(r[0], r[1]) for r in part.select("step", F.explode("shingles")).distinct().collect()]  # of one slice
-        counts = shingle_counts(docs, known, text)
-        rows = [tuple(r) for r in prefixes(part, counts).collect()]  # of one slice
-        last = k == n_slices - 1
-        state = _probed(state, rows, last)
-        if not last:
-            state = C.written(state, "probed")
-
-    return state.withColumns(
+    met, found = _found(docs, items, text, item_id, item_text)
+    sizes = met.groupBy("rk").agg(F.first("n_words").alias("n_words")).join(found, "rk", "left").select(F.struct("rk", "n_words", "n_hit", "item_ids").alias("of"))
+    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _key(F.col(f"`{text}`")).alias("rk"))
+    none, n_hit = F.array().cast("array<string>"), F.coalesce("of.n_hit", F.lit(0))
+    joined = source.join(sizes, F.col("rk") == F.col("of.rk"))
+    made = joined.select("row", "of.n_words", n_hit.cast("bigint").alias("n_hit"), F.coalesce("of.item_ids", none).alias("item_ids"))
+    return made.withColumns(
         {
             "n_items": F.size("item_ids").cast("bigint"),
-            "contaminated": (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= MIN_PERCENT * F.col("n_words")),
+            "items_sha256": F.sha2(F.array_join("item_ids", ",").cast("binary"), 256),
+            "contaminated": _contaminated(),
         }
     )
 
 
+def _contaminated() -> Column:
+    return (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= MIN_PERCENT * F.col("n_words"))
+
+
 def decontaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of docs that are not contaminated, columns unchanged."""
-    return contamination(docs, items, text, item_id, item_text).filter(~F.col("contaminated")).select("row.*")
+    met, found = _found(docs, items, text, item_id, item_text)
+    sizes = met.filter(F.size("met") > 0).groupBy("rk").agg(F.first("n_words").alias("n_words"))
+    bad = C.written(sizes.join(found, "rk").filter(_contaminated()).select(F.struct("rk").alias("of")), "contaminated")
+    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _key(F.col(f"`{text}`")).alias("rk"))
+    return source.join(bad, F.col("rk") == F.col("of.rk"), "left_anti").select("row.*")
