@@ -240,10 +240,10 @@ def test_suffix_windows_are_compared_by_bytes(monkeypatch, anew):
         run.add(flat, ids, ids + 50, row, start, owner, start - at[row], suffixes.rolling_at(flat, 100, start), hashes[owner] % np.uint64(3))
         blocks += run.blocks()
     if anew:
-        blocks = [y for part, _, block in blocks for y in suffixes.dealt_anew(block, part, 5, 100)]
+        blocks = [y for part, block in blocks for y in suffixes.dealt_anew(block, part, 5, 100)]
     gone = set()
-    for part in {p for p, _, _ in blocks}:
-        for z in suffixes.merged([b for p, _, b in blocks if p == part], 100, 32):
+    for part in {p for p, _ in blocks}:
+        for z in suffixes.merged([b for p, b in blocks if p == part], 100, 32):
             for rk, a, b in np.frombuffer(zstandard.ZstdDecompressor().decompress(z), np.int64).reshape(-1, 3).tolist():
                 gone |= {(rk - 50, x) for x in range(a, b)}
     first_of = {}

@@ -14,8 +14,9 @@ document at an earlier place) is removed. Suffixes are kept only where they can
    them. Two windows with the same distance to their owners are equal when the lengths shared between all neighbours from
    one to the other reach to their ends, and the bytes left of the owners are the same.
 
-Hashes only find candidates; bytes and shared lengths decide. A partition with far more suffixes than meant (one KEY that
-many documents hold with different text around) is dealt out anew by whole windows, so that only equal ones meet.
+Hashes only find candidates; bytes and shared lengths decide. Places are counted by partition first: one with far more
+than meant (a KEY that many documents hold with different text around) is dealt out by whole windows instead, so that
+only equal ones meet.
 
 Defined cases: a null text is empty; a null id comes after all others; rows of one id do not remove each other's bytes
 and identical rows get the same result; texts shorter than `length` keep every byte; a text of any size is read in pieces
@@ -237,8 +238,8 @@ class Run:
         self.rows += len(ids)
         self.windows += len(start)
 
-    def blocks(self) -> Iterator[tuple[int, int, bytes]]:
-        """partition, number of entries, block; empties the run."""
+    def blocks(self) -> Iterator[tuple[int, bytes]]:
+        """partition, block; empties the run."""
         data, self.text = np.concatenate(self.text), []
         w = {k: np.concatenate(self.columns.pop(k)) for k in list(self.columns)}
         ids, rk, value, row = w.pop("ids"), w.pop("rk"), w.pop("value"), w["row"]
@@ -246,7 +247,7 @@ class Run:
         gone, _ = repeated(value, ids[row], ranks(ids, rk)[row], w["place"], lambda a, b: same_bytes(data, start[a], start[b], np.broadcast_to(width, len(a))))
         del value
         if gone.any():
-            yield int(w["part"][0]), 0, b"A" + ranges(rk[row[gone]], w["place"][gone])
+            yield int(w["part"][0]), b"A" + ranges(rk[row[gone]], w["place"][gone])
         w = {k: v[~gone] for k, v in w.items()}
         if not len(w["start"]):
             return
@@ -257,8 +258,8 @@ class Run:
         yield from front_coded(data, w["owner"], w["start"], hi, w["place"], ids[w["row"]], rk[w["row"]], w["part"], self.length)
 
 
-def front_coded(data: np.ndarray, owner: np.ndarray, lo: np.ndarray, hi: np.ndarray, place: np.ndarray, ids: np.ndarray, rk: np.ndarray, part: np.ndarray, length: int) -> Iterator[tuple[int, int, bytes]]:
-    """partition, number of entries, block, of entries with bytes lo to owner before their suffix, owner to hi; place: of lo."""
+def front_coded(data: np.ndarray, owner: np.ndarray, lo: np.ndarray, hi: np.ndarray, place: np.ndarray, ids: np.ndarray, rk: np.ndarray, part: np.ndarray, length: int) -> Iterator[tuple[int, bytes]]:
+    """partition, block, of entries with bytes lo to owner before their suffix, owner to hi; place: of lo."""
     span, wide = hi - owner, np.arange(length)
     suffix = np.empty((len(owner), length), np.uint8)
     for a in range(0, len(owner), 10_000):
@@ -277,7 +278,7 @@ def front_coded(data: np.ndarray, owner: np.ndarray, lo: np.ndarray, hi: np.ndar
             shared[x : x + 10_000] = np.minimum(np.where(same.all(1), length, same.argmin(1)), np.minimum(span[this], span[last]))
         tail = [data[o + s : h].tobytes() for o, s, h in zip(owner[own].tolist(), shared.tolist(), hi[own].tolist(), strict=True)]
         left = [data[s:o].tobytes() for s, o in zip(lo[own].tolist(), owner[own].tolist(), strict=True)]
-        yield int(part[a]), len(own), b"B" + packed(
+        yield int(part[a]), b"B" + packed(
             shared.astype(np.uint8), span[own].astype(np.uint8), (owner - lo)[own].astype(np.uint8),
             place[own].astype(np.int32), ids[own], rk[own],
             np.frombuffer(b"".join(tail), np.uint8), np.frombuffer(b"".join(left), np.uint8),
@@ -316,10 +317,10 @@ class Entries:
         self.shared = shared.tolist()
 
 
-def dealt_anew(block: bytes, part: int, parts: int, length: int) -> Iterator[tuple[int, int, bytes]]:
+def dealt_anew(block: bytes, part: int, parts: int, length: int) -> Iterator[tuple[int, bytes]]:
     """A block's windows, each an entry of its own, in the partition of all its bytes: one of `parts` below `part`."""
     if block[:1] == b"A":
-        yield part << 24, 0, block
+        yield part << 24, block
         return
     held = Entries(block)
     left = np.array([len(x) for x in held.left])
@@ -493,9 +494,35 @@ def removed_windows(docs: DataFrame, length: int = LENGTH, key: int = KEY) -> Da
     n = held.select(F.sum(F.size("single") + F.coalesce(F.aggregate("known", F.lit(0.0), lambda s, x: s + F.octet_length(x) / 4), F.lit(0.0)))).first()[0]
     parts = max(1, round((n or 0) / PLACES_PER_MERGE), int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-    def of_blocks(blocks: Iterator[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
-        for part, n, block in blocks:
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([n], pa.int32()), pa.array([block], pa.binary())], names=["part", "n", "block"])
+    def wanted(batch: pa.RecordBatch, at: np.ndarray, offset: int) -> np.ndarray:
+        """Where the places of a batch's rows are in its bytes, ascending."""
+        out = []
+        for r, (single, known) in enumerate(zip(batch.column("single").to_pylist(), batch.column("known").to_pylist(), strict=True)):
+            where = np.concatenate([np.array(single or [], np.int64), *(np.frombuffer(k, np.int32) for k in known or [])]).astype(np.int64) - offset
+            out.append(at[r] + np.sort(where[(where >= 0) & (where < at[r + 1] - at[r])]))
+        return np.concatenate(out)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
+        for batch, data, at, offset in _pieces(batches, length):
+            place = np.unique(wanted(batch, at, offset))
+            hashes = rolling_at(data, key, place[place <= len(data) - key])
+            seen = np.bincount((C.mixed(hashes) % np.uint64(parts)).astype(np.int64), minlength=len(total))
+            seen[: len(total)] += total
+            total = seen
+        if some := np.flatnonzero(total).tolist():
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some])], names=["part", "n"])
+
+    counted = held.select("text", "single", "known").mapInArrow(count, "part bigint, n bigint").groupBy("part").agg(F.sum("n").alias("n"))
+    heavy = {r["part"]: r["n"] for r in counted.filter(F.col("n") > SPLIT * PLACES_PER_MERGE).collect()}  # a row for SPLIT * PLACES_PER_MERGE places at most
+    shared = spark.sparkContext.broadcast(heavy)
+
+    def of_blocks(blocks: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        for part, block in blocks:
+            load = shared.value.get(part)
+            dealt = [(part << 24, block)] if load is None else dealt_anew(block, part, min(1 << 24, max(2, load * 40 // PLACES_PER_MERGE)), length)
+            for to, made in dealt:
+                yield pa.RecordBatch.from_arrays([pa.array([to], pa.int64()), pa.array([made], pa.binary())], names=["part", "block"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = Run(length, key)
@@ -503,11 +530,9 @@ def removed_windows(docs: DataFrame, length: int = LENGTH, key: int = KEY) -> Da
             start, row, owner, hashes = minimisers(data, at, length, key)
             if not len(owner):
                 continue
-            wanted = np.zeros(len(data), bool)
-            for r, (single, known) in enumerate(zip(batch.column("single").to_pylist(), batch.column("known").to_pylist(), strict=True)):
-                where = np.concatenate([np.array(single or [], np.int64), *(np.frombuffer(k, np.int32) for k in known or [])]).astype(np.int64) - offset
-                wanted[at[r] + where[(where >= 0) & (where < at[r + 1] - at[r])]] = True
-            chosen = np.flatnonzero(wanted[owner])
+            found_there = np.zeros(len(data), bool)
+            found_there[wanted(batch, at, offset)] = True
+            chosen = np.flatnonzero(found_there[owner])
             if not len(chosen):
                 continue
             ids, rk = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "rk"))
@@ -522,11 +547,6 @@ def removed_windows(docs: DataFrame, length: int = LENGTH, key: int = KEY) -> Da
         del run
         C.released()
 
-    def anew(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, load, block in zip(*(batch.column(c).to_pylist() for c in ("part", "load", "block")), strict=True):
-                yield from of_blocks(dealt_anew(block, part, min(1 << 24, max(2, load // PLACES_PER_MERGE * 40)), length))
-
     def merge(blocks: pa.Table) -> pa.Table:
         out = list(merged(blocks.column("block").to_pylist(), length, key))
         flat = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.int64) for b in out)]).reshape(-1, 3)
@@ -536,14 +556,8 @@ def removed_windows(docs: DataFrame, length: int = LENGTH, key: int = KEY) -> Da
         C.released()
         return pa.table({"rk": pa.array(flat[new, 0] if len(flat) else [], pa.int64()), "windows": pa.array(packs, pa.binary())})
 
-    blocks = C.written(held.select("id", "rk", "text", "single", "known").mapInArrow(cut, "part bigint, n int, block binary"), "blocks")
-    loads = blocks.groupBy("part").agg(F.sum("n").alias("load"))
-    heavy = C.written(loads.filter(F.col("load") > SPLIT * PLACES_PER_MERGE), "heavy")
-    if not heavy.isEmpty():
-        split = blocks.join(heavy, "part").select("part", "load", "block").mapInArrow(anew, "part bigint, n int, block binary")
-        even = blocks.join(heavy, "part", "left_anti").withColumn("part", F.shiftleft("part", 24))
-        blocks = split.unionByName(even)
-    windows = blocks.select("part", "block").groupBy("part").applyInArrow(merge, "rk bigint, windows binary")
+    blocks = held.select("id", "rk", "text", "single", "known").mapInArrow(cut, "part bigint, block binary")
+    windows = blocks.groupBy("part").applyInArrow(merge, "rk bigint, windows binary")
     per_row = windows.groupBy("rk").agg(F.collect_list("windows").alias("windows"))
     return held.select("rk", "text").join(per_row, "rk")
 
