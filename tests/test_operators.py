@@ -2,9 +2,11 @@
 
 import datetime
 import math
+import random
 from collections import Counter, defaultdict
 from decimal import ROUND_HALF_UP, Decimal
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from tidemark.operators.evaluation import sign_p
 from tidemark.operators.joins import asof_join, latest_per_key, reconcile
 from tidemark.operators.predicates import all_of, keyset_page
 from tidemark.operators.text import dice_of, near_duplicate_pairs, sanitised
-from tidemark.operators.windows import nearest, running
+from tidemark.operators.windows import exact_percentiles, nearest, running
 from tidemark.plans import all_oracles, all_queries
 
 
@@ -30,6 +32,31 @@ def test_asof_join_at_equal_times(spark, forward, strict, expected):
     assert [got[t] for t in (10, 20, 30)] == expected
 
 
+@pytest.mark.parametrize("forward", [True, False])
+@pytest.mark.parametrize("strict", [True, False])
+def test_asof_join_in_pieces_of_the_time_line(spark, forward, strict):
+    rng = random.Random(5)
+    rows = [(rng.choice("ab"), rng.randint(0, 60)) for _ in range(80)]
+    marks = [(rng.choice("ab"), t, 100 + t) for t in rng.sample(range(60), 12)]
+    left = spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(rows)], "i int, k string, t int")
+    right = spark.createDataFrame(marks, "k string, t int, v int")
+    got = {r["i"]: r["v_asof"] for r in asof_join(left, right, "k", "t", "v", forward, strict, bucket=F.floor(F.col("t") / 7)).collect()}
+    for i, (k, t) in enumerate(rows):
+        seen = [(abs(m - t), v) for key, m, v in marks if key == k and ((m > t if forward else m < t) or (m == t and not strict))]
+        assert got[i] == (min(seen)[1] if seen else None)
+
+
+def test_exact_percentiles(spark):
+    values = {"a": [1.0, 1.0, 2.5, 9.0], None: [3.0], "c": [float(x % 13) for x in range(101)]}
+    df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in [*vs, None]], "k string, v double")
+    got = {r["k"]: (r["p50"], r["p95"]) for r in exact_percentiles(df, ["k"], "v", {"p50": 0.5, "p95": 0.95}).collect()}
+    assert got.keys() == values.keys()
+    for k, vs in values.items():
+        assert np.allclose(got[k], np.percentile(vs, [50, 95]))
+    whole = exact_percentiles(df, [], "v", {"p": 0.25}).collect()
+    assert len(whole) == 1 and np.isclose(whole[0]["p"], np.percentile(sum(values.values(), []), 25))
+
+
 def test_reconcile_takes_nulls_as_equal(spark):
     a = spark.createDataFrame([(1, None), (2, 5), (3, 1)], "k int, v int")
     b = spark.createDataFrame([(1, None), (2, 6), (4, 1)], "k int, v int")
@@ -64,7 +91,6 @@ def test_shingles_and_jaccard(spark):
 
 def test_near_duplicate_pairs_match_brute_force(spark):
     import itertools
-    import random
 
     rng = random.Random(3)
     rows = [(i, "b", rng.sample("abcdefgh", 5), rng.sample("abcdefghijkl", 9)) for i in range(25)]

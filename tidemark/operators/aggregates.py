@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.windows import exact_percentiles
 from tidemark.plans.registry import query, sql
 from tidemark.sources.tables import read_table
 
@@ -158,11 +159,12 @@ sql(
     SELECT event_type, count(*) FILTER (WHERE value < 5) AS small, count(*) FILTER (WHERE value >= 5 AND value < 20) AS middle,
            count(*) FILTER (WHERE value >= 20) AS large FROM events GROUP BY event_type""",
 )
-sql(
-    "agg_percentile_cont",
-    "SELECT event_type, round(percentile(value, 0.5), 6) AS p50, round(percentile(value, 0.95), 6) AS p95 FROM events GROUP BY event_type",
-    "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type",
-)
+@query("agg_percentile_cont", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type")
+def agg_percentile_cont(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_percentiles(read_table(spark, sf_dir, "events").select("event_type", "value"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95})
+    return found.select("event_type", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
+
+
 sql("agg_count_distinct", "SELECT event_type, count(DISTINCT user_id) AS users, count(DISTINCT CAST(ts AS DATE)) AS days FROM events GROUP BY event_type")
 sql(
     "agg_ordered_first",
@@ -303,28 +305,40 @@ sql(
     )
     SELECT level, count(*) AS n, count(DISTINCT c_nationkey) AS nations FROM covers GROUP BY level""",
 )
-sql(
+@query(
     "agg_summary_stats",
-    "SELECT o_orderpriority, count(*) AS n, round(percentile(o_totalprice, 0.5), 6) AS median, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS mean, max(o_totalprice) AS largest FROM orders GROUP BY o_orderpriority",
     "SELECT o_orderpriority, count(*) AS n, round(quantile_cont(o_totalprice, 0.5), 6) AS median, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS mean, max(o_totalprice) AS largest FROM orders GROUP BY o_orderpriority",
 )
+def agg_summary_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = read_table(spark, sf_dir, "orders").select("o_orderpriority", "o_totalprice")
+    totals = orders.groupBy("o_orderpriority").agg(F.count("*").alias("n"), (F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double") / F.count("*")).alias("mean"), F.max("o_totalprice").alias("largest"))
+    medians = exact_percentiles(orders, ["o_orderpriority"], "o_totalprice", {"median": 0.5})
+    return totals.join(medians, "o_orderpriority").select("o_orderpriority", "n", F.round("median", 6).alias("median"), "mean", "largest")
+
+
 sql(
     "agg_incident_summary",
     """
     SELECT user_id, count(*) AS calls, count(*) FILTER (WHERE event_type <> 'error') AS live, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS cost,
            min(ts) FILTER (WHERE value > 10) AS first_paid, max(ts) FILTER (WHERE value > 10) AS last_paid FROM events GROUP BY user_id""",
 )
-sql(
+@query(
     "agg_agency_reduce",
     """
-    SELECT user_id, CAST(grouping(user_id) AS INT) AS total, count(*) AS calls, count(*) FILTER (WHERE event_type = 'error') AS errors,
-           CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS cost, round(percentile(value, 0.95), 6) AS p95
-    FROM events WHERE event_type <> 'signup' GROUP BY GROUPING SETS ((), (user_id))""",
-    """
     SELECT user_id, CAST(grouping(user_id) AS INT) AS total, count(*) AS calls, count(*) FILTER (WHERE event_type = 'error') AS errors,
            CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS cost, round(quantile_cont(value, 0.95), 6) AS p95
     FROM events WHERE event_type <> 'signup' GROUP BY GROUPING SETS ((), (user_id))""",
 )
+def agg_agency_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per user and in total; the total's percentile, which one task would hold, is found by ranks."""
+    calls = read_table(spark, sf_dir, "events").filter("event_type <> 'signup'")
+    sums = [F.count("*").alias("calls"), F.count_if(F.col("event_type") == "error").alias("errors"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("cost")]
+    users = calls.groupBy("user_id").agg(*sums, F.percentile("value", 0.95).alias("p95")).withColumn("total", F.lit(0))
+    found = exact_percentiles(calls.select("value", F.lit(1).alias("all")), ["all"], "value", {"p95": 0.95})
+    whole = calls.agg(*sums).withColumn("all", F.lit(1)).join(found, "all").withColumn("total", F.lit(1)).withColumn("user_id", F.lit(None).cast("bigint"))
+    return users.unionByName(whole.drop("all")).select("user_id", "total", "calls", "errors", "cost", F.round("p95", 6).alias("p95"))
+
+
 sql(
     "agg_split_state",
     """

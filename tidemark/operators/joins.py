@@ -15,21 +15,35 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataF
     return numbered.filter("_n = 1").drop("_n")
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: str, on: str, value: str, forward: bool = True, strict: bool = False) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, by: str, on: str, value: str, forward: bool = True, strict: bool = False, bucket: Column | None = None) -> DataFrame:
     """left with the value of right's nearest row of the same `by`, at or after (before) `on`; strict leaves equals out.
 
     One shuffle by key: both sides are laid on one time line and the value is carried along it, so no pairs are made.
+    `bucket`, a column that rises with `on`, cuts the time line of a key that holds too many rows for one task: each piece
+    is looked through alone, and rows that find nothing take the nearest value of the pieces beyond.
     """
     line = left.withColumn("_value", F.lit(None).cast(right.schema[value].dataType)).withColumn("_left", F.lit(True))
     marks = right.select(F.col(by), F.col(on), F.col(value).alias("_value")).withColumn("_left", F.lit(False))
     both = line.unionByName(marks, allowMissingColumns=True)
+    keys = [by]
+    if bucket is not None:
+        both, keys = both.withColumn("_bucket", bucket), [by, "_bucket"]
     # of equal times, the side that the other may not see comes so that it is not yet, or no longer, in the frame
     mark_first = (not forward) != strict
     order = [F.col(on).asc(), F.col("_left").asc() if mark_first else F.col("_left").desc()]
-    key = Window.partitionBy(by).orderBy(*order)
+    key = Window.partitionBy(*keys).orderBy(*order)
     frame = key.rowsBetween(0, Window.unboundedFollowing) if forward else key.rowsBetween(Window.unboundedPreceding, 0)
     pick = F.first("_value", ignorenulls=True) if forward else F.last("_value", ignorenulls=True)
-    return both.withColumn(f"{value}_asof", pick.over(frame)).filter("_left").drop("_left", "_value")
+    found = both.withColumn(f"{value}_asof", pick.over(frame)).filter("_left").drop("_left", "_value")
+    if bucket is None:
+        return found
+    nearest = (F.min_by if forward else F.max_by)("_value", F.when(F.col("_value").isNotNull(), F.col(on)))
+    edges = both.groupBy(*keys).agg(nearest.alias("_edge"))  # a row for each piece
+    pieces = Window.partitionBy(by).orderBy("_bucket")
+    beyond = F.first("_edge", ignorenulls=True).over(pieces.rowsBetween(1, Window.unboundedFollowing)) if forward else F.last("_edge", ignorenulls=True).over(pieces.rowsBetween(Window.unboundedPreceding, -1))
+    carried = edges.select(F.col(by).alias("_by"), F.col("_bucket").alias("_at"), beyond.alias("_beyond"))
+    joined = found.join(carried, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_bucket") == F.col("_at")), "left")
+    return joined.withColumn(f"{value}_asof", F.coalesce(f"{value}_asof", "_beyond")).drop("_bucket", "_by", "_at", "_beyond")
 
 
 def reconcile(left: DataFrame, right: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -122,6 +136,10 @@ def jn_full_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile(kept, resolved, ["custkey"], ["n"]).select("custkey", F.col("a.n").alias("n_kept"), F.col("b.n").alias("n_resolved"))
 
 
+#: A user's events are looked through week by week.
+_WEEK = "date_trunc('week', ts)"
+
+
 @query(
     "jn_asof_next",
     """
@@ -132,7 +150,7 @@ def jn_asof_next(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read_table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
     clicks = events.filter("event_type = 'click'").drop("event_type")
     done = events.filter("event_type = 'purchase'").select("user_id", "ts", F.col("ts").alias("done"))
-    return asof_join(clicks, done, "user_id", "ts", "done", strict=True).select("event_id", "done_asof")
+    return asof_join(clicks, done, "user_id", "ts", "done", strict=True, bucket=F.expr(_WEEK)).select("event_id", "done_asof")
 
 
 @query(
@@ -145,7 +163,7 @@ def jn_asof_attribute(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read_table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
     calls = events.filter("event_type = 'error'").drop("event_type")
     results = events.filter("event_type = 'signup'").select("user_id", "ts", F.col("event_id").alias("result"))
-    return asof_join(calls, results, "user_id", "ts", "result").select("event_id", "result_asof")
+    return asof_join(calls, results, "user_id", "ts", "result", bucket=F.expr(_WEEK)).select("event_id", "result_asof")
 
 
 @query(
@@ -158,7 +176,7 @@ def gr_anchor_prev_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read_table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
     views = events.filter("event_type = 'view'").drop("event_type")
     stops = events.filter("event_type = 'signup'").select("user_id", "ts", F.col("ts").alias("stop"))
-    return asof_join(views, stops, "user_id", "ts", "stop", forward=False).select("event_id", "stop_asof")
+    return asof_join(views, stops, "user_id", "ts", "stop", forward=False, bucket=F.expr(_WEEK)).select("event_id", "stop_asof")
 
 
 @query(
@@ -195,26 +213,34 @@ sql(
 _PLACES = "SELECT n_nationkey AS id, n_regionkey AS region, (n_nationkey * 7) % 50 - 25.0 AS lat, (n_nationkey * 13) % 80 - 40.0 AS lng FROM nation"
 _KM = "111.0 * sqrt((a.lat - b.lat) * (a.lat - b.lat) + (a.lng - b.lng) * (a.lng - b.lng))"
 
+
+def _near(cell: int, km: int) -> str:
+    """Places and their cells of `cell` degrees; near: pairs (a, b) within km, which lie in the same cell or next to it."""
+    return f"""
+    places AS ({_PLACES}), cells AS (SELECT *, CAST(floor(lat / {cell}) AS INT) AS cy, CAST(floor(lng / {cell}) AS INT) AS cx FROM places),
+    around AS (SELECT *, cy + dy AS ky, cx + dx AS kx FROM (SELECT *, explode(array(-1, 0, 1)) AS dy FROM cells) LATERAL VIEW explode(array(-1, 0, 1)) s AS dx),
+    near AS (SELECT a.id AS x, b.id AS y, a.region <> b.region AS cross_border, round({_KM}, 3) AS km FROM cells a JOIN around b ON a.cy = b.ky AND a.cx = b.kx WHERE a.id <> b.id AND {_KM} <= {km})"""
+
+
 sql(
     "jn_spatial_range",
-    f"""
-    WITH places AS ({_PLACES}), cells AS (SELECT id, region, lat, lng, CAST(floor(lat / 10) AS INT) AS cy, CAST(floor(lng / 10) AS INT) AS cx FROM places),
-         near AS (SELECT DISTINCT a.id AS id, b.id AS other FROM cells a JOIN (
-             SELECT c.*, c.cy + s.dy AS ky, c.cx + s.dx AS kx FROM cells c
-             CROSS JOIN (SELECT y.d AS dy, x.d AS dx FROM (SELECT -1 AS d UNION SELECT 0 UNION SELECT 1) y CROSS JOIN (SELECT -1 AS d UNION SELECT 0 UNION SELECT 1) x) s
-         ) b ON a.cy = b.ky AND a.cx = b.kx WHERE a.id <> b.id AND {_KM} <= 1000)
-    SELECT id, other FROM near""",
+    f"WITH {_near(10, 1000)} SELECT x AS id, y AS other FROM near",
     f"WITH places AS ({_PLACES}) SELECT a.id AS id, b.id AS other FROM places a JOIN places b ON a.id <> b.id AND {_KM} <= 1000",
 )
 
 sql(
     "jn_pairs_distance",
+    f"WITH {_near(23, 2500)} SELECT x AS id, y AS other, cross_border, km FROM near",
     f"""
     WITH places AS ({_PLACES}), pairs AS (SELECT a.id AS x, b.id AS y, a.region <> b.region AS cross_border, round({_KM}, 3) AS km FROM places a JOIN places b ON a.id < b.id WHERE {_KM} <= 2500)
     SELECT x AS id, y AS other, cross_border, km FROM pairs UNION ALL SELECT y, x, cross_border, km FROM pairs""",
 )
 
-sql("gr_junctions", f"WITH places AS ({_PLACES}) SELECT a.id AS x, b.id AS y, round({_KM}, 3) AS km FROM places a JOIN places b ON a.id < b.id WHERE {_KM} <= 1500")
+sql(
+    "gr_junctions",
+    f"WITH {_near(14, 1500)} SELECT x, y, km FROM near WHERE x < y",
+    f"WITH places AS ({_PLACES}) SELECT a.id AS x, b.id AS y, round({_KM}, 3) AS km FROM places a JOIN places b ON a.id < b.id WHERE {_KM} <= 1500",
+)
 
 sql(
     "jn_self_pairs",
@@ -273,6 +299,12 @@ sql(
 sql(
     "jn_narrowing_match",
     """
+    WITH s AS (SELECT s_nationkey, count(*) AS n, min(s_suppkey) AS only FROM supplier GROUP BY s_nationkey),
+         b AS (SELECT s_nationkey, s_suppkey, s_acctbal, explode(sequence(CAST(floor(s_acctbal / 500) AS INT) - 1, CAST(floor(s_acctbal / 500) AS INT) + 1)) AS bucket FROM supplier),
+         near AS (SELECT c_custkey AS k, count(*) AS n, max(s_suppkey) AS one FROM customer JOIN b ON s_nationkey = c_nationkey AND bucket = CAST(floor(c_acctbal / 500) AS INT) AND abs(c_acctbal - s_acctbal) < 500 GROUP BY c_custkey)
+    SELECT c_custkey, CASE WHEN s.n = 1 THEN only WHEN near.n = 1 THEN one END AS matched, CASE WHEN s.n = 1 THEN 'unique' WHEN near.n = 1 THEN 'narrowed' ELSE 'ambiguous' END AS how
+    FROM customer JOIN s ON s_nationkey = c_nationkey LEFT JOIN near ON k = c_custkey""",
+    """
     WITH cand AS (
         SELECT c_custkey, s_suppkey, abs(c_acctbal - s_acctbal) < 500 AS by_balance FROM customer JOIN supplier ON c_nationkey = s_nationkey
     ), counted AS (

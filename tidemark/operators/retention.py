@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from tidemark.plans.registry import sql
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.operators.windows import exact_percentiles
+from tidemark.plans.registry import frame, query, sql
 
 sql(
     "op_retention_candidates",
@@ -21,17 +25,27 @@ sql(
     "op_archive_month_prefix",
     "SELECT concat('archive/', CAST(year(o_orderdate) AS STRING), '-', lpad(CAST(month(o_orderdate) AS STRING), 2, '0')) AS prefix, count(*) AS n, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key FROM orders GROUP BY concat('archive/', CAST(year(o_orderdate) AS STRING), '-', lpad(CAST(month(o_orderdate) AS STRING), 2, '0'))",
 )
-_LAG = """
+_LAGS = """
     WITH marks AS (SELECT event_id, user_id, ts, event_type, CASE WHEN event_type = 'purchase' THEN ts END AS done FROM events WHERE event_type IN ('error', 'purchase')),
-         followed AS (SELECT event_type, ts, min(done) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN {strict} FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM marks),
-         lags AS (SELECT ts, next, {seconds} AS s FROM followed WHERE event_type = 'error')
-    SELECT count(*) AS events, count(next) AS followed, count(*) - count(next) AS waiting, count(CASE WHEN s > 86400 THEN 1 END) AS late,
-           round({p}(s, 0.5), 4) AS p50, round({p}(s, 0.95), 4) AS p95, min(CASE WHEN next IS NULL THEN ts END) AS oldest FROM lags"""
-sql(
+         followed AS (SELECT event_type, ts, min(done) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN {strict} FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM marks)
+    SELECT ts, next, {seconds} AS s FROM followed WHERE event_type = 'error'"""
+_DUCK_LAGS = _LAGS.format(strict="INTERVAL 1 MICROSECOND", seconds="date_diff('microsecond', ts, next) / CAST(1000000 AS DOUBLE)")
+
+
+@query(
     "op_lag_report",
-    _LAG.format(strict="INTERVAL '0.000001' SECOND", seconds="timestampdiff(MICROSECOND, ts, next) / 1000000.0D", p="percentile"),
-    _LAG.format(strict="INTERVAL 1 MICROSECOND", seconds="date_diff('microsecond', ts, next) / CAST(1000000 AS DOUBLE)", p="quantile_cont"),
+    f"""SELECT count(*) AS events, count(next) AS followed, count(*) - count(next) AS waiting, count(CASE WHEN s > 86400 THEN 1 END) AS late,
+    round(quantile_cont(s, 0.5), 4) AS p50, round(quantile_cont(s, 0.95), 4) AS p95, min(CASE WHEN next IS NULL THEN ts END) AS oldest FROM ({_DUCK_LAGS}) lags""",
 )
+def op_lag_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lags = frame(spark, sf_dir, _LAGS.format(strict="INTERVAL '0.000001' SECOND", seconds="timestampdiff(MICROSECOND, ts, next) / 1000000.0D")).withColumn("all", F.lit(1))
+    found = exact_percentiles(lags, ["all"], "s", {"p50": 0.5, "p95": 0.95})
+    totals = lags.groupBy("all").agg(
+        F.count("*").alias("events"), F.count("next").alias("followed"), (F.count("*") - F.count("next")).alias("waiting"), F.count_if(F.col("s") > 86400).alias("late"), F.min(F.when(F.col("next").isNull(), F.col("ts"))).alias("oldest")
+    )
+    return totals.join(found, "all", "left").select("events", "followed", "waiting", "late", F.round("p50", 4).alias("p50"), F.round("p95", 4).alias("p95"), "oldest")
+
+
 _AGE = """
     WITH jobs AS (SELECT o_orderpriority, {days} AS waited FROM orders JOIN (SELECT l_orderkey, min(l_shipdate) AS started FROM lineitem GROUP BY l_orderkey) l ON l_orderkey = o_orderkey)
     SELECT o_orderpriority, round({p}(CAST(greatest(0, waited) AS DOUBLE), 0.95), 4) AS p95 FROM jobs GROUP BY o_orderpriority"""

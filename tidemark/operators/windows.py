@@ -33,6 +33,30 @@ def running(df: DataFrame, order: list[str], value: Column, name: str) -> DataFr
     return inside.join(F.broadcast(begun), "_part").select(*df.columns, (F.col("_start") + F.col(name)).alias(name))
 
 
+def exact_percentiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """keys, and for each of `shares` (name to share) the percentile of `value`, linear between neighbours; nulls stay out.
+
+    Equal values are counted first; the counts are summed over range partitions of (keys, value), and only the two values
+    at each rank go on. So no task holds all values of a key, or of a table without keys.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    ranked = running(counts, [*keys, value], F.col("_n"), "_before")
+    totals = ranked.groupBy(*keys).agg(F.sum("_n").alias("_total"), F.min("_before").alias("_first"))
+    named = totals.select(F.struct(*keys, F.lit(1).alias("_one")).alias("_of"), "_total", "_first")
+    same = [F.col(k).eqNullSafe(F.col(f"_of.{k}")) for k in keys] or [F.col("_one") == F.col("_of._one")]
+    on = same[0]
+    for test in same[1:]:
+        on = on & test
+    placed = ranked.withColumn("_one", F.lit(1)).join(named, on).withColumn("_before", F.col("_before") - F.col("_first"))
+    out = []
+    for name, share in shares.items():
+        rank = (F.col("_total") - 1) * F.lit(share)
+        at = lambda r: F.max(F.when((F.col("_before") <= r) & (r < F.col("_before") + F.col("_n")), F.col(value)))
+        low, high = at(F.floor(rank)), at(F.ceil(rank))
+        out.append((low + (F.max(rank) - F.floor(F.max(rank))) * (high - low)).alias(name))
+    return placed.groupBy(*keys).agg(*out)
+
+
 sql("win_row_number_position", "SELECT s_nationkey, s_suppkey, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY (s_acctbal > 5000) DESC, s_name) AS BIGINT) AS position FROM supplier")
 
 sql(
