@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import threading
 import uuid
 from collections.abc import Iterator
@@ -52,6 +53,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return made
 
 
+def settled(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files behind tables that are stored; it does so once the driver has collected the
+    objects that stand for them, which it may put off for long."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def mark() -> int:
     """A point in this thread's work, for dropped()."""
     return len(_paths())

@@ -247,6 +247,7 @@ def grouped(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shin
     ids, texts = F.col(f"`{id_column}`").cast("bigint"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     fetched = docs.select(F.xxhash64(ids, texts).alias("rk"), texts.alias("text")).join(shared.select("rk", "node"), "rk")
     fetched = C.written(fetched.select("node", "text"), "texts")
+    C.settled(docs.sparkSession)
 
     links = C.written(confirmed(spokes.select(F.col("hub").alias("a"), F.col("node").alias("b")), shared, fetched, shingle, percent), "links")
     labels = components(links)

@@ -491,6 +491,8 @@ def removed_windows(docs: DataFrame, length: int = LENGTH, key: int = KEY) -> Da
     C.small_batches(spark)
     found = places(docs.select("rk", "text"), length, key)
     held = C.written(docs.join(found, "rk").dropDuplicates(["rk"]), "suffixes")
+    del found
+    C.settled(spark)
     n = held.select(F.sum(F.size("single") + F.coalesce(F.aggregate("known", F.lit(0.0), lambda s, x: s + F.octet_length(x) / 4), F.lit(0.0)))).first()[0]
     parts = max(1, round((n or 0) / PLACES_PER_MERGE), int(spark.conf.get("spark.sql.shuffle.partitions")))
 
