@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import threading
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -56,8 +57,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def settled(spark: SparkSession) -> None:
     """Have Spark delete the shuffle files behind tables that are stored; it does so once the driver has collected the
     objects that stand for them, which it may put off for long."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # what the first round frees names more
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def mark() -> int:
