@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.plans.registry import frame, query
 from tidemark.session import shared_folder
+from tidemark.sources.daily import checked, fingerprint, read_days, write_days
 
 
 def listed(spark: SparkSession, pattern: str) -> list[str]:
@@ -214,6 +215,22 @@ def snk_tenant_backup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.select("table", "n").join(keys[0].unionByName(keys[1]), "table")
 
 
+@query(
+    "src_ndjson_daily",
+    """SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS cost FROM events
+    WHERE ts >= TIMESTAMP '2024-01-05 06:00:00' AND ts < TIMESTAMP '2024-01-19 12:00:00' GROUP BY 1, 2""",
+)
+def src_ndjson_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as daily files, two weeks of them read back, held against the fingerprint of the rows and cut to a range."""
+    path = _new_path(spark, "daily")
+    events = frame(spark, sf_dir, "SELECT event_id, ts, user_id, event_type, value FROM events")
+    write_days(events, path, "ts")
+    days = events.filter("CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-19'")
+    back = checked(read_days(spark, path, events.schema, "2024-01-05", "2024-01-19"), fingerprint(days))
+    cut = back.filter("ts >= TIMESTAMP_NTZ '2024-01-05 06:00:00' AND ts < TIMESTAMP_NTZ '2024-01-19 12:00:00'")
+    return cut.groupBy(F.col("ts").cast("date").alias("day"), "event_type").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("cost"))
+
+
 @query("snk_versioned_swap", "SELECT o_orderkey FROM orders WHERE year(o_orderdate) = (SELECT max(year(o_orderdate)) FROM orders)")
 def snk_versioned_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A build of the year before is there when the newest year's is written and takes its place."""

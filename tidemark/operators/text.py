@@ -9,7 +9,7 @@ import re
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
@@ -147,15 +147,22 @@ _PAIRS = f"""
     q AS (SELECT conv_id, turn, a, b, source FROM p WHERE role = 'assistant' AND b IS NOT NULL)"""
 
 
+#: Jaccard from which two texts are the same, and from which one is warned of.
+IDENTICAL, WARN = 0.95, 0.05
+
+
 @query(
     "txt_overlap_beyond_source",
     f"""
-    WITH {_PAIRS}, r AS (SELECT conv_id, turn, list_filter(a, lambda x: NOT list_contains(source, x)) AS a, list_filter(b, lambda x: NOT list_contains(source, x)) AS b FROM q)
-    SELECT conv_id, turn, CASE WHEN len(a) > 0 AND len(b) > 0 THEN round(len(list_intersect(a, b)) / CAST(len(list_distinct(list_concat(a, b))) AS DOUBLE), 6) END AS overlap FROM r""",
+    WITH {_PAIRS}, r AS (SELECT conv_id, turn, list_filter(a, lambda x: NOT list_contains(source, x)) AS a, list_filter(b, lambda x: NOT list_contains(source, x)) AS b FROM q),
+    j AS (SELECT conv_id, turn, CASE WHEN len(a) > 0 AND len(b) > 0 THEN round(len(list_intersect(a, b)) / CAST(len(list_distinct(list_concat(a, b))) AS DOUBLE), 6) END AS overlap FROM r)
+    SELECT conv_id, turn, overlap, CASE WHEN overlap >= 0.95 THEN 'identical' WHEN overlap >= 0.05 THEN 'overlap' WHEN overlap IS NULL THEN 'n/a' ELSE 'distinct' END AS verdict FROM j""",
 )
 def txt_overlap_beyond_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = _turn_pairs(spark, sf_dir).withColumns({"a": F.array_except("a", "source"), "b": F.array_except("b", "source")})
-    return pairs.select("conv_id", "turn", F.round(X.jaccard(F.col("a"), F.col("b")), 6).alias("overlap"))
+    scored = pairs.select("conv_id", "turn", F.round(X.jaccard(F.col("a"), F.col("b")), 6).alias("overlap"))
+    o = F.col("overlap")
+    return scored.withColumn("verdict", F.when(o >= IDENTICAL, "identical").when(o >= WARN, "overlap").when(o.isNull(), "n/a").otherwise("distinct"))
 
 
 @query(
@@ -171,7 +178,8 @@ def txt_overlap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("txt_dice_ordered")
 def txt_dice_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """conv_id, turn, dice of each turn with the one before, by matching blocks of words (four words or more)."""
+    """conv_id, turn, dice of each turn with the one before, by matching blocks of words (four words or more), and whether
+    they are nearly the same (0.9 or more)."""
 
     @F.pandas_udf("double")
     def dice(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -179,7 +187,8 @@ def txt_dice_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     order = Window.partitionBy("conv_id").orderBy("turn")
     turns = read_table(spark, sf_dir, "conversations").withColumn("before", F.lag("text").over(order)).filter("before IS NOT NULL")
-    return turns.select("conv_id", "turn", F.round(dice("text", "before"), 6).alias("dice"))
+    scored = turns.select("conv_id", "turn", F.round(dice("text", "before"), 6).alias("dice"))
+    return scored.withColumn("near_exact", F.coalesce(F.col("dice") >= 0.9, F.lit(False)))
 
 
 def dice_of(a: str | None, b: str | None) -> float | None:
@@ -215,11 +224,6 @@ sql(
     f"SELECT doc_id, regexp_like(lower(text), '(?<![a-z0-9])({_ALT})s?(?![a-z0-9])') AS forbidden FROM documents",
     f"SELECT doc_id, regexp_matches(lower(text), '(^|[^a-z0-9])({_ALT})s?($|[^a-z0-9])') AS forbidden FROM documents",
 )
-sql(
-    "txt_forbidden_strip",
-    rf"SELECT doc_id, md5(regexp_replace(text, '\\b(?i:{_ALT})s?\\b ?', '')) AS stripped FROM documents WHERE regexp_like(text, '(?i){_ALT}')",
-    rf"SELECT doc_id, md5(regexp_replace(text, '\b(?i:{_ALT})s?\b ?', '', 'g')) AS stripped FROM documents WHERE regexp_matches(text, '(?i){_ALT}')",
-)
 _EMAIL = "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}"
 _URL = "https?://[^ \\t\\n]+"
 _PHONE = "[+][0-9][0-9 ()-]{6,14}[0-9]"
@@ -308,11 +312,18 @@ def txt_html_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "pages").select("page_id", clean("html").alias("clean"))
 
 
-sql(
-    "txt_html_to_text",
-    r"SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(html, '<(script|style)[^>]*>[^<]*', ' '), '<[^>]*>', ' '), '[ \\t\\n\\r]+', ' '))) AS text FROM pages",
-    r"SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(html, '<(script|style)[^>]*>[^<]*', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \t\n\r]+', ' ', 'g'))) AS text FROM pages",
-)
+#: Comments, blocks that go with all in them, tags (again, as what is left may form new ones), script urls.
+_STRIPPED = ["(?s)<!--.*?-->", *[f"(?is)<{t}[^>]*>.*?</{t}[^>]*>" for t in ("script", "style", "iframe", "object", "noscript", "template", "svg")], "<[^>]*>", "<[^>]*>", "(?i)(javascript|vbscript|data)[ ]*:"]
+
+
+def _stripped(duck: bool) -> str:
+    text = "html"
+    for pattern in [*_STRIPPED, "[ \t\n\r]+"]:
+        text = f"regexp_replace({text}, '{pattern}', ' '{', ' + chr(39) + 'g' + chr(39) if duck else ''})"
+    return f"SELECT page_id, md5(trim({text})) AS text FROM pages"
+
+
+sql("txt_html_to_text", _stripped(False), _stripped(True))
 
 
 sql(
@@ -320,23 +331,36 @@ sql(
     "SELECT page_id, array_join(array_distinct(regexp_extract_all(html, 'href=\"(/[^\"]*)\"', 1)), ' ') AS links FROM pages",
     "SELECT page_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ') AS links FROM (SELECT page_id, regexp_extract_all(html, 'href=\"(/[^\"]*)\"', 1) AS l FROM pages)",
 )
-_FIG = "regexp_extract_all(text, '[0-9]+', 0)"
+
+
+def _figures(duck: bool) -> str:
+    """The numbers of a text: thousands without their signs, 1990-95 as the years 1990 and 1995."""
+    group, more = ("\\{}", ", 'g'") if duck else ("${}", "")
+    to = lambda *parts: "".join(p if p == " " else group.format(p) for p in parts)
+    text = "text"
+    for _ in range(2):
+        text = f"regexp_replace({text}, '([0-9]),([0-9][0-9][0-9])([^0-9]|$)', '{to('1', '2', '3')}'{more})"
+    text = f"regexp_replace({text}, '([12][0-9])([0-9][0-9])[-–]([0-9][0-9])([^0-9]|$)', '{to('1', '2', ' ', '1', '3', '4')}'{more})"
+    return f"regexp_extract_all({text}, '[0-9]+', 0)"
+
+
+_FIG, _DUCK_FIG = _figures(False), _figures(True)
 sql(
     "txt_novel_numbers",
     f"SELECT conv_id, turn, CAST(size(array_except({_FIG}, before)) AS BIGINT) AS novel FROM (SELECT *, lag({_FIG}) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) WHERE before IS NOT NULL",
-    f"SELECT conv_id, turn, CAST(len(list_distinct(list_filter(f, lambda x: NOT list_contains(before, x)))) AS BIGINT) AS novel FROM (SELECT conv_id, turn, {_FIG} AS f, lag({_FIG}) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) WHERE before IS NOT NULL",
+    f"SELECT conv_id, turn, CAST(len(list_distinct(list_filter(f, lambda x: NOT list_contains(before, x)))) AS BIGINT) AS novel FROM (SELECT conv_id, turn, {_DUCK_FIG} AS f, lag({_DUCK_FIG}) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) WHERE before IS NOT NULL",
 )
 sql(
     "txt_figure_coverage",
     f"SELECT conv_id, turn, CASE WHEN size(before) > 0 THEN round(size(array_intersect(before, f)) / CAST(size(array_distinct(before)) AS DOUBLE), 6) END AS covered FROM (SELECT conv_id, turn, {_FIG} AS f, lag({_FIG}) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) WHERE before IS NOT NULL",
-    f"SELECT conv_id, turn, CASE WHEN len(before) > 0 THEN round(len(list_intersect(before, f)) / CAST(len(list_distinct(before)) AS DOUBLE), 6) END AS covered FROM (SELECT conv_id, turn, {_FIG} AS f, lag({_FIG}) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) WHERE before IS NOT NULL",
+    f"SELECT conv_id, turn, CASE WHEN len(before) > 0 THEN round(len(list_intersect(before, f)) / CAST(len(list_distinct(before)) AS DOUBLE), 6) END AS covered FROM (SELECT conv_id, turn, {_DUCK_FIG} AS f, lag({_DUCK_FIG}) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) WHERE before IS NOT NULL",
 )
 sql(
     "txt_fact_filter",
     f"""SELECT conv_id, turn, CASE WHEN size(array_except({_FIG}, before)) > 0 THEN 'fail' WHEN regexp_like(lower(text), 'always|never|guarantee') THEN 'grey' ELSE 'pass' END AS verdict
     FROM (SELECT *, lag({_FIG}) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) WHERE before IS NOT NULL""",
-    f"""SELECT conv_id, turn, CASE WHEN len(list_filter({_FIG}, lambda x: NOT list_contains(before, x))) > 0 THEN 'fail' WHEN regexp_matches(lower(text), 'always|never|guarantee') THEN 'grey' ELSE 'pass' END AS verdict
-    FROM (SELECT *, lag({_FIG}) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) WHERE before IS NOT NULL""",
+    f"""SELECT conv_id, turn, CASE WHEN len(list_filter({_DUCK_FIG}, lambda x: NOT list_contains(before, x))) > 0 THEN 'fail' WHEN regexp_matches(lower(text), 'always|never|guarantee') THEN 'grey' ELSE 'pass' END AS verdict
+    FROM (SELECT *, lag({_DUCK_FIG}) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) WHERE before IS NOT NULL""",
 )
 sql(
     "txt_dictionary_entities",
@@ -414,7 +438,13 @@ def txt_tfidf_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.filter("cosine >= 0.2")
 
 
-@query("txt_json_text_walk", "SELECT event_id, concat_ws(' ', json_extract_string(props, '$.k'), event_type) AS words FROM events")
+def text_leaves(json: Column) -> Column:
+    """All strings of a JSON text that are values, at any depth, in reading order; keys and numbers stay out."""
+    quoted = F.regexp_extract_all(json, F.lit(r'("(?:[^"\\]|\\.)*")(?=\s*[,}\]])'), F.lit(1))
+    return F.from_json(F.concat(F.lit("["), F.array_join(quoted, ","), F.lit("]")), "array<string>")
+
+
+@query("txt_json_text_walk", """SELECT event_id, concat('T ', event_type, ' | day "', event_id, '" | a | b, c | end') AS words FROM events""")
 def txt_json_text_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    leaves = F.array_join(F.map_values(F.from_json("props", "map<string,string>")), " ")
-    return read_table(spark, sf_dir, "events").select("event_id", F.concat_ws(" ", leaves, "event_type").alias("words"))
+    nested = F.concat(F.lit('{"title": "T '), "event_type", F.lit('", "skip": 5, "days": [{"name": "day \\"'), F.col("event_id").cast("string"), F.lit('\\"", "tags": ["a", "b, c"]}, "end"], "k": '), F.get_json_object("props", "$.k"), F.lit("}"))
+    return read_table(spark, sf_dir, "events").select("event_id", F.array_join(text_leaves(nested), " | ").alias("words"))
