@@ -14,7 +14,6 @@ the mean shard has a shard of its own, and the others share the rest evenly.
 
 from __future__ import annotations
 
-import math
 from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, Window
@@ -163,7 +162,3 @@ def placed(docs: DataFrame, shards: int = SHARDS, id_column: str = "doc_id", tex
     place = F.row_number().over(Window.partitionBy("shard", "salt").orderBy("id", "key")) - 1
     out = placed_rows.withColumn("place", place).join(F.broadcast(starts), ["shard", "salt"])
     return out.select(F.col("id").alias(id_column), "size", "text_crc32", "shard", (F.col("before") + F.col("place")).alias("slot"))
-
-
-def mean_capacity(total: int, shards: int) -> int:
-    return math.ceil(total / shards)
