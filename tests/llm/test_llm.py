@@ -352,6 +352,76 @@ def test_sharding(docs, none):
     assert sharding.placed(none).count() == 0
 
 
+def test_sharding_against_a_plain_packer(spark):
+    """Groups of equal texts, many of one size: the sizes that each shard gets are those of a list-based best fit."""
+    rng = random.Random(12)
+    texts = ["x" * rng.choice([3, 3, 3, 10, 10, 25, 60, 61, 200]) + str(rng.randint(0, 40)) for _ in range(400)] + [None] * 5 + [""] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(6)
+    rows = sharding.placed(docs, 5).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(len(texts)))
+    size = lambda t: len((t or "").encode()) + 8
+    groups = Counter(texts)
+    sizes = Counter(size(t) * n for t, n in groups.items())
+    shard_of = {texts[r["doc_id"]]: set() for r in rows}
+    for r in rows:
+        shard_of[texts[r["doc_id"]]].add(r["shard"])
+        assert r["size"] == size(texts[r["doc_id"]]) and r["text_crc32"] == zlib.crc32((texts[r["doc_id"]] or "").encode())
+    assert all(len(s) == 1 for s in shard_of.values())
+    got = Counter((size(t) * n, next(iter(shard_of[t]))) for t, n in groups.items())
+
+    total = sum(s * n for s, n in sizes.items())
+    slack = 0
+    while True:
+        room, put = [-(-total // 5) + slack] * 5, Counter()
+        for s in sorted(sizes.elements(), reverse=True):
+            fits = [(room[i], i) for i in range(5) if room[i] >= s]
+            if not fits:
+                break
+            _, i = min(fits)
+            room[i] -= s
+            put[s, i] += 1
+        else:
+            break
+        slack = max(16, 2 * slack)
+    assert got == put
+    load = Counter()
+    for r in rows:
+        load[r["shard"]] += r["size"]
+    assert max(load.values()) - min(load.values()) <= max(sizes) and len(load) == 5
+    for shard in load:
+        assert sorted(r["slot"] for r in rows if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in rows)))
+
+
+def test_operators_take_columns_of_clashing_names_and_repeated_rows(spark):
+    """Columns named as the operators' own, ties, repeated rows and a long text: nothing is lost or mixed up."""
+    names = ["row", "rk", "id", "text", "node", "kept", "pattern", "label", "word", "key", "hash", "shard", "met", "page", "host", "subtree", "site"]
+    long = " ".join(f"word{i % 977} and{i}" for i in range(180_000))
+    assert len(long) > 2 << 20
+    rows = [(1, "the cat and the dog", "en"), (1, "the cat and the dog", "en"), (2, long, "en"), (3, None, None), (None, "", "de"), (4, "der hund und die katze", "de")]
+    docs = spark.createDataFrame([(i, lang, t, *[f"{n}{i}" for n in names if n != "text"]) for i, t, lang in rows], "doc_id bigint, lang string, text string, " + ", ".join(f"{n} string" for n in names if n != "text"))
+    n_words = sorted(len((t or "").split()) for _, t, _ in rows)
+    assert sorted(r["n_words"] for r in quality.quality_scores(docs).collect()) == n_words
+    assert quality.quality_filter(docs).columns == docs.columns
+    items = spark.createDataFrame([(7, "cat and the dog")], "item_id bigint, text string")
+    hit = decontaminate.contamination(docs, items).collect()
+    assert sorted(r["n_words"] for r in hit) == n_words and sorted(r["n_hit"] for r in hit) == [0, 0, 0, 0, 4, 4]
+    assert all(r["row"]["page"] == f"page{r['row']['doc_id']}" for r in hit)
+    assert decontaminate.decontaminated(docs, items).columns == docs.columns
+    model = language_id.fitted(docs, F.lit(True))
+    said = language_id.predicted(docs, model).collect()
+    assert Counter(r["lang_pred"] for r in said) == {"en": 3, "de": 1, "und": 2} and all(r["row"]["host"] == f"host{r['row']['doc_id']}" for r in said)
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    made = pieces.encoded(docs, MODEL).collect()
+    assert Counter((r["row"]["doc_id"], len(r["ids"])) for r in made) == Counter((i, len(library.encode(t or ""))) for i, t, _ in rows)
+    counts = token_counts.token_counts(docs, MODEL).collect()
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in counts) == Counter((i, len(library.encode(t or ""))) for i, t, _ in rows)
+    one = near_dedup.one_of_each(docs)
+    assert one.columns == docs.columns and Counter(r["doc_id"] for r in one.collect()) == {1: 1, 2: 1, 3: 1, None: 1, 4: 1}
+    short = suffixes.without_repeats(docs)
+    assert short.columns == docs.columns and {r["text"] for r in short.collect()} == {t for _, t, _ in rows}
+    assert sorted(r["size"] for r in sharding.placed(docs).collect()) == sorted(len((t or "").encode()) + 8 for _, t, _ in rows)
+
+
 def test_best_fit_decreasing_takes_the_tightest_shard():
     rng = random.Random(4)
     sizes = sorted(((rng.randint(1, 60), rng.randint(1, 4)) for _ in range(40)), reverse=True)

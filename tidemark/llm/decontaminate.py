@@ -220,11 +220,11 @@ def _key(text: Column) -> Column:
     return F.struct(F.xxhash64(whole).alias("h"), F.crc32(whole.cast("binary")).alias("c"), F.octet_length(whole).alias("n"))
 
 
-def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Per document: row (its columns), n_words, n_hit, item_ids (sorted), n_items, items_sha256, contaminated."""
+def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", columns: list[str] | None = None) -> DataFrame:
+    """Per document: row (its columns, or `columns` of them), n_words, n_hit, item_ids (sorted), n_items, items_sha256, contaminated."""
     met, found = _found(docs, items, text, item_id, item_text)
     sizes = met.groupBy("rk").agg(F.first("n_words").alias("n_words")).join(found, "rk", "left").select(F.struct("rk", "n_words", "n_hit", "item_ids").alias("of"))
-    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _key(F.col(f"`{text}`")).alias("rk"))
+    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns or docs.columns]).alias("row"), _key(F.col(f"`{text}`")).alias("rk"))
     none, n_hit = F.array().cast("array<string>"), F.coalesce("of.n_hit", F.lit(0))
     joined = source.join(sizes, F.col("rk") == F.col("of.rk"))
     made = joined.select("row", "of.n_words", n_hit.cast("bigint").alias("n_hit"), F.coalesce("of.item_ids", none).alias("item_ids"))

@@ -54,7 +54,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = decontaminate.contamination(docs, read_table(spark, sf_dir, "benchmark"))
+    found = decontaminate.contamination(docs, read_table(spark, sf_dir, "benchmark"), columns=["doc_id"])
     return found.select("row.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
