@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+#: Times keep their microseconds.
+_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def write_days(rows: DataFrame, path: str, time: str) -> None:
-    rows.withColumn("day", F.col(time).cast("date").cast("string")).write.mode("overwrite").partitionBy("day").json(path)
+    rows.withColumn("day", F.col(time).cast("date").cast("string")).write.mode("overwrite").options(**_TIMES).partitionBy("day").json(path)
 
 
 def read_days(spark: SparkSession, path: str, schema: StructType, first: str, last: str) -> DataFrame:
     """The rows of the days first to last; other folders are not read."""
-    rows = spark.read.schema(StructType(schema.fields).add("day", "date")).json(path)
+    rows = spark.read.schema(StructType(schema.fields).add("day", "date")).options(**_TIMES).json(path)
     return rows.filter(F.col("day").between(F.lit(first).cast("date"), F.lit(last).cast("date"))).drop("day")
 
 
