@@ -179,21 +179,24 @@ def places(docs: DataFrame, length: int, key: int) -> DataFrame:
     return repeated_places.groupBy("rk").agg(F.collect_list("place").alias("single"), F.collect_list("known").alias("known"))
 
 
-def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, width: np.ndarray) -> np.ndarray:
-    """Whether the width[i] bytes from a[i] and from b[i] are the same."""
-    out = np.empty(len(a), bool)
+def same_windows(data: np.ndarray, length: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the `length` bytes from each a and from each b are the same."""
+    windows, out = np.lib.stride_tricks.sliding_window_view(data, length), np.empty(len(a), bool)
     for lo in range(0, len(a), 20_000):
-        x, y, n = a[lo : lo + 20_000], b[lo : lo + 20_000], width[lo : lo + 20_000]
-        wide = np.arange(n.max(initial=0))
-        cells = [data[np.minimum(z[:, None] + wide, len(data) - 1)] for z in (x, y)]
-        out[lo : lo + 20_000] = ((cells[0] == cells[1]) | (wide >= n[:, None])).all(1)
+        out[lo : lo + 20_000] = (windows[a[lo : lo + 20_000]] == windows[b[lo : lo + 20_000]]).all(1)
     return out
 
 
 def repeated(value: np.ndarray, ids: np.ndarray, rank: np.ndarray, place: np.ndarray, same: Callable) -> tuple[np.ndarray, np.ndarray]:
     """Which windows have an equal one in a document of smaller id or earlier in their own, and the indices of those in
     doubt, whose hash `value` an unequal window shares. `same` tells it for two arrays of indices; rank: of (id, rk)."""
-    order = np.lexsort((place, rank, value))
+    gone, order = np.zeros(len(value), bool), np.argsort(value)
+    v = value[order]
+    again = np.append(False, v[1:] == v[:-1])
+    several = order[again | np.append(again[1:], False)]  # only these need the order of documents and places
+    if not len(several):
+        return gone, several
+    order = several[np.lexsort((place[several], rank[several], value[several]))]
     v, r, i, p = value[order], rank[order], ids[order], place[order]
     new = np.append(True, v[1:] != v[:-1])
     first = np.flatnonzero(new)[np.cumsum(new) - 1]
@@ -202,7 +205,6 @@ def repeated(value: np.ndarray, ids: np.ndarray, rank: np.ndarray, place: np.nda
     of_smaller = i > i[first]
     at = np.flatnonzero(of_smaller | (p > p[head]))
     ok = same(order[at], order[np.where(of_smaller, first, head)[at]])
-    gone = np.zeros(len(value), bool)
     gone[order[at[ok]]] = True
     return gone, order[at[~ok]]
 
@@ -243,8 +245,8 @@ class Run:
         data, self.text = np.concatenate(self.text), []
         w = {k: np.concatenate(self.columns.pop(k)) for k in list(self.columns)}
         ids, rk, value, row = w.pop("ids"), w.pop("rk"), w.pop("value"), w["row"]
-        start, width = w["start"], np.full(1, self.length)
-        gone, _ = repeated(value, ids[row], ranks(ids, rk)[row], w["place"], lambda a, b: same_bytes(data, start[a], start[b], np.broadcast_to(width, len(a))))
+        start = w["start"]
+        gone, _ = repeated(value, ids[row], ranks(ids, rk)[row], w["place"], lambda a, b: same_windows(data, self.length, start[a], start[b]))
         del value
         if gone.any():
             yield int(w["part"][0]), b"A" + ranges(rk[row[gone]], w["place"][gone])
@@ -314,7 +316,7 @@ class Entries:
             self.suffixes.append(before)
         cut, lefts = np.append(0, np.cumsum(left_span, dtype=np.int64)).tolist(), left.tobytes()
         self.left = [lefts[a:b] for a, b in zip(cut, cut[1:], strict=False)]
-        self.shared = shared.tolist()
+        self.shared, self.left_span = shared.tolist(), left_span
 
 
 def dealt_anew(block: bytes, part: int, parts: int, length: int) -> Iterator[tuple[int, bytes]]:
@@ -414,33 +416,39 @@ def merged(blocks: list[bytes], length: int, key: int) -> Iterator[bytes]:
             yield block[1:]
         else:
             runs.append(Entries(block))
-    held: list[tuple[int, int, int]] = []  # run, index, shared
+    if not runs:
+        return
+    begin = np.cumsum([0, *(len(r.suffixes) for r in runs)]).tolist()
+    text = [a + b for r in runs for a, b in zip(r.left, r.suffixes, strict=True)]
+    columns = [np.concatenate([getattr(r, name) for r in runs]).astype(np.int64) for name in ("left_span", "ids", "rk", "place")]
+    held: list[int] = []  # entries in order
+    near: list[int] = []  # length that each shares with the one before
     for run, i, shared in Merge([(r.suffixes, r.shared) for r in runs]):
         if shared < key and len(held) >= MERGE_ENTRIES:
-            yield from _removed(held, runs, length, key)
-            held = []
-        held.append((run, i, shared))
-    yield from _removed(held, runs, length, key)
+            yield from _removed(np.array(held), np.array(near), text, *columns, length, key)
+            held, near = [], []
+        held.append(begin[run] + i)
+        near.append(shared)
+    yield from _removed(np.array(held), np.array(near), text, *columns, length, key)
 
 
-def _removed(held: list[tuple[int, int, int]], runs: list[Entries], length: int, key: int) -> Iterator[bytes]:
+def _removed(
+    held: np.ndarray, shared: np.ndarray, texts: list[bytes], left: np.ndarray, ids: np.ndarray, rk: np.ndarray, place: np.ndarray, length: int, key: int
+) -> Iterator[bytes]:
     """Of neighbours in sorted order, the windows that repeat an earlier one."""
     if len(held) < 2:
         return
-    shared = np.array([x for _, _, x in held])
     shared[0] = 0
     near = shared >= key
-    some = np.flatnonzero(near | np.append(near[1:], False))  # those that share KEY bytes with a neighbour
-    if not len(some):
+    some = near | np.append(near[1:], False)  # those that share KEY bytes with a neighbour
+    if not some.any():
         return
-    shared, held = shared[some], [held[i] for i in some.tolist()]
-    left = np.array([len(runs[r].left[i]) for r, i, _ in held])
-    text = [runs[r].left[i] + runs[r].suffixes[i] for r, i, _ in held]
+    shared, held = shared[some], held[some]
+    left, ids, rk, place = left[held], ids[held], rk[held], place[held]
+    text = [texts[i] for i in held.tolist()]
     size = np.array([len(t) for t in text])
     data = np.frombuffer(b"".join(text), np.uint8)
     owner = np.cumsum(size) - size + left
-    ids, rk = (np.array([getattr(runs[r], name)[i] for r, i, _ in held], np.int64) for name in ("ids", "rk"))
-    place = np.array([runs[r].place[i] for r, i, _ in held], np.int64)
     rank = ranks(ids, rk)
 
     # a window's distance is that from its start to its owner; windows of one distance are judged together
@@ -448,7 +456,7 @@ def _removed(held: list[tuple[int, int, int]], runs: list[Entries], length: int,
     at_distance = np.cumsum(np.bincount(least, minlength=length + 1) - np.bincount(most + 1, minlength=length + 1)[: length + 1])
     batch = np.cumsum(at_distance) // MERGE_WINDOWS
     cut = np.flatnonzero(np.append(True, batch[1:] != batch[:-1])).tolist()
-    for d0, d1 in zip(cut, [*cut[1:], length + 1], strict=True):
+    for d0, d1 in zip(cut, [*cut[1:], int(most.max()) + 1], strict=True):
         lo, hi = np.maximum(least, d0), np.minimum(most, d1 - 1)
         n = np.maximum(hi - lo + 1, 0)
         if not n.sum():
@@ -463,7 +471,7 @@ def _removed(held: list[tuple[int, int, int]], runs: list[Entries], length: int,
         where = place[entry] + left[entry] - distance
 
         def same(a: np.ndarray, b: np.ndarray, right=right, distance=distance, start=start) -> np.ndarray:
-            return (right[a] == right[b]) & (distance[a] == distance[b]) & same_bytes(data, start[a], start[b], distance[a])
+            return (right[a] == right[b]) & (distance[a] == distance[b]) & same_windows(data, length, start[a], start[b])
 
         gone, doubtful = repeated(value, ids[entry], rank[entry], where, same)
         if len(doubtful):  # unequal windows of one hash: told apart by their bytes
