@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, html_text, language_id, near_dedup, pieces, quality, sharding, suffixes, token_counts, url_filter
+from tidemark.llm import decontaminate, html_text, language_id, merkle, near_dedup, pieces, quality, secret_scan, sharding, suffixes, token_counts, url_filter, variants
 from tidemark.sources.tables import read_table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -75,6 +75,32 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeat_report(read_table(spark, sf_dir, "documents"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.with_secrets(read_table(spark, sf_dir, "documents"), columns=["doc_id"])
+    base = F.filter("spans", lambda s: s["layers"] == "")
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return found.withColumn("base", base).select(
+        "row.doc_id", *[count(kind) for kind in secret_scan.KINDS], F.sha2(secret_scan.joined(F.col("base")), 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"), "unopened"
+    )
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.grouped(variants.runs(read_table(spark, sf_dir, "documents")))
+
+
+MANIFEST_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest, and what each row folds to if some texts have lost their line feeds."""
+    fields = [F.replace("text", F.lit("\n"), F.lit("")) if f == "text" else F.col(f) for f in MANIFEST_FIELDS]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, merkle.leaf_of(*fields))
+    made = merkle.proofs(read_table(spark, sf_dir, "documents"), MANIFEST_FIELDS, carry={"tampered": tampered})
+    siblings = F.array_join(F.transform("path", lambda s: F.concat(s["before"], s["after"])), "")
+    again = made.withColumn("folded_root", merkle.folded(F.coalesce("tampered", "leaf"), F.col("path")))
+    return again.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings, 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_url_filter": op2_url_filter,
@@ -86,6 +112,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_html_text": op9_html_text,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_secret_scan": op11_secret_scan,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 def _rule_case(then: str) -> str:
