@@ -15,7 +15,7 @@ from tidemark.operators.aggregates import BOUNDS, bin_of, histogram, histogram_p
 from tidemark.operators.evaluation import sign_p
 from tidemark.operators.joins import asof_join, latest_per_key, reconcile
 from tidemark.operators.predicates import all_of, keyset_page
-from tidemark.operators.text import dice_of, near_duplicate_pairs, sanitised
+from tidemark.operators.text import near_duplicate_pairs, sanitised
 from tidemark.operators.windows import exact_percentiles, nearest, running
 from tidemark.plans import all_oracles, all_queries
 
@@ -110,7 +110,6 @@ def test_nearest_is_exact(spark):
 def test_sanitiser_and_dice():
     assert sanitised('<p onclick="x">a<script>b</script><a href="javascript:x">c') == "<p>a<a>c</a></p>"
     assert sanitised(None) is None
-    assert dice_of("a b c d", "a b c d") == 1.0 and dice_of("a b", "a b") is None
 
 
 def test_sign_test_keeps_every_source(spark):

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import difflib
 import html
-import math
 import re
 from html.parser import HTMLParser
 
@@ -176,29 +174,6 @@ def txt_overlap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.groupBy("turn").agg(F.count("*").alias("n"), F.round(F.sum(F.col("j").cast("decimal(18,6)")).cast("double") / F.count("j"), 6).alias("mean"))
 
 
-@query("txt_dice_ordered")
-def txt_dice_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """conv_id, turn, dice of each turn with the one before, by matching blocks of words (four words or more), and whether
-    they are nearly the same (0.9 or more)."""
-
-    @F.pandas_udf("double")
-    def dice(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([dice_of(x, y) for x, y in zip(a, b, strict=True)])
-
-    order = Window.partitionBy("conv_id").orderBy("turn")
-    turns = read_table(spark, sf_dir, "conversations").withColumn("before", F.lag("text").over(order)).filter("before IS NOT NULL")
-    scored = turns.select("conv_id", "turn", F.round(dice("text", "before"), 6).alias("dice"))
-    return scored.withColumn("near_exact", F.coalesce(F.col("dice") >= 0.9, F.lit(False)))
-
-
-def dice_of(a: str | None, b: str | None) -> float | None:
-    x, y = (a or "").lower().split(), (b or "").lower().split()
-    if len(x) < 4 or len(y) < 4:
-        return None
-    matched = sum(m.size for m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks())
-    return 2 * matched / (len(x) + len(y))
-
-
 @query(
     "txt_align_evidence",
     r"""
@@ -383,61 +358,6 @@ sql("txt_embed_text", "SELECT source, count(CASE WHEN length(trim(text)) = 0 THE
 sql("txt_embed_batching", "SELECT batch, count(*) AS n, min(doc_id) AS first_id FROM (SELECT doc_id, source, CAST(floor((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) / 96) AS BIGINT) AS batch FROM documents WHERE length(trim(text)) > 0) GROUP BY batch, source".replace("SELECT batch,", "SELECT source, batch,", 1))
 
 
-def term_table(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, term, tf."""
-    return docs.select(id_column, F.explode(X.words(F.col(text))).alias("term")).groupBy(id_column, "term").agg(F.count("*").alias("tf"))
-
-
-@query(
-    "txt_fts_bm25",
-    f"""
-    WITH t AS (SELECT doc_id, unnest({_WORDS}) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2),
-         len AS (SELECT doc_id, sum(tf) AS dl FROM tf GROUP BY 1), n AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM len),
-         df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
-         q AS (SELECT unnest(['that', 'with', 'from']) AS term),
-         s AS (SELECT doc_id, count(*) AS terms, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM tf JOIN q USING (term) JOIN df USING (term) JOIN len USING (doc_id) CROSS JOIN n GROUP BY doc_id)
-    SELECT doc_id, round(score, 6) AS score FROM s WHERE terms = 3 ORDER BY round(score, 6) DESC, doc_id LIMIT 50""",
-)
-def txt_fts_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 50 best documents that hold every query term."""
-    terms = ("that", "with", "from")
-    count = lambda w, term: F.size(F.filter(w, lambda x: x == term))
-    counts = lambda w: F.array(*[count(w, t) for t in terms])
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", X.let(X.words(F.col("text")), lambda w: F.struct(F.size(w).alias("dl"), counts(w).alias("tf"))).alias("s")).filter("s.dl > 0")
-    held = docs.select("doc_id", "s.dl", "s.tf")
-    total = held.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(len(terms))]).first()  # one row
-    score = F.lit(0.0)
-    for i in range(len(terms)):
-        idf = math.log(1 + (total["n"] - total[f"df{i}"] + 0.5) / (total[f"df{i}"] + 0.5))
-        tf = F.col("tf")[i]
-        score = score + idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * F.col("dl") / total["avgdl"]))
-    scored = held.filter(F.forall("tf", lambda n: n > 0)).select("doc_id", F.round(score, 6).alias("score"))
-    return scored.orderBy(F.desc("score"), "doc_id").limit(50)
-
-
-@query(
-    "txt_tfidf_cosine",
-    f"""
-    WITH t AS (SELECT item_id, unnest({_WORDS}) AS term FROM benchmark), tf AS (SELECT item_id, term, count(*) AS tf FROM t GROUP BY 1, 2),
-         n AS (SELECT count(DISTINCT item_id) AS n FROM tf), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
-         w AS (SELECT item_id, term, tf * (ln((n + 1) / CAST(df + 1 AS DOUBLE)) + 1) AS w FROM tf JOIN df USING (term) CROSS JOIN n),
-         norm AS (SELECT item_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY 1),
-         u AS (SELECT item_id, term, w / norm AS u FROM w JOIN norm USING (item_id))
-    SELECT a.item_id AS a, b.item_id AS b, round(sum(a.u * b.u), 6) AS cosine FROM u a JOIN u b ON a.term = b.term AND a.item_id < b.item_id GROUP BY 1, 2 HAVING round(sum(a.u * b.u), 6) >= 0.2""",
-)
-def txt_tfidf_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of benchmark items by cosine of smoothed TF-IDF vectors, 0.2 or more."""
-    tf = term_table(read_table(spark, sf_dir, "benchmark"), "item_id")
-    n = tf.select("item_id").distinct().agg(F.count("*").alias("n"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    w = tf.join(df, "term").crossJoin(F.broadcast(n)).withColumn("w", F.col("tf") * (F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1))  # n: one row
-    norm = w.groupBy("item_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    u = w.join(norm, "item_id").select("item_id", "term", (F.col("w") / F.col("norm")).alias("u"))
-    a, b = u.select(F.col("item_id").alias("a"), "term", F.col("u").alias("ua")), u.select(F.col("item_id").alias("b"), "term", F.col("u").alias("ub"))
-    pairs = a.join(b, "term").filter("a < b").groupBy("a", "b").agg(F.round(F.sum(F.col("ua") * F.col("ub")), 6).alias("cosine"))
-    return pairs.filter("cosine >= 0.2")
-
-
 def text_leaves(json: Column) -> Column:
     """All strings of a JSON text that are values, at any depth, in reading order; keys and numbers stay out."""
     quoted = F.regexp_extract_all(json, F.lit(r'("(?:[^"\\]|\\.)*")(?=\s*[,}\]])'), F.lit(1))
