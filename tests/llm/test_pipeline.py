@@ -110,3 +110,14 @@ def test_stages_keep_the_columns_of_documents(spark, docs):
 def test_stages_take_empty_tables(spark, docs):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_pipeline_leaves_tables_of_other_queries(spark):
+    """A lazy result of another query can still be read after a run, and a run leaves only what its own result needs."""
+    from tidemark.llm.common import mark
+    from tidemark.llm.queries import op6_quality_rules
+
+    before = op6_quality_rules(spark, SF)
+    own = mark()
+    corpus_pipeline.run(spark, SF).count()
+    assert mark() == own and before.count() == read_table(spark, SF, "documents").count()

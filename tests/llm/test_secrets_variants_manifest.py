@@ -261,3 +261,16 @@ def test_manifest_of_few_rows(spark, none):
 def test_variants_query(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     assert _sorted(op12_spelling_variants(spark, SF).collect()) == _sorted(brute_variants(rows))
+
+
+def test_html_text_does_not_depend_on_the_order_of_rows(spark):
+    """Pages of one body and different boxes around it: the same texts in whatever order the rows come."""
+    from tidemark.llm import html_text
+
+    page = lambda i, body, box: (i, f"http://a.org/{i}", f"<html><body><div>{box}</div><p>{body}</p></body></html>")
+    rows = [page(1, "Shared body text of some length.", "X"), page(2, "Shared body text of some length.", "Y"), page(3, "Other text.", "X"), page(4, "A third text.", "X"), page(5, "Fourth.", "Y")]
+    texts = set()
+    for order in ([0, 1, 2, 3, 4], [4, 3, 2, 1, 0], [1, 0, 4, 2, 3]):
+        made = html_text.extracted(spark.createDataFrame([rows[i] for i in order], "page_id int, url string, html string").coalesce(1))
+        texts.add(tuple(sorted((r["row"]["page_id"], r["text"]) for r in made.collect())))
+    assert len(texts) == 1

@@ -64,19 +64,31 @@ def settled(spark: SparkSession) -> None:
 
 
 def mark() -> int:
-    """A point in this thread's work, for dropped()."""
+    """A point in this thread's work, for dropped() and taken()."""
     return len(_paths())
 
 
-def dropped(spark: SparkSession, since: int = 0, keep: tuple[DataFrame, ...] = ()) -> None:
+def deleted(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def taken(since: int) -> list[str]:
+    """The tables that this thread has written since a mark; whoever takes them deletes them."""
+    paths = _paths()
+    made = paths[since:]
+    del paths[since:]
+    return made
+
+
+def dropped(spark: SparkSession, since: int, keep: tuple[DataFrame, ...] = ()) -> None:
     """Delete the tables that this thread has written since a mark, once their readers have stored what they made of them;
     tables in `keep` stay."""
-    paths, held = _paths(), {df.stored_at for df in keep}
-    for path in paths[since:]:
-        if path not in held:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-    paths[since:] = [p for p in paths[since:] if p in held]
+    held = {df.stored_at for df in keep}
+    made = taken(since)
+    deleted(spark, [p for p in made if p not in held])
+    _paths().extend(p for p in made if p in held)
 
 
 def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -236,8 +236,8 @@ def extracted(pages: DataFrame, url: str = "url", html: str = "html", least: int
     # All hashes are made with the host's name, so equal ones are of one host.
     schema = "page bigint, url bigint, body bigint, subtrees array<bigint>"
     seen = C.written(source.select("host", "page", "url", "html").mapInArrow(parse, schema), "pages")
-    # One url for each body, then each url once for each subtree: n pages with different urls and bodies.
-    once = seen.groupBy("body").agg(F.coalesce(F.min("url"), F.col("body")).alias("url"), F.first("subtrees").alias("subtrees"))
+    # One url and one page for each body, whatever the order of rows, then each url once for each subtree: n pages with different urls and bodies.
+    once = seen.groupBy("body").agg(F.coalesce(F.min("url"), F.col("body")).alias("url"), F.min_by("subtrees", "page").alias("subtrees"))
     each = once.select("url", F.explode("subtrees").alias("subtree")).distinct()
     often = each.groupBy("subtree").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
     site = C.written(often.select("subtree"), "site")

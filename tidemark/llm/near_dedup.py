@@ -272,11 +272,11 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     """The rows of docs without near-duplicates: of each component the row of smallest id (one, if rows repeat)."""
     found = grouped(docs, id_column, text, shingle, percent).filter("kept")
     first = found.select("rk", "label", F.col(id_column).alias("id")).distinct()
-    first = first.withColumn("n", F.row_number().over(Window.partitionBy(F.coalesce("label", F.col("rk").cast("string").cast("binary"))).orderBy("rk")))
-    keep = first.filter("n = 1").select(F.struct("rk").alias("of"))
+    first = first.withColumn("n", F.row_number().over(Window.partitionBy(F.coalesce("label", F.concat_ws(" ", "rk", "id").cast("binary"))).orderBy("rk")))
+    keep = first.filter("n = 1").select(F.struct("rk", "id").alias("of"))
     ids, texts = F.col(f"row.`{id_column}`").cast("bigint"), F.coalesce(F.col(f"row.`{text}`").cast("string"), F.lit(""))
-    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("rk", F.xxhash64(ids, texts))
-    joined = source.join(keep, F.col("rk") == F.col("of.rk"))
-    # identical rows share rk: one stays
-    numbered = joined.withColumn("n", F.row_number().over(Window.partitionBy("rk").orderBy(F.xxhash64("row"))))
+    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumns({"rk": F.xxhash64(ids, texts), "id": ids})
+    joined = source.join(keep, (F.col("rk") == F.col("of.rk")) & F.col("id").eqNullSafe(F.col("of.id")))
+    # identical rows share rk and id: one stays
+    numbered = joined.withColumn("n", F.row_number().over(Window.partitionBy("rk", "id").orderBy(F.xxhash64("row"))))
     return numbered.filter("n = 1").select("row.*")
