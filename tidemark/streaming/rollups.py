@@ -8,10 +8,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators.sinks import VersionedTable
@@ -45,6 +49,18 @@ def run_available(stream: DataFrame, mode: str = "update") -> DataFrame:
     return spark.read.option("recursiveFileLookup", "true").parquet(path + "/out")
 
 
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """State with timers needs the RocksDB store; the session's own setting comes back afterwards."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    own = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, own) if own else spark.conf.unset(name)
+
+
 def newest(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """The last batch's values of each key: a re-rolled hour replaces what was rolled before."""
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), "_batch").alias("v")).select(*keys, *[F.col(f"v.{c}").alias(c) for c in columns])
@@ -110,9 +126,13 @@ DEBOUNCE, LONGEST = 1800, 7200
 
 def debounced(stream: DataFrame, key: str) -> DataFrame:
     """Jobs (key, created, run_after, n) of a stream in time order: an enqueue joins the key's queued job and puts it off,
-    until the job runs; then the next one opens a new job. A job is put out again whenever it changes."""
+    until the job runs; then the next one opens a new job. A job is put out again whenever it changes. A job that has run
+    leaves the state with the watermark, so the state holds waiting jobs only. The stream has a watermark on ts."""
 
     def absorb(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:  # the job has run; the next enqueue opens a new one
+            state.remove()
+            return
         job, changed = (list(state.get) if state.exists else None), {}
         times = pd.concat([b["ts"] for b in batches]).sort_values()
         for t in (x.timestamp() for x in times):
@@ -121,12 +141,17 @@ def debounced(stream: DataFrame, key: str) -> DataFrame:
             else:
                 job = [job[0], max(job[1], min(job[0] + LONGEST, t + DEBOUNCE)), job[2] + 1]
             changed[job[0]] = list(job)
-        state.update(tuple(job))
+        runs = int(job[1] * 1000)
+        if runs > state.getCurrentWatermarkMs():
+            state.update(tuple(job))
+            state.setTimeoutTimestamp(runs)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame([(keys[0], *j) for j in changed.values()], columns=[key, "created", "run_after", "n"])
 
     kind = stream.schema[key].dataType.simpleString()
     out = f"{key} {kind}, created double, run_after double, n bigint"
-    return stream.select(key, "ts").groupBy(key).applyInPandasWithState(absorb, out, "created double, run_after double, n bigint", "update", GroupStateTimeout.NoTimeout)
+    return stream.select(key, "ts").groupBy(key).applyInPandasWithState(absorb, out, "created double, run_after double, n bigint", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 @query(
@@ -137,7 +162,7 @@ def debounced(stream: DataFrame, key: str) -> DataFrame:
     SELECT kind, CAST(round(created) AS BIGINT) AS created, CAST(round(max(run_after)) AS BIGINT) AS run_after, CAST(max(n) AS BIGINT) AS n FROM j GROUP BY kind, created""",
 )
 def st_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = event_stream(spark, sf_dir, late=False).withColumn("kind", F.col("user_id") % 50)
+    stream = event_stream(spark, sf_dir, late=False).withWatermark("ts", "1 hour").withColumn("kind", F.col("user_id") % 50)
     jobs = newest(run_available(debounced(stream, "kind")), ["kind", "created"], ["run_after", "n"])
     return jobs.select("kind", *[F.round(c).cast("bigint").alias(c) for c in ("created", "run_after")], "n")
 
@@ -150,14 +175,90 @@ def st_idempotency_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "st_lease_reaper",
+    "st_lease_table",
     "SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'P' AND o_orderdate < TIMESTAMP '1997-01-01 00:00:00' THEN 'queued' WHEN o_orderstatus = 'P' THEN 'running' ELSE 'done' END AS status, CASE WHEN o_orderstatus = 'P' AND o_orderdate < TIMESTAMP '1997-01-01 00:00:00' THEN 2 ELSE 1 END AS attempt FROM orders",
 )
-def st_lease_reaper(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Jobs that run past their lease go back to the queue with one more attempt; reaping again changes nothing."""
+def st_lease_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch form on a table of jobs: those that run past their lease go back to the queue with one more attempt; reaping
+    again changes nothing."""
     jobs = VersionedTable(spark, f"{shared_folder(spark)}/jobs-{uuid.uuid4().hex}")
     jobs.replace(frame(spark, sf_dir, "SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'P' THEN 'running' ELSE 'done' END AS status, 1 AS attempt, o_orderdate AS locked_until FROM orders"))
     expired = (F.col("status") == "running") & (F.col("locked_until") < F.lit("1997-01-01 00:00:00").cast("timestamp_ntz"))
     for _ in range(2):
         jobs.replace(jobs.read().select("id", F.when(expired, "queued").otherwise(F.col("status")).alias("status"), (F.col("attempt") + expired.cast("int")).alias("attempt"), "locked_until"))
     return jobs.read().select("id", "status", "attempt")
+
+
+#: Minutes that a claim or heartbeat holds a job, and attempts before it fails for good.
+LEASE_MINUTES, MOST_ATTEMPTS = 6 * 60, 3
+_REAPED = T.StructType([T.StructField("job", T.LongType()), T.StructField("expired_ms", T.LongType()), T.StructField("attempt", T.IntegerType()), T.StructField("status", T.StringType())])
+
+
+class LeaseReaper(StatefulProcessor):
+    """One state a job: until when its lease runs, and its attempt. A row without `done` claims the job or renews its lease,
+    one with `done` ends it. A lease that runs out, by the next row of the job or by the watermark, puts the job back in the
+    queue with one more attempt, or lets it fail after the last. The state goes when a job is done or has failed; it is
+    empty of a lease, and keeps the attempt, while the job waits in the queue."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.job = handle.getValueState("job", T.StructType([T.StructField("until", T.LongType()), T.StructField("attempt", T.IntegerType())]))
+
+    def _expired(self, key: tuple, until: int, attempt: int) -> tuple[tuple, int]:
+        failed = attempt >= MOST_ATTEMPTS
+        return (key[0], until, attempt, "failed" if failed else "queued"), 1 if failed else attempt + 1
+
+    def _hold(self, until: int, attempt: int) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if until:
+            self.handle.registerTimer(until)
+        if until or attempt > 1:
+            self.job.update((until, attempt))
+        elif self.job.exists():
+            self.job.clear()
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        until, attempt = self.job.get() if self.job.exists() else (0, 1)
+        out = []
+        for ms, done in sorted(x for part in rows for x in zip(part["ms"].tolist(), part["done"].tolist(), strict=True)):
+            if until and ms > until:
+                gone, attempt = self._expired(key, until, attempt)
+                out.append(gone)
+            until, attempt = (0, 1) if done else (ms + LEASE_MINUTES * 60_000, attempt)
+        if until and until <= timerValues.getCurrentWatermarkInMs():
+            gone, attempt = self._expired(key, until, attempt)
+            out, until = [*out, gone], 0
+        self._hold(until, attempt)
+        yield pd.DataFrame(out, columns=_REAPED.names)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        until, attempt = self.job.get()
+        gone, attempt = self._expired(key, until, attempt)
+        self._hold(0, attempt)
+        yield pd.DataFrame([gone], columns=_REAPED.names)
+
+    def close(self) -> None:
+        pass
+
+
+def reaped(stream: DataFrame) -> DataFrame:
+    """job, expired_ms, attempt, status: leases that run out; stream: job, ts (with a watermark), ms (of ts), done."""
+    return stream.groupBy("job").transformWithStateInPandas(statefulProcessor=LeaseReaper(), outputStructType=_REAPED, outputMode="append", timeMode="eventTime")
+
+
+@query(
+    "st_lease_reaper",
+    f"""WITH e AS (SELECT user_id AS job, epoch_us(ts) // 1000 AS ms, event_type = 'purchase' AS done, event_id FROM events),
+    n AS (SELECT *, lead(ms) OVER w AS next, count(*) FILTER (WHERE done) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS finished FROM e WINDOW w AS (PARTITION BY job ORDER BY ms, done, event_id)),
+    x AS (SELECT job, ms + {LEASE_MINUTES * 60_000} AS expired_ms, row_number() OVER (PARTITION BY job, finished ORDER BY ms, event_id) AS k FROM n WHERE NOT done AND coalesce(next, 1e18) > ms + {LEASE_MINUTES * 60_000}),
+    t AS (SELECT *, (k - 1) % {MOST_ATTEMPTS} + 1 AS attempt FROM x WHERE expired_ms < (SELECT max(epoch_us(ts) // 1000) FROM events) - 60_000)
+    SELECT job, CAST(expired_ms AS BIGINT) AS expired_ms, CAST(attempt AS INT) AS attempt, CASE WHEN attempt = {MOST_ATTEMPTS} THEN 'failed' ELSE 'queued' END AS status FROM t""",
+)
+def st_lease_reaper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as jobs: any event claims or renews, a purchase ends; leases run out with event time, without a further row."""
+    stream = event_stream(spark, sf_dir, late=False).withWatermark("ts", "1 minute")
+    rows = stream.select(F.col("user_id").alias("job"), "ts", F.unix_millis("ts").alias("ms"), (F.col("event_type") == "purchase").alias("done"))
+    with rocksdb_state(spark):
+        out = run_available(reaped(rows), "append")
+    return out.select(*_REAPED.names)
