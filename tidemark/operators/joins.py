@@ -209,39 +209,6 @@ sql(
     LEFT JOIN nation_best ON nation_best.k = c_nationkey LEFT JOIN region_best ON region_best.k = n_regionkey""",
 )
 
-#: Stand-in coordinates of a nation: the test tables have none.
-_PLACES = "SELECT n_nationkey AS id, n_regionkey AS region, (n_nationkey * 7) % 50 - 25.0 AS lat, (n_nationkey * 13) % 80 - 40.0 AS lng FROM nation"
-_KM = "111.0 * sqrt((a.lat - b.lat) * (a.lat - b.lat) + (a.lng - b.lng) * (a.lng - b.lng))"
-
-
-def _near(cell: int, km: int) -> str:
-    """Places and their cells of `cell` degrees; near: pairs (a, b) within km, which lie in the same cell or next to it."""
-    return f"""
-    places AS ({_PLACES}), cells AS (SELECT *, CAST(floor(lat / {cell}) AS INT) AS cy, CAST(floor(lng / {cell}) AS INT) AS cx FROM places),
-    around AS (SELECT *, cy + dy AS ky, cx + dx AS kx FROM (SELECT *, explode(array(-1, 0, 1)) AS dy FROM cells) LATERAL VIEW explode(array(-1, 0, 1)) s AS dx),
-    near AS (SELECT a.id AS x, b.id AS y, a.region <> b.region AS cross_border, round({_KM}, 3) AS km FROM cells a JOIN around b ON a.cy = b.ky AND a.cx = b.kx WHERE a.id <> b.id AND {_KM} <= {km})"""
-
-
-sql(
-    "jn_spatial_range",
-    f"WITH {_near(10, 1000)} SELECT x AS id, y AS other FROM near",
-    f"WITH places AS ({_PLACES}) SELECT a.id AS id, b.id AS other FROM places a JOIN places b ON a.id <> b.id AND {_KM} <= 1000",
-)
-
-sql(
-    "jn_pairs_distance",
-    f"WITH {_near(23, 2500)} SELECT x AS id, y AS other, cross_border, km FROM near",
-    f"""
-    WITH places AS ({_PLACES}), pairs AS (SELECT a.id AS x, b.id AS y, a.region <> b.region AS cross_border, round({_KM}, 3) AS km FROM places a JOIN places b ON a.id < b.id WHERE {_KM} <= 2500)
-    SELECT x AS id, y AS other, cross_border, km FROM pairs UNION ALL SELECT y, x, cross_border, km FROM pairs""",
-)
-
-sql(
-    "gr_junctions",
-    f"WITH {_near(14, 1500)} SELECT x, y, km FROM near WHERE x < y",
-    f"WITH places AS ({_PLACES}) SELECT a.id AS x, b.id AS y, round({_KM}, 3) AS km FROM places a JOIN places b ON a.id < b.id WHERE {_KM} <= 1500",
-)
-
 sql(
     "jn_self_pairs",
     "SELECT a.l_orderkey, a.l_partkey AS part_a, b.l_partkey AS part_b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey",

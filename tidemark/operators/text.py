@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import html
-import re
-from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -235,58 +231,6 @@ def txt_predict_explains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gone.groupBy("phrase").agg(F.count("*").alias("edits")).filter("edits >= 2")
 
 
-class _Plain(HTMLParser):
-    """Allow-list rebuild: tags in ALLOWED stay (without attributes but a safe href), dangerous ones go with their text."""
-
-    ALLOWED = frozenset("p br b i em strong ul ol li h1 h2 h3 h4 a blockquote".split())
-    DROPPED = frozenset("script style iframe object form template noscript svg".split())
-    VOID_DROPPED = frozenset(("embed",))
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.out: list[str] = []
-        self.open: list[str] = []
-        self.skip = 0
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in self.VOID_DROPPED:
-            return  # it has no end tag, so nothing goes with it
-        if tag in self.DROPPED:
-            self.skip += 1
-        elif not self.skip and tag in self.ALLOWED:
-            link = next((v for k, v in attrs if k == "href" and v and re.match(r"(https?:|mailto:|/|#)", v.strip(), re.I)), None)
-            self.out.append(f'<{tag} href="{html.escape(link)}">' if tag == "a" and link else f"<{tag}>")
-            if tag != "br":
-                self.open.append(tag)
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag in self.DROPPED:
-            self.skip = max(0, self.skip - 1)
-        elif not self.skip and tag in self.open:
-            while (last := self.open.pop()) != tag:
-                self.out.append(f"</{last}>")
-            self.out.append(f"</{tag}>")
-
-    def handle_data(self, data: str) -> None:
-        if not self.skip:
-            self.out.append(html.escape(data, quote=False))
-
-
-def sanitised(page: str | None) -> str | None:
-    if page is None:
-        return None
-    parser = _Plain()
-    parser.feed(page)
-    parser.close()
-    return "".join(parser.out) + "".join(f"</{t}>" for t in reversed(parser.open))
-
-
-@query("txt_html_sanitise")
-def txt_html_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean = F.pandas_udf(lambda s: s.map(sanitised), "string")  # type: ignore[call-overload]
-    return read_table(spark, sf_dir, "pages").select("page_id", clean("html").alias("clean"))
-
-
 #: Comments, blocks that go with all in them, tags (again, as what is left may form new ones), script urls.
 _STRIPPED = ["(?s)<!--.*?-->", *[f"(?is)<{t}[^>]*>.*?</{t}[^>]*>" for t in ("script", "style", "iframe", "object", "noscript", "template", "svg")], "<[^>]*>", "<[^>]*>", "(?i)(javascript|vbscript|data)[ ]*:"]
 
@@ -298,7 +242,7 @@ def _stripped(duck: bool) -> str:
     return f"SELECT page_id, md5(trim({text})) AS text FROM pages"
 
 
-sql("txt_html_to_text", _stripped(False), _stripped(True))
+sql("txt_html_strip", _stripped(False), _stripped(True))
 
 
 sql(
@@ -337,11 +281,6 @@ sql(
     f"""SELECT conv_id, turn, CASE WHEN len(list_filter({_DUCK_FIG}, lambda x: NOT list_contains(before, x))) > 0 THEN 'fail' WHEN regexp_matches(lower(text), 'always|never|guarantee') THEN 'grey' ELSE 'pass' END AS verdict
     FROM (SELECT *, lag({_DUCK_FIG}) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) WHERE before IS NOT NULL""",
 )
-sql(
-    "txt_dictionary_entities",
-    r"SELECT doc_id, array_join(array_sort(array_distinct(regexp_extract_all(lower(text), '(?<![a-z])(thinger|tion|ing|that|with)(?![a-z])', 1))), ' ') AS found FROM documents",
-    r"SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: x IN ('thinger', 'tion', 'ing', 'that', 'with')))), ' ') AS found FROM documents",
-)
 _STEMS = "with|from|that"
 sql(
     "txt_product_stems",

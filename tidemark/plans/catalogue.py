@@ -1,4 +1,4 @@
 """Import every module that registers queries."""
 
-from tidemark.operators import aggregates, evaluation, graph, joins, parsers, predicates, repeats, retention, search, similar, sinks, text, text_rules, windows  # noqa: F401
+from tidemark.operators import aggregates, dictionary, evaluation, geo, graph, joins, markup, parsers, predicates, repeats, retention, search, similar, sinks, text, text_rules, windows  # noqa: F401
 from tidemark.streaming import rollups  # noqa: F401
