@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import domain as D
 from tidemark.functions import text as X
 from tidemark.operators import sinks, text_rules
+from tidemark.operators.markup import safe_fragment as sanitised
 from tidemark.operators.parsers import first_json
-from tidemark.operators.text import sanitised
 from tidemark.plans import all_queries
 from tidemark.session import shared_folder
 
@@ -140,13 +140,6 @@ def test_dashes(spark):
     assert {r["t"]: r["d"] for r in df.select("t", text_rules.without_em_dashes(F.col("t")).alias("d")).collect()} == cases
 
 
-def test_edit_excerpts():
-    words = [f"w{i}" for i in range(60)]
-    assert text_rules.excerpt(" ".join(words), " ".join(words)) == ("", "")
-    before, after = text_rules.excerpt(" ".join(words), " ".join([*words[:10], "new", *words[10:50], *words[51:]]), 2)
-    assert before == "w8 w9 w10 w11 … w48 w49 w50 w51 w52" and after == "w8 w9 new w10 w11 … w48 w49 w51 w52"
-
-
 def test_folding_goes_by_unicode():
     assert len(X.ACCENTED) == len(X.PLAIN) > 250
     for letter, plain in zip("éñøłđçğıőşžạ", "enoldcgiosza", strict=True):

@@ -29,7 +29,7 @@ DROPPED = frozenset(
     "script style iframe frame frameset object embed applet noscript noembed noframes template svg math xml textarea select "
     "option title head base link meta form button".split()
 )
-NO_CONTENT = frozenset(("base", "link", "meta"))
+NO_CONTENT = frozenset(("base", "link", "meta", "embed", "frame"))  # no end tag, so nothing goes with them
 VOID = frozenset(("br", "hr"))
 ATTRIBUTES = {"a": ("href", "title", "class"), "abbr": ("title",), "th": ("align", "style"), "td": ("align", "style"), "ol": ("start",), "sup": ("id",), "li": ("id",), "div": ("class",)}
 VALUES = {

@@ -49,13 +49,13 @@ def _longest(a: np.ndarray, b: np.ndarray, at: np.ndarray) -> tuple[np.ndarray,
     return size, at[:, 0] + in_a, at[:, 2] + in_b
 
 
-def matched_words(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """For each pair of sequences, the words in their matching blocks."""
-    total = np.zeros(len(a), np.int64)
+def matching_blocks(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The matching blocks of each pair of sequences: the pair, and start in a, start in b and size, in no order."""
     ends = [np.concatenate([[0], np.cumsum([len(x) for x in side])]).astype(np.int64) for side in (a, b)]
     words = [np.concatenate([np.asarray(x, np.int64) for x in side]) if len(side) else np.zeros(0, np.int64) for side in (a, b)]
     at = np.stack([ends[0][:-1], ends[0][1:], ends[1][:-1], ends[1][1:]], axis=1)
     pair = np.arange(len(a))
+    blocks, of_pair = [np.zeros((0, 3), np.int64)], [np.zeros(0, np.int64)]
     while len(at):
         both = (at[:, 1] > at[:, 0]) & (at[:, 3] > at[:, 2])
         at, pair = at[both], pair[both]
@@ -72,12 +72,33 @@ def matched_words(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
             size, in_a, in_b = _longest(words[0], words[1], part)
             found = size > 0
             part, own, size, in_a, in_b = part[found], own[found], size[found], in_a[found], in_b[found]
-            np.add.at(total, own, size)
+            blocks.append(np.stack([in_a - ends[0][own], in_b - ends[1][own], size], axis=1))
+            of_pair.append(own)
             rest += [np.stack([part[:, 0], in_a, part[:, 2], in_b], axis=1), np.stack([in_a + size, part[:, 1], in_b + size, part[:, 3]], axis=1)]
             of += [own, own]
             first = last
         at, pair = np.concatenate(rest), np.concatenate(of)
-    return total
+    return np.concatenate(of_pair), np.concatenate(blocks)
+
+
+def matched_words(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """For each pair of sequences, the words in their matching blocks."""
+    pair, blocks = matching_blocks(a, b)
+    return np.bincount(pair, weights=blocks[:, 2], minlength=len(a)).astype(np.int64)
+
+
+def changed_ranges(a: list[np.ndarray], b: list[np.ndarray]) -> list[tuple[list[list[int]], list[list[int]]]]:
+    """For each pair of sequences, the ranges (first, end) of a and of b between their matching blocks; one of two may be empty."""
+    pair, blocks = matching_blocks(a, b)
+    order = np.lexsort((blocks[:, 0], pair))
+    each = np.split(blocks[order], np.searchsorted(pair[order], np.arange(1, len(a)))) if len(a) else []
+    out = []
+    for x, y, held in zip(a, b, each, strict=True):
+        edges = np.concatenate([[[0, 0, 0]], held, [[len(x), len(y), 0]]])
+        ranges = np.stack([edges[:-1, 0] + edges[:-1, 2], edges[1:, 0], edges[:-1, 1] + edges[:-1, 2], edges[1:, 1]], axis=1)
+        ranges = ranges[(ranges[:, 1] > ranges[:, 0]) | (ranges[:, 3] > ranges[:, 2])]
+        out.append((ranges[:, :2].tolist(), ranges[:, 2:].tolist()))
+    return out
 
 
 @F.pandas_udf(T.LongType())

@@ -195,22 +195,6 @@ sql(
     f"SELECT doc_id, regexp_like(lower(text), '(?<![a-z0-9])({_ALT})s?(?![a-z0-9])') AS forbidden FROM documents",
     f"SELECT doc_id, regexp_matches(lower(text), '(^|[^a-z0-9])({_ALT})s?($|[^a-z0-9])') AS forbidden FROM documents",
 )
-_EMAIL = "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}"
-_URL = "https?://[^ \\t\\n]+"
-_PHONE = "[+][0-9][0-9 ()-]{6,14}[0-9]"
-_NUM = "[0-9]+([.,][0-9]+)*"
-
-
-def _replace(steps: list[tuple[str, str]], duck: bool) -> str:
-    out = "text"
-    for pattern, to in steps:
-        p = pattern if duck else pattern.replace("\\", "\\\\")
-        out = f"regexp_replace({out}, '{p}', '{to}'{', ' + chr(39) + 'g' + chr(39) if duck else ''})"
-    return out
-
-
-_MASK = [(_EMAIL, "[EMAIL]"), (_URL, "[URL]"), ("[0-9]{1,2}:[0-9]{2}", "[TIME]"), ("[$€£][ ]?[0-9]+([.,][0-9]+)*", "[PRICE]"), (_NUM, "[N]")]
-sql("txt_mask_entities", f"SELECT doc_id, md5({_replace(_MASK, False)}) AS masked FROM documents", f"SELECT doc_id, md5({_replace(_MASK, True)}) AS masked FROM documents")
 sql(
     "txt_error_classify",
     "SELECT conv_id, turn, CASE WHEN contains(lower(text), 'timeout') THEN 'timeout' WHEN regexp_like(lower(text), 'rate|limit|429') THEN 'limit' WHEN contains(lower(text), 'the ') THEN 'english' WHEN length(text) = 0 THEN 'unknown' ELSE 'other' END AS class FROM conversations",
@@ -274,13 +258,6 @@ sql(
     f"SELECT conv_id, turn, CASE WHEN size(before) > 0 THEN round(size(array_intersect(before, f)) / CAST(size(array_distinct(before)) AS DOUBLE), 6) END AS covered FROM (SELECT conv_id, turn, {_FIG} AS f, lag({_FIG}) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) WHERE before IS NOT NULL",
     f"SELECT conv_id, turn, CASE WHEN len(before) > 0 THEN round(len(list_intersect(before, f)) / CAST(len(list_distinct(before)) AS DOUBLE), 6) END AS covered FROM (SELECT conv_id, turn, {_DUCK_FIG} AS f, lag({_DUCK_FIG}) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) WHERE before IS NOT NULL",
 )
-sql(
-    "txt_fact_filter",
-    f"""SELECT conv_id, turn, CASE WHEN size(array_except({_FIG}, before)) > 0 THEN 'fail' WHEN regexp_like(lower(text), 'always|never|guarantee') THEN 'grey' ELSE 'pass' END AS verdict
-    FROM (SELECT *, lag({_FIG}) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) WHERE before IS NOT NULL""",
-    f"""SELECT conv_id, turn, CASE WHEN len(list_filter({_DUCK_FIG}, lambda x: NOT list_contains(before, x))) > 0 THEN 'fail' WHEN regexp_matches(lower(text), 'always|never|guarantee') THEN 'grey' ELSE 'pass' END AS verdict
-    FROM (SELECT *, lag({_DUCK_FIG}) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) WHERE before IS NOT NULL""",
-)
 _STEMS = "with|from|that"
 sql(
     "txt_product_stems",
