@@ -258,18 +258,11 @@ sql(
     f"SELECT conv_id, turn, CASE WHEN size(before) > 0 THEN round(size(array_intersect(before, f)) / CAST(size(array_distinct(before)) AS DOUBLE), 6) END AS covered FROM (SELECT conv_id, turn, {_FIG} AS f, lag({_FIG}) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) WHERE before IS NOT NULL",
     f"SELECT conv_id, turn, CASE WHEN len(before) > 0 THEN round(len(list_intersect(before, f)) / CAST(len(list_distinct(before)) AS DOUBLE), 6) END AS covered FROM (SELECT conv_id, turn, {_DUCK_FIG} AS f, lag({_DUCK_FIG}) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) WHERE before IS NOT NULL",
 )
-_STEMS = "with|from|that"
-sql(
-    "txt_product_stems",
-    f"SELECT doc_id, CAST(size(filter(array_distinct(regexp_extract_all(lower(text), '[a-z]+', 0)), x -> startswith(x, 'with') OR startswith(x, 'from') OR startswith(x, 'that'))) AS BIGINT) AS stems FROM documents",
-    "SELECT doc_id, CAST(len(list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z]+')), lambda x: starts_with(x, 'with') OR starts_with(x, 'from') OR starts_with(x, 'that'))) AS BIGINT) AS stems FROM documents",
-)
 sql(
     "txt_lint_clauses",
     r"SELECT doc_id, CAST(size(filter(split(text, '[.;!?\n]'), x -> regexp_like(lower(x), '(^|[ ])(to|for|with)[ ]') AND NOT regexp_like(lower(x), '(^|[ ])(not|no|never)[ ]'))) AS BIGINT) AS clauses FROM documents",
     r"SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '[.;!?\n]'), lambda x: regexp_matches(lower(x), '(^|[ ])(to|for|with)[ ]') AND NOT regexp_matches(lower(x), '(^|[ ])(not|no|never)[ ]'))) AS BIGINT) AS clauses FROM documents",
 )
-sql("txt_days_hash", "SELECT source, count(DISTINCT md5(text)) AS versions, min(md5(text)) AS first_hash FROM documents GROUP BY source")
 sql("txt_embed_text", "SELECT source, count(CASE WHEN length(trim(text)) = 0 THEN 1 END) AS blank, CAST(sum(least(length(text), 25000)) AS BIGINT) AS chars FROM documents GROUP BY source")
 sql("txt_embed_batching", "SELECT batch, count(*) AS n, min(doc_id) AS first_id FROM (SELECT doc_id, source, CAST(floor((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) / 96) AS BIGINT) AS batch FROM documents WHERE length(trim(text)) > 0) GROUP BY batch, source".replace("SELECT batch,", "SELECT source, batch,", 1))
 
