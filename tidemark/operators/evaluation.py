@@ -172,17 +172,46 @@ _PAIRED = """
     SELECT n, n_noise, round(mean, 2) AS mean, round(bound, 2) AS bound, round(allowance, 2) AS allowance, CASE WHEN n = 0 OR n_noise = 0 THEN 'invalid' WHEN bound < 0 AND -mean >= allowance THEN 'improve' WHEN bound <= allowance THEN 'non_inferior' ELSE 'inferior' END AS verdict FROM v"""
 _SD = "coalesce(sqrt((sum({0} * {0}) - sum({0}) * sum({0}) / count({0})) / nullif(count({0}) - 1, 0)), 0)"
 sql("ev_paired_decision", _PAIRED.format(sd_diff="coalesce(stddev_samp(diff), 0)", sd_noise="coalesce(stddev_samp(noise), 0)"), _PAIRED.format(sd_diff=_SD.format("diff"), sd_noise=_SD.format("noise")))
+#: Claims that the held-out documents of a writer should give, claims and cost of one, and picks of one group at most.
+TARGET_CLAIMS, CLAIMS_EACH, COST_EACH, GROUP_CAP = 900, 4, 0.25, 8
+
+
+def quota_picks(candidates: DataFrame, target: int = TARGET_CLAIMS, each: int = CLAIMS_EACH, cost: float = COST_EACH, cap: int | None = GROUP_CAP) -> DataFrame:
+    """writer, have, need, picked, missing, missing_cost, picks (ids in order): whole objects to take next, one group after
+    another and each group's by id, `cap` of a group at most; candidates: writer, grp (null: never picked), id, taken (its
+    claims count already). What the picks do not give is missing and has its cost."""
+    have = candidates.groupBy("writer").agg((F.count_if("taken") * each).alias("have"))
+    open_ = candidates.filter("NOT taken AND grp IS NOT NULL")
+    depth = F.row_number().over(Window.partitionBy("writer", "grp").orderBy("id"))
+    ranked = open_.withColumn("depth", depth)
+    ranked = ranked if cap is None else ranked.filter(F.col("depth") <= cap)
+    need = have.withColumn("need", F.ceil(F.greatest(F.lit(0), F.lit(target) - F.col("have")) / each).cast("bigint"))
+    numbered = running(ranked.select("writer", "depth", "grp", "id"), ["writer", "depth", "grp", "id"], F.lit(1), "before")
+    first = numbered.groupBy("writer").agg(F.min("before").alias("first"))
+    chosen = numbered.join(first, "writer").join(need, "writer").filter(F.col("before") - F.col("first") < F.col("need"))
+    picks = chosen.groupBy("writer").agg(F.count("*").alias("picked"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("before", "id"))), lambda x: x["id"].cast("string")), ",").alias("picks"))
+    full = need.join(picks, "writer", "left").select("writer", "have", "need", F.coalesce("picked", F.lit(0).cast("bigint")).alias("picked"), F.coalesce("picks", F.lit("")).alias("picks"))
+    missing = F.greatest(F.lit(0).cast("bigint"), F.col("need") - F.col("picked"))
+    return full.withColumns({"missing": missing, "missing_cost": F.round(missing * cost, 2)})
+
+
+_CANDIDATES = "SELECT lang AS writer, source AS grp, d.doc_id AS id, l.doc_id IS NOT NULL AS taken FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id"
+
+
 @query(
     "ev_quota_picks",
-    """
-    WITH claims AS (SELECT source, doc_id, CAST(ceil(n_chars / 500.0) AS BIGINT) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS turn FROM documents),
-         run AS (SELECT source, doc_id, n, coalesce(sum(n) OVER (ORDER BY turn, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM claims WHERE turn <= 10)
-    SELECT source, doc_id, n, CAST(before AS BIGINT) AS before FROM run WHERE before < 300""",
+    f"""
+    WITH c AS ({_CANDIDATES}), h AS (SELECT writer, count(*) FILTER (WHERE taken) * {CLAIMS_EACH} AS have FROM c GROUP BY 1),
+         n AS (SELECT *, CAST(ceil(greatest(0, {TARGET_CLAIMS} - have) / {CLAIMS_EACH}) AS BIGINT) AS need FROM h),
+         r AS (SELECT *, row_number() OVER (PARTITION BY writer, grp ORDER BY id) AS depth FROM c WHERE NOT taken AND grp IS NOT NULL),
+         o AS (SELECT *, row_number() OVER (PARTITION BY writer ORDER BY depth, grp, id) AS nth FROM r WHERE depth <= {GROUP_CAP}),
+         p AS (SELECT o.writer, count(*) AS picked, string_agg(CAST(id AS VARCHAR), ',' ORDER BY nth) AS picks FROM o JOIN n ON o.writer = n.writer WHERE nth <= need GROUP BY 1)
+    SELECT n.writer, have, need, coalesce(picked, 0) AS picked, coalesce(picks, '') AS picks, greatest(0, need - coalesce(picked, 0)) AS missing, round(greatest(0, need - coalesce(picked, 0)) * CAST({COST_EACH} AS DOUBLE), 2) AS missing_cost
+    FROM n LEFT JOIN p ON p.writer = n.writer""",
 )
 def ev_quota_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turn = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    claims = read_table(spark, sf_dir, "documents").select("source", "doc_id", F.expr("CAST(ceil(n_chars / 500.0) AS BIGINT)").alias("n"), turn.alias("turn")).filter("turn <= 10")
-    return running(claims, ["turn", "source"], F.col("n"), "before").filter("before < 300").select("source", "doc_id", "n", "before")
+    """Languages as writers, sources as groups; labelled documents have given their claims already."""
+    return quota_picks(frame(spark, sf_dir, _CANDIDATES))
 
 
 sql("ev_disagreement_queue", f"SELECT doc_id, judge, label FROM ({_JUDGED}) WHERE judge <> label ORDER BY doc_id DESC LIMIT 100")

@@ -33,7 +33,7 @@ sql(
     SELECT o_orderkey FROM (SELECT o_orderkey, o_orderstatus, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM orders) t
     WHERE before IS DISTINCT FROM o_orderstatus""",
 )
-sql("flt_like_escape", "SELECT c_custkey FROM customer WHERE c_name LIKE '%r#00000010%' ESCAPE '!'")
+sql("flt_like_escape", "SELECT doc_id, lower(text) LIKE '%!%!%!% d_!%!%!%%' ESCAPE '!' AS between_signs FROM documents WHERE text LIKE '%!%!%!%%' ESCAPE '!' OR text LIKE '%!_%' ESCAPE '!'")
 sql("flt_prefix_search", "SELECT p_partkey FROM part WHERE p_brand LIKE 'Brand#1%' OR contains(p_name, 'ring')")
 sql(
     "flt_regex_guarded_cast",
