@@ -36,7 +36,11 @@ def txt_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_pairs(rows: DataFrame, name_least: float = 0.8, body_least: float = 0.9, name_variant: float = 0.6) -> DataFrame:
-    """a, b, kind: earlier row b that row a duplicates or varies; rows: id, block, name (array), body (array).
+    """a, b, kind, deleted, name_sim, body_sim: earlier row b that row a duplicates or varies; rows: id, block, name (array),
+    body (array), days (null: unknown) and deleted.
+
+    A duplicate has both sims and no other number of days; what else is like in one of them is a variant, unless it is
+    deleted. Without the last two columns days are unknown and all rows live.
 
     Candidates share a block and a token of the part of the name that any match must touch: with names ordered by how
     rare their tokens are, a Jaccard of name_variant or more needs one among the first size - ceil(least * size) + 1; a
@@ -44,6 +48,10 @@ def near_duplicate_pairs(rows: DataFrame, name_least: float = 0.8, body_least: f
     sets bound their Jaccard, which drops most candidates before whole sets are fetched.
     """
 
+    for column, kind in (("days", "int"), ("deleted", "boolean")):
+        if column not in rows.columns:
+            rows = rows.withColumn(column, F.lit(None).cast(kind))
+
     def prefix(tokens: str, least: float) -> DataFrame:
         each = rows.select("id", "block", F.size(tokens).alias("size"), F.explode(tokens).alias("token"))
         count = each.groupBy("block", "token").agg(F.count("*").alias("n"))
@@ -58,41 +66,62 @@ def near_duplicate_pairs(rows: DataFrame, name_least: float = 0.8, body_least: f
         bounds = (F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b")) & (F.col("b") < F.col("a"))
         met = side("a").join(side("b"), ["block", "token"]).filter(bounds).select("a", "b")
         pairs = met if pairs is None else pairs.union(met)
-    side = lambda of: rows.select(F.col("id").alias(of), F.col("name").alias(f"name_{of}"), F.col("body").alias(f"body_{of}"))
-    full = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
+    side = lambda of: rows.select(*[F.col(c).alias(of if c == "id" else f"{c}_{of}") for c in ("id", "name", "body", "days", "deleted")])
+    full = pairs.distinct().join(side("a"), "a").join(side("b"), "b").withColumn("deleted", F.coalesce("deleted_b", F.lit(False)))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    scored = full.select("a", "b", zero(X.jaccard(F.col("name_a"), F.col("name_b"))).alias("name_sim"), zero(X.jaccard(F.col("body_a"), F.col("body_b"))).alias("body_sim"))
-    kind = F.when((F.col("name_sim") >= name_least) & (F.col("body_sim") >= body_least), "duplicate").when((F.col("name_sim") >= name_variant) | (F.col("body_sim") >= body_least), "variant")
-    return scored.withColumn("kind", kind).filter("kind IS NOT NULL")
+    scored = full.withColumns({"name_sim": zero(X.jaccard(F.col("name_a"), F.col("name_b"))), "body_sim": zero(X.jaccard(F.col("body_a"), F.col("body_b")))})
+    same_days = F.coalesce(F.col("days_a") == F.col("days_b"), F.lit(True))
+    both = (F.col("name_sim") >= name_least) & (F.col("body_sim") >= body_least) & same_days
+    one = ~F.col("deleted") & ((F.col("name_sim") >= name_variant) | (F.col("body_sim") >= body_least))
+    return scored.select("a", "b", F.when(both, "duplicate").when(one, "variant").alias("kind"), "deleted", "name_sim", "body_sim").filter("kind IS NOT NULL")
+
+
+def best_match(pairs: DataFrame) -> DataFrame:
+    """a, kind, match, deleted: of the duplicates a live one, then the most alike; without a duplicate the most alike
+    variant; of equal ones the earliest. Sims count in hundredths."""
+    name, body = (F.round(F.col(c) * 100).cast("int") for c in ("name_sim", "body_sim"))
+    duplicate = F.col("kind") == "duplicate"
+    rank = F.struct(F.when(duplicate, 0).otherwise(1).alias("kind"), "deleted", F.when(duplicate, -name).otherwise(-name - body).alias("first"), F.when(duplicate, -body).otherwise(0).alias("second"), "b")
+    best = pairs.groupBy("a").agg(F.min(rank).alias("m"))
+    return best.select("a", F.when(F.col("m.kind") == 0, "duplicate").otherwise("variant").alias("kind"), F.col("m.b").alias("match"), F.col("m.deleted").alias("deleted"))
+
+
+#: Words that say nothing in a name.
+NAME_STOP = ("tour", "tours", "trip", "days", "day", "the", "and", "of", "to", "in", "a", "with", "for")
+_NAME_STOP_SQL = ", ".join(f"'{w}'" for w in NAME_STOP)
+#: Documents as tours: the first eight words as name, the number of lines as days, toxic ones as deleted.
+_TOURS = f"""SELECT d.doc_id, concat(source, '/', lang) AS block, list_distinct(list_filter({_WORDS}[1:8], lambda x: x NOT IN ({_NAME_STOP_SQL}))) AS name, list_distinct(regexp_extract_all(lower(text), '[a-z]{{3,}}')) AS body,
+    CASE WHEN contains(text, chr(10)) THEN len(string_split(text, chr(10))) END AS days, coalesce(l.toxic = 1, false) AS deleted FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id"""
 
 
 @query(
     "txt_near_dup_classify",
     f"""
-    WITH w AS (SELECT doc_id, concat(source, '/', lang) AS block, list_distinct({_WORDS}[1:8]) AS name, list_distinct({_WORDS}) AS body FROM documents),
-         s AS (SELECT x.doc_id AS a, y.doc_id AS b,
+    WITH w AS ({_TOURS}),
+         s AS (SELECT x.doc_id AS a, y.doc_id AS b, y.deleted, coalesce(x.days = y.days, true) AS same_days,
                       CASE WHEN len(x.name) > 0 AND len(y.name) > 0 THEN len(list_intersect(x.name, y.name)) / CAST(len(list_distinct(list_concat(x.name, y.name))) AS DOUBLE) ELSE 0 END AS name_sim,
                       CASE WHEN len(x.body) > 0 AND len(y.body) > 0 THEN len(list_intersect(x.body, y.body)) / CAST(len(list_distinct(list_concat(x.body, y.body))) AS DOUBLE) ELSE 0 END AS body_sim
                FROM w x JOIN w y ON x.block = y.block AND y.doc_id < x.doc_id),
-         k AS (SELECT *, CASE WHEN name_sim >= 0.8 AND body_sim >= 0.9 THEN 'duplicate' WHEN name_sim >= 0.6 OR body_sim >= 0.9 THEN 'variant' END AS kind FROM s)
-    SELECT a AS doc_id, kind, b AS match FROM (
-        SELECT *, row_number() OVER (PARTITION BY a ORDER BY kind, name_sim DESC, body_sim DESC, b) AS n FROM k WHERE kind IS NOT NULL) t WHERE n = 1""",
+         k AS (SELECT *, CASE WHEN name_sim >= 0.8 AND body_sim >= 0.9 AND same_days THEN 'duplicate' WHEN NOT deleted AND (name_sim >= 0.6 OR body_sim >= 0.9) THEN 'variant' END AS kind, round(name_sim * 100) AS n, round(body_sim * 100) AS t FROM s)
+    SELECT a AS doc_id, kind, b AS match, deleted FROM (
+        SELECT *, row_number() OVER (PARTITION BY a ORDER BY kind, deleted, CASE WHEN kind = 'duplicate' THEN n ELSE n + t END DESC, CASE WHEN kind = 'duplicate' THEN t ELSE 0 END DESC, b) AS nth FROM k WHERE kind IS NOT NULL) t WHERE nth = 1""",
 )
 def txt_near_dup_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = X.hashed(X.words(F.col("text")))
-    docs = read_table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("id"), F.concat_ws("/", "source", "lang").alias("block"), F.array_distinct(F.slice(tokens, 1, 8)).alias("name"), F.array_distinct(tokens).alias("body")
-    )
-    found = near_duplicate_pairs(stored(docs, "tokens"))
-    best = Window.partitionBy("a").orderBy("kind", F.desc("name_sim"), F.desc("body_sim"), "b")
-    return found.withColumn("n", F.row_number().over(best)).filter("n = 1").select(F.col("a").alias("doc_id"), "kind", F.col("b").alias("match"))
+    tokens, body = X.words(F.col("text")), X.hashed(X.words(F.col("text"), "[a-z]{3,}"))
+    name = X.hashed(F.filter(F.slice(tokens, 1, 8), lambda w: ~w.isin(*NAME_STOP)))
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", (F.col("toxic") == 1).alias("deleted"))
+    docs = read_table(spark, sf_dir, "documents").join(labels, "doc_id", "left").select(
+        F.col("doc_id").alias("id"), F.concat_ws("/", "source", "lang").alias("block"), F.array_distinct(name).alias("name"), F.array_distinct(body).alias("body"),
+        F.when(F.contains("text", F.lit("\n")), F.size(F.split("text", "\n", -1))).alias("days"), "deleted",
+    )
+    return best_match(near_duplicate_pairs(stored(docs, "tokens"))).withColumnRenamed("a", "doc_id")
 
 
 sql(
     "txt_near_dup_candidates",
     """
-    SELECT a.doc_id FROM documents a WHERE a.n_chars > 200
-    AND NOT EXISTS (SELECT 1 FROM documents b WHERE b.source = a.source AND b.lang = a.lang AND b.n_chars > 200 AND b.doc_id > a.doc_id AND b.n_chars = a.n_chars)""",
+    WITH d AS (SELECT d.doc_id, source, lang, md5(substr(text, 1, 40)) AS grp, coalesce(l.toxic = 1, false) AS deleted FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)
+    SELECT a.doc_id, a.deleted FROM d a WHERE NOT a.deleted OR NOT EXISTS (SELECT 1 FROM d b WHERE b.grp = a.grp AND b.source = a.source AND b.lang = a.lang AND NOT b.deleted)""",
 )
 
 
