@@ -90,3 +90,22 @@ def test_places_are_cleaned(spark):
         "the small village of Gogina": "Gogina", "town of small things": "town of small things", "  A   B ;": "A B", "4040 masl": "", "Km5 village": "Km5 village", None: "",
     }
     assert _column(spark, cases, D.clean_place) == list(cases.values())
+
+
+def test_clauses_that_ask_for_more(spark):
+    rules = {
+        "Do not mention Bali.": 0, "Mention Bali": 1, "avoid lists, and list prices": 1, "Never say cheap then describe it": 1, "Notes stay": 0, "Always  use maps; adding no more": 2,
+        "add a map and do not add text": 1, "don't add, or include": 1, "": 0, "unless you tell": 0,
+    }
+    from tidemark.operators import lint
+
+    assert _column(spark, rules, lambda c: F.size(lint.adding_clauses(c))) == list(rules.values())
+
+
+def test_phrases_that_explain_edits(spark):
+    from tidemark.operators import lint
+
+    edits = spark.createDataFrame([(1, "a very nice place", "a place"), (2, "Very nice!", None), (3, "very nice", "nice and very"), (4, "the very nice", "very nice"), (5, "nicely", "x"), (6, None, "very nice"), (7, "call 5 men", "call")], "id int, before string, after string")
+    phrases = spark.createDataFrame([("very nice", 2), ("nice", 1), ("[N] men", 2), ("very nice", 2)], "phrase string, size int")
+    assert sorted(tuple(r) for r in lint.explained(phrases, edits, 1).collect()) == [("[N] men", 1), ("nice", 2), ("very nice", 3)]
+    assert lint.explained(phrases, edits).count() == 2 and lint.explained(phrases.limit(0), edits).count() == 0

@@ -249,21 +249,6 @@ sql(
     "SELECT conv_id, turn, CASE WHEN contains(lower(text), 'timeout') THEN 'timeout' WHEN regexp_like(lower(text), 'rate|limit|429') THEN 'limit' WHEN contains(lower(text), 'the ') THEN 'english' WHEN length(text) = 0 THEN 'unknown' ELSE 'other' END AS class FROM conversations",
     "SELECT conv_id, turn, CASE WHEN contains(lower(text), 'timeout') THEN 'timeout' WHEN regexp_matches(lower(text), 'rate|limit|429') THEN 'limit' WHEN contains(lower(text), 'the ') THEN 'english' WHEN length(text) = 0 THEN 'unknown' ELSE 'other' END AS class FROM conversations",
 )
-@query(
-    "txt_predict_explains",
-    r"""
-    WITH p AS (SELECT conv_id, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations),
-         x AS (SELECT unnest(['the', 'die', 'los', 'que', 'et']) AS phrase)
-    SELECT phrase, count(*) AS edits FROM p CROSS JOIN x WHERE before IS NOT NULL AND contains(lower(before), phrase) AND NOT contains(lower(text), phrase) GROUP BY phrase HAVING count(*) >= 2""",
-)
-def txt_predict_explains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = read_table(spark, sf_dir, "conversations")
-    pairs = turns.select("text", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")).alias("before")).filter("before IS NOT NULL")
-    phrases = F.explode(F.array(*[F.lit(p) for p in ("the", "die", "los", "que", "et")])).alias("phrase")
-    gone = pairs.select(F.lower("text").alias("text"), F.lower("before").alias("before"), phrases).filter("contains(before, phrase) AND NOT contains(text, phrase)")
-    return gone.groupBy("phrase").agg(F.count("*").alias("edits")).filter("edits >= 2")
-
-
 #: Comments, blocks that go with all in them, tags (again, as what is left may form new ones), script urls.
 _STRIPPED = ["(?s)<!--.*?-->", *[f"(?is)<{t}[^>]*>.*?</{t}[^>]*>" for t in ("script", "style", "iframe", "object", "noscript", "template", "svg")], "<[^>]*>", "<[^>]*>", "(?i)(javascript|vbscript|data)[ ]*:"]
 
@@ -307,11 +292,6 @@ sql(
     f"SELECT conv_id, turn, CASE WHEN size(before) > 0 THEN round(size(array_intersect(before, f)) / CAST(size(array_distinct(before)) AS DOUBLE), 6) END AS covered FROM (SELECT conv_id, turn, {_FIG} AS f, lag({_FIG}) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) WHERE before IS NOT NULL",
     f"SELECT conv_id, turn, CASE WHEN len(before) > 0 THEN round(len(list_intersect(before, f)) / CAST(len(list_distinct(before)) AS DOUBLE), 6) END AS covered FROM (SELECT conv_id, turn, {_DUCK_FIG} AS f, lag({_DUCK_FIG}) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) WHERE before IS NOT NULL",
 )
-sql(
-    "txt_lint_clauses",
-    r"SELECT doc_id, CAST(size(filter(split(text, '[.;!?\n]'), x -> regexp_like(lower(x), '(^|[ ])(to|for|with)[ ]') AND NOT regexp_like(lower(x), '(^|[ ])(not|no|never)[ ]'))) AS BIGINT) AS clauses FROM documents",
-    r"SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '[.;!?\n]'), lambda x: regexp_matches(lower(x), '(^|[ ])(to|for|with)[ ]') AND NOT regexp_matches(lower(x), '(^|[ ])(not|no|never)[ ]'))) AS BIGINT) AS clauses FROM documents",
-)
 sql("txt_embed_text", "SELECT source, count(CASE WHEN length(trim(text)) = 0 THEN 1 END) AS blank, CAST(sum(least(length(text), 25000)) AS BIGINT) AS chars FROM documents GROUP BY source")
 sql("txt_embed_batching", "SELECT batch, count(*) AS n, min(doc_id) AS first_id FROM (SELECT doc_id, source, CAST(floor((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) / 96) AS BIGINT) AS batch FROM documents WHERE length(trim(text)) > 0) GROUP BY batch, source".replace("SELECT batch,", "SELECT source, batch,", 1))
 
