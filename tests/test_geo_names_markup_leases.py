@@ -131,3 +131,11 @@ def test_leases_run_out_without_a_further_row(spark, tmp_path):
         got = sorted((r["job"], r["expired_ms"] - start, r["attempt"], r["status"]) for r in run_available(reaped(stream.withWatermark("ts", "1 minute")), "append").collect())
     third = [(3, i * (lease + 1000) + lease, i % MOST_ATTEMPTS + 1, "failed" if i % MOST_ATTEMPTS == MOST_ATTEMPTS - 1 else "queued") for i in range(MOST_ATTEMPTS + 1)]
     assert got == [(1, lease, 1, "queued"), *third]
+
+
+def test_zones_by_rules_and_nearest_points(spark):
+    rows = [("ID", 0.0, 130.0), ("us", 40.7, -74.0), ("US", 21.3, -157.8), ("RU", 43.1, 131.9), ("PT", 37.7, -25.7), ("DE", None, None), ("XX", 1.0, 1.0), (None, 1.0, 1.0), ("NZ", -43.9, -176.5)]
+    made = geo.with_zone(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, code string, lat double, lng double"), geo.zone_points(spark))
+    assert [r["zone"] for r in made.orderBy("id").collect()] == [
+        "Asia/Jayapura", "America/New_York", "Pacific/Honolulu", "Asia/Vladivostok", "Atlantic/Azores", "Europe/Berlin", None, None, "Pacific/Chatham",
+    ]

@@ -9,10 +9,12 @@ a pole. Each place lies in one cell, so each pair meets once, however near to a
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.domain import zone_of
 from tidemark.operators.sinks import stored
 from tidemark.plans.registry import frame, query
 
@@ -134,3 +136,50 @@ def gr_junctions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs within 300 km, each once."""
     pairs = _both_ways(spark, sf_dir, 300.0).filter("id_a < id_b")
     return pairs.select(F.col("id_a").alias("x"), F.col("id_b").alias("y"), (F.col("country_a") != F.col("country_b")).alias("cross_border"), F.round("km", 1).alias("km"))
+
+
+#: The public time zone database's table of zones with a reference point each.
+ZONE_TABLE = "/usr/share/zoneinfo/zone.tab"
+_POINT = re.compile(r"([+-])(\d\d)(\d\d)(\d\d)?([+-])(\d{3})(\d\d)(\d\d)?")
+
+
+def zone_points(spark: SparkSession, path: str = ZONE_TABLE) -> DataFrame:
+    """code, zones: for each country its zones (place in the table, zone, lat, lng); some 420 zones in all."""
+    held: dict[str, list] = {}
+    with open(path) as lines:
+        for n, line in enumerate(lines):
+            if not line.startswith("#"):
+                code, point, zone = line.rstrip("\n").split("\t")[:3]
+                said = _POINT.fullmatch(point).groups()
+                lat, lng = (int(s + "1") * (int(d) + int(m) / 60 + int(sec or 0) / 3600) for s, d, m, sec in (said[:4], said[4:]))
+                held.setdefault(code, []).append((n, zone, lat, lng))
+    return spark.createDataFrame(list(held.items()), "code string, zones array<struct<place:int,zone:string,lat:double,lng:double>>")
+
+
+def with_zone(rows: DataFrame, points: DataFrame) -> DataFrame:
+    """The rows (code, lat, lng, and more) with zone: by the rules of the countries that have any, else the country's zone
+    whose reference point is nearest (the first one without coordinates); null for an unknown code."""
+    spans = F.transform("zones", lambda z: F.struct(F.round(great_circle(z["lat"], z["lng"], F.col("lat"), F.col("lng")), 6).alias("km"), z["place"].alias("place"), z["zone"].alias("zone")))
+    by_table = rows.withColumn("_code", F.upper("code")).join(points.withColumnRenamed("code", "_code"), "_code", "left")
+    return by_table.withColumn("zone", F.coalesce(zone_of(F.col("code"), F.col("lng"), F.col("lat")), F.array_min(spans)["zone"])).select(*rows.columns, "zone")
+
+
+#: The countries' codes of the nations table.
+_CODES = "DZ AR BR CA EG ET FR DE IN ID IR IQ JP JO KE MA MZ PE CN RO SA VN RU GB US".split()
+_LOCATED = f"SELECT p.id, CASE WHEN p.id % 50 = 0 THEN 'xx' ELSE split_part('{','.join(_CODES)}', ',', CAST(country + 1 AS INT)) END AS code, lat, lng FROM ({_PLACES}) p"
+
+
+@query(
+    "fn_timezone_nearest",
+    rf"""WITH lines AS (SELECT unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS place FROM read_text('{ZONE_TABLE}')),
+    raw AS (SELECT string_split(line, chr(9))[1] AS code, string_split(line, chr(9))[2] AS pt, string_split(line, chr(9))[3] AS zone, place FROM lines WHERE line <> '' AND line NOT LIKE '#%'),
+    s AS (SELECT *, regexp_extract(pt, '^([+-][0-9]+)([+-][0-9]+)$', 1) AS y, regexp_extract(pt, '^([+-][0-9]+)([+-][0-9]+)$', 2) AS x FROM raw),
+    z AS (SELECT code, zone, place, CASE WHEN y[1] = '-' THEN -1 ELSE 1 END * (CAST(y[2:3] AS DOUBLE) + CAST(y[4:5] AS DOUBLE) / 60 + coalesce(try_cast(y[6:7] AS DOUBLE), 0) / 3600) AS lat, CASE WHEN x[1] = '-' THEN -1 ELSE 1 END * (CAST(x[2:4] AS DOUBLE) + CAST(x[5:6] AS DOUBLE) / 60 + coalesce(try_cast(x[7:8] AS DOUBLE), 0) / 3600) AS lng FROM s),
+    b AS (SELECT id, code, CAST(lat AS DOUBLE) AS lat, CAST(lng AS DOUBLE) AS lng FROM ({_LOCATED})),
+    n AS (SELECT b.id, a.zone, row_number() OVER (PARTITION BY b.id ORDER BY round({_KM}, 6), a.place) AS nth FROM b JOIN z a ON a.code = upper(b.code))
+    SELECT b.id, b.code, CASE b.code WHEN 'ID' THEN CASE WHEN b.lng >= 127 OR (b.lng >= 125 AND b.lat < 1) THEN 'Asia/Jayapura' WHEN b.lng >= 114.42 THEN 'Asia/Makassar' ELSE 'Asia/Jakarta' END WHEN 'CN' THEN 'Asia/Shanghai' WHEN 'IN' THEN 'Asia/Kolkata' WHEN 'JP' THEN 'Asia/Tokyo' WHEN 'VN' THEN 'Asia/Ho_Chi_Minh' ELSE n.zone END AS zone
+    FROM b LEFT JOIN n ON n.id = b.id AND nth = 1""",
+)
+def fn_timezone_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = frame(spark, sf_dir, _LOCATED).select("id", "code", F.col("lat").cast("double").alias("lat"), F.col("lng").cast("double").alias("lng"))
+    return with_zone(rows, zone_points(spark)).select("id", "code", "zone")
