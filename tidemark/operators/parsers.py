@@ -213,21 +213,18 @@ def fn_place_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", F.when(F.col("cause").isNull(), D.clean_place(F.col("name"))).alias("place"), "cause")
 
 
-_SPELLINGS = {"INDIA": "India", "IND": "India", "NEPAL": "Nepal", "NPL": "Nepal", "SRI LANKA": "Sri Lanka", "SRI LANDKA": "Sri Lanka", "VIET NAM": "Vietnam", "VIETNAM": "Vietnam", "OKINAWA": "Japan", "JAPAN": "Japan"}
+#: Stand-in names of the nations, by key.
+_COUNTRIES = "ALGERIA|ARGENTINA|BRAZIL|CANADA|EGYPT|ETHIOPIA|FRANCE|GERMANY|INDIA|INDONESIA|IRAN|IRAQ|JAPAN|JORDAN|KENYA|MOROCCO|MOZAMBIQUE|PERU|CHINA|ROMANIA|SAUDI ARABIA|VIET NAM|NEPAL|SRI LANKA|UNITED STATES"
+#: What the column of a sheet and its file name say of a customer's nation `a`, and of another one `b`.
+_NAMED = f"""SELECT c_custkey, c_custkey % 5 AS k, a, b, CASE c_custkey % 5 WHEN 0 THEN a WHEN 1 THEN lower(replace(a, ' ', '-')) WHEN 2 THEN '' WHEN 3 THEN concat(a, ' & ', b) ELSE 'the Himalayas' END AS raw,
+    CASE c_custkey % 5 WHEN 2 THEN concat(a, '_tours.xlsx') WHEN 3 THEN concat(b, '.xlsx') WHEN 4 THEN concat(a, ' and ', b, '.xlsx') ELSE 'x.xlsx' END AS file
+    FROM (SELECT c_custkey, split_part('{_COUNTRIES}', '|', CAST(c_nationkey + 1 AS INT)) AS a, split_part('{_COUNTRIES}', '|', CAST(c_custkey % 25 + 1 AS INT)) AS b FROM customer) c"""
 
 
-@query(
-    "fn_country_resolve",
-    """SELECT c_custkey, CASE c_custkey % 8 WHEN 0 THEN 'India' WHEN 1 THEN 'Sri Lanka' WHEN 2 THEN 'Nepal' WHEN 3 THEN 'Nepal' WHEN 4 THEN 'India' WHEN 5 THEN NULL WHEN 6 THEN NULL ELSE 'Japan' END AS country FROM customer""",
-)
+@query("fn_country_resolve", f"SELECT c_custkey, CASE WHEN k IN (0, 1, 2) OR a = b THEN a WHEN k = 3 THEN b END AS country FROM ({_NAMED})")
 def fn_country_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = frame(
-        spark,
-        sf_dir,
-        """SELECT c_custkey, split_part('INDIA|Sri-Landka||Himalayas|India & Nepal|India & Nepal||Okinawa', '|', CAST(c_custkey % 8 + 1 AS INT)) AS raw,
-        split_part('NEPAL.xlsx|x.xlsx|NPL_tours.xlsx|nepal.xlsx|INDIA.xlsx|VIETNAM.xlsx|India and Nepal.xlsx|INDIA.xlsx', '|', CAST(c_custkey % 8 + 1 AS INT)) AS file FROM customer""",
-    )
-    return rows.select("c_custkey", D.country_of(F.col("raw"), F.col("file"), _SPELLINGS).alias("country"))
+    rows = frame(spark, sf_dir, _NAMED)
+    return rows.select("c_custkey", D.country_of(F.col("raw"), F.col("file"), {c: c for c in _COUNTRIES.split("|")}).alias("country"))
 
 
 @query(
@@ -264,10 +261,18 @@ def fn_transit_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", D.transit_opener(F.col("action")).alias("opener"))
 
 
-@query("fn_names_somewhere", "SELECT event_id, event_id % 6 IN (0, 1, 3, 4) AS named FROM events")
+_KINDS = ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(D.KIND_WORDS))
+
+
+@query(
+    "fn_names_somewhere",
+    rf"""SELECT doc_id, len(list_filter(string_split_regex(place, '\s+'), lambda w: regexp_matches(w, '^\p{{Lu}}') AND lower(regexp_replace(w, '^[,.''’]+|[,.''’]+$', '', 'g')) NOT IN ({_KINDS}))) > 0 AS named
+    FROM (SELECT doc_id, concat_ws(' ', CASE WHEN doc_id % 3 = 0 THEN 'Temple, the' WHEN doc_id % 3 = 1 THEN 'lake' END, string_split(text, ' ')[1], string_split(text, ' ')[2], CASE WHEN doc_id % 2 = 0 THEN 'Market.' END) AS place FROM documents)""",
+)
 def fn_names_somewhere(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = frame(spark, sf_dir, "SELECT event_id, split_part('Mount Koya|Night market|Temple, Station|the Zojoji temple|Éze|Weekly Market', '|', CAST(event_id % 6 + 1 AS INT)) AS place FROM events")
-    return rows.select("event_id", D.names_somewhere(F.col("place")).alias("named"))  # "Night" is no kind of place
+    """The first two words of each document, between kinds of places."""
+    rows = frame(spark, sf_dir, "SELECT doc_id, concat_ws(' ', CASE WHEN doc_id % 3 = 0 THEN 'Temple, the' WHEN doc_id % 3 = 1 THEN 'lake' END, get(split(text, ' '), 0), get(split(text, ' '), 1), CASE WHEN doc_id % 2 = 0 THEN 'Market.' END) AS place FROM documents")
+    return rows.select("doc_id", D.names_somewhere(F.col("place")).alias("named"))
 
 
 @query("fn_claimable_words", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'koya,mount,nakasendo' WHEN 1 THEN 'leh,market' WHEN 2 THEN '' ELSE 'kandy,lake' END AS words FROM events")
@@ -439,9 +444,12 @@ def fn_demote_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
 sql("src_group_size_fix", "SELECT o_orderkey, concat(CAST(least(month(o_orderdate), day(o_orderdate)) AS STRING), '-', CAST(greatest(month(o_orderdate), day(o_orderdate)) AS STRING)) AS size FROM orders")
 
 
-@query("src_header_normalise", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'price' WHEN 1 THEN 'best time to go' ELSE 'group size' END AS header FROM part")
+_HEADER = "concat(upper(p_name), CASE WHEN p_size % 2 = 0 THEN ' (USD)' ELSE ':' END, '_', p_brand, ' / ', p_type, '.-')"
+
+
+@query("src_header_normalise", rf"""SELECT p_partkey, array_to_string(list_filter(string_split(translate(lower(replace({_HEADER}, ' (USD)', ' ')), '_-/.:', '     '), ' '), lambda x: x <> ''), ' ') AS header FROM part""")
 def src_header_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = frame(spark, sf_dir, "SELECT p_partkey, split_part('PRICE (USD)|best_time_to_go|Group-Size :', '|', CAST(p_partkey % 3 + 1 AS INT)) AS name FROM part")
+    rows = frame(spark, sf_dir, f"SELECT p_partkey, {_HEADER} AS name FROM part")
     return rows.select("p_partkey", D.header(F.col("name")).alias("header"))
 
 
@@ -458,12 +466,12 @@ def column_map(headers: DataFrame, table: dict[str, str], least: float = 0.5) ->
 
 @query(
     "src_column_map",
-    """WITH h AS (SELECT o_custkey AS sheet, o_orderkey, (o_orderkey * 7 + o_custkey) % 6 AS k FROM orders)
-    SELECT sheet, CASE k WHEN 0 THEN 'Tour_Name' WHEN 1 THEN ' PRICE (USD)' WHEN 2 THEN 'Notes' WHEN 3 THEN 'group.size' WHEN 4 THEN 'Operator' ELSE 'x' END AS name, CASE k WHEN 0 THEN 'src_name' WHEN 1 THEN 'price_raw' WHEN 3 THEN 'group_size' END AS field,
+    """WITH h AS (SELECT o_custkey AS sheet, o_orderkey, o_orderpriority, (o_orderkey * 7 + o_custkey) % 6 AS k FROM orders)
+    SELECT sheet, concat(CASE k WHEN 0 THEN 'Tour_Name' WHEN 1 THEN ' PRICE (USD)' WHEN 2 THEN 'Notes' WHEN 3 THEN 'group.size' WHEN 4 THEN 'Operator' ELSE 'x' END, ' (', o_orderpriority, ')') AS name, CASE k WHEN 0 THEN 'src_name' WHEN 1 THEN 'price_raw' WHEN 3 THEN 'group_size' END AS field,
     2 * count(*) FILTER (WHERE k IN (0, 1, 3)) OVER (PARTITION BY sheet) >= count(*) OVER (PARTITION BY sheet) AS trusted FROM h""",
 )
 def src_column_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    headers = frame(spark, sf_dir, "SELECT o_custkey AS sheet, split_part('Tour_Name| PRICE (USD)|Notes|group.size|Operator|x', '|', CAST((o_orderkey * 7 + o_custkey) % 6 + 1 AS INT)) AS name FROM orders")
+    headers = frame(spark, sf_dir, "SELECT o_custkey AS sheet, concat(split_part('Tour_Name| PRICE (USD)|Notes|group.size|Operator|x', '|', CAST((o_orderkey * 7 + o_custkey) % 6 + 1 AS INT)), ' (', o_orderpriority, ')') AS name FROM orders")
     return column_map(headers, COLUMN_MAP)
 
 
@@ -532,14 +540,15 @@ def json_reply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 @query(
     "src_json_reply",
-    """SELECT event_id, CASE WHEN event_id % 5 IN (0, 1, 2) THEN concat('{"a":[1,', event_id, '],"s":"}{"}') WHEN event_id % 5 = 3 THEN '[1,2]' END AS value FROM events""",
+    """SELECT event_id, CASE WHEN event_id % 5 IN (0, 1, 2) THEN concat('{"a":[1,', event_id, '],"p":', replace(props, ' ', ''), ',"s":"}{"}') WHEN event_id % 5 = 3 THEN concat('[', replace(props, ' ', ''), ',2]') END AS value FROM events""",
 )
 def src_json_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies around the events' own JSON: fenced, in prose, bare, an array, cut off."""
     rows = frame(
         spark,
         sf_dir,
-        """SELECT event_id, CASE event_id % 5 WHEN 0 THEN concat('```json\\n{"s": "}{", "a": [1, ', event_id, ']}\\n``` {"b": 2}') WHEN 1 THEN concat('For {n} questions: {"a": [1, ', event_id, '], "s": "}{"} done') WHEN 2 THEN concat('{"a": [1, ', event_id, '], "s": "}{"}')
-        WHEN 3 THEN 'so [1, 2] it is' ELSE 'cut {"a": [1, 2' END AS reply FROM events""",
+        """SELECT event_id, CASE event_id % 5 WHEN 0 THEN concat('```json\\n{"s": "}{", "p": ', props, ', "a": [1, ', event_id, ']}\\n``` {"b": 2}') WHEN 1 THEN concat('For {n} questions: {"a": [1, ', event_id, '], "s": "}{", "p": ', props, '} done') WHEN 2 THEN concat('{"a": [1, ', event_id, '], "p": ', props, ', "s": "}{"}')
+        WHEN 3 THEN concat('so [', props, ', 2] it is') ELSE concat('cut {"a": ', rtrim('}', props)) END AS reply FROM events""",
     )
     return rows.select("event_id", json_reply("reply").alias("value"))
 
