@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 import public_tokenizers
@@ -126,6 +127,22 @@ def _rule_case(then: str) -> str:
     return "CASE " + " ".join(out) + (" ELSE NULL END" if then == "rule" else " ELSE 'allow' END")
 
 
+def _crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of a text of code points up to U+07FF, in SQL."""
+    table = []
+    for byte in range(256):
+        for _ in range(8):
+            byte = byte >> 1 ^ (0xEDB88320 if byte & 1 else 0)
+        table.append(byte)
+    units = f"flatten(list_transform(string_split({text}, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [192 + unicode(x)::BIGINT // 64, 128 + unicode(x)::BIGINT % 64] END))"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {units}), lambda c, b: xor(c // 256, ({table})[xor(c % 256, b) + 1])), 4294967295)"
+
+
+def _leaf_sql(text: str) -> str:
+    said = [f"CASE WHEN {e} IS NULL THEN '-' ELSE concat(octet_length(encode(CAST({e} AS VARCHAR))), ':', {e}) END" for e in (*MANIFEST_FIELDS[:-1], text)]
+    return f"sha256(concat({', '.join(said)}))"
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_url_filter": rf"""
         WITH rests AS (
@@ -136,4 +153,34 @@ ORACLE_SQL: dict[str, str] = {
             SELECT page_id, path, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host FROM parts
         )
         SELECT page_id, host, path, {_rule_case("rule")} AS rule, {_rule_case("verdict")} AS verdict FROM hosts""",
+    "op12_spelling_variants": rf"""
+        WITH RECURSIVE r AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+        o AS (SELECT doc_id, run, count(*) AS n FROM r GROUP BY 1, 2), h AS (SELECT run, n, {_crc32_sql("concat(doc_id, ':', run)")} AS h FROM o),
+        w AS (SELECT CASE WHEN h % 97 = 0 THEN concat(substr(run, 1, h % length(run)), substr(run, h % length(run) + 2)) ELSE run END AS word, n FROM h),
+        v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM w WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+        p AS (SELECT word, n, generate_series AS i FROM v, generate_series(1, length(word))),
+        c AS (SELECT word, n, concat(substr(word, 1, i - 1), '*', substr(word, i + 1)) AS hole, concat(substr(word, 1, i - 1), substr(word, i + 1)) AS short FROM p),
+        near AS (SELECT DISTINCT a.word, a.n, b.word AS near, b.n AS near_n FROM c a JOIN c b ON a.hole = b.hole AND a.word <> b.word
+        UNION SELECT DISTINCT c.word, c.n, v.word, v.n FROM c JOIN v ON c.short = v.word UNION SELECT DISTINCT v.word, v.n, c.word, c.n FROM c JOIN v ON c.short = v.word),
+        b AS (SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS best, max(near_n) AS best_n FROM near GROUP BY word),
+        f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 2 * v.n THEN best END AS form, CASE WHEN best_n >= 2 * v.n THEN best_n END AS form_n FROM v LEFT JOIN b ON b.word = v.word),
+        t AS (SELECT word, word AS root, form AS next FROM f UNION ALL SELECT t.word, t.next, f.form FROM t JOIN f ON f.word = t.next)
+        SELECT f.word, form, root, n, n_near, form_n FROM f JOIN t ON t.word = f.word WHERE t.next IS NULL""",
+    "op13_merkle_manifest": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, source, {_leaf_sql('text')} AS leaf, CASE WHEN {_crc32_sql('CAST(doc_id AS VARCHAR)')} % 2 = 0 THEN {_leaf_sql("replace(text, chr(10), '')")} END AS tampered FROM documents),
+        l AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM d),
+        a AS (SELECT source, 0 AS level, pos AS idx, leaf AS digest, n FROM l
+        UNION ALL SELECT source, level + 1, idx // 3, sha256(string_agg(digest, '' ORDER BY idx)), (n + 2) // 3 FROM a WHERE n > 1 GROUP BY source, level, idx // 3, n),
+        s AS (SELECT source, digest AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM a WHERE n = 1),
+        u AS (SELECT 0 AS level, pos AS idx, subroot AS digest, n FROM s
+        UNION ALL SELECT level + 1, idx // 3, sha256(string_agg(digest, '' ORDER BY idx)), (n + 2) // 3 FROM u WHERE n > 1 GROUP BY level, idx // 3, n),
+        sa AS (SELECT source, level, idx, coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before, coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after FROM a WHERE n > 1 WINDOW w AS (PARTITION BY source, level, idx // 3 ORDER BY idx)),
+        su AS (SELECT level, idx, coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before, coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after FROM u WHERE n > 1 WINDOW w AS (PARTITION BY level, idx // 3 ORDER BY idx)),
+        x AS (SELECT l.source, l.pos, sa.level AS step, before, after FROM l JOIN sa ON sa.source IS NOT DISTINCT FROM l.source AND sa.idx = l.pos // CAST(pow(3, sa.level) AS BIGINT)
+        UNION ALL SELECT l.source, l.pos, 100 + su.level, before, after FROM l JOIN s ON s.source IS NOT DISTINCT FROM l.source JOIN su ON su.idx = s.pos // CAST(pow(3, su.level) AS BIGINT)),
+        y AS (SELECT source, pos, list(before ORDER BY step) AS befores, list(after ORDER BY step) AS afters, sha256(string_agg(concat(before, after), '' ORDER BY step)) AS proof FROM x GROUP BY source, pos),
+        z AS (SELECT l.*, coalesce(befores, []) AS befores, coalesce(afters, []) AS afters, coalesce(proof, sha256('')) AS proof FROM l LEFT JOIN y ON y.source IS NOT DISTINCT FROM l.source AND y.pos = l.pos),
+        f AS (SELECT source, pos, 0 AS k, coalesce(tampered, leaf) AS node, befores, afters FROM z UNION ALL SELECT source, pos, k + 1, sha256(concat(befores[k + 1], node, afters[k + 1])), befores, afters FROM f WHERE k < len(befores))
+        SELECT z.doc_id, z.leaf, s.subroot, r.digest AS root, z.proof AS proof_sha256, f.node AS folded_root, f.node = r.digest AS verified
+        FROM z JOIN f ON f.source IS NOT DISTINCT FROM z.source AND f.pos = z.pos AND f.k = len(z.befores) JOIN s ON s.source IS NOT DISTINCT FROM z.source CROSS JOIN (SELECT digest FROM u WHERE n = 1) r""",
 }
