@@ -274,3 +274,12 @@ def test_html_text_does_not_depend_on_the_order_of_rows(spark):
         made = html_text.extracted(spark.createDataFrame([rows[i] for i in order], "page_id int, url string, html string").coalesce(1))
         texts.add(tuple(sorted((r["row"]["page_id"], r["text"]) for r in made.collect())))
     assert len(texts) == 1
+
+
+def test_names_within_an_article_count_whole():
+    from tidemark.llm.html_text import main_text
+
+    body = '<div class="search-and-rescue">Boats went out.</div><section id="navigation-history"><p>Maps of old.</p></section>'
+    gone = '<div class="cookie-notice-bar">We bake.</div><ul class="comments list"><li>First!</li></ul><div class="discussion">I agree.</div><div class="ad-slot-2 x">Buy.</div><div id="share_buttons">Share.</div>'
+    assert main_text(f"<body><article><p>Text.</p>{body}{gone}</article></body>", set()) == "Text.\nBoats went out.\nMaps of old."
+    assert main_text(f"<body><p>Text.</p><div class='sidebar-history'>Aside.</div>{gone}</body>", set()) == "Text."

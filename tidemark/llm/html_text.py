@@ -47,7 +47,15 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 FURNITURE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs "
     "header footer masthead sidebar aside widget related recommended comment comments disqus respond reply replies notice notices cookie cookies "
-    "consent gdpr popup modal overlay newsletter subscribe signup login search share sharing social toolbar pagination pager".split()
+    "consent gdpr popup modal overlay newsletter subscribe signup login search share sharing social toolbar pagination pager discussion discussions".split()
+)
+#: Words that say nothing of what an element holds: within a main container a name counts as furniture only if all its other
+#: words are such, so that "cookie-notice-bar" does and "search-and-rescue" does not.
+PLAIN_WORDS = frozenset(
+    "area article articles aside background bar block blocks body border bottom box boxes btn button buttons card cards center close col column container "
+    "content count cta entry field fields fixed float form full group grid header head heading hidden holder icon icons image img inline inner input item items "
+    "js label large layout left link links list main mobile more module new page panel part policy post posts primary region right root row secondary section "
+    "site size slot small span sticky stories story style tag tags text thread thumb title toggle top ul unit user view wide wrap wrapper zone".split()
 )
 #: What closes an open element of each kind.
 _ENDS_P = BLOCKS - {"body", "html", "caption", "tbody", "tfoot", "thead", "tr"}
@@ -61,13 +69,16 @@ class Node:
     def __init__(self, tag: str, attrs: dict[str, str]) -> None:
         self.tag, self.attrs, self.children, self.hash, self.said = tag, attrs, [], 0, 0
 
-    def names_furniture(self) -> bool:
+    def names_furniture(self, in_main: bool = False) -> bool:
         if self.tag in FURNITURE or self.attrs.get("role", "").lower() in ROLES or "hidden" in self.attrs or self.attrs.get("aria-hidden") == "true":
             return True
         if self.tag in MAIN or self.tag in ("body", "html"):
             return False
-        said = re.split(r"[^a-z]+", f"{self.attrs.get('class', '')} {self.attrs.get('id', '')}".lower())
-        return not FURNITURE_WORDS.isdisjoint(said)
+        for name in f"{self.attrs.get('class', '')} {self.attrs.get('id', '')}".lower().split():
+            said = {w for w in re.split(r"[^a-z]+", name) if w}
+            if not FURNITURE_WORDS.isdisjoint(said) and (not in_main or said <= FURNITURE_WORDS | PLAIN_WORDS):
+                return True
+        return False
 
 
 class Tree(HTMLParser):
@@ -175,14 +186,14 @@ def subtrees(html: str, host: str = "") -> tuple[int, list[int]]:
 def _blocks(top: Node) -> str:
     """The blocks of text within top, without hidden elements and those that their names show to be furniture."""
     blocks: dict[int, list[str]] = {}
-    block, stack = 0, [top]
+    block, stack, in_main = 0, [top], top.tag in MAIN
     while stack:
         item = stack.pop()
         if item is None:
             block += 1
         elif isinstance(item, str):
             blocks.setdefault(block, []).append(item)
-        elif item is top or not (item.tag in HIDDEN or item.names_furniture()):
+        elif item is top or not (item.tag in HIDDEN or item.names_furniture(in_main)):
             if item.tag == "br" or item.tag in ("td", "th"):
                 blocks.setdefault(block, []).append(" ")
             if item.tag in BLOCKS or item is top:
