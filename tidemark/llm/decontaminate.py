@@ -6,8 +6,9 @@ corpus, by counts over all documents. Shingles of documents are joined with thes
 position bound place the window in the document, and its words are compared one by one.
 
 Up to KNOWN_SHINGLES of the items are sent to the tasks, so that documents' other shingles are not shuffled; a larger
-benchmark joins them all. Counts and hits are summed in each task before they are shuffled, so a passage that a third of
-all documents share is no hot key, and copies of one text meet as one.
+benchmark joins them all. Counts are summed in each task before they are shuffled. Occurrences are joined one by one, so the
+shingle of a passage that many documents share is a hot key of that join, which Spark's skew join splits; behind it copies
+of one text count as one.
 
 Defined cases: a null or word-less text has no words and no hits; a null item id counts as the empty id; repeated
 documents each get their own row, repeated items count once per id; an empty benchmark hits nothing; an empty documents
