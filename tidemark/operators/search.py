@@ -62,12 +62,10 @@ class SearchIndex:
         """sections: page, section (together a key) and the fields of `weights`; nulls are empty."""
         spark = sections.sparkSession
         folder = folder or f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
-        cores = spark.sparkContext.defaultParallelism
-        if sections.rdd.getNumPartitions() < cores:  # a few large files: deal their sections out before words are cut
-            sections = sections.repartition(cores)
         words = lambda f: F.coalesce(F.regexp_extract_all(F.lower(F.col(f)), F.lit(TOKEN), F.lit(0)), F.array().cast("array<string>"))
         weighed = lambda field, weight: F.transform(words(field), lambda t: F.struct(t.alias("term"), F.lit(weight).alias("weight")))
-        said = sections.select("page", "section", F.concat(*[weighed(f, w) for f, w in weights.items()]).alias("said"))
+        dealt = sections.repartition("page", "section")  # texts are dealt out once; their words need no second shuffle to be counted
+        said = dealt.select("page", "section", F.concat(*[weighed(f, w) for f, w in weights.items()]).alias("said"))
         each = said.select("page", "section", F.size("said").alias("length"), F.inline_outer("said")).filter("term IS NOT NULL")  # inline() would make the words twice
         counted = stored(each.groupBy("page", "section", "length", "term").agg(F.sum("weight").alias("f"), F.count("*").alias("tf")), "counts")
         n, length = sections.count(), counted.agg(F.sum("tf")).first()[0] or 0  # one number each
