@@ -36,25 +36,36 @@ def running(df: DataFrame, order: list[str], value: Column, name: str) -> DataFr
 def exact_percentiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """keys, and for each of `shares` (name to share) the percentile of `value`, linear between neighbours; nulls stay out.
 
-    Equal values are counted first; the counts are summed over range partitions of (keys, value), and only the two values
-    at each rank go on. So no task holds all values of a key, or of a table without keys.
+    Equal values are counted first and the counts lie in range partitions of (keys, value). How many values each partition
+    has of a key tells in which of them a rank lies, so values are put in order and looked through only there. No task holds
+    all values of a key, or of a table without keys.
     """
+    spark = rows.sparkSession
+    path = f"{shared_folder(spark)}/counts-{uuid.uuid4().hex}"
     counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    ranked = running(counts, [*keys, value], F.col("_n"), "_before")
-    totals = ranked.groupBy(*keys).agg(F.sum("_n").alias("_total"), F.min("_before").alias("_first"))
-    named = totals.select(F.struct(*keys, F.lit(1).alias("_one")).alias("_of"), "_total", "_first")
-    same = [F.col(k).eqNullSafe(F.col(f"_of.{k}")) for k in keys] or [F.col("_one") == F.col("_of._one")]
-    on = same[0]
-    for test in same[1:]:
-        on = on & test
-    placed = ranked.withColumn("_one", F.lit(1)).join(named, on).withColumn("_before", F.col("_before") - F.col("_first"))
+    counts.repartitionByRange(*keys, value).withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    spread = spark.read.parquet(path)
+    of_key, ahead = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = spread.groupBy(*keys, "_part").agg(F.sum("_n").alias("_sum"))  # a row a key and partition
+    parts = parts.withColumns({"_total": F.sum("_sum").over(of_key), "_begin": F.coalesce(F.sum("_sum").over(ahead), F.lit(0))})
+    ranks = {name: (F.col("_total") - 1) * F.lit(share) for name, share in shares.items()}
+    wanted = [F.struct(F.lit(f"{name} {side}").alias("of"), (place - F.col("_begin")).cast("bigint").alias("at")) for name, rank in ranks.items() for side, place in (("low", F.floor(rank)), ("high", F.ceil(rank)))]
+    here = F.filter(F.array(*wanted), lambda w: (w["at"] >= 0) & (w["at"] < F.col("_sum")))
+    asked = parts.select(F.struct(*keys, "_part").alias("_of"), "_total", here.alias("_asked")).filter(F.size("_asked") > 0)
+    on = F.col("_part") == F.col("_of._part")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_of.{k}"))
+    before = F.sum("_n").over(Window.partitionBy(*keys, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
+    placed = spread.join(asked, on).withColumn("_before", F.coalesce(before, F.lit(0)))
+    met = F.filter("_asked", lambda w: (w["at"] >= F.col("_before")) & (w["at"] < F.col("_before") + F.col("_n")))
+    found = placed.select(*keys, "_total", F.col(value).alias("_value"), F.explode(met).alias("_w"))
+    at = lambda of: F.max(F.when(F.col("_w.of") == of, F.col("_value")))
     out = []
     for name, share in shares.items():
-        rank = (F.col("_total") - 1) * F.lit(share)
-        at = lambda r: F.max(F.when((F.col("_before") <= r) & (r < F.col("_before") + F.col("_n")), F.col(value)))
-        low, high = at(F.floor(rank)), at(F.ceil(rank))
-        out.append((low + (F.max(rank) - F.floor(F.max(rank))) * (high - low)).alias(name))
-    return placed.groupBy(*keys).agg(*out)
+        rank = (F.max("_total") - 1) * F.lit(share)
+        out.append((at(f"{name} low") + (rank - F.floor(rank)) * (at(f"{name} high") - at(f"{name} low"))).alias(name))
+    made = found.groupBy(*keys).agg(*out)
+    return made if keys else made.filter(F.col(next(iter(shares))).isNotNull())
 
 
 sql("win_row_number_position", "SELECT s_nationkey, s_suppkey, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY (s_acctbal > 5000) DESC, s_name) AS BIGINT) AS position FROM supplier")
