@@ -109,3 +109,9 @@ def test_phrases_that_explain_edits(spark):
     phrases = spark.createDataFrame([("very nice", 2), ("nice", 1), ("[N] men", 2), ("very nice", 2)], "phrase string, size int")
     assert sorted(tuple(r) for r in lint.explained(phrases, edits, 1).collect()) == [("[N] men", 1), ("nice", 2), ("very nice", 3)]
     assert lint.explained(phrases, edits).count() == 2 and lint.explained(phrases.limit(0), edits).count() == 0
+
+
+def test_peoples_and_faiths_name_no_place(spark):
+    names = {"small riverside Lao village": "descriptive", "a Buddhist shrine": "descriptive", "Great Mosque": None, "the Dzong": None, "old Tày house": None, "in the Khmer": "descriptive", "Lao Cai": None, "": "annotation_only"}
+    assert _column(spark, names, lambda c: D.not_a_place(c, F.lit(""))) == list(names.values())
+    assert _column(spark, ["a Lao village"], lambda c: D.not_a_place(c, F.lit("Vientiane"))) == [None]

@@ -206,7 +206,7 @@ def fn_place_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark,
         sf_dir,
         """SELECT o_orderkey, CASE o_orderkey % 12 WHEN 0 THEN 'Yali La Pass (4820 m)' WHEN 1 THEN 'the small village of Gogina' WHEN 2 THEN 'Lhasa to Gyantse' WHEN 3 THEN 'Simatai to Jinshan Great Wall'
-        WHEN 4 THEN 'a comfortable hotel in Seoul (or similar)' WHEN 5 THEN 'Korean cooking class' WHEN 6 THEN 'Arabian Sea' WHEN 7 THEN 'international airport' WHEN 8 THEN 'small riverside bend' WHEN 9 THEN 'city palace'
+        WHEN 4 THEN 'a comfortable hotel in Seoul (or similar)' WHEN 5 THEN 'Korean cooking class' WHEN 6 THEN 'Arabian Sea' WHEN 7 THEN 'international airport' WHEN 8 THEN CASE WHEN o_orderkey % 24 = 8 THEN 'small riverside bend' ELSE 'small riverside Lao village' END WHEN 9 THEN 'city palace'
         WHEN 10 THEN 'At about 4040 m' ELSE 'Great Mosque' END AS name, CASE WHEN o_orderkey % 12 = 9 THEN 'Jaipur' ELSE '' END AS locality FROM orders""",
     )
     rows = rows.withColumn("cause", D.not_a_place(F.col("name"), F.col("locality")))
