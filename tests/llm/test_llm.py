@@ -338,6 +338,22 @@ def test_encoding_of_odd_texts():
         assert own.decode(got) == library.decode(got)
 
 
+def test_a_pair_of_tokens_is_tried_once(monkeypatch):
+    """What words cost grows with the pairs not met before; spaces, line feeds and forgetting change no ids."""
+    library, own = sentencepiece.SentencePieceProcessor(model_file=MODEL), pieces.PieceModel(MODEL)
+    rng, asked, tried = random.Random(2), [], pieces.PieceModel.stands
+    monkeypatch.setattr(pieces.PieceModel, "stands", lambda self, a, b: asked.append((a, b)) or tried(self, a, b))
+    ids = lambda t: np.frombuffer(own.encode(t), np.int32).tolist()
+    texts = [" ".join("".join(rng.choice(["en", "er", "tion", "ou", "sh", "é"]) for _ in range(rng.randint(2, 6))) for _ in range(40)) for _ in range(20)]
+    assert [ids(t) for t in texts] == [library.encode(t) for t in texts]
+    assert asked and len(asked) == len(set(asked))
+    monkeypatch.setattr(pieces, "WORDS_KEPT", 3)
+    monkeypatch.setattr(pieces, "PAIRS_KEPT", 5)
+    for _ in range(3000):
+        t = "".join(rng.choice([" ", "  ", "\n", "\n\n", "▁", "\t", "the", "ing", "é", "日", "\x00"]) for _ in range(rng.randint(0, 12)))
+        assert ids(t) == library.encode(t) and own.decode(ids(t)) == library.decode(ids(t))
+
+
 def test_sharding(docs, none):
     made = sharding.placed(docs, shards=4).collect()
     rows = fixture_rows()

@@ -5,7 +5,8 @@ pieces that end at a place, and a piece is the last token there if it can stand
 it leaves. Two tokens can stand side by side if, replaying the merges that made them, no merge across their border would
 have come first. Reading the table backwards gives the ids. Tokens are read from a model file; nothing is trained.
 
-Words repeat, so each task keeps the ids of the words it met in a table of bounded size. Characters without a piece
+Words repeat, so each task keeps the ids of the words it met, and which tokens can stand side by side, in tables of bounded
+size. Characters without a piece
 become byte pieces. Runs of spaces merge last and from the left, up to the longest run that has a piece.
 
 Defined cases: a null or empty text has no ids and decodes to the empty text; ids, other columns and repeated rows pass
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,6 +38,34 @@ CHARACTERS_KEPT = 1 << 23
 PAIRS_KEPT = 500_000
 
 
+#: A space after a space.
+_FURTHER = re.compile("(?<= ) ")
+
+
+class Words(dict):
+    """The ids (as int32) of the words met so far, by what stands between two spaces.
+
+    The space in front belongs to the word, any further ones are written as SPACE; a line feed in front stands for itself
+    if it ends words."""
+
+    def __init__(self, model: PieceModel) -> None:
+        self.model = model
+        self.kept = 0
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= WORDS_KEPT or self.kept >= CHARACTERS_KEPT:
+            self.forget()
+        self.kept += len(word) + 1
+        model = self.model
+        ids = array("i", model.word_ids(word if model.lines and word[:1] == "\n" else SPACE + word)).tobytes()
+        self[word] = ids
+        return ids
+
+    def forget(self) -> None:
+        self.clear()
+        self.kept = 0
+
+
 class PieceModel:
     """The pieces of a model with their merges. Models that this method does not fit are refused."""
 
@@ -64,11 +94,9 @@ class PieceModel:
         for value, i in self.byte.items():
             self.raw[i] = bytes([value])
         self._merges()
-        #: A word: spaces and what follows up to the next space. A line feed without a piece ends one too.
-        self.pattern = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if "\n" in self.id else f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
-        self.words: dict[str, bytes] = {}
-        self.kept = 0
-        self.pairs: dict[tuple[int, int], bool] = {}
+        #: Whether a line feed ends a word: if it has no piece, none goes across it.
+        self.lines = "\n" not in self.id
+        self.words = Words(self)
 
     def merged(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
         """Plain merging of known characters, best pair first, the left one of equals: what is left, and the last pair."""
@@ -101,23 +129,28 @@ class PieceModel:
         return [p for p in part if p is not None], last
 
     def _merges(self) -> None:
-        """halves: the last merge of each piece. Pieces that merging never makes are left out of the automaton."""
+        """halves: the last merge of each piece. Pieces that merging never makes are left out of the automaton.
+
+        after: by token, whether another can follow, as far as asked; the automaton gives it along with the token."""
         self.halves: dict[int, tuple[int, int]] = {}
+        self.after: dict[int, dict[int, bool]] = {}
+        self.pairs = 0
+        self.letters = {p for p in self.id if len(p) == 1}
         self.automaton = ahocorasick.Automaton()
         for piece, i in self.id.items():
             left, last = self.merged(piece) if all(c in self.id for c in piece) else ([], None)
             if left == [piece]:
                 if last:
                     self.halves[i] = (self.id[last[0]], self.id[last[1]])
-                self.automaton.add_word(piece, (i, len(piece)))
+                self.after[i] = {}
+                self.automaton.add_word(piece, (i, len(piece), self.after[i]))
         self.automaton.make_automaton()
 
     def stands(self, a: int, b: int) -> bool:
-        """Whether token b can follow token a."""
+        """Whether token b can follow token a; the answer is kept."""
+        if self.pairs >= PAIRS_KEPT:
+            self.forget_pairs()
         key = (a, b)
-        known = self.pairs.get(key)
-        if known is not None:
-            return known
         rank, text = self.rank, self.text
         right, end = [], float("inf")  # pieces at the right edge of a, and when each is merged away
         while True:
@@ -135,32 +168,46 @@ class PieceModel:
             if b not in self.halves:
                 break
             end, b = rank[b], self.halves[b][0]
-        if len(self.pairs) >= PAIRS_KEPT:
-            self.pairs.clear()
-        self.pairs[key] = answer
+        self.after[key[0]][key[1]] = answer
+        self.pairs += 1
         return answer
 
+    def forget_pairs(self) -> None:
+        for known in self.after.values():
+            known.clear()
+        self.pairs = 0
+
     def _known(self, part: str) -> list[int]:
         """Ids of a run of characters that all have pieces, with one space at most, in front."""
-        last: list[tuple[int, int]] = [(0, 0)] * (len(part) + 1)
-        filled = 0
-        for end, (token, size) in self.automaton.iter(part):
-            end += 1
+        last: list = [None] * len(part)  # the last token of what ends at a place
+        filled = -1
+        for end, entry in self.automaton.iter(part):
             if end == filled:
                 continue
+            token, size, _ = entry
             before = end - size
-            if before == 0 or self.stands(last[before][0], token):
-                last[end] = (token, before)
-                filled = end
-        out, at = [], len(part)
-        while at:
-            token, at = last[at]
+            if before >= 0:
+                left, _, after = last[before]
+                stands = after.get(token)
+                if stands is None:
+                    stands = self.stands(left, token)
+                if not stands:
+                    continue
+            last[end] = entry
+            filled = end
+        out, at = [], len(part) - 1
+        while at >= 0:
+            token, size, _ = last[at]
             out.append(token)
-        return out[::-1]
+            at -= size
+        out.reverse()
+        return out
 
     def word_ids(self, word: str) -> list[int]:
         body = word.lstrip(SPACE)
         spaces = len(word) - len(body)
+        if spaces < 2 and self.letters.issuperset(body):
+            return self._known(word)
         out: list[int] = []
         part = SPACE if spaces else ""
         for c in body:
@@ -185,26 +232,19 @@ class PieceModel:
         """The ids, as int32."""
         if not text:
             return b""
-        found = self.pattern.findall(SPACE + text.replace(" ", SPACE))
-        words = self.words
-        try:
-            return b"".join([words[w] for w in found])
-        except KeyError:
-            out = []
-            for w in found:
-                ids = words.get(w)
-                if ids is None:
-                    if len(words) >= WORDS_KEPT or self.kept >= CHARACTERS_KEPT:
-                        words.clear()
-                        self.kept = 0
-                    self.kept += len(w)
-                    ids = np.array(self.word_ids(w), np.int32).tobytes()
-                    words[w] = ids
-                out.append(ids)
-            return b"".join(out)
+        text = " " + text
+        if SPACE in text:
+            text = text.replace(SPACE, " ")
+        if "  " in text:
+            text = _FURTHER.sub(SPACE, text)
+        if self.lines:
+            text = text.replace("\n", " \n")
+        found = text.split(" ")
+        del found[0]
+        return b"".join(map(self.words.__getitem__, found))
 
     def decode(self, ids: list[int]) -> str:
-        raw = b"".join([self.raw[i] for i in ids])
+        raw = b"".join(map(self.raw.__getitem__, ids))
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
@@ -228,9 +268,8 @@ def encoded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
             at = np.append(0, np.cumsum([len(m) // 4 for m in made])).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(made), np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("row"), ids, pa.array(back, pa.string())], names=["row", "ids", "decoded"])
-        pieces.kept = 0
-        pieces.words.clear()  # an idle worker keeps no words of a task that is over
-        pieces.pairs.clear()
+        pieces.words.forget()  # an idle worker keeps no words of a task that is over
+        pieces.forget_pairs()
 
     schema = T.StructType([source.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
     return source.mapInArrow(mapper, schema)
