@@ -5,9 +5,9 @@ pieces that end at a place, and a piece is the last token there if it can stand
 it leaves. Two tokens can stand side by side if, replaying the merges that made them, no merge across their border would
 have come first. Reading the table backwards gives the ids. Tokens are read from a model file; nothing is trained.
 
-Words repeat, so each task keeps the ids of the words it met, and which tokens can stand side by side, in tables of bounded
-size. Characters without a piece
-become byte pieces. Runs of spaces merge last and from the left, up to the longest run that has a piece.
+Words repeat, so each task keeps the ids of the words it met, and which tokens can stand side by side, in tables of
+bounded size. Characters without a piece become byte pieces. Runs of spaces merge last and from the left, up to the
+longest run that has a piece.
 
 Defined cases: a null or empty text has no ids and decodes to the empty text; ids, other columns and repeated rows pass
 through as they are; an empty table gives an empty result.
