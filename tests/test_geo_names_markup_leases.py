@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import dictionary, geo, markup
+from tidemark.plans import all_queries
 from tidemark.streaming.rollups import LEASE_MINUTES, MOST_ATTEMPTS, reaped, rocksdb_state, run_available
 
 
@@ -38,6 +39,27 @@ def test_pairs_within_a_radius_by_all_pairs(places, km):
     assert not edge and len(set(got)) >= len(expected) - 5
 
 
+@pytest.mark.parametrize("km", [0.0, 25.0, 300.0, 2500.0, 9000.0, 20_100.0])
+def test_pairs_meet_once_with_their_columns(places, km):
+    rows, frame = places
+    expected = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and _km(a[2:], b[2:]) <= km}
+    got = geo.pairs_within(frame, km, ("country",)).collect()
+    pairs = [tuple(sorted((r["id_a"], r["id_b"]))) for r in got]
+    assert len(pairs) == len(set(pairs)) and all((r["country_a"], r["country_b"]) == (rows[r["id_a"]][1], rows[r["id_b"]][1]) for r in got)
+    edge = {p for p in expected ^ set(pairs) if abs(_km(rows[p[0]][2:], rows[p[1]][2:]) - km) > 1e-6}
+    assert not edge and len(pairs) >= len(expected) - 5
+
+
+@pytest.mark.parametrize("name", ["jn_pairs_distance"])
+def test_places_are_not_broadcast(spark, name):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")  # files are small, their rows need not be
+    try:
+        plan = all_queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_nearest_or_same_country_by_all_pairs(spark, places):
     rows, frame = places
     got = {r["id"]: (r["other"], r["level"]) for r in geo.nearest_or_same_country(frame, 25.0).collect()}

@@ -80,6 +80,24 @@ def within(a: DataFrame, b: DataFrame, km: float, same: tuple[str, ...] = ()) ->
     return met.withColumn("km", far).filter(F.col("km") <= km).select("id_a", "id_b", "km")
 
 
+def pairs_within(places: DataFrame, km: float, columns: tuple[str, ...] = ()) -> DataFrame:
+    """id_a, id_b, km, and `columns` of both: places (id, lat, lng) at most so far apart, each pair once, either of the two first.
+
+    A place covers its own cell and those behind it, so two places meet in the later one of their cells. The columns travel
+    with the places, so pairs are not shuffled. Places grow with the table while their files stay small, so neither side may
+    be sent whole to the driver and the tasks: they are merged by cell.
+    """
+    cells = Cells(km)
+    named = lambda side: [F.col(c).alias(f"{c}_{side}") for c in ("id", "lat", "lng", *columns)]
+    own = cells.own(F.col("lat"), F.col("lng"))
+    behind = F.filter(cells.cover(F.col("lat"), F.col("lng")), lambda c: c >= F.col("own"))
+    left = places.withColumn("own", own).select(*named("a"), "own", F.explode(behind).alias("cell")).withColumn("inside", F.col("cell") == F.col("own")).drop("own")
+    met = left.join(places.select(*named("b"), own.alias("cell")).hint("merge"), "cell")
+    met = met.filter((F.col("id_a") < F.col("id_b")) | ~F.col("inside") & (F.col("id_a") > F.col("id_b")))
+    far = great_circle(F.col("lat_a"), F.col("lng_a"), F.col("lat_b"), F.col("lng_b"))
+    return met.withColumn("km", far).filter(F.col("km") <= km).select("id_a", "id_b", "km", *[f"{c}_{side}" for c in columns for side in "ab"])
+
+
 def _nearest(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy(F.col("id_a").alias("id")).agg(F.min(F.struct(F.round("km", 3).alias("km"), F.col("id_b").alias("other"))).alias("best")).select("id", "best.other", "best.km")
 
@@ -128,7 +146,9 @@ def _both_ways(spark: SparkSession, sf_dir: str, km: float) -> DataFrame:
 
 @query("jn_pairs_distance", f"WITH {_DUCK} SELECT id, other, cross_border, round(km, 1) AS km FROM d WHERE km <= 150")
 def jn_pairs_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _both_ways(spark, sf_dir, 150.0).select(F.col("id_a").alias("id"), F.col("id_b").alias("other"), (F.col("country_a") != F.col("country_b")).alias("cross_border"), F.round("km", 1).alias("km"))
+    pairs = pairs_within(_places(spark, sf_dir), 150.0, ("country",))
+    ways = F.array(*[F.struct(F.col(f"id_{a}").alias("id"), F.col(f"id_{b}").alias("other")) for a, b in ("ab", "ba")])
+    return pairs.select((F.col("country_a") != F.col("country_b")).alias("cross_border"), F.round("km", 1).alias("km"), F.inline(ways)).select("id", "other", "cross_border", "km")
 
 
 @query("gr_junctions", f"WITH {_DUCK} SELECT id AS x, other AS y, cross_border, round(km, 1) AS km FROM d WHERE km <= 300 AND id < other")
