@@ -50,7 +50,7 @@ def test_pairs_meet_once_with_their_columns(places, km):
     assert not edge and len(pairs) >= len(expected) - 5
 
 
-@pytest.mark.parametrize("name", ["jn_pairs_distance"])
+@pytest.mark.parametrize("name", ["jn_pairs_distance", "gr_junctions"])
 def test_places_are_not_broadcast(spark, name):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")  # files are small, their rows need not be
     try:

@@ -137,13 +137,6 @@ def jn_spatial_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_or_same_country(_places(spark, sf_dir), 25.0)
 
 
-def _both_ways(spark: SparkSession, sf_dir: str, km: float) -> DataFrame:
-    places = _places(spark, sf_dir)
-    pairs = within(places, places, km)
-    country = lambda side: places.select(F.col("id").alias(f"id_{side}"), F.col("country").alias(f"country_{side}"))
-    return pairs.join(country("a"), "id_a").join(country("b"), "id_b")
-
-
 @query("jn_pairs_distance", f"WITH {_DUCK} SELECT id, other, cross_border, round(km, 1) AS km FROM d WHERE km <= 150")
 def jn_pairs_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = pairs_within(_places(spark, sf_dir), 150.0, ("country",))
@@ -154,8 +147,9 @@ def jn_pairs_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("gr_junctions", f"WITH {_DUCK} SELECT id AS x, other AS y, cross_border, round(km, 1) AS km FROM d WHERE km <= 300 AND id < other")
 def gr_junctions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs within 300 km, each once."""
-    pairs = _both_ways(spark, sf_dir, 300.0).filter("id_a < id_b")
-    return pairs.select(F.col("id_a").alias("x"), F.col("id_b").alias("y"), (F.col("country_a") != F.col("country_b")).alias("cross_border"), F.round("km", 1).alias("km"))
+    pairs = pairs_within(_places(spark, sf_dir), 300.0, ("country",))
+    ends = F.when(F.col("id_a") < F.col("id_b"), F.struct(F.col("id_a").alias("x"), F.col("id_b").alias("y"))).otherwise(F.struct(F.col("id_b").alias("x"), F.col("id_a").alias("y")))
+    return pairs.select(ends["x"].alias("x"), ends["y"].alias("y"), (F.col("country_a") != F.col("country_b")).alias("cross_border"), F.round("km", 1).alias("km"))
 
 
 #: The public time zone database's table of zones with a reference point each.
