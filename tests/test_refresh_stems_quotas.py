@@ -45,6 +45,19 @@ def test_stems_without_support(spark):
     assert stems.uses(texts, table.limit(0), ["id"]).count() == 0
 
 
+def test_support_is_grouped_and_sends_no_uses_to_the_tasks(spark):
+    rows = spark.createDataFrame([(1, "thinning ment"), (2, "then that")], "id int, text string")
+    table, roots = spark.createDataFrame([("thin", "thin"), ("that", "that")], "stem string, name string"), spark.createDataFrame([("then", "that")], "root string, name string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        found = stems.unsupported(rows, rows.withColumn("text", F.lit("then")), table, roots, ["id"])
+        plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+        assert [tuple(r) for r in found.collect()] == [(1, "thin")]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "LeftAnti" not in plan and plan.count("BroadcastExchange") <= 2  # the stems alone
+
+
 def test_quota_plans_by_a_plain_round_robin(spark):
     rng = random.Random(1)
     rows = [(f"w{i % 3}", rng.choice([None, "a", "b", "c"]), i, rng.random() < 0.2) for i in range(90)]
