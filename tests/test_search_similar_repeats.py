@@ -91,6 +91,23 @@ def test_similar_pairs_by_all_pairs(spark):
     assert got == expected and sum(got.values()) > 400
 
 
+def test_similar_pairs_block_by_block(spark, monkeypatch):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice([f"w{i}" for i in range(30)]) for _ in range(rng.randint(1, 25))) for _ in range(80)]
+    texts += [t + " w3" for t in texts[:40]] + ["same same"] * 3 + [f"alone{i}" for i in range(9)]
+    classes = similar.word_classes(spark.createDataFrame(list(enumerate(texts)), "id bigint, text string"), "id", "text").localCheckpoint()
+    found = lambda: similar.similar_pairs(classes, 0.8)
+    whole = sorted(map(tuple, found().collect()))
+    assert len(whole) > 30
+    monkeypatch.setattr(similar, "BLOCK", 90)
+    monkeypatch.setattr(similar, "CELLS", 64)
+    assert sorted(map(tuple, found().collect())) == whole
+    monkeypatch.setattr(similar, "SENT_WORDS", 0)  # counts of words by a join
+    assert sorted(map(tuple, found().collect())) == whole
+    plan = found()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan  # neither vectors nor candidates are shuffled
+
+
 def test_sweep_rates_every_threshold(spark):
     pairs = spark.createDataFrame([(1, 0.99, True), (4, 0.9, True), (2, 0.85, False), (1, 0.81, True)], "pairs bigint, cosine double, same boolean")
     rows = {r["threshold"]: r for r in similar.sweep(pairs, 8).collect()}
