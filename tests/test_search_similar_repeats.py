@@ -166,6 +166,12 @@ def test_near_exact_repeats_go_in_order(spark, floor):
     assert got == {i: _plain_drop(t, floor) for i, t in enumerate(texts)} and sum(n for n, _ in got.values()) > 10
 
 
+def test_texts_are_not_shuffled_for_their_repeats(spark):
+    rows = spark.createDataFrame([(1, "a b c d e. a b c d e. f"), (2, None)], "id bigint, text string")
+    plan = repeats.without_near_repeats(rows, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
 def test_ordered_share_of_turns(spark):
     rows = [(1, "a b c d e", "a b x d e"), (2, "a b c", "a b c d"), (3, None, "a b c d"), (4, "A b  c d", "a b c d")]
     frame = spark.createDataFrame(rows, "id int, a string, b string").select("id", repeats._hashed_words(F.col("a")).alias("a"), repeats._hashed_words(F.col("b")).alias("b"))

@@ -7,6 +7,9 @@ worked off together, a level of these blocks at a time, on arrays of word hashes
 
 from __future__ import annotations
 
+import math
+from collections import Counter, defaultdict
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,8 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import text as X
-from tidemark.operators.sinks import stored
-from tidemark.operators.text_rules import MOST_DROPS, sentences
+from tidemark.operators.text_rules import MOST_DROPS, text_parts
 from tidemark.plans.registry import query
 from tidemark.sources.tables import read_table
 
@@ -23,6 +25,8 @@ from tidemark.sources.tables import read_table
 LEAST_WORDS, NEAR_EXACT = 4, 0.9
 #: Cells of the table of common runs that are held at once.
 CELLS = 1 << 20
+#: Pairs of sentences that are compared at once.
+PAIRS = 20_000
 
 
 def _padded(words: np.ndarray, low: np.ndarray, high: np.ndarray, filler: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,40 +134,66 @@ def txt_dice_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("near_exact", F.coalesce(F.col("dice") >= NEAR_EXACT, F.lit(False)))
 
 
-def near_exact_classes(classes: DataFrame, keys: list[str], share: float = NEAR_EXACT) -> DataFrame:
-    """keys, a, b: sentences of one text whose ordered share is `share` or more, both ways; classes: keys, id, words (hashes).
+def near_exact_pairs(words: list[np.ndarray], share: float = NEAR_EXACT) -> list[tuple[int, int]]:
+    """Pairs a, b of sequences, the first by which the ordered share is told, that share `share` or more in order.
 
     The words matched in order are at most those in common, so two such sentences share one of the first few words in
     order of rarity, each word told apart by how often it came before. Sizes bound the share once more; only what is left
     is compared in order.
     """
     least = share / (2 - share)  # of a sentence's words must be in the other
-    numbered = X.let(F.col("words"), lambda w: F.transform(w, lambda t, i: F.xxhash64(t, F.size(F.filter(F.slice(w, 1, i), lambda x: x == t)))))
-    each = classes.select(*keys, "id", F.size("words").alias("n"), F.explode(numbered).alias("token"))
-    count = each.groupBy(*keys, "token").agg(F.count("*").alias("df"))
-    place = F.row_number().over(Window.partitionBy(*keys, "id").orderBy("df", "token"))
-    head = each.join(count, [*keys, "token"]).withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least) + 1)
-    side = lambda of: head.select(*keys, "token", F.col("id").alias(of), F.col("n").alias(f"n_{of}"))
-    met = side("a").join(side("b"), [*keys, "token"]).filter(F.col("a") < F.col("b"))
-    met = met.filter(2 * F.least("n_a", "n_b") >= share * (F.col("n_a") + F.col("n_b")) - 1e-9).select(*keys, "a", "b").distinct()
-    words = lambda of: classes.select(*keys, F.col("id").alias(of), F.col("words").alias(f"w_{of}"))
-    both = met.join(words("a"), [*keys, "a"]).join(words("b"), [*keys, "b"])
-    alike = both.filter(ordered_share(F.col("w_b"), F.col("w_a")) >= share).select(*keys, "a", "b")
-    return alike.unionByName(alike.select(*keys, F.col("b").alias("a"), F.col("a").alias("b")))
+    numbered = []
+    for w in words:
+        seen: Counter = Counter()
+        numbered.append([(t, seen.update((t,)) or seen[t]) for t in w.tolist()])
+    df = Counter(t for each in numbered for t in each)
+    holders, met = defaultdict(list), set()
+    for b, each in enumerate(numbered):
+        for t in sorted(each, key=lambda t: (df[t], t))[: len(each) - math.ceil(len(each) * least) + 1]:
+            met.update((a, b) for a in holders[t] if 2 * min(len(words[a]), len(each)) >= share * (len(words[a]) + len(each)) - 1e-9)
+            holders[t].append(b)
+    pairs, out = sorted(met), []
+    for at in range(0, len(pairs), PAIRS):
+        part = pairs[at : at + PAIRS]
+        same = matched_words([words[b] for _, b in part], [words[a] for a, _ in part])
+        out += [p for p, n in zip(part, same, strict=True) if 2 * n / (len(words[p[0]]) + len(words[p[1]])) >= share]
+    return out
+
+
+def _near_of_texts(share: float):  # noqa: ANN202
+    @F.pandas_udf(T.ArrayType(T.ArrayType(T.LongType())))
+    def near(words: pd.Series, ids: pd.Series) -> pd.Series:
+        """For each sentence of a text (its words' hashes, null: not judged, and their hash) the others like it, null if it
+        comes but once and has none; null for a text without any."""
+        out = []
+        for w, own in zip(words, ids, strict=True):
+            own = [None if x is None else int(i) for x, i in zip(w, own, strict=True)]  # without nulls, which would make the hashes floats
+            times = Counter(i for i in own if i is not None)
+            first = {i: k for k, i in reversed(list(enumerate(own))) if i is not None}
+            each = sorted(times)
+            found = defaultdict(list)
+            for a, b in near_exact_pairs([np.asarray(w[first[i]], np.int64) for i in each], share):
+                found[each[a]].append(each[b]), found[each[b]].append(each[a])
+            judged = {i for i in each if times[i] > 1 or i in found}
+            out.append([found.get(i, []) if i in judged else None for i in own] if judged else None)
+        return pd.Series(out, dtype=object)
+
+    return near
 
 
 def without_near_repeats(rows: DataFrame, key: str, text: str = "text", floor: int = 0, share: float = NEAR_EXACT, most: int = MOST_DROPS) -> DataFrame:
     """key, dropped, text: sentences that repeat an earlier one that is still there, nearly or exactly, go one by one in
     their order, `most` a text at most (the rule's own limit), as long as the text keeps `floor` characters; sentences of
-    fewer than LEAST_WORDS words are never judged. Rows of a null text have a null text."""
+    fewer than LEAST_WORDS words are never judged. Rows of a null text have a null text. A text's sentences stay together in
+    its row, so nothing is shuffled."""
     named, rows, key, text = key, rows.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_key", "_text"
-    each = sentences(rows.filter(F.col(text).isNotNull()), [key], text).withColumn("words", _hashed_words(F.col("sentence"), r"[\p{L}\p{N}]+"))
-    each = stored(each.withColumn("id", F.when(F.size("words") >= LEAST_WORDS, F.xxhash64("words"))), "sentences")
-    classes = stored(each.filter("id IS NOT NULL").groupBy(key, "id").agg(F.first("words").alias("words"), F.count("*").alias("n")), "classes")
-    near = near_exact_classes(classes, [key], share).groupBy(key, F.col("a").alias("id")).agg(F.collect_list("b").alias("near"))
-    judged = classes.join(near, [key, "id"], "left").filter("n > 1 OR near IS NOT NULL").select(key, "id", F.coalesce("near", F.array().cast("array<bigint>")).alias("near"))
-    marked = each.join(judged, [key, "id"], "left").select(key, "pos", "part", F.when(F.col("near").isNotNull(), F.col("id")).alias("id"), "near")
-    whole = marked.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "part", "id", "near"))).alias("parts"))
+    cut = rows.filter(F.col(text).isNotNull()).withColumn("cut", text_parts(F.col(text)))
+    cut = cut.withColumn("words", F.transform("cut", lambda p: _hashed_words(F.regexp_replace(p, r"^\s+|\s+$", ""), r"[\p{L}\p{N}]+")))
+    cut = cut.withColumn("words", F.transform("words", lambda w: F.when(F.size(w) >= LEAST_WORDS, w)))
+    cut = cut.withColumn("ids", F.transform("words", lambda w: F.xxhash64(w)))
+    marked = cut.select(key, text, "cut", "ids", _near_of_texts(share)("words", "ids").alias("near"))
+    parts = F.transform("cut", lambda p, i: F.struct(i.alias("pos"), p.alias("part"), F.get("near", i).alias("near"), F.get("ids", i).alias("id")))
+    whole = marked.select(key, text, F.col("near").isNotNull().alias("judged"), parts.alias("parts"))
     size = F.aggregate("parts", F.lit(0), lambda n, p: n + F.length(p["part"]))
     state = F.struct(size.alias("left"), F.array().cast("array<bigint>").alias("seen"), F.array().cast("array<int>").alias("gone"))
 
@@ -174,10 +204,10 @@ def without_near_repeats(rows: DataFrame, key: str, text: str = "text", floor: i
         cut = F.struct((s["left"] - F.length(p["part"])).alias("left"), s["seen"].alias("seen"), F.concat(s["gone"], F.array(p["pos"])).alias("gone"))
         return F.when(goes, cut).otherwise(stays)
 
-    folded = F.aggregate(F.filter("parts", lambda p: p["id"].isNotNull()), state, step)
-    kept = whole.withColumn("gone", folded["gone"])
+    folded = F.aggregate(F.filter("parts", lambda p: p["near"].isNotNull()), state, step)
+    kept = whole.withColumn("gone", F.when(F.col("judged"), folded["gone"]).otherwise(F.array().cast("array<int>")))
     texts = F.array_join(F.transform(F.filter("parts", lambda p: ~F.array_contains(F.col("gone"), p["pos"])), lambda p: p["part"]), "")
-    made = kept.select(key, F.size("gone").cast("bigint").alias("dropped"), texts.alias("text"))
+    made = kept.select(key, F.size("gone").cast("bigint").alias("dropped"), F.when(F.size("gone") > 0, texts).otherwise(F.col(text)).alias("text"))
     empty = rows.filter(F.col(text).isNull()).select(key, F.lit(0).cast("bigint").alias("dropped"), F.lit(None).cast("string").alias("text"))
     return made.unionByName(empty).withColumnRenamed(key, named)
 
