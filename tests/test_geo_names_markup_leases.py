@@ -80,6 +80,16 @@ def test_names_are_the_leftmost_longest(spark):
     assert dictionary.named(frame, table.limit(0)).count() == 0
 
 
+def test_proper_names_in_parts(spark, monkeypatch):
+    table = spark.createDataFrame([("New York", "a"), ("New", "b"), ("York City", "c"), ("City Hall", "d"), ("Hall", "e")], "spelling string, name string")
+    frame = spark.createDataFrame([(1, "New York City Hall, new york"), (2, "York City Hall"), (3, None)], "id int, text string")
+    held = lambda: sorted(map(tuple, dictionary.named(frame, table, case=True).collect()))
+    whole = held()
+    assert whole == [(1, 0, "a"), (1, 2, "d"), (2, 0, "c"), (2, 2, "e")]
+    monkeypatch.setattr(dictionary, "SENT", 1)
+    assert held() == whole
+
+
 def test_texts_are_not_shuffled_for_their_names(spark, monkeypatch):
     words = [f"word{i}" for i in range(400)]
     table = spark.createDataFrame([(" ".join(words[i : i + 1 + i % 7]), f"n{i}") for i in range(0, 400, 9)], "spelling string, name string")
